@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import linededup
+from readloom.llm import linededup, simhash
 from readloom.llm.common import table
 
 
@@ -10,5 +10,9 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup,)}
+def op5_simhash(spark, sf_dir):
+    return simhash.simhash_query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_simhash)}
 SQL = {"op1_line_dedup": linededup.SQL}
