@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import linededup, simhash
+from readloom.llm import linededup, simhash, tokens
 from readloom.llm.common import table
 
 
@@ -14,5 +14,9 @@ def op5_simhash(spark, sf_dir):
     return simhash.simhash_query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_simhash)}
+def op3_token_output(spark, sf_dir):
+    return tokens.token_output(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash)}
 SQL = {"op1_line_dedup": linededup.SQL}
