@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import linededup, simhash, tokens
+from readloom.llm import decontaminate, linededup, simhash, tokens
 from readloom.llm.common import table
 
 
@@ -18,5 +18,9 @@ def op3_token_output(spark, sf_dir):
     return tokens.token_output(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash)}
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash, op8_decontaminate)}
 SQL = {"op1_line_dedup": linededup.SQL}
