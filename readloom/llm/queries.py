@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import decontaminate, linededup, simhash, tokens
+from readloom.llm import decontaminate, linededup, simhash, substrings, tokens
 from readloom.llm.common import table
 
 
@@ -22,5 +22,9 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash, op8_decontaminate)}
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate)}
 SQL = {"op1_line_dedup": linededup.SQL}
