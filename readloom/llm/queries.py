@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import decontaminate, linededup, simhash, substrings, tokens
+from readloom.llm import decontaminate, langid, linededup, simhash, substrings, tokens
 from readloom.llm.common import table
 
 
@@ -26,5 +26,9 @@ def op7_substring_dedup(spark, sf_dir):
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate)}
+def op2_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate)}
 SQL = {"op1_line_dedup": linededup.SQL}
