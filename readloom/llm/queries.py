@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import decontaminate, langid, linededup, simhash, substrings, tokens
+from readloom.llm import decontaminate, langid, linededup, mixing, simhash, substrings, tokens
 from readloom.llm.common import table
 
 
@@ -30,5 +30,9 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate)}
-SQL = {"op1_line_dedup": linededup.SQL}
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("version")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate, op9_source_mixing)}
+SQL = {"op1_line_dedup": linededup.SQL, "op9_source_mixing": mixing.SQL}
