@@ -14,6 +14,7 @@ import numpy as np
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 1024
+LIMITS = np.array([(1 << b) - 1 for b in BITS[1:]], np.uint64)  # the largest value of each selector from 1
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,10 +26,13 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n)
     end = np.minimum((at // BLOCK + 1) * BLOCK, n)
     best = np.zeros(n, np.int8)
+    bits = np.searchsorted(LIMITS, v, side="left").astype(np.int8)  # the narrowest selector, from the widest end
+    wide = np.zeros(n + 1, np.int32)
     for s in range(15, 0, -1):  # the last that fits is the one with most values
-        wide = np.concatenate([[0], np.cumsum(v >> np.uint64(BITS[s]) != 0, dtype=np.int64)])
-        stop = np.minimum(at + COUNTS[s], end)
-        best[wide[stop] == wide[:-1]] = s
+        np.cumsum(bits > s - 1, dtype=np.int32, out=wide[1:])
+        if wide[-1] == n:
+            break  # nothing is this narrow
+        best[wide[np.minimum(at + COUNTS[s], end)] == wide[:-1]] = s
     take = np.array(COUNTS)[best]
     # All blocks step together from word to word.
     lane = np.arange(0, n, BLOCK)

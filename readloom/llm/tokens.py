@@ -94,7 +94,7 @@ class Encoder:
         return [i for p in parts for i in self.parts.get(p) or self._part(p)]
 
     def _learn(self, new: list[str]):
-        coded = list(map(self._piece, new))
+        coded = [self._piece(" " + x) for x in new]
         first, n = len(self.index), np.fromiter(map(len, coded), np.int64, len(coded))
         while len(self.lengths) < first + len(new):
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
@@ -108,18 +108,21 @@ class Encoder:
         self.index.update(zip(new, range(first, first + len(new))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split, whole = [], []
+        split, heads, whole = [], [], []
         for t in texts:
             if self._whole(t):
                 whole.append(t)
                 split.append(None)
             else:
                 head, *rest = t.split(" ")
-                split.append([head, *[" " + x for x in rest]])
-        new = list({x for s in split if s for x in s} - self.index.keys())
+                heads.append(np.array(self._piece(head), np.uint32))
+                split.append(rest)
+        # Pieces are kept without the space that leads them.
+        new = list(set().union(*filter(None, split)) - self.index.keys())
         known, used = len(self.index), self.used
         if new:
             self._learn(new)
+        head = iter(heads)
         other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else None
         out = []
         for s in split:
@@ -130,7 +133,7 @@ class Encoder:
             n = self.lengths[i]
             end = np.cumsum(n)
             at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.places[i] - end + n, n)
-            out.append(self.ids[at])
+            out.append(np.concatenate([next(head), self.ids[at]]))
         if len(self.index) > CACHE:
             for piece in new[max(0, CACHE - known) :]:
                 del self.index[piece]
@@ -178,14 +181,14 @@ def unpack(payload: bytes) -> tuple[list, list[np.ndarray]]:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """Chunks (shard, chunk, n_docs, n_ids, payload) in ascending id order."""
+    """Chunks (shard, chunk, start, n_docs, n_ids, payload) in ascending id order; start counts within the shard."""
 
     def run(batches):
         encoder, shard, chunk = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids, coded, size = [], [], 0
+        ids, coded, size, start = [], [], 0, 0
 
         def flush():
-            return pa.record_batch({"shard": pa.array([shard], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack(ids, coded)], pa.binary())})
+            return pa.record_batch({"shard": pa.array([shard], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "start": pa.array([start], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack(ids, coded)], pa.binary())})
 
         for batch in batches:
             for part in pieces(batch, "text", 2 << 20):
@@ -196,28 +199,26 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
                     size += len(coded[-1])
                     if size >= CHUNK:
                         yield flush()
-                        ids, coded, size, chunk = [], [], 0, chunk + 1
+                        ids, coded, size, start, chunk = [], [], 0, start + size, chunk + 1
         if ids:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "shard int, chunk long, n_docs long, n_ids long, payload binary")
+    return ordered.mapInArrow(run, "shard int, chunk long, start long, n_docs long, n_ids long, payload binary")
 
 
 def read_documents(chunks: DataFrame, digest) -> DataFrame:
     """(doc_id, start, n_tokens, and what digest(ids) gives) per document of written chunks.
 
-    start counts the ids of all documents before, over shards and chunks: those
-    sums are one row per chunk, running within a shard, then over the shards.
+    start counts the ids of all documents before: a chunk knows its place in its
+    shard, and the sums of the shards, one row per writing task, are broadcast.
     """
     from pyspark.sql import Window
 
     shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     base = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
-    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n_ids")
-    starts = chunks.select("shard", "chunk", within.alias("within")).join(F.broadcast(base), "shard")
-    placed = chunks.select("shard", "chunk", "payload").join(starts, ["shard", "chunk"]).select((F.col("base") + F.col("within")).alias("start"), "payload")
+    placed = chunks.join(F.broadcast(base), "shard").select((F.col("base") + F.col("start")).alias("start"), "payload")
 
     def run(batches):
         for batch in batches:
