@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import decontaminate, langid, linededup, mixing, simhash, substrings, tokens
+from readloom.llm import decontaminate, langid, linededup, mixing, simhash, substrings, tokens, topk, warc
 from readloom.llm.common import table
 
 
@@ -34,5 +34,13 @@ def op9_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("version")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op7_substring_dedup, op8_decontaminate, op9_source_mixing)}
-SQL = {"op1_line_dedup": linededup.SQL, "op9_source_mixing": mixing.SQL}
+def op6_warc(spark, sf_dir):
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op10_top_k(spark, sf_dir):
+    return topk.top_k_query(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k)}
+SQL = {"op1_line_dedup": linededup.SQL, "op9_source_mixing": mixing.SQL, "op10_top_k": topk.SQL}
