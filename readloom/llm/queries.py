@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import decontaminate, langid, linededup, mixing, simhash, substrings, tokens, topk, warc
+from readloom.llm import chat, decontaminate, langid, linededup, mixing, simhash, substrings, tokens, topk, warc
 from readloom.llm.common import table
 
 
@@ -42,5 +42,9 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k_query(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k)}
+def op4_chat_format(spark, sf_dir):
+    return chat.chat_query(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op4_chat_format, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k)}
 SQL = {"op1_line_dedup": linededup.SQL, "op9_source_mixing": mixing.SQL, "op10_top_k": topk.SQL}
