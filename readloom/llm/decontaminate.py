@@ -157,12 +157,19 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, *, most_hit: float = 0.0, text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose share of hit words is over most_hit, all columns kept."""
-    tagged = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    found = hits(tagged, benchmark, id_col="_text_key", text_col=text_col, **options)
-    bad = found.where(F.size("hit") > most_hit * F.col("n_words")).select(F.col("doc_id").alias("_text_key")).distinct()
-    return tagged.join(bad, "_text_key", "left_anti").drop("_text_key")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10, item_col: str = "item_id", item_text: str = "text", most_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the rows in which a window of an item occurs; all columns kept, no shuffle."""
+    spark, out = docs.sparkSession, docs
+    for items in _parts(benchmark, item_col, item_text, most_bytes):
+        shared = spark.sparkContext.broadcast(Windows(items, window))
+
+        def clean(batches, shared=shared):
+            for batch in batches:
+                for part in pieces(batch, text_col):
+                    yield part.filter(pa.array([not len(shared.value.scan(t)[1]) for t in utf8(part.column(text_col))], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10, item_col: str = "item_id", item_text: str = "text", most_bytes: int = 32 << 20) -> DataFrame:

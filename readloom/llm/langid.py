@@ -187,12 +187,12 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Network(labels).train(texts, [labels.index(x) for x in lang], **training)
 
 
-def predict(docs: DataFrame, network: Network | None, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*names).withColumn("_letter", F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+def predict(docs: DataFrame, network: Network | None, *, text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
+    """docs with the columns lang_to and score_to added (columns of those names are replaced)."""
+    names = [c for c in docs.columns if c not in (lang_to, score_to)]
+    rows = docs.select(*names).withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if network is None:
-        return rows.drop("_letter").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return rows.drop("_letter").withColumns({lang_to: F.lit("und"), score_to: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
@@ -207,9 +207,9 @@ def predict(docs: DataFrame, network: Network | None, *, text_col: str = "text")
                     lang[own] = np.array(net.labels, object)[p.argmax(1)]
                     score[own] = np.clip(p.max(1), 0, 1)
                 keep = [c for c in part.schema.names if c != "_letter"]
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], names=[*keep, lang_to, score_to])
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*names).schema.add(lang_to, "string").add(score_to, "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -219,3 +219,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     done = predict(rows, network)
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, *, min_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs whose language the network knows with at least min_score; all columns kept."""
+    network = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
+    done = predict(docs, network, text_col=text_col, lang_to="_lang_pred", score_to="_score")
+    return done.where((F.col("_lang_pred") != "und") & (F.col("_score") >= min_score)).select(*docs.columns)

@@ -232,3 +232,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def simhash_query(docs: DataFrame) -> DataFrame:
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_duplicates(docs).select("doc_id", hex_.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with the smallest id of each group of near-duplicates only; all columns kept.
+
+    Of rows that repeat an id any one stays; rows with a null id all stay.
+    """
+    groups = near_duplicates(docs, id_col=id_col, **options)
+    dropped = stash(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
+    left = docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again")
+    if again.isEmpty():
+        return left
+    on = F.col(id_col) == F.col("_again")
+    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([id_col]))
