@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,3 +35,17 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     return spark
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="readloom-")
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the folder of spark.checkpoint.dir and read it back; later reads need no executor that made it."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{base.rstrip('/')}/readloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
