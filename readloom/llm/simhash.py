@@ -240,8 +240,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     Of rows that repeat an id any one stays; rows with a null id all stay.
     """
     groups = near_duplicates(docs, id_col=id_col, **options)
-    dropped = stash(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
-    left = docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    return keep_one(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), id_col)
+
+
+def keep_one(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """docs without the dropped ids (_dropped), and with one row of each id that repeats."""
+    left = docs.join(stash(dropped, "dropped"), F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again")
     if again.isEmpty():
         return left
