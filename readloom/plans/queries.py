@@ -10,7 +10,7 @@ from readloom.fixtures import relation
 from readloom.functions.cigar import end_position, has, mapped, placed, primary
 from readloom.functions.cigar import base_quality_sum as quality_sum
 from readloom.functions.cigar import unclipped_5_prime
-from readloom.operators import counts, depth, duplicates, filters, intervals, mates, ordering, pileup, sequences
+from readloom.operators import counts, depth, duplicates, filters, headers, intervals, mates, ordering, pileup, sequences
 
 QUERIES = {}
 #: Integer columns that may be missing; results show -1 there, so that all engines keep them integers.
@@ -162,6 +162,12 @@ def merge(spark, sf_dir):
     return ordering.numbered(rows, [*ordering.coordinate_keys(), F.col("src"), F.col("ord")])
 
 
+@query
+def merge_read_groups(spark, sf_dir):
+    halves = _halves(_get(spark, sf_dir, "reads").where("rg IS NOT NULL"))
+    return headers.merge_ids([h.select(F.col("rg").alias("id"), F.upper("rg").alias("sm")).distinct() for h in halves])
+
+
 @query
 def cat(spark, sf_dir):
     reads = _get(spark, sf_dir, "reads").select("ord", "qname", "flag")
