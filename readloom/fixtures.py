@@ -1,7 +1,8 @@
 """Alignment relations derived from the given tables, in SQL that Spark and DuckDB both accept.
 
 The tables hold no alignments, so reads are derived from `orders` (two or three per
-order), contigs and reference sequences from `region`, and intervals from `nation`.
+order), contigs and reference sequences from `region`, intervals from `nation`, and
+a reference of many short sequences from `part`.
 """
 
 from __future__ import annotations
@@ -74,7 +75,10 @@ REFSEQ = f"SELECT r_regionkey AS tid, replace(r_name, ' ', '_') AS name, substr(
 BED = """SELECT n_nationkey AS iv, n_nationkey % 5 AS tid, n_name AS name, (n_nationkey * 137) % 1500 AS bstart,
   (n_nationkey * 137) % 1500 + 50 + n_nationkey * 3 AS bend FROM {nation}"""
 
-SOURCES = {"reads": (READS, "orders"), "contigs": (CONTIGS, "region"), "refseq": (REFSEQ, "region"), "bed": (BED, "nation")}
+TRANSCRIPTS = f"""SELECT p_partkey AS tid, concat('p', CAST(p_partkey AS VARCHAR(20))) AS name,
+  substr(repeat('{PATTERN}', 20), CAST(1 + p_partkey % 54 AS INT), CAST(20 + p_size * 7 AS INT)) AS sequence, p_size AS size FROM {{part}}"""
+
+SOURCES = {"reads": (READS, "orders"), "contigs": (CONTIGS, "region"), "refseq": (REFSEQ, "region"), "bed": (BED, "nation"), "transcripts": (TRANSCRIPTS, "part")}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

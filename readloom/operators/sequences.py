@@ -180,6 +180,14 @@ def faidx(reference: DataFrame, regions: list[str]) -> DataFrame:
     return out
 
 
+def slices(reference: DataFrame, regions: DataFrame) -> DataFrame:
+    """(name, start, end, sequence) of a table of regions (name, start, end), 1-based and clamped."""
+    low = F.greatest(F.col("start"), F.lit(1))
+    n = F.greatest(F.least(F.col("end"), F.length("sequence")) - low + 1, F.lit(0)).cast("int")
+    rows = regions.join(reference.select("name", "sequence"), "name")
+    return rows.select("name", "start", "end", F.substring("sequence", low.cast("int"), n).alias("sequence"))
+
+
 def fasta_index(reference: DataFrame) -> DataFrame:
     """(name, length) of each sequence."""
     return reference.select("name", F.length("sequence").cast("long").alias("length"))

@@ -193,8 +193,10 @@ FROM a LEFT JOIN contigs c ON c.tid = a.tid LEFT JOIN mm ON mm.ord = a.ord"""
 SQL["primer_reach"] = P + """ SELECT a.ord, CAST(coalesce(max(CASE WHEN b.bstart + 1 <= a.pos AND b.bend >= a.pos THEN b.bend - a.pos + 1 END), 0) AS INT) AS "left",
   CAST(coalesce(max(CASE WHEN b.bstart + 1 <= a.endp AND b.bend >= a.endp THEN a.endp - b.bstart END), 0) AS INT) AS "right"
 FROM a JOIN bed b ON b.tid = a.tid AND b.bstart + 1 <= a.endp AND b.bend >= a.pos GROUP BY a.ord"""
-SQL["dict_md5"] = P + " SELECT name, length(sequence) AS length, md5(upper(sequence)) AS md5, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || length(sequence) || chr(9) || 'M5:' || md5(upper(sequence)) || chr(9) || 'AS:asm' AS line FROM refseq"
-SQL["faidx_region"] = P + " SELECT 'ASIA:100-250' AS region, substr(sequence, 100, 151) AS sequence FROM refseq WHERE name = 'ASIA' UNION ALL SELECT 'EUROPE:2990', substr(sequence, 2990) FROM refseq WHERE name = 'EUROPE' UNION ALL SELECT 'AFRICA', sequence FROM refseq WHERE name = 'AFRICA'"
+SQL["dict_md5"] = P + " SELECT name, length(sequence) AS length, md5(upper(sequence)) AS md5, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || length(sequence) || chr(9) || 'M5:' || md5(upper(sequence)) || chr(9) || 'AS:asm' AS line FROM transcripts"
+SQL["fasta_index"] = P + " SELECT name, length(sequence) AS length FROM transcripts"
+SQL["faidx_regions"] = P + """ SELECT name, tid % 60 AS start, tid % 60 + 3 * size AS "end",
+  substr(sequence, CAST(greatest(tid % 60, 1) AS INT), CAST(greatest(least(tid % 60 + 3 * size, length(sequence)) - greatest(tid % 60, 1) + 1, 0) AS INT)) AS sequence FROM transcripts"""
 SQL["fqidx"] = P + " SELECT qname AS name, arg_max(seq, ord) AS seq, arg_max(qual, ord) AS qual FROM reads WHERE flag & 2304 = 0 AND qname IN (SELECT qname FROM reads WHERE flag & 2304 = 0 AND ord % 5 = 0) GROUP BY qname"
 SQL["proper_pairs_by_contig"] = P + " SELECT c.name, count(*) AS n, CAST(sum(abs(r.tlen)) AS BIGINT) AS span FROM reads r JOIN contigs c ON c.tid = r.tid WHERE r.flag & 2304 = 0 AND r.flag & 4 = 0 AND r.flag & 2 = 2 GROUP BY 1"
 

@@ -360,12 +360,19 @@ def ampliconclip_hard(spark, sf_dir):
 
 @query
 def dict_md5(spark, sf_dir):
-    return sequences.sequence_dictionary(_get(spark, sf_dir, "refseq"), assembly="asm").select("name", "length", "md5", "line")
+    return sequences.sequence_dictionary(_get(spark, sf_dir, "transcripts"), assembly="asm").select("name", "length", "md5", "line")
 
 
 @query
-def faidx_region(spark, sf_dir):
-    return sequences.faidx(_get(spark, sf_dir, "refseq"), ["ASIA:100-250", "EUROPE:2990", "AFRICA"])
+def fasta_index(spark, sf_dir):
+    return sequences.fasta_index(_get(spark, sf_dir, "transcripts"))
+
+
+@query
+def faidx_regions(spark, sf_dir):
+    rows = _get(spark, sf_dir, "transcripts")
+    start = F.col("tid") % 60
+    return sequences.slices(rows, rows.select("name", start.alias("start"), (start + 3 * F.col("size")).alias("end")))
 
 
 @query
