@@ -91,20 +91,24 @@ class Windows:
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int):
-    """Lists of (item, text) of at most most_bytes each (or one item)."""
+    """How many parts the items make, and the parts: lists of (item, text) of about most_bytes, one at a time."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // most_bytes))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, r.text.encode()) for r in part.distinct().collect()]
+
+    def each():
+        for k in range(n):
+            part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+            yield [(r.item, r.text.encode()) for r in part.distinct().collect()]
+
+    return n, each()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, most_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, hit (array of word positions), items (sorted array of strings)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = list(_parts(benchmark, item_col, item_text, most_bytes))
+    copies, parts = _parts(benchmark, item_col, item_text, most_bytes)
 
     def scan(rows: DataFrame, items) -> DataFrame:
         shared = spark.sparkContext.broadcast(Windows(items, window))
@@ -126,14 +130,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
         keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
         return rows.mapInArrow(run, ", ".join([*keys, "n_words long", "hit array<int>", "items array<string>"]))
 
-    if len(parts) == 1:
-        return scan(rows, parts[0])
+    if copies == 1:
+        return scan(rows, next(parts))
     keyed = rows.withColumn("version", F.xxhash64("text"))
     each = [scan(keyed, items) for items in parts]
     merged = each[0]
     for more in each[1:]:
         merged = merged.union(more)
-    copies = len(parts)
     found = merged.groupBy("doc_id", "version").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hit"),
@@ -160,7 +163,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10, item_col: str = "item_id", item_text: str = "text", most_bytes: int = 32 << 20) -> DataFrame:
     """docs without the rows in which a window of an item occurs; all columns kept, no shuffle."""
     spark, out = docs.sparkSession, docs
-    for items in _parts(benchmark, item_col, item_text, most_bytes):
+    for items in _parts(benchmark, item_col, item_text, most_bytes)[1]:
         shared = spark.sparkContext.broadcast(Windows(items, window))
 
         def clean(batches, shared=shared):
@@ -177,7 +180,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     spark = docs.sparkSession
     schema = docs.schema
     out = docs
-    for items in _parts(benchmark, item_col, item_text, most_bytes):
+    for items in _parts(benchmark, item_col, item_text, most_bytes)[1]:
         shared = spark.sparkContext.broadcast(Windows(items, window))
 
         @F.pandas_udf("string")
