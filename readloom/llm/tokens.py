@@ -24,6 +24,7 @@ import json
 import re
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,12 @@ from readloom.llm.common import pieces, stash
 
 MAGIC = b"S8BTOK01"
 CHUNK = 1 << 17
-CACHE = 500_000  # pieces kept by a worker, and a third as many parts; later ones are coded where they occur
+CACHE = 500_000  # pieces, and parts, that a worker keeps; later ones are coded where they occur
 # The split pattern of the byte-level vocabularies, and the same for ASCII text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+# ASCII marks that end a piece as one part; the apostrophe may open a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _workers: dict = {}
 
 
@@ -71,8 +74,9 @@ class Encoder:
         self._clear()
 
     def _clear(self):
+        self.stems: dict[str, list[int]] = {}
         self.parts: dict[str, list[int]] = {}
-        self.index: dict[str, int] = {}
+        self.index: dict[str | tuple[str], int] = {}
         self.lengths = np.zeros(1 << 16, np.int32)
         self.places = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
@@ -81,20 +85,35 @@ class Encoder:
     def _whole(self, text: str) -> bool:
         return not self.by_pieces or "  " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special)
 
+    def _code(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+
     def _part(self, part: str) -> list[int]:
-        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        if len(self.parts) < CACHE // 3:
-            self.parts[part] = ids
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self._code(part)
+            if len(self.parts) < CACHE:
+                self.parts[part] = ids
         return ids
 
     def _piece(self, piece: str) -> list[int]:
         parts = self.split_ascii(piece) if piece.isascii() else self.split(piece)
-        if len(parts) == 1:
-            return self.parts.get(piece) or self._part(piece)
-        return [i for p in parts for i in self.parts.get(p) or self._part(p)]
-
-    def _learn(self, new: list[str]):
-        coded = [self._piece(" " + x) for x in new]
+        return [i for p in parts for i in self._part(p)]
+
+    def _led(self, piece: str) -> list[int]:
+        """The ids of a piece with the space that leads it; most are letters, then marks."""
+        stem = piece.rstrip(MARKS)
+        if not stem.isalpha():
+            return self._piece(" " + piece)
+        ids = self.stems.get(stem)
+        if ids is None:
+            ids = self._code(" " + stem) if not stem.isascii() else [t.id for t in self.model.tokenize(self.letters[32] + stem)]
+            if len(self.stems) < CACHE:
+                self.stems[stem] = ids
+        return ids if len(stem) == len(piece) else ids + self._part(piece[len(stem) :])
+
+    def _learn(self, new: list):
+        coded = [self._piece(x[0]) if type(x) is tuple else self._led(x) for x in new]
         first, n = len(self.index), np.fromiter(map(len, coded), np.int64, len(coded))
         while len(self.lengths) < first + len(new):
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
@@ -108,37 +127,36 @@ class Encoder:
         self.index.update(zip(new, range(first, first + len(new))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split, heads, whole = [], [], []
+        whole, flat, counts = [], [], []
         for t in texts:
             if self._whole(t):
                 whole.append(t)
-                split.append(None)
+                counts.append(0)
             else:
-                head, *rest = t.split(" ")
-                heads.append(np.array(self._piece(head), np.uint32))
-                split.append(rest)
-        # Pieces are kept without the space that leads them.
-        new = list(set().union(*filter(None, split)) - self.index.keys())
-        known, used = len(self.index), self.used
+                # Pieces are kept without the space that leads them; the first has none and is a tuple.
+                pieces_ = t.split(" ")
+                pieces_[0] = (pieces_[0],)
+                flat += pieces_
+                counts.append(len(pieces_))
+        known = len(self.index)
+        i = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(i < 0)
+        new = list({flat[k] for k in missing.tolist()})
         if new:
             self._learn(new)
-        head = iter(heads)
+            i[missing] = [self.index[flat[k]] for k in missing.tolist()]
+        n = self.lengths[i]
+        end = np.cumsum(n, dtype=np.int64)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.places[i] - end + n, n)
+        ids = self.ids[at]
+        edges = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
         other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else None
-        out = []
-        for s in split:
-            if s is None:
-                out.append(np.array(next(other).ids, np.uint32))
-                continue
-            i = np.fromiter(map(self.index.__getitem__, s), np.int64, len(s))
-            n = self.lengths[i]
-            end = np.cumsum(n)
-            at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.places[i] - end + n, n)
-            out.append(np.concatenate([next(head), self.ids[at]]))
+        out = [ids[a:b] if c else np.array(next(other).ids, np.uint32) for a, b, c in zip(edges[:-1].tolist(), edges[1:].tolist(), counts)]
         if len(self.index) > CACHE:
             for piece in new[max(0, CACHE - known) :]:
                 del self.index[piece]
-            kept = len(self.index)
-            self.used = int(self.places[kept - 1] + self.lengths[kept - 1]) if kept else used
+            last = len(self.index) - 1
+            self.used = int(self.places[last] + self.lengths[last])
         return out
 
 
