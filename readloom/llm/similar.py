@@ -4,10 +4,12 @@ Documents that share 0.8 of their five-word shingles differ in 5 to 14 bits of a
 64-bit SimHash, too many to look up. So the SimHash groups of radius 3 are joined
 with candidates found from samples of the shingles: PLACES hash orders give the lowest
 shingle of each, and documents that agree in both places of any of BANDS pairs are
-candidates. A candidate counts if it agrees with its hub, the smallest id of the
-pair's group, in at least `similarity` of all places, an estimate of the Jaccard
-similarity with a standard error of 0.05 at 0.8. Each band names one hub, so a group
-of any size costs a link per document and band, and no pairs within it.
+candidates, as are those of one SimHash group. Each group first names one hub, its
+smallest id: a member that agrees with it in enough places is decided on the shingle
+sets, which joins most of a group at the cost of one pair per member. Then all pairs
+of a group that no chain of links joins yet are looked at, those that agree in enough
+places are decided on the shingle sets too. So a pair stays apart only if its texts,
+or its places, say so, whichever ids its group holds.
 
 Defined results: texts without words do not link here; rows with a null id do not
 link and stay; rows that repeat an id are one document; other columns are kept.
@@ -74,27 +76,12 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, see
     return picked.mapInArrow(run, "doc_id long, places array<long>, bands array<long>")
 
 
-def similar_links(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> tuple[DataFrame, list[DataFrame]]:
-    """(u, v): documents and hubs whose similarity is at least the bound; others are more candidates (doc_id, hub).
-
-    Also the written tables that the links read, to be deleted after them.
-    """
-    signed = stash(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "signatures")
-    member = signed.select("doc_id", F.explode("bands").alias("band"))
-    groups = member.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("band", "hub")
-    edges = member.join(groups, "band").where("doc_id <> hub").select("doc_id", "hub")
-    edges = (edges if others is None else edges.unionByName(others)).distinct()
-    own = signed.groupBy("doc_id").agg(F.first("places").alias("own"))
-    other = own.select(F.col("doc_id").alias("hub"), F.col("own").alias("other"))
-    agree = F.aggregate(F.zip_with("own", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    rated = stash(edges.join(own, "doc_id").join(other, "hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), agree.alias("agree")), "rated")
-    unstash(signed)
-    sure = rated.where(F.col("agree") >= PLACES - 1).select("u", "v")
-    open_ = rated.where((F.col("agree") < PLACES - 1) & (F.col("agree") >= int((similarity - 0.15) * PLACES))).select("u", "v")
-    ids = open_.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are at least so similar, written."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
     texts = stash(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    both = open_.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
 
     def decide(batches):
         hub, theirs = None, frozenset()
@@ -109,15 +96,113 @@ def similar_links(docs: DataFrame, others: DataFrame | None = None, *, id_col: s
                     keep.append(common >= similarity * (len(mine) + len(theirs) - common))
                 yield pa.record_batch({"u": pa.array([u for u, k in zip(us, keep) if k], pa.int64()), "v": pa.array([v for v, k in zip(vs, keep) if k], pa.int64())})
 
-    return sure.unionByName(both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")), [rated, texts]
+    out = stash(both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"), "links")
+    unstash(texts)
+    return out
+
+
+def apart(ids: np.ndarray, labels: np.ndarray, chunks: np.ndarray, low: np.ndarray, least: int, one_chunk: bool):
+    """Slices of the pairs (u, v), u > v, of different labels that agree in at least `least` places; of different chunks unless there is one."""
+    _, label, size = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.lexsort((label, size[label]))  # the largest label last: its members are never compared with each other
+    ids, label, chunks, low = ids[order], label[order], chunks[order], low[order]
+    begin = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+    for at, end in zip(begin, begin[1:]):
+        for i in range(at, end, 32):
+            mine = slice(i, min(i + 32, end))
+            near = (low[mine, None] == low[None, end:]).sum(2, dtype=np.uint8) >= least
+            if not one_chunk:
+                near &= chunks[mine, None] != chunks[None, end:]
+            a, b = np.nonzero(near)
+            a, b = ids[mine][a], ids[end:][b]
+            yield np.maximum(a, b), np.minimum(a, b)
+
+
+def _cells(least: int):
+    """The pairs of apart() for each (kind, key, one, two) run of a partition sorted by them."""
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = np.stack([batch.column(c).to_numpy() for c in ("kind", "key", "one", "two", "doc_id", "label", "chunk")])
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, PLACES)
+            if rest is not None:
+                now, low = np.concatenate([rest[0], now], axis=1), np.concatenate([rest[1], low])
+            cut = [0, *(1 + np.flatnonzero((now[:4, 1:] != now[:4, :-1]).any(0)))]
+            for at, end in zip(cut, cut[1:]):
+                yield from cell(now[:, at:end], low[at:end])
+            rest = now[:, cut[-1] :], low[cut[-1] :]
+        if rest is not None and len(rest[1]):
+            yield from cell(*rest)
+
+    def cell(now, low):
+        for u, v in apart(now[4], now[5], now[6], low, least, now[2, 0] == now[3, 0]):
+            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
+
+    return run
+
+
+def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, *, least: int, most: int = 1024) -> DataFrame:
+    """(u, v), u > v: all pairs within a group (kind, key) that no chain of links joins yet and that agree in `least` places.
+
+    Places are compared by their lowest byte, so unequal ones may count as equal but
+    never the reverse. A group of more than `most` members is cut into chunks, and
+    each two chunks meet in a cell of their own.
+    """
+    rows = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", "key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n")).where("_a <> _b")
+    rows = rows.join(mixed.select("kind", "key", F.ceil(F.col("n") / most).alias("parts")), ["kind", "key"])
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least("chunk", k).alias("one"), F.greatest("chunk", k).alias("two")))
+    rows = rows.join(own.select("doc_id", "low"), "doc_id").select("kind", "key", "doc_id", "label", "chunk", "low", F.explode(cells).alias("_c"))
+    rows = rows.select("kind", "key", "_c.one", "_c.two", "doc_id", "label", "chunk", "low")
+    by = ["kind", "key", "one", "two"]
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least), "u long, v long").distinct()
+
+
+def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(node, component) of the documents linked by similarity; others are more groups of candidates (doc_id, hub)."""
+    options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
+    least = int((similarity - 0.15) * PLACES)
+    signed = stash(signatures(docs, **options, seed=seed), "signatures")
+    member = signed.select("doc_id", F.explode("bands").alias("key")).distinct()
+    groups = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("key", "hub")
+    grouped = member.join(groups, "key").select(F.lit(0).cast("long").alias("kind"), "key", "doc_id", "hub")
+    if others is not None:
+        more = others.unionByName(others.select(F.col("hub").alias("doc_id"), "hub")).distinct()
+        grouped = grouped.unionByName(more.select(F.lit(1).cast("long").alias("kind"), F.col("hub").alias("key"), "doc_id", "hub"))
+    grouped = stash(grouped, "grouped")
+    own = signed.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("places").alias("own"))
+    low = F.unhex(F.array_join(F.transform("own", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0")), ""))
+    own = stash(own.select("doc_id", "own", low.alias("low")), "own")
+    unstash(signed)
+    edges = grouped.where("doc_id <> hub").select("doc_id", "hub").distinct()
+    other = own.select(F.col("doc_id").alias("hub"), F.col("own").alias("other"))
+    agree = F.aggregate(F.zip_with("own", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    rated = stash(edges.join(own.select("doc_id", "own"), "doc_id").join(other, "hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), agree.alias("agree")), "rated")
+    sure = rated.where(F.col("agree") >= PLACES - 1).select("u", "v")
+    found = decided(docs, rated.where((F.col("agree") < PLACES - 1) & (F.col("agree") >= least)).select("u", "v"), **options, similarity=similarity)
+    links = sure.unionByName(found)
+    labels = stash(components(links), "labels")
+    left = stash(left_pairs(grouped, own, labels, least=least).join(rated.select("u", "v"), ["u", "v"], "left_anti"), "left")
+    unstash(grouped)
+    unstash(own)
+    late = None if left.isEmpty() else decided(docs, left, **options, similarity=similarity)
+    if late is not None and not late.isEmpty():
+        # Links between groups found so far join whole groups.
+        name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+        late_ = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
+        tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels, before = components(tops.unionByName(late_)), labels
+        unstash(before)
+    for table in [rated, found, left, *([late] if late is not None else [])]:
+        unstash(table)
+    return labels
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """docs with the smallest id of each group of near-copies only; all columns kept."""
     near = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
     found = near.where("doc_id <> component_id").select("doc_id", F.col("component_id").alias("hub"))
-    links, used = similar_links(docs, found, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    groups = components(links)
-    for table in used:  # components() has written what it needs
-        unstash(table)
+    groups = similar_groups(docs, found, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     return keep_one(docs, groups.where("node <> component").select(F.col("node").alias("_dropped")), id_col)

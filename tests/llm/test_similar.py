@@ -37,3 +37,34 @@ def test_one_of_each_is_exact_on_families(spark):
     assert out.columns == df.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == sorted([*{root(i) for i in docs}, -1, 1000, 1001])
     assert similar.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_finds_a_base_that_is_never_the_hub(spark):
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = []
+    for n in range(201):
+        text = list(base)
+        for k in random.sample(range(400), 8) if n != 100 else []:
+            text[k] = word()
+        rows.append((n, " ".join(text)))
+    sets = [similar.shingles(t.encode(), 5) for _, t in rows]
+    rate = lambda a, b: len(a & b) / len(a | b)
+    assert min(rate(s, sets[100]) for s in sets) >= 0.8
+    assert sum(rate(sets[0], s) >= 0.8 for s in sets) <= 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in similar.one_of_each(df).collect()] == [0]
+
+
+def test_left_pairs_are_all_pairs_whatever_the_chunks(spark):
+    random.seed(4)
+    label = {n: n if n % 3 else 0 for n in range(60)}
+    low = {n: bytes(random.choice((0, 0, 0, 1)) for _ in range(similar.PLACES)) for n in label}
+    grouped = spark.createDataFrame([(k, 9, n) for n in label for k in (0, 1) if n % 2 or k], "kind long, key long, doc_id long")
+    own = spark.createDataFrame([(n, bytearray(b)) for n, b in low.items()], "doc_id long, low binary")
+    labels = spark.createDataFrame([(n, c) for n, c in label.items() if n % 3 == 0], "node long, component long")
+    want = sorted((u, v) for u in label for v in range(u) if label[u] != label[v] and sum(a == b for a, b in zip(low[u], low[v])) >= 41)
+    assert want
+    for most in (7, 1024):
+        assert sorted(map(tuple, similar.left_pairs(grouped, own, labels, least=41, most=most).collect())) == want
