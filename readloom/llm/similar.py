@@ -8,8 +8,10 @@ candidates, as are those of one SimHash group. Each group first names one hub, i
 smallest id: a member that agrees with it in enough places is decided on the shingle
 sets, which joins most of a group at the cost of one pair per member. Then all pairs
 of a group that no chain of links joins yet are looked at, those that agree in enough
-places are decided on the shingle sets too. So a pair stays apart only if its texts,
-or its places, say so, whichever ids its group holds.
+places are decided on the shingle sets too. So a pair stays apart only if its texts
+say so, whichever ids its group holds; two samples hide a pair of similarity 0.8 with
+a probability of 8e-8 (no band in common) and below 1e-9 (too few places). Only texts
+with the same set of shingles, by a 128-bit digest of it, link without a look at them.
 
 Defined results: texts without words do not link here; rows with a null id do not
 link and stay; rows that repeat an id are one document; other columns are kept.
@@ -17,6 +19,8 @@ link and stay; rows that repeat an id are one document; other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import repeat
 
 import numpy as np
@@ -37,19 +41,27 @@ def _orders() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, PLACES, dtype=np.uint64), rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) | np.uint64(1)
 
 
-def lowest(text: bytes | None, shingle: int, seed: int, orders) -> np.ndarray | None:
-    """The lowest shingle hash in each order; None for a text without words."""
+def fewest(similarity: float, miss: float = 1e-9) -> int:
+    """The largest number of places of which a pair of that similarity agrees in fewer with a probability below `miss`."""
+    below, k = 0.0, 0
+    while k < PLACES and (below := below + math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k)) < miss:
+        k += 1
+    return k
+
+
+def lowest(text: bytes | None, shingle: int, seed: int, orders) -> tuple[np.ndarray, bytes] | None:
+    """The lowest shingle hash in each order and a digest of the set of shingles; None for a text without words."""
     words = (text or b"").lower().split()
     if not words:
         return None
-    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    runs = sorted(set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64)
     flip, times = orders
     best = np.full(PLACES, np.uint64((1 << 64) - 1))
     for at in range(0, len(hashes), 2048):
         mixed = (hashes[at : at + 2048, None] ^ flip) * times
         np.minimum(best, mixed.min(0), out=best)
-    return best
+    return best, hashlib.blake2b(b"\n".join(runs), digest_size=16).digest()
 
 
 def shingles(text: bytes, n: int) -> frozenset:
@@ -58,7 +70,7 @@ def shingles(text: bytes, n: int) -> frozenset:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, places, bands) of each text with words."""
+    """(doc_id, places, bands, all) of each text with words; all is a digest of its set of shingles."""
 
     def run(batches):
         orders = _orders()
@@ -66,14 +78,14 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, see
             for part in pieces(batch, "text"):
                 found = [lowest(t, shingle, seed, orders) for t in utf8(part.column("text"))]
                 index = [k for k, f in enumerate(found) if f is not None]
-                places = np.array([found[k] for k in index], np.uint64).reshape(-1, PLACES)
+                places = np.array([found[k][0] for k in index], np.uint64).reshape(-1, PLACES)
                 pair = places[:, : 2 * BANDS : 2] * np.uint64(0x9E3779B97F4A7C15) ^ places[:, 1 : 2 * BANDS : 2]
                 pair = pair * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
                 as_list = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel().view(np.int64)), m.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "places": as_list(places), "bands": as_list(pair)})
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "places": as_list(places), "bands": as_list(pair), "all": pa.array([found[k][1] for k in index], pa.binary())})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return picked.mapInArrow(run, "doc_id long, places array<long>, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, places array<long>, bands array<long>, all binary")
 
 
 def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -163,7 +175,7 @@ def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, *, least:
 def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """(node, component) of the documents linked by similarity; others are more groups of candidates (doc_id, hub)."""
     options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
-    least = int((similarity - 0.15) * PLACES)
+    least = fewest(similarity)
     signed = stash(signatures(docs, **options, seed=seed), "signatures")
     member = signed.select("doc_id", F.explode("bands").alias("key")).distinct()
     groups = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("key", "hub")
@@ -172,16 +184,16 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
         more = others.unionByName(others.select(F.col("hub").alias("doc_id"), "hub")).distinct()
         grouped = grouped.unionByName(more.select(F.lit(1).cast("long").alias("kind"), F.col("hub").alias("key"), "doc_id", "hub"))
     grouped = stash(grouped, "grouped")
-    own = signed.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("places").alias("own"))
+    own = signed.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("places", "all")).alias("_of")).select("doc_id", F.col("_of.places").alias("own"), "_of.all")
     low = F.unhex(F.array_join(F.transform("own", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0")), ""))
-    own = stash(own.select("doc_id", "own", low.alias("low")), "own")
+    own = stash(own.select("doc_id", "own", low.alias("low"), "all"), "own")
     unstash(signed)
     edges = grouped.where("doc_id <> hub").select("doc_id", "hub").distinct()
-    other = own.select(F.col("doc_id").alias("hub"), F.col("own").alias("other"))
+    other = own.select(F.col("doc_id").alias("hub"), F.col("own").alias("other"), F.col("all").alias("other_all"))
     agree = F.aggregate(F.zip_with("own", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    rated = stash(edges.join(own.select("doc_id", "own"), "doc_id").join(other, "hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), agree.alias("agree")), "rated")
-    sure = rated.where(F.col("agree") >= PLACES - 1).select("u", "v")
-    found = decided(docs, rated.where((F.col("agree") < PLACES - 1) & (F.col("agree") >= least)).select("u", "v"), **options, similarity=similarity)
+    rated = stash(edges.join(own.select("doc_id", "own", "all"), "doc_id").join(other, "hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), agree.alias("agree"), (F.col("all") == F.col("other_all")).alias("equal")), "rated")
+    sure = rated.where("equal").select("u", "v")
+    found = decided(docs, rated.where(~F.col("equal") & (F.col("agree") >= least)).select("u", "v"), **options, similarity=similarity)
     links = sure.unionByName(found)
     labels = stash(components(links), "labels")
     left = stash(left_pairs(grouped, own, labels, least=least).join(rated.select("u", "v"), ["u", "v"], "left_anti"), "left")

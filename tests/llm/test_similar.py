@@ -1,5 +1,6 @@
 """Near-copies by five-word similarity against exact components."""
 
+import math
 import random
 
 from readloom.llm import similar
@@ -68,3 +69,15 @@ def test_left_pairs_are_all_pairs_whatever_the_chunks(spark):
     assert want
     for most in (7, 1024):
         assert sorted(map(tuple, similar.left_pairs(grouped, own, labels, least=41, most=most).collect())) == want
+
+
+def test_every_link_is_decided_on_the_shingle_sets(spark):
+    assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(similar.fewest(0.8))) < 1e-9
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    a = [word() for _ in range(400)]
+    b = a + [word() for _ in range(2)]  # practically equal, yet below a bound of 0.999
+    df = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(a).upper())], "doc_id long, text string")
+    (x, _), (y, _) = (similar.lowest(" ".join(t).encode(), 5, 42, similar._orders()) for t in (a, b))
+    assert (x == y).sum() >= 63
+    assert sorted(r.doc_id for r in similar.one_of_each(df, similarity=0.999).collect()) == [0, 1]
