@@ -290,7 +290,7 @@ def mpileup(spark, sf_dir):
 @query
 def consensus(spark, sf_dir):
     reads, contigs = _get(spark, sf_dir, "reads", "contigs")
-    return pileup.consensus(reads.where("ord % 40 < 4"), contigs)
+    return pileup.consensus(reads, contigs)
 
 
 @query
