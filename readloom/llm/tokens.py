@@ -8,27 +8,28 @@ order), its number, and a payload: magic, counts, document ids with a null flag,
 document lengths, block offsets, words.
 
 Ids come from the tokenizers library. A byte-level tokenizer splits a text before
-each single space that stands between other characters, so a text is looked up by
-its space-led pieces; a new piece is split by the tokenizer's pattern and the
-library's model codes each part, once per worker and bounded cache. A text for
-which that could differ (repeated spaces, a space at an end, a special token), and
-any text under a tokenizer of another kind, is encoded whole.
+each single space that stands between other characters, so the texts of a batch are
+cut into space-led pieces and each distinct piece of the batch is coded once: the
+distinct pieces go to the library as texts of a few thousand pieces, and come apart
+again at the tokens that begin with a space. Nothing is kept from batch to batch, so
+a worker's memory is bounded by the batch. A text for which that could differ
+(repeated spaces, a space at an end, a special token), and any text under a
+tokenizer of another kind, is encoded whole.
 
 Defined results: a null text is empty and gives the end id alone; null ids come
-first; equal ids keep together in any order; an empty table gives no chunks.
+first; equal ids keep together in the order of a hash of their texts; an empty table gives no chunks.
 """
 
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,125 +39,80 @@ from readloom.llm.common import pieces, stash
 
 MAGIC = b"S8BTOK01"
 CHUNK = 1 << 17
-CACHE = 500_000  # pieces, and parts, that a worker keeps; later ones are coded where they occur
-# The split pattern of the byte-level vocabularies, and the same for ASCII text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-# ASCII marks that end a piece as one part; the apostrophe may open a contraction.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+BATCH = 8 << 20  # bytes of text that are cut into pieces at once
+JOINED, AT_ONCE = 1024, 16  # pieces in a text for the library, and such texts in a call
 _workers: dict = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: itself if it is printable, else the next free one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class Encoder:
-    """Encodes lists of texts to id arrays, with a bounded cache of pieces."""
+    """Encodes arrays of texts to id arrays; keeps nothing from call to call."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_pieces = not kind.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        self.letters = byte_letters()
-        self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
-        self._clear()
-
-    def _clear(self):
-        self.stems: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.index: dict[str | tuple[str], int] = {}
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.places = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _whole(self, text: str) -> bool:
-        return not self.by_pieces or "  " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special)
-
-    def _code(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self._code(part)
-            if len(self.parts) < CACHE:
-                self.parts[part] = ids
-        return ids
-
-    def _piece(self, piece: str) -> list[int]:
-        parts = self.split_ascii(piece) if piece.isascii() else self.split(piece)
-        return [i for p in parts for i in self._part(p)]
-
-    def _led(self, piece: str) -> list[int]:
-        """The ids of a piece with the space that leads it; most are letters, then marks."""
-        stem = piece.rstrip(MARKS)
-        if not stem.isalpha():
-            return self._piece(" " + piece)
-        ids = self.stems.get(stem)
-        if ids is None:
-            ids = self._code(" " + stem) if not stem.isascii() else [t.id for t in self.model.tokenize(self.letters[32] + stem)]
-            if len(self.stems) < CACHE:
-                self.stems[stem] = ids
-        return ids if len(stem) == len(piece) else ids + self._part(piece[len(stem) :])
-
-    def _learn(self, new: list):
-        coded = [self._piece(x[0]) if type(x) is tuple else self._led(x) for x in new]
-        first, n = len(self.index), np.fromiter(map(len, coded), np.int64, len(coded))
-        while len(self.lengths) < first + len(new):
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.places = np.concatenate([self.places, np.zeros_like(self.places)])
-        while len(self.ids) < self.used + n.sum():
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.lengths[first : first + len(new)] = n
-        self.places[first : first + len(new)] = self.used + np.cumsum(n) - n
-        self.ids[self.used : self.used + n.sum()] = np.fromiter((i for c in coded for i in c), np.uint32, int(n.sum()))
-        self.used += int(n.sum())
-        self.index.update(zip(new, range(first, first + len(new))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole, flat, counts = [], [], []
-        for t in texts:
-            if self._whole(t):
-                whole.append(t)
-                counts.append(0)
-            else:
-                # Pieces are kept without the space that leads them; the first has none and is a tuple.
-                pieces_ = t.split(" ")
-                pieces_[0] = (pieces_[0],)
-                flat += pieces_
-                counts.append(len(pieces_))
-        known = len(self.index)
-        i = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(i < 0)
-        new = list({flat[k] for k in missing.tolist()})
-        if new:
-            self._learn(new)
-            i[missing] = [self.index[flat[k]] for k in missing.tolist()]
-        n = self.lengths[i]
-        end = np.cumsum(n, dtype=np.int64)
-        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.places[i] - end + n, n)
-        ids = self.ids[at]
-        edges = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
-        other = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else None
-        out = [ids[a:b] if c else np.array(next(other).ids, np.uint32) for a, b, c in zip(edges[:-1].tolist(), edges[1:].tolist(), counts)]
-        if len(self.index) > CACHE:
-            for piece in new[max(0, CACHE - known) :]:
-                del self.index[piece]
-            last = len(self.index) - 1
-            self.used = int(self.places[last] + self.lengths[last])
+        del kind
+        vocabulary = self.tokenizer.get_vocab()
+        self.led = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids of tokens that begin with a space
+        self.led[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts cannot be cut at spaces."""
+        if not self.by_pieces:
+            return np.ones(len(texts), bool)
+        odd = [pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " "), *(pc.match_substring(texts, s) for s in self.special)]
+        return np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in odd])
+
+    def _distinct(self, led: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of space-led pieces, one after the other."""
+        ids, lengths = [], []
+        for at in range(0, len(led), JOINED * AT_ONCE):
+            part = led.slice(at, JOINED * AT_ONCE)
+            bounds = np.append(np.arange(0, len(part), JOINED), len(part)).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(bounds, part), " ").to_pylist()
+            flat = np.concatenate(self._library([" " + x for x in joined]))
+            first = np.flatnonzero(self.led[flat])
+            if len(first) != len(part) or (len(first) and first[0]):
+                each = self._library([" " + x for x in part.to_pylist()])
+                flat, first = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+            ids.append(flat)
+            lengths.append(np.diff(np.append(first, len(flat))))
+        return (np.concatenate(ids), np.concatenate(lengths)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text; no text may be null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = self._whole(texts)
+        out: list = [None] * len(texts)
+        for k, ids in zip(np.flatnonzero(whole).tolist(), self._library(texts.filter(pa.array(whole)).to_pylist())):
+            out[k] = ids
+        own = np.flatnonzero(~whole)
+        if not len(own):
+            return out
+        split = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        edge = split.offsets.to_numpy().astype(np.int64)
+        flat = split.values
+        head = np.zeros(len(flat), bool)  # the first piece of a text has no space before it
+        head[edge[:-1]] = True
+        heads = self._library(flat.filter(pa.array(head)).to_pylist())
+        coded = flat.filter(pa.array(~head)).dictionary_encode()
+        ids, length = self._distinct(coded.dictionary)
+        place = np.cumsum(length) - length
+        index = coded.indices.to_numpy()
+        n, begin = length[index], place[index]
+        end = np.cumsum(n)
+        rest = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - end + n, n)]
+        cut = np.concatenate([[0], end])[edge - np.arange(len(edge))]
+        for k, h, a, b in zip(own.tolist(), heads, cut[:-1].tolist(), cut[1:].tolist()):
+            out[k] = np.concatenate([h, rest[a:b]])
         return out
 
 
@@ -209,9 +165,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
             return pa.record_batch({"shard": pa.array([shard], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "start": pa.array([start], pa.int64()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([size], pa.int64()), "payload": pa.array([pack(ids, coded)], pa.binary())})
 
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for i, values in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for part in pieces(batch, "text", BATCH):
+                for i, values in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
                     ids.append(i)
                     coded.append(np.append(values, np.uint32(end_id)))
                     size += len(coded[-1])
@@ -220,9 +175,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
                         ids, coded, size, start, chunk = [], [], 0, start + size, chunk + 1
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # workers live on
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # The hash deals out rows of one id, or without an id, like any others.
+    by = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     return ordered.mapInArrow(run, "shard int, chunk long, start long, n_docs long, n_ids long, payload binary")
 
 

@@ -44,11 +44,13 @@ def test_encoder_property(text):
     assert encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_with_a_full_cache(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 10)
+@pytest.mark.parametrize(("joined", "at_once"), [(1, 1), (3, 2), (1024, 16)])
+def test_encoder_cuts_joined_pieces_apart(monkeypatch, joined, at_once):
+    monkeypatch.setattr(tokens, "JOINED", joined)
+    monkeypatch.setattr(tokens, "AT_ONCE", at_once)
     encoder = tokens.Encoder(tokens.default_tokenizer())
-    texts = [f"some words w{k} and x{k % 3} end" for k in range(50)]
-    got = [x.tolist() for k in range(0, 50, 7) for x in encoder.encode(texts[k : k + 7])]
+    texts = [f"some words w{k} and x{k % 3} end \u0120 \n \n.{k}" for k in range(50)] + ODD
+    got = [x.tolist() for k in range(0, len(texts), 7) for x in encoder.encode(texts[k : k + 7])]
     assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
