@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -42,10 +43,42 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="readloom-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset there is a temporary one, but only if all tasks run in this
+    process: on a cluster each executor would write to a disk of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/readloom/{label}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the folder of spark.checkpoint.dir and read it back; later reads need no executor that made it."""
+    """Write df as a table in the shared folder and read it back.
+
+    It cuts the lineage: later reads need none of the executors that made it.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{base.rstrip('/')}/readloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete the files of a stash() that nothing reads any more.
+
+    The folder may be on any file system that Spark knows, so Spark's own file API deletes.
+    """
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
