@@ -1,49 +1,24 @@
-"""Shared folder, written intermediate tables and small Arrow helpers of the llm operators."""
+"""Small helpers of the llm operators; stash() and unstash() are the package's own."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.session import stash, unstash
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="readloom-")
+__all__ = ["fresh", "pieces", "same", "stash", "table", "unstash", "utf8"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/readloom/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    It cuts the lineage: later reads need none of the executors that made it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstash(df: DataFrame) -> None:
-    """Delete the files of a stash() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
