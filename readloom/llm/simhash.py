@@ -5,20 +5,20 @@ white-space characters, and each run of `shingle` words (repeats included; the
 whole sequence if there are fewer) is hashed with XXH64. A bit is set if it is set
 in over half of the hashes. A text that is null or has no word has fingerprint 0.
 
-Links. Two fingerprints link at `radius` or fewer differing bits. Such a pair
-agrees on at least one of radius + 1 blocks of bits, so each distinct fingerprint
-goes to radius + 1 groups, keyed by the bits of a block. In a group they are
-sorted by Gray rank, where neighbours share long bit patterns. A hierarchical
-index stands on that order: a leaf covers 16 neighbours and holds the bits on
-which they agree; a node above covers 16 nodes; each node keeps only the agreed
-bits that its parent has not already compared. A query adds up differences from
-the top down and drops a whole group once they exceed the radius.
-
-Skew. All rows with one fingerprint are one entry. A group of more than `most`
-distinct fingerprints is split again by the blocks of its remaining bits, until it
-is small or has no bits left to differ on, so no task holds an unbounded group and
-no link is lost. A group hands on the edges of a spanning forest of its links, not
-all pairs.
+Links. Two fingerprints link at `radius` or fewer differing bits. One index over all
+distinct fingerprints finds the links. They are sorted by Gray rank, where neighbours
+share long bit patterns, and packed into leaves of LEAF neighbours. A leaf holds the
+bits on which its members agree; a node above covers FAN neighbouring nodes and holds
+the bits on which those agree. The search goes down from the root with pairs of nodes:
+both sides are replaced by their children, one after the other, in an equi join on the
+parent; only the agreed bits that no pair of ancestors has compared are compared, the
+differences add up, and a pair of nodes goes, with all that lies below it, once they
+exceed the radius. Pairs of leaves that remain are compared member by member.
+
+Skew. All rows with one fingerprint are one entry, so a leaf has a bounded number of
+members whatever the copies. Levels, pairs of nodes and leaves are tables that Spark
+deals out by node. A pair of leaves hands on the edges of a spanning forest of its
+links, at most 2 * LEAF, not all pairs.
 
 Defined results: null and wordless texts share fingerprint 0 and link like any
 other; rows with a null id have a null component and do not link; rows that repeat
@@ -32,13 +32,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import pieces, stash, utf8
+from readloom.llm.common import fresh, pieces, stash, utf8
 from readloom.llm.graph import components
+from readloom.operators.ordering import numbered
 
-FAN = 16
+LEAF, FAN_BITS = 64, 4  # members of a leaf; a node has 2 ** FAN_BITS children
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
@@ -68,154 +70,119 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return picked.mapInArrow(run, "doc_id long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The position of each 64-bit pattern in the Gray sequence."""
+def gray_rank(fp: Column) -> Column:
+    """The position of a 64-bit pattern in the Gray sequence, as a long of the same order."""
     for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
-
-
-class GrayIndex:
-    """The hierarchical index of one Gray-sorted array of distinct fingerprints."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        low, high = x, x  # AND and OR of the members: they agree where both are equal
-        masks, levels = [], []
-        while len(low) > 1:
-            starts = np.arange(0, len(low), FAN)
-            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
-            masks.append(~(low ^ high))
-            levels.append(low)
-        # From the top down, with the bits that the parent has compared taken off.
-        self.levels = []
-        for k in range(len(levels) - 1, -1, -1):
-            above = masks[k + 1].repeat(FAN)[: len(masks[k])] if k + 1 < len(levels) else np.uint64(0)
-            self.levels.append((levels[k], masks[k] & ~above))
-        self.leaf = masks[0] if masks else None
-
-    def links(self, radius: int, slice_: int = 1024):
-        """Index pairs i < j within the radius, in slices of queries."""
-        n = len(self.x)
-        for at in range(0, n, slice_):
-            query = np.arange(at, min(n, at + slice_))
-            node = np.zeros(len(query), np.int64)
-            far = np.zeros(len(query), np.int64)
-            for depth, (pattern, mask) in enumerate(self.levels):
-                if depth:
-                    query, node, far = self._down(query, node, far, len(pattern))
-                far = far + np.bitwise_count((self.x[query] ^ pattern[node]) & mask[node])
-                near = far <= radius
-                query, node, far = query[near], node[near], far[near]
-            if self.levels:
-                leaf = node
-                query, node, far = self._down(query, node, far, n)
-                rest = ~self.leaf[node // FAN] if len(leaf) else np.zeros(0, np.uint64)
-                far = far + np.bitwise_count((self.x[query] ^ self.x[node]) & rest)
-                near = (far <= radius) & (query < node)
-                yield query[near], node[near]
-
-    @staticmethod
-    def _down(query, node, far, size):
-        child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-        inside = child < size
-        return query.repeat(FAN)[inside], child[inside], far.repeat(FAN)[inside]
-
-
-def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (x, smallest-index member of its cluster) of a spanning forest of the links in one group."""
-    x = x[np.argsort(gray_rank(x), kind="stable")]
-    low = np.arange(len(x))
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def leaves(distinct: DataFrame, size: int) -> DataFrame:
+    """(node, low, high, members): leaves of neighbours in Gray order, numbered in that order.
+
+    low and high are the AND and the OR of the members: these agree on a bit where both do.
+    """
+
+    def pack(batches):
+        part, k, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+        for batch in [*batches, None]:
+            x = rest if batch is None else np.concatenate([rest, batch.column("fp").to_numpy()])
+            whole = len(x) if batch is None else len(x) // size * size
+            if whole:
+                starts = np.arange(0, whole, size)
+                low, high = np.bitwise_and.reduceat(x[:whole], starts), np.bitwise_or.reduceat(x[:whole], starts)
+                members = [x[a : min(a + size, whole)].tobytes() for a in starts]
+                yield pa.record_batch({"part": pa.array(np.full(len(starts), part, np.int32)), "k": pa.array(k + np.arange(len(starts))), "low": pa.array(low), "high": pa.array(high), "members": pa.array(members, pa.binary())})
+                k += len(starts)
+            rest = x[whole:]
+
+    ordered = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange("rank").sortWithinPartitions("rank").select("fp")
+    packed = stash(ordered.mapInArrow(pack, "part int, k long, low long, high long, members binary"), "leaves")
+    sizes = packed.groupBy("part").agg(F.count("*").alias("n"))  # one row per task that packed
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return packed.join(F.broadcast(before), "part").select((F.col("before") + F.col("k")).alias("node"), "low", "high", "members")
+
+
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, lowest member of its tree) that connect what the edges between 0 .. n - 1 connect."""
+    low = np.arange(n)
 
     def root(i):
         while (up := low[i] != i).any():
             i = np.where(up, low[i], i)
         return i
 
-    for a, b in GrayIndex(x).links(radius):
-        while len(a):
-            ra, rb = root(a), root(b)
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(low, np.maximum(ra, rb), np.minimum(ra, rb))
-    top = root(np.arange(len(x)))
-    off = top != np.arange(len(x))
-    return x[off], x[top[off]]
-
+    while len(u):
+        ru, rv = root(u), root(v)
+        apart = ru != rv
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        np.minimum.at(low, np.maximum(ru, rv), np.minimum(ru, rv))
+    top = root(np.arange(n))
+    off = np.flatnonzero(top != np.arange(n))
+    return off, top[off]
 
-def _blocks(bits: list[int], parts: int) -> list[list[int]]:
-    return [list(map(int, b)) for b in np.array_split(bits, min(parts, len(bits)))]
 
+def _compare(radius: int, size: int):
+    """The links between the members of two leaves, for each pair of leaves."""
 
-def _signed(bits) -> int:
-    return int(np.array(sum(1 << b for b in bits), np.uint64).astype(np.int64))
-
-
-def _runs(radius: int):
-    """Edges of each (mask, key) run of a partition sorted by mask and key."""
+    def padded(column):
+        rows = column.to_pylist()
+        n = np.array([len(r) // 8 for r in rows])
+        out = np.zeros((len(rows), size), np.uint64)
+        out[np.arange(size) < n[:, None]] = np.frombuffer(b"".join(rows), np.uint64)
+        return out, n
 
     def run(batches):
-        rest = None
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy() for c in ("mask", "key", "fp")])
-            now = now if rest is None else np.concatenate([rest, now], axis=1)
-            cut = 1 + np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(0))
-            if len(cut):
-                yield from edges(now[:, : cut[-1]], cut[:-1])
-                rest = now[:, cut[-1] :]
-            else:
-                rest = now
-        if rest is not None:
-            yield from edges(rest, np.zeros(0, int))
-
-    def edges(rows, cut):
-        bound = np.concatenate([[0], cut, [rows.shape[1]]])
-        size = np.diff(bound)
-        fps, us, vs = rows[2].view(np.uint64), [], []
-        two = bound[:-1][size == 2]  # the most frequent case, all at once
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
-        us.append(fps[two][near])
-        vs.append(fps[two + 1][near])
-        for k in np.flatnonzero(size > 2):
-            u, v = forest(fps[bound[k] : bound[k + 1]], radius)
-            us.append(u)
-            vs.append(v)
-        u, v = np.concatenate(us), np.concatenate(vs)
-        yield pa.record_batch({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                (x, nx), (y, ny) = padded(part.column("x")), padded(part.column("y"))
+                near = np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= radius
+                near &= (np.arange(size)[:, None] < nx[:, None, None]) & (np.arange(size) < ny[:, None, None])
+                own = part.column("a").to_numpy() == part.column("b").to_numpy()
+                near[own] &= np.triu(np.ones((size, size), bool), 1)
+                pair, i, j = np.nonzero(near)
+                us, vs = [x[pair, i]], [y[pair, j]]
+                count = np.bincount(pair, minlength=len(x))
+                for k in np.flatnonzero(count > 2 * size):
+                    both = np.concatenate([x[k], y[k]])
+                    u, v = spanning(i[pair == k], j[pair == k] + (0 if own[k] else size), 2 * size)
+                    us.append(both[u])
+                    vs.append(both[v])
+                few = count[pair] <= 2 * size
+                us[0], vs[0] = us[0][few], vs[0][few]
+                yield pa.record_batch({"u": pa.array(np.concatenate(us).view(np.int64)), "v": pa.array(np.concatenate(vs).view(np.int64))})
 
     return run
 
 
-def links(distinct: DataFrame, *, radius: int = 2, most: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, *, radius: int = 2, leaf: int = LEAF, fan_bits: int = FAN_BITS) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct fingerprints (fp) linked within the radius."""
-    found = []
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
-    pending = [(0, list(range(64)))]  # masks whose groups are to be split, with their free bits
-    while pending:
-        options, after = [], {}
-        for mask, free in pending:
-            for block in _blocks(free, radius + 1):
-                left = [b for b in free if b not in block]
-                new = _signed(b for b in range(64) if b not in left)
-                options.append((mask, new))
-                if 1 << len(left) > most:
-                    after[new] = (new, left)
-        by_mask: dict[int, list[int]] = {}
-        for old, new in options:
-            by_mask.setdefault(old, []).append(new)
-        pairs = F.create_map(*[F.lit(x) for old, new in by_mask.items() for x in (old, F.array(*map(F.lit, new)))])
-        keyed = rows.select("fp", F.explode(pairs[F.col("mask")]).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > most).where(F.col("mask").isin([0, *after])).select("mask", "key")
-        pending = [after[m] for (m,) in large.select("mask").distinct().collect()] if after else []
-        small = keyed.join(large, ["mask", "key"], "left_anti") if pending else keyed
-        found.append(small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_runs(radius), "u long, v long"))
-        if pending:
-            rows = stash(keyed.join(large, ["mask", "key"], "left_semi").select("fp", "mask"), "hot")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    bottom = leaves(distinct, leaf)
+    levels = [stash(bottom.select("node", "low", "high"), "level")]
+    n = levels[0].count()
+    while n > 1:
+        above = levels[-1].groupBy(F.shiftright("node", fan_bits).alias("node")).agg(F.bit_and("low").alias("low"), F.bit_or("high").alias("high"))
+        levels.append(stash(above, "level"))
+        n = -(-n // (1 << fan_bits))
+
+    def side(s):
+        """The children of a level's nodes as one side of a pair."""
+        return [F.shiftright("node", fan_bits).alias("up"), F.col("node").alias(s), F.col("low").alias(f"{s}_low"), F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias(f"{s}_mask")]
+
+    root = levels[-1].select(*side("a")[1:]).withColumns({"b": F.col("a"), "b_low": F.col("a_low"), "b_mask": F.col("a_mask")})
+    pairs = root.withColumns({"seen": F.col("a_mask"), "far": F.lit(0)})
+    new = F.col("a_mask").bitwiseAND(F.col("b_mask")).bitwiseAND(F.bitwise_not("seen"))
+    added = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low")).bitwiseAND(new))
+    for level in reversed(levels[:-1]):
+        for s in "ab":
+            old = [c for c in pairs.columns if not c.startswith(s)]
+            pairs = pairs.select(F.col(s).alias("up"), *old).join(level.select(*side(s)), "up").drop("up")
+            pairs = pairs.withColumns({"far": F.col("far") + added, "seen": F.col("seen").bitwiseOR(new)}).where(F.col("far") <= radius)
+        pairs = stash(pairs.where("a <= b"), "pairs")
+    for s, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(bottom.select(F.col("node").alias(s), F.col("members").alias(name)), s)
+    return pairs.select("a", "b", "x", "y").mapInArrow(_compare(radius, leaf), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
@@ -234,20 +201,37 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex_.alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with the smallest id of each group of near-duplicates only; all columns kept.
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the smallest id of each group of near-duplicates only; see keep_one()."""
+
+    def dropped(rows, own):
+        return near_duplicates(rows, id_col=own, text_col=text_col, **options).where("doc_id <> component_id").select("doc_id")
+
+    return keep_one(docs, dropped, id_col=id_col, text_col=text_col)
+
+
+def keep_one(docs: DataFrame, dropped, *, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id dropped(rows, id column) names; all columns kept, under any names.
 
-    Of rows that repeat an id any one stays; rows with a null id all stay.
+    Rows that repeat id and text are one document, of which any one row stays. Rows of
+    one id with different texts are documents of their own: if there are any, all
+    documents are numbered by id and hash of the text, and the number takes the id's
+    place. Rows with a null id all stay.
     """
-    groups = near_duplicates(docs, id_col=id_col, **options)
-    return keep_one(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), id_col)
-
-
-def keep_one(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """docs without the dropped ids (_dropped), and with one row of each id that repeats."""
-    left = docs.join(stash(dropped, "dropped"), F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again")
-    if again.isEmpty():
-        return left
-    on = F.col(id_col) == F.col("_again")
-    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates([id_col]))
+    gone, twice, version = (fresh(docs.columns, n) for n in ("gone", "twice", "version"))
+    key, hash_ = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(text_col))
+    known = docs.where(key.isNotNull()).groupBy(key.alias(twice)).agg(F.count("*").alias("n"), F.min(hash_).alias("a"), F.max(hash_).alias("b"))
+    known = stash(known.where("n > 1").select(twice, (F.col("a") != F.col("b")).alias("several")), "twice")
+    rows, own, repeated = docs, id_col, known.select(twice)
+    if not known.where("several").isEmpty():
+        own = fresh(docs.columns, "own")
+        pairs = docs.where(key.isNotNull()).groupBy(key.alias(twice), hash_.alias(version)).agg(F.count("*").alias("n"))
+        number = numbered(pairs, [F.col(twice), F.col(version)], own)
+        rows = docs.join(number.drop("n"), (key == F.col(twice)) & (hash_ == F.col(version)), "left").drop(twice, version)
+        repeated = number.where("n > 1").select(F.col(own).alias(twice))
+    on = F.col(f"`{own}`").cast("long")
+    left = rows.join(stash(dropped(rows, own).select(F.col("doc_id").alias(gone)), "gone"), on == F.col(gone), "left_anti")
+    if not repeated.isEmpty():
+        one = left.join(repeated, on == F.col(twice), "left_semi").dropDuplicates([own])
+        left = left.join(repeated, on == F.col(twice), "left_anti").unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -213,8 +213,12 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
-    """docs with the smallest id of each group of near-copies only; all columns kept."""
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    found = near.where("doc_id <> component_id").select("doc_id", F.col("component_id").alias("hub"))
-    groups = similar_groups(docs, found, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    return keep_one(docs, groups.where("node <> component").select(F.col("node").alias("_dropped")), id_col)
+    """docs with the smallest id of each group of near-copies only; all columns kept, see keep_one()."""
+
+    def dropped(rows, own):
+        near = near_duplicates(rows, id_col=own, text_col=text_col, shingle=shingle, radius=radius)
+        found = near.where("doc_id <> component_id").select("doc_id", F.col("component_id").alias("hub"))
+        groups = similar_groups(rows, found, id_col=own, text_col=text_col, shingle=shingle, similarity=similarity)
+        return groups.where("node <> component").select(F.col("node").alias("doc_id"))
+
+    return keep_one(docs, dropped, id_col=id_col, text_col=text_col)

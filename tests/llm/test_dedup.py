@@ -45,8 +45,8 @@ def test_simhash_brute_force(spark, sf_dir):
     assert got == {i: (f, groups[i]) for i, f in rows}
 
 
-@pytest.mark.parametrize("most", [8192, 40])
-def test_links_connect_exactly(spark, most):
+@pytest.mark.parametrize(("leaf", "fan_bits"), [(64, 4), (8, 2), (3, 1)])
+def test_links_connect_exactly(spark, leaf, fan_bits):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     x = [base]
@@ -59,19 +59,47 @@ def test_links_connect_exactly(spark, most):
     x = np.unique(np.concatenate([*x, dense]))
     want = slow_components([(int(v), int(v)) for v in x])
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    found = {int(np.int64(r.node).view(np.uint64)): r.component for r in graph.components(simhash.links(df, most=most)).collect()}
+    found = {int(np.int64(r.node).view(np.uint64)): r.component for r in graph.components(simhash.links(df, leaf=leaf, fan_bits=fan_bits)).collect()}
     same = {}
     for v in x.tolist():
         same.setdefault(found.get(v, ("alone", v)), set()).add(want[v])
     assert all(len(s) == 1 for s in same.values()) and len(same) == len(set(want.values()))
 
 
-def test_gray_index_prunes_without_loss():
+def test_gray_index_finds_every_link_and_prunes(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    x = np.unique(rng.integers(0, 1 << 12, 700, dtype=np.uint64))
-    x = x[np.argsort(simhash.gray_rank(x))]
-    got = {(int(a), int(b)) for i, j in simhash.GrayIndex(x).links(2, 100) for a, b in zip(i, j)}
-    assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if (int(x[i]) ^ int(x[j])).bit_count() <= 2}
+    x = np.unique(np.concatenate([rng.integers(0, 1 << 63, 1500, dtype=np.uint64), rng.integers(0, 1 << 12, 300, dtype=np.uint64)]))
+    tables = []
+    kept = simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df, label: tables.append((label, kept(df, label))) or tables[-1][1])
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(3)
+    got = {tuple(sorted((int(np.int64(r.u).view(np.uint64)), int(np.int64(r.v).view(np.uint64))))) for r in simhash.links(df, leaf=4, fan_bits=3).collect()}
+    far = np.bitwise_count(x[:, None] ^ x[None, :])
+    all_links = {(int(x[i]), int(x[j])) for i, j in zip(*np.nonzero(far <= 2)) if i < j}
+    assert got <= all_links
+    whole = lambda pairs: slow_partition(x.tolist(), pairs)
+    assert whole(got) == whole(all_links) and len(all_links) > 500
+    leaves = next(t.count() for label, t in tables if label == "level")
+    assert [t.count() for label, t in tables if label == "pairs"][-1] < leaves**2 / 8
+
+
+def slow_partition(nodes, pairs):
+    up = {v: v for v in nodes}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {v: root(v) for v in nodes}
+
+
+def test_spanning_forest():
+    u, v = simhash.spanning(np.array([0, 1, 5, 5, 7]), np.array([1, 2, 6, 5, 6]), 9)
+    assert slow_partition(range(9), zip(u.tolist(), v.tolist())) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8}
 
 
 def test_components_of_a_long_chain(spark):
@@ -90,6 +118,14 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_different_texts_of_an_id_and_any_names(spark):
+    rows = [(1, "a b c d e", 1, 1), (2, "a b c d e", 2, 2), (7, "one text of this id", 3, 3), (7, "a b c d e", 4, 4), (7, None, 5, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, _dropped int")
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.gone) for r in out.collect()) == [(1, 1), (7, 3), (7, 5)]
+
+
 def slow_substrings(docs, length):
     seen = Counter()
     for _, t in docs:
