@@ -17,7 +17,7 @@ the documents that start below what is left of the quota.
 Defined results: a null source is a source of its own, written null; a null or
 wordless text counts as one token, so that every row can be dealt; null ids and
 repeated rows are dealt row by row, ties in hash broken by id and text; an empty
-table gives an empty mix; columns added to docs are named in `mixed`.
+table gives an empty mix. `mixed` keeps all columns, under any names but map types.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import stash
+from readloom.llm.common import same, stash
 
 DEPTH, ROUNDS = 5, 8
 
@@ -118,16 +118,32 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     return whole.select(*columns).unionByName(taken.select(*columns))
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns stay as they are."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options)
-    often = taken.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.count("*").alias("_n"))
-    copies = docs.groupBy(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_version")).agg(F.count("*").alias("_copies"))
-    often = often.join(copies, F.expr("true") & often["_id"].eqNullSafe(copies["_id"]) & often["_version"].eqNullSafe(copies["_version"])).select(often["_id"], often["_version"], "_n", "_copies")
-    keyed = docs.withColumns({"_key": F.col(id_col), "_key_version": F.xxhash64(F.col(text_col))})
-    joined = keyed.join(often, keyed["_key"].eqNullSafe(often["_id"]) & keyed["_key_version"].eqNullSafe(often["_version"]))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.col("_copies"))))
-    return joined.withColumn("_time", times).select(*docs.columns)
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = 4096, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; the columns stay as they are, whatever their names.
+
+    Rows that agree in id, source and text share what the mix takes of them evenly; what
+    is left over goes to the first of them in the order of a hash of the whole row.
+    """
+    key = ["doc_id", "source", "version"]
+    taken = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, block=block, **options).groupBy(*key).agg(F.count("*").alias("n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("version"))
+    copies = rows.groupBy(*key).agg(F.count("*").alias("copies"))
+    often = stash(taken.alias("a").join(copies.alias("b"), same("a", "b", *key)).select("a.*", "copies"), "often")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / F.col("copies"))))
+    whole = rows.alias("a").join(often.where("n >= copies").alias("b"), same("a", "b", *key)).select("row", times.alias("time")).select("row")
+    rest = often.where("n % copies > 0").withColumns({"left": F.col("n") % F.col("copies"), "blocks": F.ceil(F.col("copies") / block)})
+    if not rest.isEmpty():
+        # Equal rows are one entry with a count; running counts go over blocks of a hash, then inside each.
+        some = rows.alias("a").join(rest.alias("b"), same("a", "b", *key)).groupBy("row", *[F.col(f"a.{k}").alias(k) for k in key], "left", "blocks").agg(F.count("*").alias("m"))
+        some = some.withColumn("order", F.xxhash64("row")).withColumn("block", F.pmod("order", "blocks"))
+        sums = some.groupBy(*key, "block").agg(F.sum("m").alias("sum"))
+        sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*key).orderBy("block")) - F.col("sum")).drop("sum")
+        inside = Window.partitionBy(*[f"a.{k}" for k in key], "a.block").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, 0)
+        placed = some.alias("a").join(sums.alias("b"), same("a", "b", *key, "block")).select("row", "left", "m", (F.col("before") + F.sum("m").over(inside) - F.col("m")).alias("start"))
+        more = F.least("m", F.col("left") - F.col("start"))
+        whole = whole.unionByName(placed.where("start < left").select("row", F.explode(F.sequence(F.lit(1).cast("long"), more)).alias("time")).select("row"))
+    return whole.select("row.*")
 
 
 SQL = r"""
