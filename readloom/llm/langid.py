@@ -6,13 +6,14 @@ a zero state in both directions, so that all bytes of a text of any length are
 labelled in even batches. Training is backpropagation through time in numpy.
 
 Training sample (the only bound): about `per_label` rows of each label, chosen by a
-hash of the id, and of each a piece of at most `sample_bytes` characters at a hashed
-place. The labels and their counts cover all rows; prediction covers every byte.
+hash of the id; of each row `crops` crops of `crop_chars` characters, at hashed places
+all over its text. The labels and their counts cover all rows; prediction covers every
+byte.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or if
 there is nothing to learn from; rows with a null id are not learned from; repeated
 rows give equal results; other columns are left out of predictions and kept by the
-filter.
+filter, under any names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import pieces, utf8
+from readloom.llm.common import fresh, pieces, utf8
 
 HIDDEN = 8
 SEGMENT = 128
@@ -164,8 +165,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_label: int, sample_bytes: int):
-    """The bounded training sample: (label, piece) rows."""
+def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_label: int, crops: int, crop_chars: int):
+    """The bounded training sample: labels, and the crop that each belongs to."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out("id"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -173,14 +174,15 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_la
         return [], []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_label / n))])[F.col("lang")]
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    at = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.greatest(F.lit(1), F.length("text") - sample_bytes)) + 1
-    piece = F.substring(F.col("text"), at.cast("int"), F.lit(sample_bytes))
-    got = drawn.select("id", "lang", piece.alias("piece")).orderBy("id", "lang", "piece").limit(2 * per_label * len(counts)).collect()
-    return [r.lang for r in got if r.piece], [r.piece.encode() for r in got if r.piece]
+    room = F.greatest(F.lit(1), F.length("text") - crop_chars + 1)
+    places = F.transform(F.sequence(F.lit(1), F.lit(crops)), lambda k: (F.pmod(F.xxhash64("id", k), room) + 1).cast("int"))
+    own = F.transform(F.array_distinct(places), lambda at: F.substring(F.col("text"), at, F.lit(crop_chars)))
+    got = drawn.select("id", "lang", own.alias("own")).orderBy("id", "lang", "own").limit(2 * per_label * len(counts)).collect()
+    return [r.lang for r in got for _ in r.own], [x.encode() for r in got for x in r.own]
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, sample_bytes: int = 400, **training) -> Network | None:
-    lang, texts = sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_label=per_label, sample_bytes=sample_bytes)
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, crops: int = 24, crop_chars: int = 64, **training) -> Network | None:
+    lang, texts = sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_label=per_label, crops=crops, crop_chars=crop_chars)
     labels = sorted(set(lang))
     if not labels:
         return None
@@ -190,26 +192,27 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def predict(docs: DataFrame, network: Network | None, *, text_col: str = "text", lang_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
     """docs with the columns lang_to and score_to added (columns of those names are replaced)."""
     names = [c for c in docs.columns if c not in (lang_to, score_to)]
-    rows = docs.select(*names).withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letter = fresh(names, "letter")
+    rows = docs.select(*[f"`{c}`" for c in names]).withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if network is None:
-        return rows.drop("_letter").withColumns({lang_to: F.lit("und"), score_to: F.lit(0.0)})
+        return rows.drop(letter).withColumns({lang_to: F.lit("und"), score_to: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
         net = shared.value
         for batch in batches:
             for part in pieces(batch, text_col, 2 << 20):
-                texts = [t if k else None for t, k in zip(utf8(part.column(text_col)), part.column("_letter").to_pylist())]
+                texts = [t if k else None for t, k in zip(utf8(part.column(text_col)), part.column(letter).to_pylist())]
                 own = [k for k, t in enumerate(texts) if t]
                 lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if own:
                     p = net.documents([texts[k] for k in own])
                     lang[own] = np.array(net.labels, object)[p.argmax(1)]
                     score[own] = np.clip(p.max(1), 0, 1)
-                keep = [c for c in part.schema.names if c != "_letter"]
+                keep = [c for c in part.schema.names if c != letter]
                 yield pa.record_batch([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], names=[*keep, lang_to, score_to])
 
-    schema = docs.select(*names).schema.add(lang_to, "string").add(score_to, "double")
+    schema = docs.select(*[f"`{c}`" for c in names]).schema.add(lang_to, "string").add(score_to, "double")
     return rows.mapInArrow(run, schema)
 
 
@@ -224,5 +227,6 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def accepted(docs: DataFrame, *, min_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of docs whose language the network knows with at least min_score; all columns kept."""
     network = learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    done = predict(docs, network, text_col=text_col, lang_to="_lang_pred", score_to="_score")
-    return done.where((F.col("_lang_pred") != "und") & (F.col("_score") >= min_score)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    done = predict(docs, network, text_col=text_col, lang_to=lang, score_to=score)
+    return done.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*[f"`{c}`" for c in docs.columns])
