@@ -25,14 +25,25 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     at = np.arange(n)
     end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    best = np.zeros(n, np.int8)
-    bits = np.searchsorted(LIMITS, v, side="left").astype(np.int8)  # the narrowest selector, from the widest end
-    wide = np.zeros(n + 1, np.int32)
+    # Which values fit a selector, by block, with room for the longest word; what lies past the end fits any.
+    blocks = -(-n // BLOCK)
+    fits = np.ones((blocks, BLOCK + max(COUNTS)), bool)
+    best = np.zeros(blocks * BLOCK, np.int8)
+    flat = np.zeros(blocks * BLOCK, np.int8)
+    flat[:n] = np.searchsorted(LIMITS, v, side="left")  # the narrowest selector, from the widest end
+    flat = flat.reshape(blocks, BLOCK)
+    narrowest = flat.min()
     for s in range(15, 0, -1):  # the last that fits is the one with most values
-        np.cumsum(bits > s - 1, dtype=np.int32, out=wide[1:])
-        if wide[-1] == n:
+        if s <= narrowest:
             break  # nothing is this narrow
-        best[wide[np.minimum(at + COUNTS[s], end)] == wide[:-1]] = s
+        np.less_equal(flat, s - 1, out=fits[:, :BLOCK])
+        run, width = fits, 1
+        while width < COUNTS[s]:  # each place: whether it and the places up to COUNTS[s] - 1 behind it fit
+            step = min(width, COUNTS[s] - width)
+            run = run[:, : run.shape[1] - step] & run[:, step:]
+            width += step
+        np.copyto(best.reshape(blocks, BLOCK), s, where=run[:, :BLOCK])
+    best = best[:n]
     take = np.array(COUNTS)[best]
     # All blocks step together from word to word.
     lane = np.arange(0, n, BLOCK)

@@ -11,8 +11,8 @@ Ids come from the tokenizers library. A byte-level tokenizer splits a text befor
 each single space that stands between other characters, so the texts of a batch are
 cut into space-led pieces and each distinct piece of the batch is coded once: the
 distinct pieces go to the library as texts of a few thousand pieces, and come apart
-again at the tokens that begin with a space. Nothing is kept from batch to batch, so
-a worker's memory is bounded by the batch. A text for which that could differ
+again at the tokens that begin with a space. The pieces that a worker met first stay
+with it in Arrow, up to KEEP of them and KEEP_BYTES, so its memory is bounded. A text for which that could differ
 (repeated spaces, a space at an end, a special token), and any text under a
 tokenizer of another kind, is encoded whole.
 
@@ -40,12 +40,13 @@ from readloom.llm.common import pieces, stash
 MAGIC = b"S8BTOK01"
 CHUNK = 1 << 17
 BATCH = 8 << 20  # bytes of text that are cut into pieces at once
+KEEP, KEEP_BYTES = 400_000, 16 << 20  # pieces, and their bytes, that a worker keeps
 JOINED, AT_ONCE = 1024, 16  # pieces in a text for the library, and such texts in a call
 _workers: dict = {}
 
 
 class Encoder:
-    """Encodes arrays of texts to id arrays; keeps nothing from call to call."""
+    """Encodes arrays of texts to id arrays; keeps a bounded number of pieces from call to call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,6 +62,9 @@ class Encoder:
         self.led = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids of tokens that begin with a space
         self.led[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
+        self.known = pa.array([], pa.string())
+        self.known_ids, self.known_lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -104,13 +108,22 @@ class Encoder:
         head[edge[:-1]] = True
         heads = self._library(flat.filter(pa.array(head)).to_pylist())
         coded = flat.filter(pa.array(~head)).dictionary_encode()
-        ids, length = self._distinct(coded.dictionary)
+        known = pc.index_in(coded.dictionary, value_set=self.known)
+        missing = known.is_null().to_numpy(zero_copy_only=False)
+        new = coded.dictionary.filter(pa.array(missing))
+        new_ids, new_lengths = self._distinct(new)
+        ids, length = np.concatenate([self.known_ids, new_ids]), np.concatenate([self.known_lengths, new_lengths])
         place = np.cumsum(length) - length
-        index = coded.indices.to_numpy()
+        index = np.where(missing, len(self.known) + np.cumsum(missing) - 1, known.fill_null(0).to_numpy())[coded.indices.to_numpy()]
         n, begin = length[index], place[index]
         end = np.cumsum(n)
         rest = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - end + n, n)]
         cut = np.concatenate([[0], end])[edge - np.arange(len(edge))]
+        more = KEEP - len(self.known)
+        if more > 0 and len(new) and self.known.nbytes < KEEP_BYTES:
+            self.known = pa.concat_arrays([self.known, new.slice(0, more)])
+            self.known_lengths = length[: len(self.known)]
+            self.known_ids = ids[: self.known_lengths.sum()]
         for k, h, a, b in zip(own.tolist(), heads, cut[:-1].tolist(), cut[1:].tolist()):
             out[k] = np.concatenate([h, rest[a:b]])
         return out
