@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from readloom.session import stash, unstash
 
-__all__ = ["fresh", "pieces", "same", "stash", "table", "unstash", "utf8"]
+__all__ = ["fresh", "pieces", "powers", "same", "stash", "table", "unstash", "utf8"]
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -45,3 +46,13 @@ def pieces(batch: pa.RecordBatch, name: str, most: int = 8 << 20):
             start, total = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+ODD = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64, for rolling hashes."""
+    up, down = np.full(n, np.uint64(ODD)), np.full(n, np.uint64(pow(ODD, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)

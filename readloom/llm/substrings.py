@@ -30,17 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import pieces, same, stash
+from readloom.llm.common import pieces, powers, same, stash
 
 CHUNK = 1 << 18  # window starts that are hashed at once; below 1 << 20
-ODD = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(ODD, -1, 1 << 64)
-    up, down = np.full(n, np.uint64(ODD)), np.full(n, np.uint64(inverse))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 class Anchors:
@@ -48,7 +40,7 @@ class Anchors:
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram, self.span = length, gram, length - gram + 1
-        self.up, self.down = _powers(CHUNK + length)
+        self.up, self.down = powers(CHUNK + length)
 
     def stretches(self, text: bytes):
         """(first window start, last, anchor, anchor hash) arrays of a text."""

@@ -171,7 +171,7 @@ def word_list(text):
     return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-@pytest.mark.parametrize("most_bytes", [32 << 20, 500])
+@pytest.mark.parametrize("most_bytes", [32 << 20, 60_000])
 def test_decontamination_brute_force(spark, sf_dir, most_bytes):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -201,6 +201,48 @@ def test_decontamination_brute_force(spark, sf_dir, most_bytes):
     assert decontaminate.report(cut.limit(0), bench).count() == 0
 
 
+def test_spans_are_cut_alike_in_any_number_of_parts(spark):
+    word = lambda k: f"a{k} b{k} c{k}"
+    chain = " ".join(word(k) for k in range(16))
+    items = [(k, " ".join(chain.split()[3 * k : 3 * k + 10])) for k in range(13)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"x {chain}, y", "h"), (1, f"x {chain}, y", "i"), (2, None, "j"), (3, "clean text", "k"), (None, chain, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit string")
+    few = decontaminate.remove_spans(docs, bench, most_bytes=1500)
+    assert len(decontaminate._parts(bench, "item_id", "text", 10, 1500)) > 2
+    for out in (few, decontaminate.remove_spans(docs, bench)):
+        assert out.columns == docs.columns
+        got = {r.hit: r.text for r in out.collect()}
+        assert {k: got[k] for k in "hijk"} == {"h": f"x {word(15)[3:]}, y", "i": f"x {word(15)[3:]}, y", "j": None, "k": "clean text"}
+
+
+def test_a_long_item_is_cut_into_runs(spark):
+    own = [f"w{k}" for k in range(500)]
+    bench = spark.createDataFrame([("long", " ".join(own).upper())], "item_id string, text string")
+    parts = decontaminate._parts(bench, "item_id", "text", 10, 8 * decontaminate.SET_BYTES * 60)
+    assert len(parts) > 1
+    docs = spark.createDataFrame([(k, " ".join(own[k : k + 10])) for k in range(490)] + [(1000, " ".join(own[:9]))], "doc_id long, text string")
+    got = decontaminate.report(docs, bench, most_bytes=8 * decontaminate.SET_BYTES * 60)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {**dict.fromkeys(range(490), (10, 1)), 1000: (0, 0)}
+
+
+def test_words_equal_a_plain_split():
+    random.seed(1)
+    texts = [None, b"", b" ,", "A b1-é  \U0001f600x\n".encode(), *(bytes(random.choice(b"aZ 9.\n") for _ in range(random.randint(0, 400))) for _ in range(50))]
+    kept, decontaminate.SCAN = decontaminate.SCAN, 64
+    try:
+        words = decontaminate.Words(texts)
+    finally:
+        decontaminate.SCAN = kept
+    want = [(k, w) for k, t in enumerate(texts) for w in (t or b"").translate(decontaminate.WORDS).split()]
+    got = [(int(k), words.data[s:e]) for k, s, e in zip(words.text, words.start, words.end)]
+    assert got == want
+    by = {}
+    for (_, w), h in zip(want, words.hash.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
 def test_cut_spans_keeps_the_rest():
     windows = decontaminate.Windows([("1", b"b c d")], 3)
     assert decontaminate.cut_spans("A, b  C-d. e b c", windows) == "A, . e b c"
