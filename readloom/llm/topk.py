@@ -1,139 +1,221 @@
 """Exact top-k inner products over norm-sorted blocks.
 
-Components become integers floor(scale * x). Candidates are ranked by descending
-length and cut into blocks; queries are cut into blocks of any order. A pair of
-blocks is one task's work. Vectors are rotated by the SVD of the candidates' second
-moments, so that the leading coordinates carry most of the products: the partial sum
-over them plus the Cauchy-Schwarz bound on the residuals (the product of the lengths
-of what is left) is an upper bound of the score, and pairs below a query's threshold
-are not computed further. The thresholds come from a first pass of each query over
-the block of longest candidates; a candidate block whose greatest length times the
-query's cannot reach the threshold is never paired. What survives is scored in
-integers; all bounds are rounded up, so results are exact.
-
-Defined results: vectors that are null, or hold a null or a non-finite component,
-or are not of the most frequent number of components take no part; a
-query with fewer candidates gets all; ties go to the smaller id; a query is not its
-own candidate (by id); rows with a null id take no part; empty tables give no rows.
+Components become integers floor(scale * x). Candidates are sorted by descending
+length, cut into blocks and numbered in that order. Vectors are rotated by the SVD of
+the candidates' second moments, so that the leading coordinates carry most of the
+products: the partial sum over them plus the Cauchy-Schwarz bound on the residuals
+(the product of the lengths of what is left) is an upper bound of the score, and
+pairs below a query's floor are not computed further. The floors come from a first
+pass of each query over the block of longest candidates. Queries are then sorted by
+floor over length, the length that a candidate must have, and cut into blocks of
+neighbours, so that one weak query does not open the candidates for others: a block of
+queries meets the first m candidate blocks only, where m comes from the counts of
+blocks by length. Both sides join on the block's number. What survives the bounds is
+scored in integers; all bounds are rounded up, so results are exact.
+
+Defined results: vectors that are null, or hold a null or a non-finite component
+(before or after scaling), take no part; a shorter vector counts as if it went on with
+zeros; a score beyond a long is the nearest long; a query with fewer candidates gets
+all; ties go to the smaller id; a query is not its own candidate (by id); rows with a
+null id take no part; rows that repeat an id are candidates of their own; empty tables
+give no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.llm.common import stash
 
 LEAD = 16
+ROTATED = 1024  # components that are rotated; those behind them count in the residual
+BLOCK_BYTES = 8 << 20  # of a block's vectors, unless one vector is longer
+LONG = (1 << 63) - 1
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(id, v, norm): integers as doubles, which are exact at any size."""
     v = F.col("v")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * F.lit(float(scale))).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(finite).select("id", F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
+    whole = F.transform(v, lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x))
+    rows = rows.where(finite & (F.size(v) > 0)).select("id", whole.alias("v"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    """A column of arrays as rows, with zeros behind the shorter ones."""
+    n = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), int(n.max(initial=1))))
+    out[np.arange(out.shape[1]) < n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of one partition packed into blocks: (n, top, ids, vectors), of at most `most` rows."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                part = batch.slice(at, most)
-                ids, m = part.column("id").to_numpy(), _matrix(part.column("v"))
-                top = float(np.sqrt((m.astype(np.float64) ** 2).sum(1).max()))
-                yield pa.record_batch({"top": pa.array([top]), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([m.astype("<i8").tobytes()], pa.binary())})
-
-    return rows.mapInArrow(run, "top double, ids binary, vectors binary")
+def _slices(batch, most: int):
+    """Slices of a batch of at most `most` rows, and fewer where their vectors are long."""
+    n = np.diff(batch.column("v").offsets.to_numpy())
+    rows = max(1, min(most, BLOCK_BYTES // (8 * int(n.max(initial=1)))))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def _open(ids: bytes, vectors: bytes):
     ids = np.frombuffer(ids, "<i8")
-    return ids, np.frombuffer(vectors, "<i8").reshape(len(ids), -1)
+    return ids, np.frombuffer(vectors, "<f8").reshape(len(ids), -1)
+
+
+def _level(length):
+    """A step of a sixteenth of an octave; longer vectors are on higher steps."""
+    with np.errstate(divide="ignore"):
+        return np.floor(16 * np.log2(np.maximum(length, 2.0**-60))).astype(np.int64)
+
+
+def _rotated(m: np.ndarray, rotation: np.ndarray):
+    """(leading coordinates, length of the rest, length) of each row."""
+    d = min(m.shape[1], len(rotation))
+    r = m[:, :d] @ rotation[:d]
+    rest = (r[:, LEAD:] ** 2).sum(1) + (m[:, d:] ** 2).sum(1)
+    return r[:, :LEAD], np.sqrt(rest), np.sqrt((m**2).sum(1))
+
+
+def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, to the nearest long."""
+    if not len(q):
+        return np.zeros(0, np.int64)
+    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 1 << 52:
+        return np.einsum("ij,ij->i", q, c).astype(np.int64)  # every partial sum is exact
+    if np.abs(q).max() < 1 << 53 and np.abs(c).max() < 1 << 53 and np.abs(q).max() * np.abs(c).max() * q.shape[1] < 1 << 62:
+        return np.einsum("ij,ij->i", q.astype(np.int64), c.astype(np.int64))
+    found = (sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c))
+    return np.array([min(max(s, -LONG - 1), LONG) for s in found], np.int64)
 
 
 def best(qi, q, ci, c, rotation, floor, k: int):
     """(query row, candidate row, score): per query, its k best candidates that are not below its floor."""
-    qr, cr = q @ rotation, c @ rotation
-    lead = min(LEAD, q.shape[1])
-    rest = lambda m: np.sqrt((m[:, lead:] ** 2).sum(1))
-    bound = qr[:, :lead] @ cr[:, :lead].T + np.outer(rest(qr), rest(cr))
-    slack = 1e-9 * np.outer(np.sqrt((qr**2).sum(1)), np.sqrt((cr**2).sum(1)).max(keepdims=True)) + 1e-6
-    rows, columns = np.nonzero((bound + slack >= floor[:, None]) & (qi[:, None] != ci[None, :]))
-    score = np.concatenate([np.einsum("ij,ij->i", q[rows[a : a + 65536]], c[columns[a : a + 65536]]) for a in range(0, len(rows), 65536)] or [np.zeros(0, np.int64)])
+    width = min(q.shape[1], c.shape[1])
+    (ql, qr, qn), (cl, cr, cn) = _rotated(q, rotation), _rotated(c, rotation)
+    with np.errstate(invalid="ignore", over="ignore"):
+        bound = ql @ cl.T + np.outer(qr, cr)
+        bound += 1e-9 * np.outer(qn, cn) + 1e-6
+    # A bound that is no number bounds nothing, and where there is no floor nothing goes.
+    rows, columns = np.nonzero((~(bound < floor[:, None]) | (floor == -LONG - 1)[:, None]) & (qi[:, None] != ci[None, :]))
+    score = np.concatenate([exact(q[rows[a : a + 65536], :width], c[columns[a : a + 65536], :width]) for a in range(0, len(rows), 65536)] or [np.zeros(0, np.int64)])
     near = score >= floor[rows]
     rows, columns, score = rows[near], columns[near], score[near]
-    order = np.lexsort((ci[columns], -score, rows))
+    order = np.lexsort((ci[columns], ~score, rows))
     rows, columns, score = rows[order], columns[order], score[order]
     first = np.searchsorted(rows, rows, side="left")
     top = np.arange(len(rows)) - first < k
     return rows[top], columns[top], score[top]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 4096, query_block: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best inner products of each query, exactly."""
-    spark = candidates.sparkSession
-    rows = stash(_usable(candidates, id_col, vector_col, scale).withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)), "vectors")
-    asked = _usable(queries, id_col, vector_col, scale)
-    schema = "query_id long, rank int, vec_id long, score long"
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    d = sizes[0]["d"]
-    rows, asked = rows.where(F.size("v") == d), asked.where(F.size("v") == d)
+def _rotation(rows: DataFrame, width: int) -> np.ndarray:
+    """The SVD rotation of the vectors' directions; width x width sums come to the driver, whatever the number of rows."""
 
     def moments(batches):
-        total = np.zeros((d, d))
+        total = np.zeros((width, width))
         for batch in batches:
-            m = _matrix(batch.column("v")).astype(np.float64)
-            total += m.T @ m
-        yield pa.record_batch({"i": pa.array(np.arange(d)), "row": pa.array(list(total), pa.list_(pa.float64()))})
+            for part in _slices(batch, 4096):
+                m = _matrix(part.column("v"))[:, :width]
+                m = m / np.maximum(np.abs(m).max(1, keepdims=True, initial=0), 1)
+                m = m / np.maximum(np.sqrt((m**2).sum(1, keepdims=True)), 1e-12)
+                total[: m.shape[1], : m.shape[1]] += m.T @ m
+        yield pa.record_batch({"i": pa.array(np.arange(width)), "row": pa.array(list(total), pa.list_(pa.float64()))})
 
-    # d x d sums, whatever the number of rows.
     summed = rows.select("v").mapInArrow(moments, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    second = np.zeros((d, d))
+    second = np.zeros((width, width))
     for r in summed:
         second[r["i"], r["j"]] = r["x"]
-    rotation = np.linalg.svd(second)[0]
+    return np.linalg.svd(second)[0]
+
 
-    descending = rows.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v")
-    blocks = stash(_blocks(descending, block), "blocks")
-    asking = stash(_blocks(asked.repartition(F.col("id")), query_block), "asking")
-    longest = blocks.orderBy(F.desc("top"), "ids").limit(1)
-    names = [F.col(c).alias(f"q_{c}") for c in ("top", "ids", "vectors")]
+def _candidate_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(number, top, ids, vectors): blocks in descending order of length."""
 
-    def first(batches):
+    def pack(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for own in _slices(batch, most):
+                m = _matrix(own.column("v"))
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "k": pa.array([k]), "top": pa.array([own.column("norm")[0].as_py()]), "ids": pa.array([own.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([m.astype("<f8").tobytes()], pa.binary())})
+                k += 1
+
+    keys = [F.desc("norm"), F.col("id")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "v", "norm")
+    packed = stash(ordered.mapInArrow(pack, "part int, k long, top double, ids binary, vectors binary"), "blocks")
+    sizes = packed.groupBy("part").agg(F.count("*").alias("n"))  # one row per task that packed
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return packed.join(F.broadcast(before), "part").select((F.col("before") + F.col("k")).alias("number"), "top", "ids", "vectors")
+
+
+def _floors(asked: DataFrame, longest: DataFrame, rotation: np.ndarray, k: int, most: int) -> DataFrame:
+    """(id, v, floor, need): each query with the k-th best score among the longest candidates, and the length it asks of others."""
+
+    def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                qi, q = _open(r["q_ids"], r["q_vectors"])
-                ci, c = _open(r["ids"], r["vectors"])
-                row, _, score = best(qi, q, ci, c, rotation, np.full(len(qi), -np.inf), k)
-                floor = np.full(len(qi), -np.inf)
+                qi, q = _open(r["ids"], r["vectors"])
+                ci, c = _open(r["c_ids"], r["c_vectors"])
+                floor = np.full(len(qi), -LONG - 1, np.int64)
+                row, _, score = best(qi, q, ci, c, rotation, floor, k)
                 n = np.bincount(row, minlength=len(qi))
-                np.minimum.at(low := np.full(len(qi), np.inf), row, score)
+                np.minimum.at(low := np.full(len(qi), LONG), row, score)
                 floor[n == k] = low[n == k]
-                length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                need = float(np.min(floor / np.maximum(length, 1e-12))) if len(qi) else -np.inf
-                yield pa.record_batch({"need": pa.array([need]), "floors": pa.array([floor.astype("<f8").tobytes()], pa.binary()), "q_ids": pa.array([r["q_ids"]], pa.binary()), "q_vectors": pa.array([r["q_vectors"]], pa.binary())})
+                with np.errstate(invalid="ignore"):
+                    need = np.where(floor > 0, floor / np.maximum(np.sqrt((q**2).sum(1)), 1e-300), 0.0)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), q.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.record_batch({"id": pa.array(qi), "v": flat, "floor": pa.array(floor), "need": pa.array(need)})
+
+    def pack(batches):
+        for batch in batches:
+            for own in _slices(batch, most):
+                yield pa.record_batch({"number": pa.array([0], pa.int64()), "ids": pa.array([own.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([_matrix(own.column("v")).astype("<f8").tobytes()], pa.binary())})
+
+    asking = stash(asked.select("id", "v").mapInArrow(pack, "number long, ids binary, vectors binary"), "asking")
+    # The block of the longest is one row of bounded size.
+    joined = asking.join(F.broadcast(longest.select("number", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))), "number")
+    return joined.select("ids", "vectors", "c_ids", "c_vectors").mapInArrow(run, "id long, v array<double>, floor long, need double")
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 4096, query_block: int = 512) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best inner products of each query, exactly."""
+    rows = stash(_usable(candidates, id_col, vector_col, scale), "vectors")
+    asked = _usable(queries, id_col, vector_col, scale)
+    widest = rows.agg(F.max(F.size("v"))).first()[0]
+    if not widest:
+        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rotation = _rotation(rows, min(widest, ROTATED))
+    blocks = _candidate_blocks(rows, block)
+    floors = stash(_floors(asked, blocks.where("number = 0"), rotation, k, query_block), "floors")
+
+    # How many blocks reach a length: a row per step of a sixteenth of an octave.
+    level = lambda c: F.floor(F.lit(16) * F.log2(F.greatest(c, F.lit(2.0**-60))))
+    steps = sorted(((r.level, r.n) for r in blocks.groupBy(level(F.col("top")).alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    step, reach = np.array([-s for s, _ in steps]), np.concatenate([[0], np.cumsum([n for _, n in steps])])
+
+    def pack(batches):
+        for batch in batches:
+            for own in _slices(batch, query_block):
+                # One step of slack makes up for rounding.
+                least = _level(own.column("need").to_numpy().min()) - 1
+                m = int(reach[np.searchsorted(step, -least, side="right")]) if own.column("need").to_numpy().min() > 0 else int(reach[-1])
+                yield pa.record_batch({"m": pa.array([m]), "q_ids": pa.array([own.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "q_vectors": pa.array([_matrix(own.column("v")).astype("<f8").tobytes()], pa.binary()), "floors": pa.array([own.column("floor").to_numpy().astype("<i8").tobytes()], pa.binary())})
 
-    # One block of bounded size meets each block of queries; then pairs of blocks whose lengths can reach the floors.
-    primed = stash(asking.select(*names).crossJoin(F.broadcast(longest)).mapInArrow(first, "need double, floors binary, q_ids binary, q_vectors binary"), "primed")
-    pairs = primed.join(blocks, F.col("top") * (1 + 1e-9) >= F.col("need"))
+    alike = floors.repartitionByRange("need", "id").sortWithinPartitions("need", "id").select("id", "v", "floor", "need")
+    asking = stash(alike.mapInArrow(pack, "m long, q_ids binary, q_vectors binary, floors binary"), "asking")
+    meet = asking.where("m > 0").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    pairs = meet.join(blocks, "number").select("q_ids", "q_vectors", "floors", "ids", "vectors")
 
     def score(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 qi, q = _open(r["q_ids"], r["q_vectors"])
                 ci, c = _open(r["ids"], r["vectors"])
-                row, column, value = best(qi, q, ci, c, rotation, np.frombuffer(r["floors"], "<f8"), k)
+                row, column, value = best(qi, q, ci, c, rotation, np.frombuffer(r["floors"], "<i8"), k)
                 yield pa.record_batch({"query_id": pa.array(qi[row]), "vec_id": pa.array(ci[column]), "score": pa.array(value)})
 
     scored = pairs.mapInArrow(score, "query_id long, vec_id long, score long")

@@ -119,7 +119,8 @@ def test_top_k_brute_force(spark):
     random.seed(4)
     vectors = {i: [random.gauss(0, random.choice([0.1, 1, 3])) for _ in range(24)] for i in range(300)}
     vectors[301] = vectors[300] = vectors[7]
-    bad = [(400, None), (401, [None] * 24), (402, [float("nan")] * 24), (403, [float("inf")] * 24), (404, []), (None, vectors[3]), (450, [1.0])]
+    vectors[450] = [1.0]
+    bad = [(400, None), (401, [None] * 24), (402, [float("nan")] * 24), (403, [float("inf")] * 24), (404, []), (None, vectors[3])]
     df = spark.createDataFrame([*vectors.items(), *bad], "vec_id long, embedding array<float>")
     import numpy as np
 
@@ -135,3 +136,39 @@ def test_top_k_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
+
+
+def test_top_k_beyond_a_long_and_pruning(spark):
+    import numpy as np
+
+    rows = [(0, [1e8, 1.0]), (1, [3e38, 2.0]), (2, [1e8, 3.0]), (3, [-1e8, 1.0]), (50, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = {i: [int(256 * float(np.float32(x))) for x in v] for i, v in rows}
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(exact[q], exact[i]))), i) for i in exact if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect())) == sorted(want)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8, 32))
+    x = np.floor(256 * (base[rng.integers(0, 8, 4000)] + 0.05 * rng.normal(size=(4000, 32))))
+    rotation = np.linalg.svd(x.T @ x)[0]
+    ids = np.arange(4000)
+    score = (x[:20] @ x.T).astype(np.int64)
+    floor = np.sort(np.where(ids[:20, None] == ids, -(2**62), score), axis=1)[:, -5]
+    seen = []
+    whole = topk.exact
+    topk.exact = lambda q, c: seen.append(len(q)) or whole(q, c)
+    try:
+        row, _, _ = topk.best(ids[:20], x[:20], ids, x, rotation, floor, 5)
+    finally:
+        topk.exact = whole
+    assert (np.bincount(row) == 5).all() and sum(seen) < 20 * 4000 / 4
+
+
+def test_top_k_plan_has_no_cross_join(spark):
+    df = spark.range(400).selectExpr("id as vec_id", "transform(sequence(1, 4), k -> cast((id * 7919 * k) % 101 as float) - 50) as embedding")
+    out = topk.top_k(df, df.where("vec_id % 50 = 0"), block=16, query_block=3)
+    plan = out._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and out.count() == 40
