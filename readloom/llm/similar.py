@@ -2,16 +2,17 @@
 
 Documents that share 0.8 of their five-word shingles differ in 5 to 14 bits of a
 64-bit SimHash, too many to look up. So the SimHash groups of radius 3 are joined
-with candidates found from samples of the shingles: PLACES hash orders give the lowest
-shingle of each, and documents that agree in both places of any of BANDS pairs are
-candidates, as are those of one SimHash group. Each group first names one hub, its
-smallest id: a member that agrees with it in enough places is decided on the shingle
-sets, which joins most of a group at the cost of one pair per member. Then all pairs
-of a group that no chain of links joins yet are looked at, those that agree in enough
-places are decided on the shingle sets too. So a pair stays apart only if its texts
-say so, whichever ids its group holds; two samples hide a pair of similarity 0.8 with
-a probability of 8e-8 (no band in common) and below 1e-9 (too few places). Only texts
-with the same set of shingles, by a 128-bit digest of it, link without a look at them.
+with candidates found from samples of the shingles: 2 * BANDS hash orders give the
+lowest shingle of each, and documents that agree in both places of any of the BANDS
+pairs are candidates, as are those of one SimHash group. Documents with the same set
+of shingles, by a 128-bit digest of it, are one: only the smallest id goes on. Each
+group first names one hub, its smallest id: a member that agrees with it in enough of
+PLACES more places is decided on the shingle sets, which joins most of a group at the
+cost of one pair per member. Then all pairs of a group that no chain of links joins
+yet are looked at, those that agree in enough places are decided on the shingle sets
+too. So a pair stays apart only if its texts say so, whichever ids its group holds; two
+samples hide a pair of similarity 0.8 with a probability of 8e-8 (no band in common)
+and below 1e-9 (too few places).
 
 Defined results: texts without words do not link here; rows with a null id do not
 link and stay; rows that repeat an id are one document; other columns are kept.
@@ -33,12 +34,15 @@ from readloom.llm.common import pieces, stash, unstash, utf8
 from readloom.llm.graph import components
 from readloom.llm.simhash import keep_one, near_duplicates
 
-PLACES, BANDS = 64, 16
+PLACES, BANDS = 256, 16
 
 
-def _orders() -> tuple[np.ndarray, np.ndarray]:
+def _orders() -> tuple[np.ndarray, ...]:
+    """Flips and odd factors of the hash orders: of 64 bits for the bands, of 32 bits for the places."""
     rng = np.random.default_rng(5)
-    return rng.integers(0, 1 << 63, PLACES, dtype=np.uint64), rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) | np.uint64(1)
+    wide = [rng.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) for _ in "ab"]
+    narrow = [rng.integers(0, 1 << 32, PLACES, dtype=np.uint32) for _ in "ab"]
+    return wide[0], wide[1] | np.uint64(1), narrow[0], narrow[1] | np.uint32(1)
 
 
 def fewest(similarity: float, miss: float = 1e-9) -> int:
@@ -49,19 +53,20 @@ def fewest(similarity: float, miss: float = 1e-9) -> int:
     return k
 
 
-def lowest(text: bytes | None, shingle: int, seed: int, orders) -> tuple[np.ndarray, bytes] | None:
-    """The lowest shingle hash in each order and a digest of the set of shingles; None for a text without words."""
+def lowest(text: bytes | None, shingle: int, seed: int, orders) -> tuple[np.ndarray, np.ndarray, bytes] | None:
+    """The lowest shingle hash in each order, of the bands and of the places, and a digest of the set of shingles; None for a text without words."""
     words = (text or b"").lower().split()
     if not words:
         return None
     runs = sorted(set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))) if len(words) >= shingle else [b" ".join(words)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64)
-    flip, times = orders
-    best = np.full(PLACES, np.uint64((1 << 64) - 1))
-    for at in range(0, len(hashes), 2048):
-        mixed = (hashes[at : at + 2048, None] ^ flip) * times
-        np.minimum(best, mixed.min(0), out=best)
-    return best, hashlib.blake2b(b"\n".join(runs), digest_size=16).digest()
+    short = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
+    flip, times, flip_, times_ = orders
+    best, best_ = np.full(2 * BANDS, np.uint64((1 << 64) - 1)), np.full(PLACES, np.uint32((1 << 32) - 1))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(best, ((hashes[at : at + 1024, None] ^ flip) * times).min(0), out=best)
+        np.minimum(best_, ((short[at : at + 1024, None] ^ flip_) * times_).min(0), out=best_)
+    return best, best_, hashlib.blake2b(b"\n".join(runs), digest_size=16).digest()
 
 
 def shingles(text: bytes, n: int) -> frozenset:
@@ -70,22 +75,35 @@ def shingles(text: bytes, n: int) -> frozenset:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, places, bands, all) of each text with words; all is a digest of its set of shingles."""
+    """(doc_id, bands, low, all) of each text with words: low has the lowest byte of each place, all is a digest of the set of shingles."""
 
     def run(batches):
         orders = _orders()
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 4 << 20):
                 found = [lowest(t, shingle, seed, orders) for t in utf8(part.column("text"))]
                 index = [k for k, f in enumerate(found) if f is not None]
-                places = np.array([found[k][0] for k in index], np.uint64).reshape(-1, PLACES)
-                pair = places[:, : 2 * BANDS : 2] * np.uint64(0x9E3779B97F4A7C15) ^ places[:, 1 : 2 * BANDS : 2]
+                wide = np.array([found[k][0] for k in index], np.uint64).reshape(-1, 2 * BANDS)
+                pair = wide[:, ::2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[:, 1::2]
                 pair = pair * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
-                as_list = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel().view(np.int64)), m.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "places": as_list(places), "bands": as_list(pair), "all": pa.array([found[k][1] for k in index], pa.binary())})
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(pair.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+                low = [(found[k][1] & np.uint32(255)).astype(np.uint8).tobytes() for k in index]
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "bands": bands, "low": pa.array(low, pa.binary()), "all": pa.array([found[k][2] for k in index], pa.binary())})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return picked.mapInArrow(run, "doc_id long, places array<long>, bands array<long>, all binary")
+    return picked.mapInArrow(run, "doc_id long, bands array<long>, low binary, all binary")
+
+
+def agreeing(least: int):
+    """The rows (u, v, x, y) whose places x and y agree in at least `least` bytes, as (u, v)."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in "xy")
+            near = pa.array((x == y).sum(1) >= least)
+            yield pa.record_batch({c: batch.column(c).filter(near) for c in "uv"})
+
+    return run
 
 
 def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -122,7 +140,7 @@ def apart(ids: np.ndarray, labels: np.ndarray, chunks: np.ndarray, low: np.ndarr
     for at, end in zip(begin, begin[1:]):
         for i in range(at, end, 32):
             mine = slice(i, min(i + 32, end))
-            near = (low[mine, None] == low[None, end:]).sum(2, dtype=np.uint8) >= least
+            near = (low[mine, None] == low[None, end:]).sum(2, dtype=np.uint16) >= least
             if not one_chunk:
                 near &= chunks[mine, None] != chunks[None, end:]
             a, b = np.nonzero(near)
@@ -177,26 +195,28 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
     options = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
     least = fewest(similarity)
     signed = stash(signatures(docs, **options, seed=seed), "signatures")
-    member = signed.select("doc_id", F.explode("bands").alias("key")).distinct()
+    # One document stands for all with its set of shingles.
+    lone = signed.groupBy("all").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "low"), "doc_id").alias("of"))
+    lone = stash(lone.select("doc_id", "of.bands", "of.low", "all"), "lone")
+    equal = stash(signed.join(lone.select("all", F.col("doc_id").alias("first")), "all").where("doc_id <> first").select("doc_id", "first").distinct(), "equal")
+    unstash(signed)
+    member = lone.select("doc_id", F.explode("bands").alias("key")).distinct()
     groups = member.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("key", "hub")
     grouped = member.join(groups, "key").select(F.lit(0).cast("long").alias("kind"), "key", "doc_id", "hub")
     if others is not None:
+        for c in ("doc_id", "hub"):
+            others = others.join(equal.select(F.col("doc_id").alias(c), F.col("first").alias("_first")), c, "left").withColumn(c, F.coalesce("_first", c)).drop("_first")
         more = others.unionByName(others.select(F.col("hub").alias("doc_id"), "hub")).distinct()
         grouped = grouped.unionByName(more.select(F.lit(1).cast("long").alias("kind"), F.col("hub").alias("key"), "doc_id", "hub"))
     grouped = stash(grouped, "grouped")
-    own = signed.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("places", "all")).alias("_of")).select("doc_id", F.col("_of.places").alias("own"), "_of.all")
-    low = F.unhex(F.array_join(F.transform("own", lambda x: F.lpad(F.hex(x.bitwiseAND(255)), 2, "0")), ""))
-    own = stash(own.select("doc_id", "own", low.alias("low"), "all"), "own")
-    unstash(signed)
-    edges = grouped.where("doc_id <> hub").select("doc_id", "hub").distinct()
-    other = own.select(F.col("doc_id").alias("hub"), F.col("own").alias("other"), F.col("all").alias("other_all"))
-    agree = F.aggregate(F.zip_with("own", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    rated = stash(edges.join(own.select("doc_id", "own", "all"), "doc_id").join(other, "hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), agree.alias("agree"), (F.col("all") == F.col("other_all")).alias("equal")), "rated")
-    sure = rated.where("equal").select("u", "v")
-    found = decided(docs, rated.where(~F.col("equal") & (F.col("agree") >= least)).select("u", "v"), **options, similarity=similarity)
-    links = sure.unionByName(found)
-    labels = stash(components(links), "labels")
-    left = stash(left_pairs(grouped, own, labels, least=least).join(rated.select("u", "v"), ["u", "v"], "left_anti"), "left")
+    own = stash(lone.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "low"), "own")
+    unstash(lone)
+    edges = grouped.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
+    both = edges.join(own.select(F.col("doc_id").alias("u"), F.col("low").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("low").alias("y")), "v")
+    rated = stash(both.select("u", "v", "x", "y").mapInArrow(agreeing(least), "u long, v long"), "rated")
+    found = decided(docs, rated, **options, similarity=similarity)
+    labels = stash(components(found), "labels")
+    left = stash(left_pairs(grouped, own, labels, least=least).join(rated, ["u", "v"], "left_anti"), "left")
     unstash(grouped)
     unstash(own)
     late = None if left.isEmpty() else decided(docs, left, **options, similarity=similarity)
@@ -205,11 +225,12 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
         name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
         late_ = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
         tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        labels, before = components(tops.unionByName(late_)), labels
+        labels, before = stash(components(tops.unionByName(late_)), "labels"), labels
         unstash(before)
     for table in [rated, found, left, *([late] if late is not None else [])]:
         unstash(table)
-    return labels
+    copies = equal.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
+    return labels.unionByName(copies)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
