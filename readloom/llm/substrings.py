@@ -17,6 +17,11 @@ only need counting. So no task holds an unbounded group.
 
 Hashes that decide equality have 128 bits.
 
+Passages of many short words can be shorter than a window of bytes. For them `digest`
+counts, beside what it removes, sampled runs of words that occur again: each window of
+PASSAGE words has its lowest-hashed run of RUN words as a sample, so texts that share
+PASSAGE words share a sample, and texts that share none of RUN words share none.
+
 Defined results: a null or empty text has 0 bytes and nothing removed; a text
 shorter than a window stays whole; rows that repeat id and text are copies of each
 other; a null id is an id like any other; other columns are left out.
@@ -31,10 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import pieces, powers, same, stash
+from readloom.llm.words import Words, mixed
 
 CHUNK = 1 << 18  # window starts that are hashed at once; below 1 << 20
 
 
+def window_minima(h: np.ndarray, w: int) -> np.ndarray:
+    """The place of the lowest of each w neighbouring hashes, by 44 of their bits; the leftmost of equal ones. There are fewer than 1 << 20."""
+    key = (h & np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
+    n = len(h) - w + 1
+    full = np.full(-(-len(h) // w) * w, np.uint64((1 << 64) - 1))
+    full[: len(h)] = key
+    grid = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+
 class Anchors:
     """Finds the stretches of neighbouring windows with one anchor."""
 
@@ -57,15 +75,7 @@ class Anchors:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-        # 44 bits of hash, then the place: the leftmost of equal ones is lowest.
-        key = (h & np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
-        n = len(h) - w + 1
-        full = np.full(-(-len(h) // w) * w, np.uint64((1 << 64) - 1))
-        full[: len(h)] = key
-        grid = full.reshape(-1, w)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        place = (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        place, n = window_minima(h, w), len(h) - w + 1
         first = np.concatenate([[0], 1 + np.flatnonzero(place[1:] != place[:-1])])
         last = np.concatenate([first[1:] - 1, [n - 1]])
         return first, last, place[first], h[place[first]]
@@ -265,6 +275,38 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 64, most:
     return out
 
 
+PASSAGE, RUN = 50, 32
+
+
+def run_samples(words: Words, passage: int, run: int):
+    """(text, hash, check) of the runs of words that any window of `passage` words has as its lowest-hashed one."""
+    span, found = passage - run + 1, []
+    for at in range(0, len(words.hash) - passage + 1, CHUNK):
+        h, text = words.hash[at : at + CHUNK + passage - 1], words.text[at : at + CHUNK + passage - 1]
+        up, down = powers(len(h))
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64)]) for x in (h, mixed(h ^ np.uint64(run)))]
+        g, check = (mixed((x[run:] - x[:-run]) * down[: len(h) - run + 1]) for x in sums)
+        place = window_minima(g, span)
+        place = np.unique(place[text[passage - 1 :] == text[: len(text) - passage + 1]])
+        found.append((text[place], g[place], check[place] >> np.uint64(32)))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2]
+
+
+def shared_runs(docs: DataFrame, *, passage: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """(doc_id, version, n_shared) of texts with sampled runs of words that occur again, and how many. docs: doc_id, version, text as bytes."""
+
+    def sample(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                text, g, check = run_samples(Words(part.column("text").to_pylist()), passage, run)
+                index = pa.array(text)
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(index), "version": part.column("version").take(index), "g": pa.array(g.view(np.int64)), "check": pa.array(check.astype(np.uint32).view(np.int32))})
+
+    rows = stash(docs.mapInArrow(sample, "doc_id long, version long, g long, check int"), "runs")
+    again = rows.groupBy("g", "check").agg(F.count("*").alias("n")).where("n > 1").select("g", "check")
+    return rows.join(again, ["g", "check"], "left_semi").groupBy("doc_id", "version").agg(F.count("*").alias("n_shared"))
+
+
 def kept(text: bytes | None, ranges: list) -> tuple[bytes, list]:
     """(what stays of a text, maximal removed ranges)."""
     text, merged = text or b"", []
@@ -280,15 +322,19 @@ def kept(text: bytes | None, ranges: list) -> tuple[bytes, list]:
     return b"".join([*parts, text[at:]]), merged
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, most: int = 4096) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, spans (array of begin, end), kept (bytes that stay)."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, most: int = 4096, passages: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_shared (0 without passages), spans (array of begin, end), kept (bytes that stay)."""
     if not 0 < gram <= length <= 1000:
         raise ValueError("gram must be in 1..length and length at most 1000")
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("version", F.xxhash64("text"))
     spans = repeated_spans(rows, length=length, gram=gram, most=most)
-    by_doc = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
-    joined = rows.alias("d").join(by_doc.alias("s"), same("d", "s", "doc_id", "version"), "left").select("d.doc_id", "d.text", "s.ranges")
+    spans = spans.withColumn("n_shared", F.lit(0).cast("long"))
+    if passages:
+        nothing = F.lit(None).cast("long")
+        spans = spans.unionByName(shared_runs(rows).withColumns({"begin": nothing, "end": nothing}))
+    by_doc = spans.groupBy("doc_id", "version").agg(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("ranges"), F.sum("n_shared").alias("n_shared"))
+    joined = rows.alias("d").join(by_doc.alias("s"), same("d", "s", "doc_id", "version"), "left").select("d.doc_id", "d.text", F.coalesce("s.n_shared", F.lit(0)).cast("long").alias("n_shared"), "s.ranges")
 
     def run(batches):
         for batch in batches:
@@ -299,20 +345,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     {
                         "doc_id": part.column("doc_id"),
                         "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()),
+                        "n_shared": part.column("n_shared"),
                         "spans": pa.array([[{"begin": b, "end": e} for b, e in s] for _, s in done], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                         "kept": pa.array([t for t, _ in done], pa.binary()),
                     }
                 )
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_shared long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    done = remove_repeats(docs, **options)
+    """What remove_repeats() does to each row, and n_shared: the sampled runs of words that occur again."""
+    done = remove_repeats(docs, passages=True, **options)
     return done.select(
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "n_shared",
     )

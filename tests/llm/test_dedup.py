@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from readloom.llm import decontaminate, graph, simhash, substrings
+from readloom.llm import words as words_
 
 
 def slow_fingerprint(text, n=3):
@@ -153,7 +154,7 @@ def test_substrings_brute_force(spark, gram, most):
     hot = text(70)
     docs += [(1000 + i, text(30) + hot + text(30)) for i in range(40)] + [(2000, None), (2001, ""), (2002, docs[3][1]), (2003, docs[3][1])]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, version int")
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.digest(df, length=40, gram=gram, most=most).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in substrings.digest(df, length=40, gram=gram, most=most).collect()}
     assert got == slow_substrings(docs, 40)
 
 
@@ -164,6 +165,30 @@ def test_substrings_edges(spark):
     assert substrings.digest(docs.limit(0)).count() == 0
 
 
+def test_shared_runs_of_words(spark):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(1, 4)))
+    text = lambda n: [word() for _ in range(n)]
+    passage, short = text(50), text(31)
+    docs = {k: text(random.randint(10, 300)) for k in range(60)}
+    for k in range(10):
+        docs[k][5:5] = passage
+        docs[20 + k][3:3] = short
+    docs[50] = docs[51][:60] = text(60)
+    docs[52] = text(20) + text(60) * 2
+    df = spark.createDataFrame([(k, " ".join(t), "x") for k, t in docs.items()] + [(100, None, "x"), (101, "", "x")], "doc_id long, text string, version string")
+    got = {r.doc_id: r.n_shared for r in substrings.digest(df).collect()}
+    assert {k for k, n in got.items() if n} == {*range(10), 50, 51, 52} and got[100] == got[101] == 0
+    words = words_.Words([" ".join(t).encode() for t in docs.values()])
+    whole = substrings.run_samples(words, 50, 32)
+    kept, substrings.CHUNK = substrings.CHUNK, 100
+    try:
+        parts = substrings.run_samples(words, 50, 32)
+    finally:
+        substrings.CHUNK = kept
+    assert set(zip(*(x.tolist() for x in whole))) == set(zip(*(x.tolist() for x in parts)))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -226,15 +251,12 @@ def test_a_long_item_is_cut_into_runs(spark):
     assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {**dict.fromkeys(range(490), (10, 1)), 1000: (0, 0)}
 
 
-def test_words_equal_a_plain_split():
+def test_words_equal_a_plain_split(monkeypatch):
     random.seed(1)
     texts = [None, b"", b" ,", "A b1-é  \U0001f600x\n".encode(), *(bytes(random.choice(b"aZ 9.\n") for _ in range(random.randint(0, 400))) for _ in range(50))]
-    kept, decontaminate.SCAN = decontaminate.SCAN, 64
-    try:
-        words = decontaminate.Words(texts)
-    finally:
-        decontaminate.SCAN = kept
-    want = [(k, w) for k, t in enumerate(texts) for w in (t or b"").translate(decontaminate.WORDS).split()]
+    monkeypatch.setattr(words_, "SCAN", 64)
+    words = words_.Words(texts)
+    want = [(k, w) for k, t in enumerate(texts) for w in (t or b"").translate(words_.WORDS).split()]
     got = [(int(k), words.data[s:e]) for k, s, e in zip(words.text, words.start, words.end)]
     assert got == want
     by = {}
