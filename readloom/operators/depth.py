@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import end_position, mapped, mapq_or_missing, phred, placed, ref_length
+from readloom.operators.intervals import merged, overlap_join
 
 BLOCK = 1 << 16
 
@@ -36,18 +37,24 @@ def depth(reads: DataFrame, contigs: DataFrame, *, min_mapq: int = 0, bed: DataF
     With a bed, positions outside its intervals go; a contig that it does not name stays whole.
     """
     rows = _aligned(reads, min_mapq)
-    out = segments(rows).select("tid", F.explode(F.sequence("begin", "end")).alias("pos"), "depth")
+    runs = segments(rows)
+    if bed is not None:
+        # Runs are cut to the merged intervals of their contig before positions are exploded.
+        spans = merged(bed.select("tid", (F.col("bstart") + 1).alias("from_"), F.col("bend").alias("to_")))
+        inside = overlap_join(runs, spans, start="begin", end="end").select("tid", F.greatest("begin", "from_").alias("begin"), F.least("end", "to_").alias("end"), "depth")
+        whole = runs.join(bed.select("tid").distinct(), "tid", "left_anti")
+        runs = inside.unionByName(whole.select(*inside.columns))
+    out = runs.select("tid", F.explode(F.sequence("begin", "end")).alias("pos"), "depth")
     if all_positions:
         used = contigs.join(rows.select("tid").distinct(), "tid", "left_semi")
         blocks = used.select("tid", F.col("length").cast("long").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / BLOCK))).alias("block"))
         grid = blocks.repartition("tid", "block").select("tid", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("length"), (F.col("block") + 1) * BLOCK))).alias("pos"))
+        if bed is not None:
+            listed = bed.select("tid").distinct()
+            inside = overlap_join(grid.withColumn("_to", F.col("pos")), spans, start="pos", end="_to").select("tid", "pos")
+            grid = inside.unionByName(grid.join(listed, "tid", "left_anti"))
         out = grid.join(out, ["tid", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-    if bed is not None:
-        spans = bed.select("tid", (F.col("bstart") + 1).alias("from_"), F.col("bend").alias("to_"))
-        listed = spans.select("tid").distinct()
-        inside = out.alias("o").join(spans.alias("s"), (F.col("o.tid") == F.col("s.tid")) & (F.col("pos") >= F.col("from_")) & (F.col("pos") <= F.col("to_")), "left_semi")
-        out = inside.unionByName(out.join(listed, "tid", "left_anti").select(*inside.columns))
-    named = out.join(F.broadcast(contigs.select("tid", "name")), "tid")
+    named = out.join(contigs.select("tid", "name"), "tid")
     return named.select("name", F.col("pos").cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -59,7 +66,7 @@ def coverage(reads: DataFrame, contigs: DataFrame, *, min_mapq: int = 0, min_bas
     chosen = columns or COLUMNS
     if unknown := set(chosen) - set(COLUMNS):
         raise ValueError(f"unknown columns: {sorted(unknown)}")
-    rows = _aligned(reads, min_mapq).join(F.broadcast(contigs.select("tid", "length")), "tid")
+    rows = _aligned(reads, min_mapq).join(contigs.select("tid", "length"), "tid")
     rows = rows.withColumn("_n", F.greatest(F.least("_end", "length") - F.col("pos") + 1, F.lit(0)))
     used = F.filter(F.slice(phred(), F.lit(1), F.col("_n")), lambda q: q >= min_baseq)
     rows = rows.withColumn("_q", used)

@@ -42,7 +42,7 @@ def view_regions(reads: DataFrame, contigs: DataFrame, regions: list[str], **fil
             part = kept.where("tid IS NULL")
         else:
             name, start, end = parse_region(spec)
-            part = kept.join(F.broadcast(contigs.where(F.col("name") == name).limit(1).select("tid")), "tid", "left_semi")
+            part = kept.join(contigs.where(F.col("name") == name).limit(1).select("tid"), "tid", "left_semi")
             part = part.where((end_position() >= (start or 1)) & (F.col("pos") <= (end if end is not None else 2**31 - 1)))
         part = part.select(*reads.columns, F.lit(k).alias("region"))
         out = part if out is None else out.unionByName(part)
@@ -77,7 +77,7 @@ def set_read_group(reads: DataFrame, group: str, mode: str = "orphan-only") -> D
 def reheader(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """Rows under the names and lengths of another header; contig numbers stay."""
     names = contigs.select("tid", F.col("name").alias("contig"))
-    return reads.join(F.broadcast(names), "tid", "left")
+    return reads.join(names, "tid", "left")
 
 
 def remap_contigs(reads: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
@@ -86,6 +86,6 @@ def remap_contigs(reads: DataFrame, own: DataFrame, other: DataFrame) -> DataFra
     if not pairs.where("old IS NULL OR new IS NULL").isEmpty():
         raise ValueError("the headers name different contigs")
     for column in ("tid", "mtid"):
-        to = F.broadcast(pairs.select(F.col("old").alias(column), "new"))
+        to = pairs.select(F.col("old").alias(column), "new")
         reads = reads.join(to, column, "left").withColumn(column, F.col("new")).drop("new")
     return reads

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import end_position, mapq_or_missing, placed
@@ -23,6 +23,15 @@ def overlap_join(rows: DataFrame, spans: DataFrame, *, start: str, end: str, wid
     return left.join(right, ["tid", "_bin"]).where(meet & once).drop("_bin")
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(tid, from_, to_): the union of spans as spans that do not overlap, one window per contig."""
+    order = Window.partitionBy("tid").orderBy("from_", "to_")
+    reach = F.max("to_").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.where("from_ <= to_").withColumn("_new", F.coalesce((F.col("from_") > reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_of", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("tid", "_of").agg(F.min("from_").alias("from_"), F.max("to_").alias("to_")).drop("_of")
+
+
 def _placed(reads: DataFrame) -> DataFrame:
     return reads.where(placed()).withColumn("_end", end_position())
 

@@ -4,147 +4,41 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from readloom.functions.cigar import end_position, placed, ref_length
 from readloom.functions.text import parse_position, parse_region
+from readloom.functions.walks import clip, mismatches
 from readloom.operators.intervals import primer_reach
+from readloom.operators.pileup import reference_chunks
 
 OPS = re.compile(r"(\d+)([MIDNSHP=X])")
-CHUNK = 1 << 16
-CLIPPED = T.StructType([T.StructField("cigar", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("moved", "cut_left", "cut_right"))])
+CHUNK = 1 << 12
 
 
-def reference_slices(rows: DataFrame, reference: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """rows (ord, tid, pos, cigar, ..) with `ref`: the reference bases under each read.
+def reference_slices(rows: DataFrame, reference: DataFrame, chunk: int = CHUNK, name: str = "ref") -> DataFrame:
+    """rows (ord, tid, pos, cigar, ..) with the reference bases under each read, null where it is not placed.
 
     The reference is cut into chunks with an overlap of one, so a read joins the chunk
     where it starts; a read that spans more than a chunk joins all it touches.
     """
-    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / chunk).cast("int")))
-    pieces = reference.where(F.length("sequence") > 0).select("tid", starts.alias("_k"), "sequence")
-    pieces = pieces.select("tid", "_k", F.substring("sequence", F.col("_k") * chunk + 1, F.lit(2 * chunk)).alias("_text"))
-    rows = rows.withColumn("_span", ref_length())
-    short = rows.where(F.col("_span") <= chunk).withColumn("_k", F.floor((F.col("pos") - 1) / chunk).cast("int")).join(pieces, ["tid", "_k"])
-    short = short.withColumn("ref", F.substring("_text", F.col("pos") - F.col("_k") * chunk, F.col("_span"))).drop("_k", "_text", "_span")
-    ks = F.explode(F.sequence(F.floor((F.col("pos") - 1) / chunk).cast("int"), F.floor((F.col("pos") + F.col("_span") - 2) / chunk).cast("int")))
-    parts = rows.where(F.col("_span") > chunk).select("ord", "tid", "pos", "_span", ks.alias("_k")).join(pieces, ["tid", "_k"])
+    pieces = reference_chunks(reference, 2 * chunk, chunk)
+    rows = rows.withColumns({"_span": F.when(placed(), ref_length()), "_k": F.floor((F.col("pos") - 1) / chunk).cast("int")})
+    short = rows.where(F.col("_span").isNull() | (F.col("_span") <= chunk)).join(pieces, ["tid", "_k"], "left")
+    short = short.withColumn(name, F.substring("_text", F.col("pos") - F.col("_k") * chunk, F.col("_span"))).drop("_k", "_text", "_span")
+    wide = rows.where(F.col("_span") > chunk)
+    ks = F.explode(F.sequence(F.col("_k"), F.floor((F.col("pos") + F.col("_span") - 2) / chunk).cast("int")))
+    parts = wide.select("ord", "tid", "pos", "_span", ks.alias("_k")).join(pieces, ["tid", "_k"])
     joined = parts.groupBy("ord", "pos", "_span").agg(F.min("_k").alias("_k0"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.substring("_text", 1, chunk).alias("t")))), lambda x: x["t"]), "").alias("_all"))
-    cut = joined.select("ord", F.substring("_all", F.col("pos") - F.col("_k0") * chunk, F.col("_span")).alias("ref"))
-    return short.unionByName(rows.where(F.col("_span") > chunk).drop("_span").join(cut, "ord"))
-
-
-def walk_reference(cigar: str, seq: str, ref: str) -> tuple[str, int] | None:
-    """(mismatch text, edit distance) of one read, None where read or reference runs out."""
-    if not seq:
-        return None
-    out, run, edits, r, q = [], 0, 0, 0, 0
-    seq, ref = seq.upper(), ref.upper()
-    for n, op in OPS.findall(cigar or ""):
-        n = int(n)
-        if op in "M=X":
-            if r + n > len(ref) or q + n > len(seq):
-                return None
-            for a, b in zip(ref[r : r + n], seq[q : q + n]):
-                if a == b:
-                    run += 1
-                else:
-                    out += [str(run), a]
-                    run, edits = 0, edits + 1
-            r, q = r + n, q + n
-        elif op == "I":
-            q, edits = q + n, edits + n
-        elif op == "D":
-            if r + n > len(ref):
-                return None
-            out += [str(run), "^", ref[r : r + n]]
-            run, r, edits = 0, r + n, edits + n
-        elif op == "N":
-            r += n
-        elif op == "S":
-            q += n
-    return "".join([*out, str(run)]), edits
-
-
-@F.pandas_udf(T.StructType([T.StructField("md", T.StringType()), T.StructField("nm", T.IntegerType())]))
-def _md_nm(cigar: pd.Series, seq: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    found = [walk_reference(c, s or "", r or "") or (None, None) for c, s, r in zip(cigar, seq, ref)]
-    return pd.DataFrame({"md": pd.Series([f[0] for f in found], dtype=object), "nm": pd.array([f[1] for f in found], dtype="Int32")})
+    cut = joined.select("ord", F.substring("_all", F.col("pos") - F.col("_k0") * chunk, F.col("_span")).alias(name))
+    return short.unionByName(wide.drop("_span", "_k").join(cut, "ord", "left"))
 
 
 def calmd(reads: DataFrame, reference: DataFrame) -> DataFrame:
     """reads with md and nm; null where unplaced, without bases, or past the reference. Only NM carries the distance."""
-    rows = reference_slices(reads.where(placed()).select("ord", "tid", "pos", "cigar", "seq"), reference)
-    tagged = rows.withColumn("_t", _md_nm("cigar", "seq", "ref")).select("ord", "_t.md", "_t.nm")
-    return reads.join(tagged, "ord", "left")
-
-
-def clip_cigar(cigar: str, left: int, right: int, kind: str = "S") -> tuple[str, int, int, int]:
-    """(cigar, start shift, bases cut left, bases cut right) after clipping left and right reference bases.
-
-    Clips count in bases of the read: old clips are taken up, insertions inside a
-    clipped part too, and a deletion at the new edge goes. Soft clips keep the length
-    of the read. A read that is clipped away wholly becomes one clip.
-    """
-    ops = [(int(n), op) for n, op in OPS.findall(cigar)]
-    total = sum(n for n, op in ops if op in "MIS=X")
-
-    def eat(ops, reach):
-        ops, cut, moved = list(ops), 0, 0
-        while ops and (reach > 0 or ops[0][1] in "SHIDNP"):
-            n, op = ops.pop(0)
-            if op in "M=X":
-                take = min(n, reach)
-                cut, moved, reach = cut + take, moved + take, reach - take
-                if take < n:
-                    ops.insert(0, (n - take, op))
-                    break
-            elif op in "DN":
-                moved, reach = moved + n, reach - n
-            elif op in "IS":
-                cut += n
-        return ops, cut, moved
-
-    hard_left = sum(n for n, op in hard_clips(ops))
-    hard_right = sum(n for n, op in hard_clips(ops[::-1]))
-    cut_left = cut_right = moved = 0
-    if left:
-        ops, cut_left, moved = eat(ops, left)
-    if right:
-        back, cut_right, _ = eat(ops[::-1], right)
-        ops = back[::-1]
-    if not any(op in "M=X" for _, op in ops):
-        ops, cut_left, cut_right = [], total, 0
-    head = ([(hard_left, "H")] if hard_left else []) + ([(cut_left, "S")] if cut_left else []) if left or not ops else []
-    tail = ([(cut_right, "S")] if cut_right else []) + ([(hard_right, "H")] if hard_right else []) if right or not ops else []
-    if kind == "H":
-        head = [(hard_left + cut_left, "H")] if left or not ops else []
-        tail = [(hard_right + cut_right, "H")] if right or not ops else []
-    text = "".join(f"{n}{op}" for n, op in [*head, *ops, *tail] if n)
-    return text, moved, cut_left, cut_right
-
-
-def hard_clips(ops):
-    """The hard clips that lead the operations."""
-    out = []
-    for n, op in ops:
-        if op != "H":
-            break
-        out.append((n, op))
-    return out
-
-
-@F.pandas_udf(CLIPPED)
-def _soft(cigar: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([clip_cigar(*x, "S") for x in zip(cigar, left, right)], columns=["cigar", "moved", "cut_left", "cut_right"])
-
-
-@F.pandas_udf(CLIPPED)
-def _hard(cigar: pd.Series, left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([clip_cigar(*x, "H") for x in zip(cigar, left, right)], columns=["cigar", "moved", "cut_left", "cut_right"])
+    rows = reference_slices(reads, reference, name="_ref").withColumn("_t", mismatches(ref="_ref"))
+    return rows.select(*reads.columns, "_t.md", "_t.nm")
 
 
 def ampliconclip(reads: DataFrame, bed: DataFrame, *, hard: bool = False) -> DataFrame:
@@ -152,7 +46,7 @@ def ampliconclip(reads: DataFrame, bed: DataFrame, *, hard: bool = False) -> Dat
     reach = primer_reach(reads.where("cigar <> ''"), bed).where("left > 0 OR right > 0")
     rows = reads.join(reach, "ord", "left")
     kept, cut = rows.where("left IS NULL").select(*reads.columns), rows.where("left IS NOT NULL")
-    cut = cut.withColumn("_c", (_hard if hard else _soft)("cigar", "left", "right"))
+    cut = clip(cut, hard=hard)
     changed = {"cigar": F.col("_c.cigar"), "pos": (F.col("pos") + F.col("_c.moved")).cast("int")}
     if hard:
         n = F.greatest(F.length("seq") - F.col("_c.cut_left") - F.col("_c.cut_right"), F.lit(0))
@@ -203,7 +97,7 @@ def window_reads(reads: DataFrame, contigs: DataFrame, position: str, *, width:
     """The reads that a text view of a window may show: the first 4 x depth in coordinate order."""
     name, start = parse_position(position)
     tid = contigs.where(F.col("name") == name).select("tid")
-    rows = reads.where(placed()).join(F.broadcast(tid), "tid", "left_semi")
+    rows = reads.where(placed()).join(tid, "tid", "left_semi")
     rows = rows.where((end_position() >= start) & (F.col("pos") <= start + width - 1))
     return rows.orderBy("pos", "flag", "qname", "ord").limit(4 * depth).select("ord", "pos", "cigar", "seq")
 

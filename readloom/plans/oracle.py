@@ -142,7 +142,7 @@ SQL["pileup_depth"] = _pile(0) + " SELECT tid, p AS pos, count(*) AS depth FROM
 SQL["mpileup"] = _pile(20) + """, r AS (SELECT pb.*, c.name, coalesce(nullif(substr(f.sequence, pb.p, 1), ''), 'N') AS ref FROM pb JOIN contigs c ON c.tid = pb.tid LEFT JOIN refseq f ON f.tid = pb.tid)
 SELECT name, CAST(p AS BIGINT) AS pos, ref, count(*) AS depth, string_agg(CASE WHEN upper(base) = upper(ref) THEN '.' ELSE upper(base) END, '' ORDER BY start, flag, qname, ord) AS bases,
   string_agg(chr(CAST(least(q + 33, 126) AS INT)), '' ORDER BY start, flag, qname, ord) AS quals FROM r GROUP BY name, p, ref"""
-SQL["consensus"] = _pile(0, "ord % 40 < 4") + """, v AS (SELECT tid, p, k, count(*) AS n FROM (SELECT tid, p, CASE WHEN upper(base) IN ('A', 'C', 'G', 'T', 'N') THEN upper(base) ELSE 'other' END AS k FROM pb) GROUP BY 1, 2, 3),
+SQL["consensus"] = _pile(0) + """, v AS (SELECT tid, p, k, count(*) AS n FROM (SELECT tid, p, CASE WHEN upper(base) IN ('A', 'C', 'G', 'T', 'N') THEN upper(base) ELSE 'other' END AS k FROM pb) GROUP BY 1, 2, 3),
 w AS (SELECT *, sum(n) OVER (PARTITION BY tid, p) AS total, row_number() OVER (PARTITION BY tid, p ORDER BY n DESC, CASE k WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 WHEN 'N' THEN 4 ELSE 5 END DESC) AS r FROM v),
 c AS (SELECT tid, p, CASE WHEN CAST(n AS FLOAT) / CAST(total AS FLOAT) < CAST(0.5 AS FLOAT) OR k = 'other' THEN 'N' ELSE k END AS b FROM w WHERE r = 1),
 g AS (SELECT tid, unnest(range(1, m + 1)) AS p FROM (SELECT tid, max(p) AS m FROM c GROUP BY tid))
