@@ -190,9 +190,45 @@ SQL["calmd_nm"] = P + _NM + """, mm AS (SELECT b0.ord, count(*) AS bad FROM b0 J
 SELECT a.ord, CASE WHEN a.tid IS NOT NULL AND a.pos IS NOT NULL AND length(a.seq) > 0 AND a.pos + a.reflen - 1 <= c.length THEN
   coalesce(mm.bad, 0) + CAST(coalesce(list_sum(list_transform(regexp_extract_all(a.cigar, '(\\d+)[ID]', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) END AS nm
 FROM a LEFT JOIN contigs c ON c.tid = a.tid LEFT JOIN mm ON mm.ord = a.ord"""
-SQL["primer_reach"] = P + """ SELECT a.ord, CAST(coalesce(max(CASE WHEN b.bstart + 1 <= a.pos AND b.bend >= a.pos THEN b.bend - a.pos + 1 END), 0) AS INT) AS "left",
+_MD = """, me AS (SELECT b0.ord, b0.p, upper(b0.b) = upper(substr(f.sequence, b0.p, 1)) AS ok, upper(substr(f.sequence, b0.p, 1)) AS letter FROM b0 JOIN refseq f ON f.tid = b0.tid
+  UNION ALL SELECT st.ord, CAST(st.rp AS INT), false, '^' || upper(substr(f.sequence, CAST(st.rp AS INT), st.n)) FROM st JOIN refseq f ON f.tid = st.tid WHERE st.ks[st.i] = 'D'),
+cm AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY ord ORDER BY p) AS c FROM me),
+ce AS (SELECT ord, p, letter, c, c - coalesce(lag(c) OVER (PARTITION BY ord ORDER BY p), 0) AS run FROM cm WHERE NOT ok),
+ct AS (SELECT ord, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS total FROM me GROUP BY 1),
+cs AS (SELECT ord, string_agg(CAST(run AS VARCHAR) || letter, '' ORDER BY p) AS t, max(c) AS last_ FROM ce GROUP BY 1)"""
+SQL["calmd_md_nm"] = f"""WITH nm AS ({SQL["calmd_nm"]}), md AS ({P + _NM + _MD} SELECT a.ord, coalesce(cs.t, '') || CAST(coalesce(ct.total, 0) - coalesce(cs.last_, 0) AS VARCHAR) AS md FROM a LEFT JOIN cs ON cs.ord = a.ord LEFT JOIN ct ON ct.ord = a.ord)
+SELECT nm.ord, CASE WHEN nm.nm IS NOT NULL THEN md.md END AS md, CAST(nm.nm AS INT) AS nm FROM nm JOIN md ON md.ord = nm.ord"""
+_REACH = """SELECT a.ord, CAST(coalesce(max(CASE WHEN b.bstart + 1 <= a.pos AND b.bend >= a.pos THEN b.bend - a.pos + 1 END), 0) AS INT) AS "left",
   CAST(coalesce(max(CASE WHEN b.bstart + 1 <= a.endp AND b.bend >= a.endp THEN a.endp - b.bstart END), 0) AS INT) AS "right"
 FROM a JOIN bed b ON b.tid = a.tid AND b.bstart + 1 <= a.endp AND b.bend >= a.pos GROUP BY a.ord"""
+SQL["primer_reach"] = P + " " + _REACH
+# A clip ends at the first aligned base that has enough reference bases before it, one from the right at the last that has enough behind it.
+_CLIPS = P + f""", pr AS ({_REACH}),
+co AS (SELECT a.ord, pr."left" AS l, pr."right" AS r, regexp_extract_all(cigar, '(\\d+)[MIDNSHP=X]', 1) AS ns, regexp_extract_all(cigar, '\\d+([MIDNSHP=X])', 1) AS ks
+  FROM a JOIN pr ON pr.ord = a.ord WHERE a.cigar <> '' AND (pr."left" > 0 OR pr."right" > 0)),
+cu AS (SELECT ord, l, r, i, ks[i] AS k, unnest(range(CAST(ns[i] AS INT))) AS o FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM co)),
+cw AS (SELECT *, sum(CASE WHEN k IN ('M', 'D', 'N', '=', 'X') THEN 1 ELSE 0 END) OVER w AS rf, sum(CASE WHEN k IN ('M', 'I', 'S', '=', 'X') THEN 1 ELSE 0 END) OVER w AS rd, row_number() OVER w AS u
+  FROM cu WINDOW w AS (PARTITION BY ord ORDER BY i, o)),
+tot AS (SELECT ord, max(rf) AS trf, max(rd) AS trd, max(u) AS tu FROM cw GROUP BY 1),
+cf AS (SELECT cw.ord, l, r, trf, trd, tu, min(u) FILTER (WHERE k IN ('M', '=', 'X') AND rf - 1 >= l) AS u1, max(u) FILTER (WHERE k IN ('M', '=', 'X') AND trf - rf >= r) AS u2,
+  min(rf - 1) FILTER (WHERE k IN ('M', '=', 'X') AND rf - 1 >= l) AS moved, min(rd - 1) FILTER (WHERE k IN ('M', '=', 'X') AND rf - 1 >= l) AS cl, trd - max(rd) FILTER (WHERE k IN ('M', '=', 'X') AND trf - rf >= r) AS cr
+  FROM cw JOIN tot ON tot.ord = cw.ord GROUP BY cw.ord, l, r, trf, trd, tu),
+cg AS (SELECT *, u1 IS NULL OR u2 IS NULL OR u1 > u2 AS gone FROM cf),
+cb AS (SELECT ord, string_agg(CAST(n AS VARCHAR) || k, '' ORDER BY i) AS body FROM (SELECT cw.ord, cw.i, cw.k, count(*) AS n FROM cw JOIN cg ON cg.ord = cw.ord
+  WHERE NOT gone AND u >= CASE WHEN cg.l > 0 THEN u1 ELSE 1 END AND u <= CASE WHEN cg.r > 0 THEN u2 ELSE tu END GROUP BY 1, 2, 3) GROUP BY 1),
+cc AS (SELECT cg.ord, CASE WHEN l = 0 THEN 0 ELSE coalesce(moved, trf) END AS moved, CASE WHEN gone THEN trd WHEN l = 0 THEN 0 ELSE cl END AS cl, CASE WHEN gone OR r = 0 THEN 0 ELSE cr END AS cr, coalesce(body, '') AS body
+  FROM cg LEFT JOIN cb ON cb.ord = cg.ord)"""
+
+
+def _clipped(kind, *more):
+    edge = "CASE WHEN cc.{0} > 0 THEN CAST(cc.{0} AS VARCHAR) || '" + kind + "' ELSE '' END"
+    columns = [f"CASE WHEN cc.ord IS NULL THEN a.{c} ELSE substr(a.{c}, CAST(cc.cl + 1 AS INT), CAST(greatest(length(a.seq) - cc.cl - cc.cr, 0) AS INT)) END AS {c}" for c in more]
+    cigar = f"CASE WHEN cc.ord IS NULL THEN a.cigar ELSE {edge.format('cl')} || cc.body || {edge.format('cr')} END AS cigar"
+    return _CLIPS + f" SELECT a.ord, CAST(a.pos + coalesce(cc.moved, 0) AS INT) AS pos, {', '.join([cigar, *columns])} FROM a LEFT JOIN cc ON cc.ord = a.ord"
+
+
+SQL["ampliconclip"] = _clipped("S")
+SQL["ampliconclip_hard"] = _clipped("H", "seq", "qual")
 SQL["dict_md5"] = P + " SELECT name, length(sequence) AS length, md5(upper(sequence)) AS md5, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || length(sequence) || chr(9) || 'M5:' || md5(upper(sequence)) || chr(9) || 'AS:asm' AS line FROM transcripts"
 SQL["fasta_index"] = P + " SELECT name, length(sequence) AS length FROM transcripts"
 SQL["faidx_regions"] = P + """ SELECT name, tid % 60 AS start, tid % 60 + 3 * size AS "end",
@@ -207,6 +243,9 @@ _SHOW = {
     "reheader": ("tid",),
     "fixmate": ("mtid", "mpos", "ms"),
     "calmd_nm": ("nm",),
+    "calmd_md_nm": ("nm",),
+    "ampliconclip": ("pos",),
+    "ampliconclip_hard": ("pos",),
 }
 for _name, _columns in _SHOW.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'coalesce({c}, -1) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
