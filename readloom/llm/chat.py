@@ -166,13 +166,17 @@ def read_digests(parts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "conv_id long, leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def format_trees(messages: DataFrame, *, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, branches: int = 1) -> DataFrame:
-    """The written parts of the chosen paths of every tree; node must be unique in its tree."""
+def tree_turns(messages: DataFrame, *, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, branches: int = 1) -> DataFrame:
+    """(conv_id, leaf, depth, role, text): the turns of the chosen paths of every tree; node must be unique in its tree."""
     chosen = paths(messages, tree=tree, node=node, parent=parent, score=score, branches=branches)
     said = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     turns = chosen.alias("p").join(said.alias("s"), same("p", "s", "tree", "node"))
-    turns = turns.select(F.col("p.tree").cast("long").alias("conv_id"), F.col("p.leaf").cast("long").alias("leaf"), "p.depth", "s.role", "s.text")
-    return format_paths(turns)
+    return turns.select(F.col("p.tree").cast("long").alias("conv_id"), F.col("p.leaf").cast("long").alias("leaf"), "p.depth", "s.role", "s.text")
+
+
+def format_trees(messages: DataFrame, **options) -> DataFrame:
+    """The written parts of the chosen paths of every tree."""
+    return format_paths(tree_turns(messages, **options))
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
@@ -183,9 +187,22 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 
 
 def chat_query(conversations: DataFrame) -> DataFrame:
-    spark = conversations.sparkSession
+    """One row per conversation, and one for the added conversation -1, also where the table has a -1 itself."""
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    # A leaf below all node numbers keeps the added conversation apart.
+    extra = conversations.sparkSession.createDataFrame([(-1, -1, 0, "user", said), (-1, -1, 1, "assistant", said)], "conv_id long, leaf long, depth long, role string, text string")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    messages = stash(conversation_messages(rows.unionByName(extra)), "messages")
-    return read_digests(stash(format_trees(messages), "chat")).drop("leaf")
+    messages = stash(conversation_messages(rows), "messages")
+    return read_digests(stash(format_paths(tree_turns(messages).unionByName(extra)), "chat")).drop("leaf")
+
+
+SQL = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, 0 AS own FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok', 1 FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+e AS (SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS x FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(r) + 1 + length(x) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id, own
+"""

@@ -242,3 +242,17 @@ def cut(raw: bytes | None, hit: np.ndarray) -> str | None:
 
 def cut_spans(text: str | None, windows: Windows) -> str | None:
     return cut(text and text.encode(), windows.scan(text and text.encode())[1]) if text else text
+
+
+SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+iz AS (SELECT *, least(10, len(w)) AS n FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM iz)),
+dz AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM iz) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, n, item FROM (SELECT doc_id, i, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS k FROM dz) d JOIN win USING (n, k)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words h ON h.doc_id = d.doc_id LEFT JOIN items m ON m.doc_id = d.doc_id
+"""

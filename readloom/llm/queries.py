@@ -47,4 +47,11 @@ def op4_chat_format(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op4_chat_format, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k)}
-SQL = {"op1_line_dedup": linededup.SQL, "op9_source_mixing": mixing.SQL, "op10_top_k": topk.SQL}
+SQL = {
+    "op1_line_dedup": linededup.SQL,
+    "op4_chat_format": chat.SQL,
+    "op6_warc": warc.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+    "op9_source_mixing": mixing.SQL,
+    "op10_top_k": topk.SQL,
+}

@@ -196,3 +196,13 @@ def archive_report(pages: DataFrame, **options) -> DataFrame:
     """Write the bundles to the shared folder, read them back, and return the digest of each record."""
     records = read_bundles(stash(write_bundles(pages, **options), "warc"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+h AS (SELECT page_id, x, sha1(x) AS d, max(page_id) OVER (PARTITION BY x) AS last_, count(*) OVER (PARTITION BY x) AS n FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + ((CAST('0x' || substr(d, CAST(5 * (k // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS digest FROM h)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last_ THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_ THEN last_ END AS refers_to FROM b
+"""
