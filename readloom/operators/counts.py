@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.cigar import end_position, mapq_or_missing, mapped, placed, primary, span
@@ -101,9 +101,17 @@ def mapping_qualities(reads: DataFrame, **options) -> DataFrame:
     return histogram(stats_input(reads, **options).where("mapq IS NOT NULL"), F.col("mapq"), "mapq")
 
 
-def split_counts(reads: DataFrame, tag: str = "rg") -> DataFrame:
-    """Rows per tag value; "unknown" where it is missing."""
-    return reads.groupBy(F.coalesce(tag, F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+def tag_value(reads: DataFrame, name: str) -> Column:
+    """The text of a tag that holds text or a letter, "unknown" where there is none."""
+    if name.lower() in ("rg", "rx") and name.lower() in reads.columns:
+        return F.coalesce(name.lower(), F.lit("unknown"))
+    held = F.map_filter("tags", lambda k, v: (k == name) & v["type"].isin("Z", "A"))
+    return F.coalesce(F.get(F.map_values(held), F.lit(0))["value"], F.lit("unknown"))
+
+
+def split_counts(reads: DataFrame, tag: str = "RG") -> DataFrame:
+    """Rows per value of a tag; "unknown" where it is missing."""
+    return reads.groupBy(tag_value(reads, tag).alias("value")).agg(F.count("*").alias("n"))
 
 
 def samples(read_groups: DataFrame, expand: bool = False) -> DataFrame:

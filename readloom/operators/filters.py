@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions import tags
 from readloom.functions.cigar import end_position, has, lacks, mapped, placed
 from readloom.functions.text import parse_region
 from readloom.schema import MATE_UNMAPPED, PAIRED
@@ -74,6 +75,12 @@ def set_read_group(reads: DataFrame, group: str, mode: str = "orphan-only") -> D
     return reads.withColumn("rg", value)
 
 
+def drop_tags(reads: DataFrame) -> DataFrame:
+    """Rows without any tag; the columns that show tags are null."""
+    shown = {c: F.lit(None).cast("string") for c in ("rg", "rx") if c in reads.columns}
+    return reads.withColumns({**shown, "tags": tags.empty()})
+
+
 def reheader(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """Rows under the names and lengths of another header; contig numbers stay."""
     names = contigs.select("tid", F.col("name").alias("contig"))

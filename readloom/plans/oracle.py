@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from readloom.fixtures import prelude
 from readloom.operators.counts import FLAGSTAT
+from readloom.plans.render import SUMMARY
 
 P = prelude()
 SHOWN = "ord, qname, flag, tid, pos, mapq, cigar"
@@ -81,7 +82,7 @@ SQL["collate"] = P + " SELECT ord, qname, flag, row_number() OVER (PARTITION BY
 SQL["head"] = P + f" SELECT {SHOWN} FROM reads ORDER BY ord LIMIT 25"
 SQL["addreplacerg"] = P + " SELECT ord, coalesce(rg, 'new') AS rg, 'new' AS rg_all FROM reads"
 SQL["reheader"] = P + " SELECT r.ord, r.tid, 'chr' || c.name AS contig FROM reads r LEFT JOIN contigs c ON c.tid = r.tid"
-SQL["drop_tags"] = P + " SELECT ord, CAST(NULL AS VARCHAR) AS rg, CAST(NULL AS VARCHAR) AS rx FROM reads"
+SQL["drop_tags"] = P + " SELECT ord, qname, flag, CAST(NULL AS VARCHAR) AS rg, CAST(NULL AS VARCHAR) AS rx, 0 AS n_tags FROM reads"
 SQL["read_measures"] = P + f" SELECT ord, endp, {POS5} AS pos5, {QSUM} AS qsum FROM a WHERE tid IS NOT NULL AND pos IS NOT NULL"
 
 
@@ -236,6 +237,40 @@ SQL["faidx_regions"] = P + """ SELECT name, tid % 60 AS start, tid % 60 + 3 * si
 SQL["fqidx"] = P + " SELECT qname AS name, arg_max(seq, ord) AS seq, arg_max(qual, ord) AS qual FROM reads WHERE flag & 2304 = 0 AND qname IN (SELECT qname FROM reads WHERE flag & 2304 = 0 AND ord % 5 = 0) GROUP BY qname"
 SQL["proper_pairs_by_contig"] = P + " SELECT c.name, count(*) AS n, CAST(sum(abs(r.tlen)) AS BIGINT) AS span FROM reads r JOIN contigs c ON c.tid = r.tid WHERE r.flag & 2304 = 0 AND r.flag & 4 = 0 AND r.flag & 2 = 2 GROUP BY 1"
 
+# Mates in runs of one name: the names come again every 50 templates.
+_RUNS = P.replace("reads AS (", "reads0 AS (", 1)
+_RUN_READS = """, reads AS (SELECT ord, 'T' || CAST((ord // 4) % 50 AS VARCHAR) AS qname, flag, tid, pos, mapq, cigar, mtid, mpos, tlen, seq, qual, rg, rx FROM reads0),"""
+SQL["fixmate_runs"] = _RUNS.replace(",\ncontigs AS (", _RUN_READS + "\ncontigs AS (", 1) + """, l0 AS (SELECT ord, CASE WHEN lag(qname) OVER (ORDER BY ord) IS NOT DISTINCT FROM qname THEN 0 ELSE 1 END AS new FROM reads),
+l1 AS (SELECT ord, sum(new) OVER (ORDER BY ord) AS island FROM l0)""" + _FIX.replace("FROM a)", "FROM (SELECT a.* REPLACE (CAST(l1.island AS VARCHAR) AS qname) FROM a JOIN l1 ON l1.ord = a.ord))", 1) + " SELECT ord, flag, mtid, mpos, tlen FROM fm"
+SQL["fixmate_tags"] = P + _FIX + " SELECT ord, concat_ws(' ', 'MC:Z:' || mc, 'ms:i:' || CAST(ms AS VARCHAR)) AS fields FROM fm"
+SQL["calmd_tags"] = f"SELECT ord, concat_ws(' ', 'NM:i:' || CAST(nm AS VARCHAR), 'MD:Z:' || md) AS fields FROM ({SQL['calmd_md_nm']})"
+FIELDS = "qname, flag, tid, pos, mapq, cigar, mtid, mpos, tlen, seq, qual, rg, rx"
+SQL["bam_file"] = SQL["sam_file"] = P + f" SELECT {FIELDS}, mapq AS nm, nullif(cigar, '') AS xz, substr(rx, 1, 1) AS xa FROM reads"
+SQL["sam_header"] = P + " SELECT CAST(tid AS INT) AS tid, name, CAST(length AS INT) AS length FROM contigs"
+SQL["flagstat_file"] = SQL["flagstat"]
+SQL["view_file"] = P + f" SELECT {FIELDS} FROM reads WHERE flag & 1 = 1 AND flag & 3844 = 0 AND mapq >= 20"
+SQL["split_files"] = P + " SELECT coalesce(nullif(cigar, ''), 'unknown') AS value, count(*) AS n FROM reads GROUP BY 1"
+SQL["fasta_file"] = P + " SELECT CAST(row_number() OVER (ORDER BY tid) - 1 AS INT) AS tid, name, sequence FROM transcripts"
+SQL["fai_file"] = P + """, f AS (SELECT tid, name, CAST(length(sequence) AS BIGINT) AS length, CAST(2 + length(name) AS BIGINT) AS head FROM transcripts)
+SELECT CAST(row_number() OVER (ORDER BY tid) - 1 AS INT) AS tid, name, length, CAST(sum(head + length + (length + 59) // 60) OVER (ORDER BY tid) - length - (length + 59) // 60 AS BIGINT) AS "offset",
+  least(60, length) AS line_bases, least(60, length) + 1 AS line_width FROM f"""
+SQL["fastq_files"] = _fastq(False, True) + " SELECT sink, '@' || name AS header, seq, qual FROM fq WHERE sink IN ('r1', 'r2', 'singleton')"
+SQL["fqi_file"] = _fastq(False, True) + """, x AS (SELECT ord, name, length(name) AS h, length(seq) AS l, length(qual) AS q FROM fq WHERE sink = 'r1'),
+y AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS n, sum(h + l + q + 6) OVER (ORDER BY ord) - (h + l + q + 6) AS first_ FROM x)
+SELECT n, name, CAST(l AS BIGINT) AS length, CAST(first_ + h + 2 AS BIGINT) AS seq_offset, CAST(first_ + h + l + 5 AS BIGINT) AS qual_offset FROM y"""
+SQL["bed_file"] = P + " SELECT row_number() OVER (ORDER BY iv) - 1 AS iv, CAST(tid AS INT) AS tid, name, CAST(bstart AS INT) AS bstart, CAST(bend AS INT) AS bend FROM bed"
+SQL["idxstats_report"] = f"""SELECT CAST(coalesce(c.r_regionkey, 1099511627776) AS BIGINT) AS place, i.name || chr(9) || CAST(i.length AS VARCHAR) || chr(9) || CAST(i.mapped AS VARCHAR) || chr(9) || CAST(i.unmapped AS VARCHAR) AS text
+FROM ({SQL["idxstats"]}) i LEFT JOIN region c ON replace(c.r_name, ' ', '_') = i.name"""
+_LABELS = ", ".join(f"({k}, '{label}', CAST({c} AS VARCHAR))" for k, (label, c) in enumerate(SUMMARY.items()))
+SQL["stats_report"] = P + f""", kept AS (SELECT * FROM reads WHERE flag & 2304 = 0), sn AS (SELECT *, (SELECT count(*) FROM kept WHERE mapq = 0) AS reads_mq0 FROM ({_SUMMARY}))
+SELECT CAST(0 AS INT) AS section, CAST(k AS BIGINT) AS place, 'SN' || chr(9) || label || ':' || chr(9) || v AS text FROM sn, LATERAL (VALUES {_LABELS}, ({len(SUMMARY)}, 'average MAPQ', printf('%.2f', average_mapq))) AS t(k, label, v)
+UNION ALL SELECT 1, read_length, 'RL' || chr(9) || CAST(read_length AS VARCHAR) || chr(9) || CAST(n AS VARCHAR) FROM ({SQL["stats_read_length"]})
+UNION ALL SELECT 2, insert_size, 'IS' || chr(9) || CAST(insert_size AS VARCHAR) || chr(9) || CAST(n AS VARCHAR) FROM ({SQL["stats_insert_size"]})
+UNION ALL SELECT 3, gc_percent, 'GCF' || chr(9) || CAST(gc_percent AS VARCHAR) || chr(9) || CAST(n AS VARCHAR) FROM ({SQL["stats_gc"]})
+UNION ALL SELECT 4, mapq, 'MAPQ' || chr(9) || CAST(mapq AS VARCHAR) || chr(9) || CAST(n AS VARCHAR) FROM ({SQL["stats_mapq"]})"""
+_DUPLICATES = ["read", "written", "excluded", "examined", "paired", "single", "duplicate_pair", "duplicate_single", "duplicate_total", "duplicate_optical"]
+SQL["markdup_report"] = f"""SELECT CAST(k AS INT) AS place, text FROM ({SQL["markdup_stats"]}), LATERAL (VALUES (0, 'COMMAND: markdup'), {", ".join(f"({k + 1}, '{c.replace('_', ' ').upper()} ' || CAST({c} AS VARCHAR))" for k, c in enumerate(_DUPLICATES))}) AS t(k, text)"""
+
 # Missing integers show as -1, as in the queries.
 _SHOW = {
     **dict.fromkeys(["view_require", "view_exclude", "view_mapq", "view_region", "view_multi_region", "view_exclude_region", "head"], ("tid", "pos", "mapq")),
@@ -243,6 +278,9 @@ _SHOW = {
     "reheader": ("tid",),
     "fixmate": ("mtid", "mpos", "ms"),
     "calmd_nm": ("nm",),
+    "fixmate_runs": ("mtid", "mpos"),
+    **dict.fromkeys(["bam_file", "sam_file"], ("tid", "pos", "mapq", "mtid", "mpos", "nm")),
+    "view_file": ("tid", "pos", "mapq", "mtid", "mpos"),
     "calmd_md_nm": ("nm",),
     "ampliconclip": ("pos",),
     "ampliconclip_hard": ("pos",),

@@ -10,7 +10,12 @@ from readloom.fixtures import relation
 from readloom.functions.cigar import end_position, has, mapped, placed, primary
 from readloom.functions.cigar import base_quality_sum as quality_sum
 from readloom.functions.cigar import unclipped_5_prime
+from readloom.functions.tags import tag, to_fields, with_tags
 from readloom.operators import counts, depth, duplicates, filters, headers, intervals, mates, ordering, pileup, sequences
+from readloom.plans import render
+from readloom.schema import READS
+from readloom.session import new_path
+from readloom.sources import bam, lines
 
 QUERIES = {}
 #: Integer columns that may be missing; results show -1 there, so that all engines keep them integers.
@@ -38,6 +43,126 @@ def _halves(reads):
 
 
 SHOWN = ["ord", "qname", "flag", "tid", "pos", "mapq", "cigar"]
+FIELDS = [f.name for f in READS if f.name not in ("ord", "tags")]
+
+
+def _tagged(spark, sf_dir):
+    """The reads with tags made from their columns."""
+    tags = {"NM": ("i", F.col("mapq")), "XZ": ("Z", F.when(F.col("cigar") != "", F.col("cigar"))), "XA": ("A", F.substring("rx", 1, 1))}
+    return with_tags(_get(spark, sf_dir, "reads"), tags)
+
+
+def _shown(rows):
+    return rows.select(*FIELDS, tag("NM").cast("int").alias("nm"), tag("XZ").alias("xz"), tag("XA").alias("xa"))
+
+
+def _bam_file(spark, sf_dir):
+    """The reads, written as BAM files and read back."""
+    contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "bam")
+    bam.register(spark)
+    rows = _tagged(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in READS])
+    rows.write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
+    return spark.read.format("bam").load(path)
+
+
+def _sam_file(spark, sf_dir):
+    """The reads, written as SAM text and read back; and the path."""
+    contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "sam")
+    groups = spark.createDataFrame([("rg0", "s"), ("rg1", None)], "id string, sm string")
+    lines.write_sam(_tagged(spark, sf_dir), contigs, path, read_groups=groups)
+    return lines.read_sam(spark, path), path
+
+
+@query
+def bam_file(spark, sf_dir):
+    return _shown(_bam_file(spark, sf_dir))
+
+
+@query
+def sam_file(spark, sf_dir):
+    return _shown(_sam_file(spark, sf_dir)[0])
+
+
+@query
+def sam_header(spark, sf_dir):
+    return lines.sam_header(spark, _sam_file(spark, sf_dir)[1])["contigs"]
+
+
+@query
+def flagstat_file(spark, sf_dir):
+    return counts.flagstat(_bam_file(spark, sf_dir))
+
+
+@query
+def view_file(spark, sf_dir):
+    return filters.view(_bam_file(spark, sf_dir), require=0x1, exclude=0xF04, min_mapq=20).select(*FIELDS)
+
+
+@query
+def split_files(spark, sf_dir):
+    path = new_path(spark, "split")
+    lines.write_split(_tagged(spark, sf_dir), path, tag="XZ")
+    return spark.read.parquet(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _fasta_path(spark, sf_dir):
+    path = new_path(spark, "fasta")
+    lines.write_fasta(_get(spark, sf_dir, "transcripts"), path, width=60)
+    return path
+
+
+@query
+def fasta_file(spark, sf_dir):
+    return lines.read_fasta(spark, _fasta_path(spark, sf_dir))
+
+
+@query
+def fai_file(spark, sf_dir):
+    return lines.fasta_index(spark, _fasta_path(spark, sf_dir))
+
+
+def _fastq_path(spark, sf_dir):
+    path = new_path(spark, "fastq")
+    lines.write_fastq(mates.fastq(_get(spark, sf_dir, "reads"), suffix=True), path)
+    return path
+
+
+@query
+def fastq_files(spark, sf_dir):
+    """The records of all sinks, each a folder of text files."""
+    path, out = _fastq_path(spark, sf_dir), None
+    for sink in ("r1", "r2", "singleton"):
+        part = lines.read_fastq(spark, f"{path}/sink={sink}").select(F.lit(sink).alias("sink"), "header", "seq", "qual")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def fqi_file(spark, sf_dir):
+    return lines.fastq_index(spark, f"{_fastq_path(spark, sf_dir)}/sink=r1")
+
+
+@query
+def bed_file(spark, sf_dir):
+    bed, contigs = _get(spark, sf_dir, "bed", "contigs")
+    path = new_path(spark, "bed")
+    lines.write_bed(bed, contigs, path)
+    return lines.read_bed(spark, path, contigs).select("iv", F.col("tid").cast("int").alias("tid"), "name", "bstart", "bend")
+
+
+@query
+def idxstats_report(spark, sf_dir):
+    return render.idxstats_lines(*_get(spark, sf_dir, "reads", "contigs"))
+
+
+@query
+def stats_report(spark, sf_dir):
+    return render.stats_lines(_get(spark, sf_dir, "reads"))
+
+
+@query
+def markdup_report(spark, sf_dir):
+    return render.markdup_lines(_get(spark, sf_dir, "reads"))
 
 
 @query
@@ -201,7 +326,7 @@ def reheader(spark, sf_dir):
 
 @query
 def drop_tags(spark, sf_dir):
-    return _get(spark, sf_dir, "reads").select("ord", F.lit(None).cast("string").alias("rg"), F.lit(None).cast("string").alias("rx"))
+    return filters.drop_tags(_tagged(spark, sf_dir)).select("ord", "qname", "flag", "rg", "rx", F.size("tags").alias("n_tags"))
 
 
 @query
@@ -298,6 +423,27 @@ def fixmate(spark, sf_dir):
     return mates.fixmate(_get(spark, sf_dir, "reads"), add_tags=True).select("ord", "flag", "mtid", "mpos", "tlen", "mc", "ms")
 
 
+@query
+def fixmate_runs(spark, sf_dir):
+    """Mates are sought in runs of one name in input order; a name that comes again later is another template."""
+    reads = _get(spark, sf_dir, "reads").withColumn("qname", F.expr("concat('T', cast((ord div 4) % 50 as string))"))
+    return mates.fixmate(mates.islands(reads), group="island").select("ord", "flag", "mtid", "mpos", "tlen")
+
+
+@query
+def fixmate_tags(spark, sf_dir):
+    rows = mates.fixmate(_get(spark, sf_dir, "reads"), add_tags=True)
+    rows = with_tags(rows, {"MC": ("Z", F.col("mc")), "ms": ("i", F.col("ms"))})
+    return rows.select("ord", F.array_join(to_fields(F.col("tags")), " ").alias("fields"))
+
+
+@query
+def calmd_tags(spark, sf_dir):
+    rows = sequences.calmd(*_get(spark, sf_dir, "reads", "refseq"))
+    rows = with_tags(rows, {"NM": ("i", F.col("nm")), "MD": ("Z", F.col("md"))})
+    return rows.select("ord", F.array_join(to_fields(F.col("tags")), " ").alias("fields"))
+
+
 @query
 def fixmate_remove_unpaired(spark, sf_dir):
     return filters.remove_unpaired(mates.fixmate(_get(spark, sf_dir, "reads"))).select("ord", "flag")

@@ -1,10 +1,13 @@
-"""Text reports from typed results; nothing is computed here beyond formatting."""
+"""Text reports from typed results."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from readloom.operators import counts, duplicates
 
 
 def percent(part: int, whole: int) -> str:
@@ -37,3 +40,53 @@ def table(result: DataFrame, header: bool = True, digits: int = 4) -> str:
     for row in result.collect():
         lines.append("\t".join(f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v) for v in row))
     return "\n".join(lines) + "\n"
+
+
+def _fields(*parts):
+    return F.concat_ws("\t", *[p.cast("string") for p in parts])
+
+
+def idxstats_lines(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(place, text): the report's lines, contigs in their order and then the rows without a place."""
+    rows = counts.idxstats(reads, contigs).alias("r").join(contigs.select("tid", "name").alias("c"), F.col("r.name") == F.col("c.name"), "left")
+    place = F.coalesce(F.col("c.tid").cast("long"), F.lit(1 << 40))
+    return rows.select(place.alias("place"), _fields(*[F.col(f"r.{c}") for c in ("name", "length", "mapped", "unmapped")]).alias("text"))
+
+
+# The summary's labels in their order, with the columns that they show.
+SUMMARY = {
+    "raw total sequences": "raw_total",
+    "filtered sequences": "filtered",
+    "reads mapped": "reads_mapped",
+    "reads unmapped": "reads_unmapped",
+    "reads duplicated": "reads_duplicated",
+    "reads QC failed": "reads_qc_failed",
+    "reads paired": "reads_paired",
+    "reads properly paired": "reads_properly_paired",
+    "reads MQ0": "reads_mq0",
+    "total bases": "total_length",
+    "bases mapped": "bases_mapped",
+    "bases mapped (cigar)": "bases_mapped",
+    "bases N": "bases_n",
+}
+
+
+def stats_lines(reads: DataFrame, **options) -> DataFrame:
+    """(section, place, text): the summary lines, then the histograms of lengths, insert sizes, GC and mapping qualities."""
+    kept = counts.stats_input(reads, **options)
+    row = counts.stats_summary(reads, **options).crossJoin(kept.agg(F.count_if(F.col("mapq") == 0).alias("reads_mq0")))  # one row each
+    lines = [_fields(F.lit("SN"), F.lit(f"{label}:"), F.col(c)) for label, c in SUMMARY.items()]
+    lines.append(_fields(F.lit("SN"), F.lit("average MAPQ:"), F.format_string("%.2f", "average_mapq")))
+    out = row.select(F.posexplode(F.array(*lines)).alias("place", "text")).select(F.lit(0).alias("section"), F.col("place").cast("long").alias("place"), "text")
+    parts = [("RL", counts.read_lengths, "read_length"), ("IS", counts.insert_sizes, "insert_size"), ("GCF", counts.gc_content, "gc_percent"), ("MAPQ", counts.mapping_qualities, "mapq")]
+    for k, (name, f, key) in enumerate(parts):
+        rows = f(reads, **options)
+        out = out.unionByName(rows.select(F.lit(k + 1).alias("section"), F.col(key).cast("long").alias("place"), _fields(F.lit(name), F.col(key), F.col("n")).alias("text")))
+    return out
+
+
+def markdup_lines(reads: DataFrame, **options) -> DataFrame:
+    """(place, text): the report of marked duplicates."""
+    row = duplicates.report(reads, **options)
+    lines = [F.concat(F.lit(f"{c.replace('_', ' ').upper()} "), F.col(c).cast("string")) for c in row.columns]
+    return row.select(F.posexplode(F.array(F.lit("COMMAND: markdup"), *lines)).alias("place", "text"))

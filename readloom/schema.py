@@ -23,5 +23,7 @@ READS = T.StructType(
         T.StructField("qual", T.StringType()),
         T.StructField("rg", T.StringType()),
         T.StructField("rx", T.StringType()),
+        # rg and rx are the tags RG and RX as columns of their own; writers put them in the place of those.
+        T.StructField("tags", T.MapType(T.StringType(), T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))),
     ]
 )

@@ -3,18 +3,25 @@
 A file is cut into ranges of compressed blocks. A task starts at the first record
 that begins in its range and reads past the end until a record would begin outside
 it. The writer gives each task a complete file with header, and moves the files
-into place when the job commits. Paths must be visible to the workers.
+into place when the job commits. Paths are plain ones or URIs of any file system that
+pyarrow opens (file, hdfs, s3, gs); all workers must reach them.
+
+Options: read `split` (bytes of a range); write `contigs` (JSON list of [name, length]
+in order of tid) and `header` (header lines before the contigs).
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import json
+import posixpath
+import re
 import struct
 import uuid
 import zlib
 from dataclasses import dataclass
 
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from readloom.schema import READS
@@ -26,6 +33,23 @@ OPS = "MIDNSHP=X"
 BLOCK = 65280
 
 
+def located(path: str):
+    """(file system, path in it)."""
+    if re.match(r"[a-z0-9]+:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
+def opened(path: str):
+    where, inner = located(path)
+    return where.open_input_file(inner)
+
+
+def size_of(path: str) -> int:
+    where, inner = located(path)
+    return where.get_file_info(inner).size
+
+
 def compress(data: bytes, level: int = 6) -> bytes:
     """The data as blocks, without the end marker."""
     out = []
@@ -53,7 +77,7 @@ def block_size(head: bytes) -> int | None:
 
 def blocks(path: str, start: int = 0):
     """(offset, data) of the blocks from the first that starts at or after start."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(start)
         if start:
             window = f.read(1 << 17)
@@ -121,6 +145,44 @@ def plausible(data: bytes, at: int, contigs: int, chain: int = 4) -> bool:
     return True
 
 
+# Fixed values of the format: the number kinds of tags.
+NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
+
+
+def shown(x) -> str:
+    return str(x) if isinstance(x, int) else f"{x:.9g}"
+
+
+def tag_value(data: bytes, at: int, kind: str) -> tuple[str, int]:
+    """The value of a tag as text, and where it ends."""
+    if kind in "ZH":
+        stop = data.index(b"\0", at)
+        return data[at:stop].decode(), stop + 1
+    if kind == "A":
+        return chr(data[at]), at + 1
+    if kind == "B":
+        inner, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
+        form = f"<{n}{NUMBERS[inner][1]}"
+        return ",".join([inner, *map(shown, struct.unpack_from(form, data, at + 5))]), at + 5 + struct.calcsize(form)
+    return shown(struct.unpack_from(NUMBERS[kind], data, at)[0]), at + struct.calcsize(NUMBERS[kind])
+
+
+def tag_bytes(name: str, kind: str, value: str) -> bytes:
+    """A tag as bytes; whole numbers take 32 bits."""
+    head = name.encode()
+    if kind in "ZH":
+        return head + kind.encode() + value.encode() + b"\0"
+    if kind == "A":
+        return head + b"A" + value[:1].encode()
+    if kind == "B":
+        inner, *numbers = value.split(",")
+        number = float if inner == "f" else int
+        return head + b"B" + inner.encode() + struct.pack(f"<i{len(numbers)}{NUMBERS[inner][1]}", len(numbers), *map(number, numbers))
+    if kind == "f":
+        return head + b"f" + struct.pack("<f", float(value))
+    return head + (b"I" if int(value) > 0x7FFFFFFF else b"i") + struct.pack("<I" if int(value) > 0x7FFFFFFF else "<i", int(value))
+
+
 def decode(data: bytes, at: int) -> tuple:
     """The columns of READS but ord, of the record whose fixed part starts at this byte."""
     size = struct.unpack_from("<i", data, at - 4)[0]
@@ -137,21 +199,11 @@ def decode(data: bytes, at: int) -> tuple:
     tags, at = {}, at + bases
     while at < end:
         key, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            stop = data.index(b"\0", at)
-            tags[key] = data[at:stop].decode()
-            at = stop + 1
-        elif kind == "B":
-            width, n = {"c": 1, "C": 1, "s": 2, "S": 2}.get(chr(data[at]), 4), struct.unpack_from("<i", data, at + 1)[0]
-            at += 5 + width * n
-        else:
-            if kind == "A":
-                tags[key] = chr(data[at])
-            at += {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2}.get(kind, 4)
+        value, at = tag_value(data, at + 3, kind)
+        tags.setdefault(key, ("i" if kind in "cCsSI" else kind, value))
     known = lambda x: None if x < 0 else x
     place = lambda x: None if x < 0 else x + 1
-    return (None if qname == "*" else qname, flag, known(tid), place(pos), None if mapq == 255 else mapq, cigar, known(mtid), place(mpos), tlen, seq, qual, tags.get("RG"), tags.get("RX"))
+    return (None if qname == "*" else qname, flag, known(tid), place(pos), None if mapq == 255 else mapq, cigar, known(mtid), place(mpos), tlen, seq, qual, *(tags[k][1] if k in tags else None for k in ("RG", "RX")), tags)
 
 
 def region_bin(begin: int, end: int) -> int:
@@ -196,30 +248,40 @@ def encode(row) -> bytes:
     body += name + struct.pack(f"<{len(ops)}I", *[k << 4 | OPS.index(c) for k, c in ops])
     body += bytes(codes[k] << 4 | codes[k + 1] for k in range(0, len(codes), 2))
     body += bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
-    for tag in ("rg", "rx"):
-        if row[tag] is not None:
-            body += tag.upper().encode() + b"Z" + row[tag].encode() + b"\0"
+    names = row.__fields__
+    own = {c.upper(): ("Z", row[c]) for c in ("rg", "rx") if c in names}
+    held = {k: (v["type"], v["value"]) for k, v in ((row["tags"] or {}) if "tags" in names else {}).items() if k not in own}
+    body += b"".join(tag_bytes(k, *v) for k, v in (held | own).items() if v[1] is not None)
     return struct.pack("<i", len(body)) + body
 
 
 @dataclass
 class Range(InputPartition):
     path: str
-    file: int
+    base: int  # bytes of the files before
     begin: int
     end: int
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(p for x in options["path"].split(",") for p in (glob.glob(f"{x}/*.bam") if os.path.isdir(x) else glob.glob(x)))
+        self.paths = sorted(p for x in options["path"].split(",") for p in self._files(x))
         self.split = int(options.get("split", 64 << 20))
 
+    @staticmethod
+    def _files(path: str) -> list[str]:
+        where, inner = located(path)
+        if where.get_file_info(inner).type != fs.FileType.Directory:
+            return [path]
+        names = [f.base_name for f in where.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".bam") and not f.base_name.startswith(".")]
+        return [f"{path.rstrip('/')}/{n}" for n in names]
+
     def partitions(self):
-        out = []
-        for k, path in enumerate(self.paths):
-            size = os.path.getsize(path)
-            out += [Range(path, k, at, min(at + self.split, size)) for at in range(0, size, self.split)]
+        out, base = [], 0
+        for path in self.paths:
+            size = size_of(path)
+            out += [Range(path, base, at, min(at + self.split, size)) for at in range(0, size, self.split)]
+            base += size
         return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range):
@@ -245,8 +307,8 @@ class BamReader(DataSourceReader):
                 first, start = next((b, o) for b, o in reversed(owner) if b <= at)
                 if start >= part.end:
                     return
-                # Unique and in file order: file, block offset, place in the block.
-                yield (part.file << 58 | start << 16 | at - first, *decode(data, at + 4))
+                # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
+                yield ((part.base + start) << 16 | at - first, *decode(data, at + 4))
                 n += 1
                 at += 4 + struct.unpack_from("<i", data, at)[0]
             cut = max((b for b, _ in owner if b <= at), default=0)
@@ -264,20 +326,24 @@ class Written(WriterCommitMessage):
 
 class BamWriter(DataSourceWriter):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
         self.header = options.get("header", "@HD\tVN:1.6\tSO:unsorted\n")
-        self.contigs = [(x.split(":")[0], int(x.split(":")[1])) for x in options.get("contigs", "").split(",") if x]
-        os.makedirs(self.path, exist_ok=True)
+        self.contigs = [(name, int(length)) for name, length in json.loads(options.get("contigs", "[]"))]
+        self.job = uuid.uuid4().hex[:12]
+        where, inner = located(self.path)
+        where.create_dir(inner, recursive=True)
 
     def write(self, rows):
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():05d}.bam"
-        temporary = f"{self.path}/.{name}-{uuid.uuid4().hex}"
-        text = (self.header + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)).encode()
+        name = f"part-{TaskContext.get().partitionId():05d}-{self.job}.bam"
+        temporary = f".{name}-{uuid.uuid4().hex}"
+        lines = "" if "@SQ\t" in self.header else "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)
+        text = (self.header + lines).encode()
         head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.contigs))
-        head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in self.contigs)
-        with open(temporary, "wb") as f:
+        head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in self.contigs)
+        where, inner = located(self.path)
+        with where.open_output_stream(posixpath.join(inner, temporary)) as f:
             f.write(compress(head))
             held, size = [], 0
             for row in rows:
@@ -290,14 +356,16 @@ class BamWriter(DataSourceWriter):
         return Written(temporary, name)
 
     def commit(self, messages):
+        where, inner = located(self.path)
         for m in messages:
             if m:
-                os.replace(m.temporary, f"{self.path}/{m.name}")
+                where.move(posixpath.join(inner, m.temporary), posixpath.join(inner, m.name))
 
     def abort(self, messages):
+        where, inner = located(self.path)
         for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and where.get_file_info(posixpath.join(inner, m.temporary)).type == fs.FileType.File:
+                where.delete_file(posixpath.join(inner, m.temporary))
 
 
 class BamDataSource(DataSource):
@@ -320,15 +388,21 @@ def register(spark) -> None:
     spark.dataSource.register(BamDataSource)
 
 
+def contig_option(contigs: DataFrame) -> str:
+    """The writer's option `contigs`: a header names its contigs in the driver's memory anyway."""
+    return json.dumps([(r.name, int(r.length)) for r in contigs.orderBy("tid").select("name", "length").collect()])
+
+
 def quickcheck(path: str, unrecognized_ok: bool = False) -> str | None:
     """What is wrong with a file: None if its magic, header and end marker are in place."""
-    with open(path, "rb") as f:
+    size = size_of(path) or 0
+    if size < 2:
+        return "too short"
+    with opened(path) as f:
         head = f.read(4)
-        if len(head) < 2:
-            return "too short"
         if head[:2] != b"\x1f\x8b":
             return None if unrecognized_ok else "not compressed in blocks"
-        f.seek(max(0, os.path.getsize(path) - len(EOF_BLOCK)))
+        f.seek(max(0, size - len(EOF_BLOCK)))
         tail = f.read()
     try:
         read_header(path)
@@ -337,8 +411,21 @@ def quickcheck(path: str, unrecognized_ok: bool = False) -> str | None:
     return None if tail == EOF_BLOCK else "no end marker"
 
 
+def quickcheck_files(spark: SparkSession, paths: list[str], unrecognized_ok: bool = False) -> DataFrame:
+    """(path, problem) of many files, looked at by the workers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column("path").to_pylist()
+            yield pa.record_batch({"path": pa.array(own, pa.string()), "problem": pa.array([quickcheck(p, unrecognized_ok) for p in own], pa.string())})
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, "path string, problem string")
+
+
 def detect_format(path: str) -> str:
     """bam, cram or sam, by the first bytes."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         head = f.read(4)
     return "cram" if head == b"CRAM" else "bam" if head[:2] == b"\x1f\x8b" else "sam"

@@ -1,11 +1,14 @@
-"""Text formats: SAM, FASTA, FASTQ and BED, read and written by Spark's text source."""
+"""Text formats: SAM, FASTA, FASTQ and BED, read and written by Spark's text source, and their indexes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.text import parse_read_group
+from readloom.functions.tags import complete, from_fields, tag, to_fields
+from readloom.operators import counts, mates
+from readloom.operators.ordering import numbered
+from readloom.schema import READS
 from readloom.session import stash
 
 
@@ -25,40 +28,33 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def sam_header(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Side tables of the header lines: contigs, read_groups, programs, comments."""
-    lines = spark.read.text(path).where(F.col("value").startswith("@")).where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)\t"))
-    rows = [r.value for r in numbered(lines).collect()]  # a header is small: one line per contig, group or program
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_m")).where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)\t"))
+    lines = stash(lines, "header")
 
-    def fields(line):
-        return dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x)
+    def of(kind, **fields):
+        own = lines.where(F.col("value").startswith(f"@{kind}\t"))
+        return own.select("_m", *[F.regexp_extract("value", rf"\t{key}:([^\t]*)", 1).alias(c) for c, key in fields.items()])
 
-    contigs = [(k, f["SN"], int(f["LN"])) for k, f in enumerate(fields(x) for x in rows if x.startswith("@SQ"))]
-    groups = [(f["ID"], f.get("SM"), f.get("LB"), f.get("PL")) for f in (parse_read_group(x) for x in rows if x.startswith("@RG"))]
-    programs = [(f.get("ID"), f.get("PN"), f.get("VN"), f.get("CL"), f.get("PP")) for f in (fields(x) for x in rows if x.startswith("@PG"))]
+    def table(kind, **fields):
+        rows = of(kind, **fields)
+        return rows.orderBy("_m").select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in fields])
+
+    contigs = numbered(of("SQ", name="SN", length="LN"), [F.col("_m")], "_n")
     return {
-        "contigs": spark.createDataFrame(contigs, "tid int, name string, length int"),
-        "read_groups": spark.createDataFrame(groups, "id string, sm string, lb string, pl string"),
-        "programs": spark.createDataFrame(programs, "id string, pn string, vn string, cl string, pp string"),
-        "comments": spark.createDataFrame([(x[4:],) for x in rows if x.startswith("@CO")], "comment string"),
+        "contigs": contigs.select((F.col("_n") - 1).cast("int").alias("tid"), "name", F.col("length").cast("int").alias("length")),
+        "read_groups": table("RG", id="ID", sm="SM", lb="LB", pl="PL", pu="PU", cn="CN", dt="DT", pi="PI", ds="DS"),
+        "programs": table("PG", id="ID", pn="PN", vn="VN", cl="CL", pp="PP"),
+        "comments": lines.where(F.col("value").startswith("@CO\t")).orderBy("_m").select(F.substring("value", 5, 1 << 30).alias("comment")),
     }
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("_m", F.monotonically_increasing_id()).orderBy("_m").drop("_m")
-
-
 def read_sam(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
     """The alignments relation of SAM text."""
     contigs = contigs if contigs is not None else sam_header(spark, path)["contigs"]
     f = F.split("value", "\t")
-    rest = F.concat(F.lit("\t"), F.array_join(F.slice(f, 12, 1 << 20), "\t"))
-
     def none(c, missing):
         return F.when(c != missing, c)
 
-    def tag(name):
-        found = F.regexp_extract(rest, rf"\t{name}:[AZH]:([^\t]*)", 1)
-        return F.when(rest.rlike(rf"\t{name}:[AZH]:"), found)
-
     rows = numbered_lines(spark, path).where(~F.col("value").startswith("@") & (F.size(f) >= 11)).select(
         F.col("n").alias("ord"),
         none(f[0], "*").alias("qname"),
@@ -72,19 +68,19 @@ def read_sam(spark: SparkSession, path: str, contigs: DataFrame | None = None) -
         f[8].cast("int").alias("tlen"),
         F.coalesce(none(f[9], "*"), F.lit("")).alias("seq"),
         F.coalesce(none(f[10], "*"), F.lit("")).alias("qual"),
-        tag("RG").alias("rg"),
-        tag("RX").alias("rx"),
-    )
+        from_fields(F.slice(f, 12, 1 << 20)).alias("tags"),
+    ).withColumns({"rg": tag("RG"), "rx": tag("RX")})
     for column, ref in (("tid", "_ref"), ("mtid", "_mref")):
-        names = F.broadcast(contigs.select(F.col("tid").alias(column), F.col("name").alias(ref)))
+        names = contigs.select(F.col("tid").alias(column), F.col("name").alias(ref))
         rows = rows.join(names, ref, "left")
-    return rows.select("ord", "qname", "flag", "tid", "pos", "mapq", "cigar", "mtid", "mpos", "tlen", "seq", "qual", "rg", "rx")
+    return rows.select(*[f.name for f in READS])
 
 
 def sam_lines(reads: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(ord, value): the SAM line of each row."""
+    """(ord, value): the SAM line of each row, with all its tags."""
+    reads = reads.withColumn("tags", complete(reads))
     for column in ("tid", "mtid"):
-        names = F.broadcast(contigs.select(F.col("tid").alias(column), F.col("name").alias(f"_{column}")))
+        names = contigs.select(F.col("tid").alias(column), F.col("name").alias(f"_{column}"))
         reads = reads.join(names, column, "left")
     mate = F.when(F.col("mtid").isNull(), "*").when(F.col("mtid") == F.col("tid"), "=").otherwise(F.col("_mtid"))
 
@@ -94,43 +90,103 @@ def sam_lines(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     def number(c, missing=0):
         return F.coalesce(F.col(c), F.lit(missing)).cast("string")
 
-    tags = [F.concat(F.lit(f"{t.upper()}:Z:"), F.col(t)) for t in ("rg", "rx")]
-    line = F.concat_ws("\t", F.coalesce("qname", F.lit("*")), number("flag"), F.coalesce("_tid", F.lit("*")), number("pos"), number("mapq", 255), star("cigar"), mate, number("mpos"), number("tlen"), star("seq"), star("qual"), *tags)
+    line = F.concat_ws("\t", F.coalesce("qname", F.lit("*")), number("flag"), F.coalesce("_tid", F.lit("*")), number("pos"), number("mapq", 255), star("cigar"), mate, number("mpos"), number("tlen"), star("seq"), star("qual"), to_fields(F.col("tags")))
     return reads.select("ord", line.alias("value"))
 
 
-def sam_header_lines(contigs: DataFrame, read_groups: DataFrame | None = None, order: str = "unsorted") -> list[str]:
-    """Header lines of the side tables, which are small."""
-    lines = [f"@HD\tVN:1.6\tSO:{order}"]
-    lines += [f"@SQ\tSN:{r.name}\tLN:{r.length}" for r in contigs.orderBy("tid").collect()]
-    if read_groups is not None:
-        lines += ["\t".join([f"@RG\tID:{r.id}", *([f"SM:{r.sm}"] if r.sm else [])]) for r in read_groups.collect()]
-    return lines
+def header_lines(contigs: DataFrame, read_groups: DataFrame | None = None, programs: DataFrame | None = None, comments: DataFrame | None = None, order: str = "unsorted") -> DataFrame:
+    """(section, n, value): the header lines of the side tables."""
+    spark = contigs.sparkSession
+
+    def fields(rows, kind, **keys):
+        parts = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))) for c, k in keys.items() if c in rows.columns]
+        return F.concat_ws("\t", F.lit(kind), *parts)
 
+    out = spark.createDataFrame([(0, 0, f"@HD\tVN:1.6\tSO:{order}")], "section int, n long, value string")
+    out = out.unionByName(contigs.select(F.lit(1).alias("section"), F.col("tid").cast("long").alias("n"), fields(contigs, "@SQ", name="SN", length="LN").alias("value")))
+    sides = [(2, read_groups, "@RG", {"id": "ID", "sm": "SM", "lb": "LB", "pl": "PL", "pu": "PU", "cn": "CN", "dt": "DT", "pi": "PI", "ds": "DS"}), (3, programs, "@PG", {"id": "ID", "pn": "PN", "vn": "VN", "cl": "CL", "pp": "PP"})]
+    for section, rows, kind, keys in sides:
+        if rows is not None:
+            out = out.unionByName(rows.select(F.lit(section).alias("section"), F.monotonically_increasing_id().alias("n"), fields(rows, kind, **keys).alias("value")))
+    if comments is not None:
+        out = out.unionByName(comments.select(F.lit(4).alias("section"), F.monotonically_increasing_id().alias("n"), F.concat(F.lit("@CO\t"), "comment").alias("value")))
+    return out
 
-def write_sam(reads: DataFrame, contigs: DataFrame, path: str, *, header: bool = True, order: str = "unsorted") -> None:
-    """Part files of SAM text in the order of `ord`; the header leads the first."""
-    rows = sam_lines(reads, contigs)
+
+def write_sam(reads: DataFrame, contigs: DataFrame, path: str, *, header: bool = True, order: str = "unsorted", **sides: DataFrame) -> None:
+    """Part files of SAM text in the order of `ord`; the header, with the side tables read_groups, programs and comments, leads the first."""
+    rows = sam_lines(reads, contigs).select(F.lit(9).alias("section"), F.col("ord").alias("n"), "value")
     if header:
-        lines = sam_header_lines(contigs, order=order)
-        head = reads.sparkSession.createDataFrame([(k - len(lines), v) for k, v in enumerate(lines)], "ord long, value string")
-        rows = head.unionByName(rows)
-    rows.orderBy("ord").select("value").write.text(path)
+        rows = header_lines(contigs, order=order, **sides).unionByName(rows)
+    rows.orderBy("section", "n").select("value").write.text(path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(tid, name, sequence): one row per sequence, in order."""
+    rows, names = _fasta_lines(spark, path)
+    text = rows.groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))), lambda x: x["v"]), "").alias("sequence"))
+    return names.join(text, "_of", "left").select("tid", "name", F.coalesce("sequence", F.lit("")).alias("sequence"))
+
+
+def fasta_chunks(spark: SparkSession, path: str, lines: int = 1 << 12) -> DataFrame:
+    """(tid, name, chunk, text): the sequences in pieces of so many lines, for references whose sequences do not fit a row."""
+    rows, names = _fasta_lines(spark, path)
+    rows = rows.withColumn("chunk", F.floor((F.col("n") - F.col("_of") - 1) / lines))
+    text = rows.groupBy("_of", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))), lambda x: x["v"]), "").alias("text"))
+    return names.join(text, "_of").select("tid", "name", "chunk", "text")
+
+
+def _fasta_lines(spark: SparkSession, path: str):
+    """Lines of bases (n, value, _of) with the number of the name line they belong to, and the names (_of, tid, name), numbered by themselves."""
     rows = numbered_lines(spark, path).where(F.col("value") != "")
     # Lines belong to the last name line before them: its number is a running maximum over blocks of lines.
     rows = rows.withColumns({"_b": F.floor(F.col("n") / (1 << 16)), "_h": F.when(F.col("value").startswith(">"), F.col("n"))})
     blocks = rows.groupBy("_b").agg(F.max("_h").alias("_last"))
+    # One row per 65,536 lines: they are numbered in blocks of their own, then looked up by an equi join.
     blocks = blocks.select("_b", F.max("_last").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
     within = F.max("_h").over(Window.partitionBy("_b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_in", within).join(F.broadcast(blocks), "_b").withColumn("_of", F.coalesce("_in", "_open"))
+    rows = rows.withColumn("_in", within).join(blocks, "_b").withColumn("_of", F.coalesce("_in", "_open"))
     names = rows.where("_h IS NOT NULL").select("_of", F.split(F.substring("value", 2, 1 << 20), r"\s", 2)[0].alias("name"))
-    text = rows.where("_h IS NULL").groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("value").alias("v")))), lambda x: x["v"]), "").alias("sequence"))
-    out = names.join(text, "_of", "left").select("_of", "name", F.coalesce("sequence", F.lit("")).alias("sequence"))
-    return out.select((F.row_number().over(Window.orderBy("_of")) - 1).alias("tid"), "name", "sequence")
+    names = numbered(names, [F.col("_of")], "_n").select("_of", (F.col("_n") - 1).cast("int").alias("tid"), "name")
+    return rows.where("_h IS NULL").select("n", "value", "_of"), names
+
+
+def write_fasta(reference: DataFrame, path: str, width: int = 60) -> None:
+    """Part files of FASTA text in the order of tid, lines of `width` bases."""
+    places = F.sequence(F.lit(1), F.greatest(F.length("sequence"), F.lit(1)), F.lit(width))
+    lines = F.filter(F.transform(places, lambda at: F.substring(F.col("sequence"), at, F.lit(width))), lambda x: x != "")
+    rows = reference.select("tid", F.posexplode(F.concat(F.array(F.concat(F.lit(">"), "name")), lines)).alias("k", "value"))
+    rows.orderBy("tid", "k").select("value").write.text(path)
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """(tid, name, length, offset, line_bases, line_width) of each sequence of a FASTA file: where its bases start and how its first line is cut.
+
+    Offsets are bytes of the file, or of the files one after the other, with one byte at the end of each line.
+    """
+    lines = numbered_lines(spark, path).withColumn("_bytes", (F.octet_length("value") + 1).cast("long")).withColumn("_b", F.floor(F.col("n") / (1 << 16)))
+    blocks = lines.groupBy("_b").agg(F.sum("_bytes").alias("_sum"))
+    blocks = blocks.select("_b", (F.sum("_sum").over(Window.orderBy("_b")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_bytes").over(Window.partitionBy("_b").orderBy("n"))
+    ends = lines.withColumn("_end", inside).join(blocks, "_b").where(F.col("value").startswith(">")).select(F.col("n").alias("_of"), (F.col("_before") + F.col("_end")).alias("offset"))
+    rows, names = _fasta_lines(spark, path)
+    size = F.octet_length(F.rtrim("value"))
+    per = rows.groupBy("_of").agg(F.sum(size).alias("length"), F.min_by(size, "n").alias("bases"), F.min_by(F.octet_length("value") + 1, "n").alias("width"))
+    zero = F.lit(0)
+    return names.join(ends, "_of").join(per, "_of", "left").select("tid", "name", F.coalesce("length", zero).cast("long").alias("length"), "offset", F.coalesce("bases", zero).cast("long").alias("line_bases"), F.coalesce("width", zero).cast("long").alias("line_width"))
+
+
+def fastq_index(spark: SparkSession, path: str) -> DataFrame:
+    """(n, name, length, seq_offset, qual_offset) of each record of a FASTQ file."""
+    lines = numbered_lines(spark, path).withColumn("_bytes", (F.octet_length("value") + 1).cast("long")).withColumn("_b", F.floor(F.col("n") / (1 << 16)))
+    blocks = lines.groupBy("_b").agg(F.sum("_bytes").alias("_sum"))
+    blocks = blocks.select("_b", (F.sum("_sum").over(Window.orderBy("_b")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_bytes").over(Window.partitionBy("_b").orderBy("n")) - F.col("_bytes")
+    rows = lines.withColumn("_at", inside).join(blocks, "_b").select(F.floor(F.col("n") / 4).alias("n"), (F.col("n") % 4).alias("k"), "value", (F.col("_before") + F.col("_at")).alias("at"))
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = rows.groupBy("n").agg(pick(0, "value").alias("header"), pick(1, "value").alias("seq"), pick(1, "at").alias("seq_offset"), pick(3, "at").alias("qual_offset"))
+    wide = wide.where("qual_offset IS NOT NULL AND header LIKE '@%'")
+    return wide.select("n", F.split(F.substring("header", 2, 1 << 20), r"\s", 2)[0].alias("name"), F.octet_length("seq").cast("long").alias("length"), "seq_offset", "qual_offset")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -145,12 +201,24 @@ def read_bed(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     rows = numbered_lines(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").startswith("track") & (F.size(f) >= 3))
     rows = rows.select(F.col("n").alias("iv"), f[0].alias("_c"), F.get(f, F.lit(3)).alias("name"), *[F.coalesce(F.trim(f[k]).try_cast("int"), F.lit(0)).alias(c) for k, c in ((1, "bstart"), (2, "bend"))])
-    return rows.join(F.broadcast(contigs.select("tid", F.col("name").alias("_c"))), "_c", "left").select("iv", "tid", "name", "bstart", "bend")
+    return rows.join(contigs.select("tid", F.col("name").alias("_c")), "_c", "left").select("iv", "tid", "name", "bstart", "bend")
+
+
+def write_fastq(rows: DataFrame, path: str, fasta: bool = False) -> None:
+    """One folder per sink (r1, r2, orphan, singleton) with the records of mates.fastq() as text, in their order."""
+    text = mates.fastq_text(rows, fasta=fasta)
+    text.repartitionByRange("sink", "ord").sortWithinPartitions("sink", "ord").select("sink", "text").write.partitionBy("sink").text(path)
+
+
+def write_bed(bed: DataFrame, contigs: DataFrame, path: str) -> None:
+    """Part files of BED text in the order of iv."""
+    rows = bed.join(contigs.select("tid", F.col("name").alias("_c")), "tid")
+    rows.select("iv", F.concat_ws("\t", "_c", F.col("bstart").cast("string"), F.col("bend").cast("string"), "name").alias("value")).orderBy("iv").select("value").write.text(path)
 
 
-def write_split(reads: DataFrame, path: str, tag: str = "rg") -> None:
-    """One folder per tag value, "unknown" where it is missing."""
-    reads.withColumn("value", F.coalesce(tag, F.lit("unknown"))).write.partitionBy("value").parquet(path)
+def write_split(reads: DataFrame, path: str, tag: str = "RG") -> None:
+    """One folder per value of a text tag, "unknown" where it is missing or no text."""
+    reads.withColumn("value", counts.tag_value(reads, tag)).write.partitionBy("value").parquet(path)
 
 
 def write_layout(reads: DataFrame, path: str, shift: int = 14) -> None:

@@ -4,8 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.fixtures import relation
+from readloom.functions.tags import tag, with_tags
 from readloom.operators import counts
 from readloom.plans import render
 from readloom.schema import READS
@@ -13,13 +15,24 @@ from readloom.sources import bam, lines
 from readloom.streaming.counts import stream_contig_counts, stream_flagstat
 
 
+NAMES = [f.name for f in READS if f.name not in ("ord", "tags")]
+
+
 def rows_of(df):
-    return sorted(tuple(r) for r in df.select(*[f.name for f in READS if f.name != "ord"]).fillna(-9).fillna("?").collect())
+    rows = df.select(*NAMES, F.to_json("tags").alias("t")).fillna(-9).fillna("?")
+    return sorted((*r[:-1], *sorted(json.loads(r.t).items(), key=repr)) for r in rows.collect())
+
+
+def tagged(reads):
+    """reads with a tag of each kind, and their own RG and RX."""
+    extra = {"NM": ("i", F.col("ord") % 9 - 4), "XI": ("i", F.lit(4_000_000_000)), "XA": ("A", F.substring("rx", 1, 1)), "XZ": ("Z", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("a:b c"), "qname")))}
+    extra |= {"XF": ("f", F.when(F.col("ord") % 2 == 0, F.lit("0.25"))), "XB": ("B", F.concat(F.lit("S,7,"), F.col("ord") % 100)), "XH": ("H", F.lit("1AE3")), "RG": ("Z", F.col("rg")), "RX": ("Z", F.col("rx"))}
+    return with_tags(reads, extra)
 
 
 @pytest.fixture(scope="module")
 def tables(spark, sf_dir):
-    return relation(spark, sf_dir, "reads").cache(), relation(spark, sf_dir, "contigs").selectExpr("cast(tid as int) tid", "name", "cast(length as int) length")
+    return tagged(relation(spark, sf_dir, "reads")).cache(), relation(spark, sf_dir, "contigs").selectExpr("cast(tid as int) tid", "name", "cast(length as int) length")
 
 
 def test_sam_round_trip(spark, tables, tmp_path):
@@ -35,8 +48,7 @@ def test_sam_round_trip(spark, tables, tmp_path):
 def test_bam_round_trip(spark, tables, tmp_path, split):
     reads, contigs = tables
     bam.register(spark)
-    names = ",".join(f"{r.name}:{r.length}" for r in contigs.orderBy("tid").collect())
-    reads.select(*[f.name for f in READS]).coalesce(2).write.format("bam").option("contigs", names).mode("append").save(str(tmp_path / "b"))
+    reads.select(*[f.name for f in READS]).coalesce(2).write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(str(tmp_path / "b"))
     back = spark.read.format("bam").option("split", split).load(str(tmp_path / "b"))
     assert rows_of(back) == rows_of(reads)
     assert back.select("ord").distinct().count() == reads.count()
@@ -46,11 +58,51 @@ def test_bam_round_trip(spark, tables, tmp_path, split):
     cut = tmp_path / "cut.bam"
     cut.write_bytes(open(first, "rb").read()[:-28])
     assert bam.quickcheck(str(cut)) == "no end marker"
+    found = {r.path: r.problem for r in bam.quickcheck_files(spark, [first, str(cut)]).collect()}
+    assert found == {first: None, str(cut): "no end marker"}
     text = tmp_path / "t.sam"
     text.write_text("@HD\n")
     assert bam.quickcheck(str(text)) and bam.quickcheck(str(text), unrecognized_ok=True) is None
 
 
+def test_names_and_headers_survive(spark, tmp_path):
+    contigs = spark.createDataFrame([(0, "HLA-A*01:01,x", 3503), (1, "é", 7)], "tid int, name string, length int")
+    rows = [(0, "q", 0, 1, 5, 9, "1M", None, None, 0, "A", "I", "g1", None, {"XZ": ("Z", "t")})]
+    reads = spark.createDataFrame(rows, READS)
+    reads.write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(str(tmp_path / "b"))
+    reads.write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(str(tmp_path / "b"))
+    files = [str(tmp_path / "b" / f) for f in os.listdir(tmp_path / "b") if f.endswith(".bam")]
+    assert len(files) >= 2 and bam.read_header(files[0])[1] == [("HLA-A*01:01,x", 3503), ("é", 7)]
+    assert spark.read.format("bam").load(f"file://{tmp_path}/b").where("tid = 1 and pos = 5").count() == 2
+    groups = spark.createDataFrame([("g1", "s", None), ("g2", None, "lib")], "id string, sm string, lb string")
+    programs = spark.createDataFrame([("p", "n", None, "c d", None), ("p-1", "n", "1", None, "p")], "id string, pn string, vn string, cl string, pp string")
+    notes = spark.createDataFrame([("a\tb",), ("",)], "comment string")
+    lines.write_sam(reads, contigs, str(tmp_path / "s"), order="coordinate", read_groups=groups, programs=programs, comments=notes)
+    head = lines.sam_header(spark, str(tmp_path / "s"))
+    assert [tuple(r) for r in head["read_groups"].select("id", "sm", "lb").collect()] == [tuple(r) for r in groups.collect()]
+    assert [tuple(r) for r in head["programs"].collect()] == [tuple(r) for r in programs.collect()]
+    assert [r.comment for r in head["comments"].collect()] == ["a\tb", ""]
+    assert lines.read_sam(spark, str(tmp_path / "s")).select(tag("XZ"), "rg").first() == ("t", "g1")
+
+
+def test_a_tag_that_repeats_counts_once(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("q\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI\tXA:Z:1\tXA:Z:2\tbad\tXB:Z:\n")
+    contigs = spark.createDataFrame([], "tid int, name string, length int")
+    row = lines.read_sam(spark, str(tmp_path / "x.sam"), contigs).first()
+    assert {k: tuple(v) for k, v in row.tags.items()} == {"XA": ("Z", "1"), "XB": ("Z", "")}
+
+
+def test_indexes(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one first\nACGT\nAC\n>two\n>three x\nGGG\nTT\n")
+    got = [tuple(r) for r in lines.fasta_index(spark, str(tmp_path / "a.fa")).orderBy("tid").collect()]
+    assert got == [(0, "one", 6, 11, 4, 5), (1, "two", 0, 24, 0, 0), (2, "three", 5, 33, 3, 4)]
+    (tmp_path / "a.fq").write_text("@x 1\nAC\n+\nII\n@y\nGTT\n+y\nIII\n@cut\nA\n")
+    got = [tuple(r) for r in lines.fastq_index(spark, str(tmp_path / "a.fq")).orderBy("n").collect()]
+    assert got == [(0, "x", 2, 5, 10), (1, "y", 3, 16, 23)]
+    chunks = lines.fasta_chunks(spark, str(tmp_path / "a.fa"), lines=1).orderBy("tid", "chunk").collect()
+    assert [(r.tid, r.chunk, r.text) for r in chunks] == [(0, 0, "ACGT"), (0, 1, "AC"), (2, 0, "GGG"), (2, 1, "TT")]
+
+
 def test_fasta_fastq_bed(spark, tables, tmp_path):
     (tmp_path / "a.fa").write_text(">one first\nACGT\nAC\n\n>two\n>three x\nGG\nTT\nA\n")
     assert [tuple(r) for r in lines.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("tid").collect()] == [(0, "one", "ACGTAC"), (1, "two", ""), (2, "three", "GGTTA")]
