@@ -13,7 +13,9 @@ the bits on which those agree. The search goes down from the root with pairs of
 both sides are replaced by their children, one after the other, in an equi join on the
 parent; only the agreed bits that no pair of ancestors has compared are compared, the
 differences add up, and a pair of nodes goes, with all that lies below it, once they
-exceed the radius. Pairs of leaves that remain are compared member by member.
+exceed the radius. Pairs of leaves that remain go to a task each, which takes their
+members in twigs of TWIG neighbours, leaves out pairs of twigs by their agreed bits in
+the same way, and compares the members of the others.
 
 Skew. All rows with one fingerprint are one entry, so a leaf has a bounded number of
 members whatever the copies. Levels, pairs of nodes and leaves are tables that Spark
@@ -40,7 +42,9 @@ from readloom.llm.common import fresh, pieces, stash, utf8
 from readloom.llm.graph import components
 from readloom.operators.ordering import numbered
 
-LEAF, FAN_BITS = 64, 4  # members of a leaf; a node has 2 ** FAN_BITS children
+LEAF, FAN_BITS = 1024, 4  # members of a leaf; a node has 2 ** FAN_BITS children
+TWIG = 64  # neighbours in a leaf that are compared, or left out, together
+PAIRS = 2000  # pairs of leaves that a task compares
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
@@ -122,35 +126,51 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return off, top[off]
 
 
-def _compare(radius: int, size: int):
+def _twigs(x: np.ndarray):
+    """The members of a leaf in rows of TWIG, which of them are there, and the bits of each row with those it agrees on."""
+    rows = -(-len(x) // TWIG)
+    out, there = np.zeros((rows, TWIG), np.uint64), np.arange(rows * TWIG).reshape(rows, TWIG) < len(x)
+    out[there] = x
+    starts = np.arange(0, len(x), TWIG)
+    low, high = np.bitwise_and.reduceat(x, starts), np.bitwise_or.reduceat(x, starts)
+    return out, there, low, ~(low ^ high)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool):
+    """Places (i, j) of the members of two leaves within the radius; of one leaf with itself i < j."""
+    (a, here, low_a, mask_a), (b, there, low_b, mask_b) = _twigs(x), _twigs(y)
+    near = np.bitwise_count((low_a[:, None] ^ low_b) & mask_a[:, None] & mask_b) <= radius
+    p, q = np.nonzero(np.triu(near) if own else near)
+    found = []
+    for at in range(0, len(p), 128):
+        pp, qq = p[at : at + 128], q[at : at + 128]
+        close = np.bitwise_count(a[pp][:, :, None] ^ b[qq][:, None, :]) <= radius
+        close &= here[pp][:, :, None] & there[qq][:, None, :]
+        if own:
+            close[pp == qq] &= np.triu(np.ones((TWIG, TWIG), bool), 1)
+        k, i, j = np.nonzero(close)
+        found.append((pp[k] * TWIG + i, qq[k] * TWIG + j))
+    return [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+
+
+def _compare(radius: int):
     """The links between the members of two leaves, for each pair of leaves."""
 
-    def padded(column):
-        rows = column.to_pylist()
-        n = np.array([len(r) // 8 for r in rows])
-        out = np.zeros((len(rows), size), np.uint64)
-        out[np.arange(size) < n[:, None]] = np.frombuffer(b"".join(rows), np.uint64)
-        return out, n
-
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                (x, nx), (y, ny) = padded(part.column("x")), padded(part.column("y"))
-                near = np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= radius
-                near &= (np.arange(size)[:, None] < nx[:, None, None]) & (np.arange(size) < ny[:, None, None])
-                own = part.column("a").to_numpy() == part.column("b").to_numpy()
-                near[own] &= np.triu(np.ones((size, size), bool), 1)
-                pair, i, j = np.nonzero(near)
-                us, vs = [x[pair, i]], [y[pair, j]]
-                count = np.bincount(pair, minlength=len(x))
-                for k in np.flatnonzero(count > 2 * size):
-                    both = np.concatenate([x[k], y[k]])
-                    u, v = spanning(i[pair == k], j[pair == k] + (0 if own[k] else size), 2 * size)
+            us, vs = [], []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                i, j = near_pairs(x, y, radius, a == b)
+                if len(i) > len(x) + len(y):
+                    both = np.concatenate([x, y])
+                    u, v = spanning(i, j + (0 if a == b else len(x)), len(both))
                     us.append(both[u])
                     vs.append(both[v])
-                few = count[pair] <= 2 * size
-                us[0], vs[0] = us[0][few], vs[0][few]
+                else:
+                    us.append(x[i])
+                    vs.append(y[j])
+            if us:
                 yield pa.record_batch({"u": pa.array(np.concatenate(us).view(np.int64)), "v": pa.array(np.concatenate(vs).view(np.int64))})
 
     return run
@@ -180,9 +200,10 @@ def links(distinct: DataFrame, *, radius: int = 2, leaf: int = LEAF, fan_bits: i
             pairs = pairs.select(F.col(s).alias("up"), *old).join(level.select(*side(s)), "up").drop("up")
             pairs = pairs.withColumns({"far": F.col("far") + added, "seen": F.col("seen").bitwiseOR(new)}).where(F.col("far") <= radius)
         pairs = stash(pairs.where("a <= b"), "pairs")
+    pairs = pairs.select("a", "b").repartition(-(-pairs.count() // PAIRS) or 1)
     for s, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(bottom.select(F.col("node").alias(s), F.col("members").alias(name)), s)
-    return pairs.select("a", "b", "x", "y").mapInArrow(_compare(radius, leaf), "u long, v long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(_compare(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:

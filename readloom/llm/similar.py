@@ -8,9 +8,10 @@ pairs are candidates, as are those of one SimHash group. Documents with the same
 of shingles, by a 128-bit digest of it, are one: only the smallest id goes on. Each
 group first names one hub, its smallest id: a member that agrees with it in enough of
 PLACES more places is decided on the shingle sets, which joins most of a group at the
-cost of one pair per member. Then all pairs of a group that no chain of links joins
-yet are looked at, those that agree in enough places are decided on the shingle sets
-too. So a pair stays apart only if its texts say so, whichever ids its group holds; two
+cost of one pair per member. Then, in rounds, each member names its best partners in the
+group that no chain of links joins with it yet and that agree in enough places, first
+one, then eight times as many each round; they are decided on the shingle sets too, and
+the rounds end when no pair is left that is neither joined nor decided. So a pair stays apart only if its texts say so, whichever ids its group holds; two
 samples hide a pair of similarity 0.8 with a probability of 8e-8 (no band in common)
 and below 1e-9 (too few places).
 
@@ -131,63 +132,76 @@ def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, sh
     return out
 
 
-def apart(ids: np.ndarray, labels: np.ndarray, chunks: np.ndarray, low: np.ndarray, least: int, one_chunk: bool):
-    """Slices of the pairs (u, v), u > v, of different labels that agree in at least `least` places; of different chunks unless there is one."""
+def partners(ids: np.ndarray, labels: np.ndarray, chunks: np.ndarray, low: np.ndarray, no: list, least: int, one_chunk: bool, k: int):
+    """Slices of pairs (u, v), u > v: each member with its k best partners of another label that agree in at least `least` places.
+
+    Members of the largest label are partners only; so is a partner of another chunk,
+    unless there is one chunk. no lists the partners that are out, per member.
+    """
     _, label, size = np.unique(labels, return_inverse=True, return_counts=True)
-    order = np.lexsort((label, size[label]))  # the largest label last: its members are never compared with each other
-    ids, label, chunks, low = ids[order], label[order], chunks[order], low[order]
-    begin = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
-    for at, end in zip(begin, begin[1:]):
-        for i in range(at, end, 32):
-            mine = slice(i, min(i + 32, end))
-            near = (low[mine, None] == low[None, end:]).sum(2, dtype=np.uint16) >= least
-            if not one_chunk:
-                near &= chunks[mine, None] != chunks[None, end:]
-            a, b = np.nonzero(near)
-            a, b = ids[mine][a], ids[end:][b]
-            yield np.maximum(a, b), np.minimum(a, b)
-
-
-def _cells(least: int):
-    """The pairs of apart() for each (kind, key, one, two) run of a partition sorted by them."""
+    asking = np.flatnonzero(label != np.argmax(size))
+    for at in range(0, len(asking), 32):
+        mine = asking[at : at + 32]
+        agree = (low[mine, None] == low[None, :]).sum(2, dtype=np.uint16)
+        agree[(label[mine, None] == label[None, :]) | (agree < least)] = 0
+        if not one_chunk:
+            agree[chunks[mine, None] == chunks[None, :]] = 0
+        us, vs = [], []
+        for i, row in zip(mine.tolist(), agree):
+            near = np.flatnonzero(row)
+            if no[i] is not None and len(near):
+                near = near[~np.isin(ids[near], no[i])]
+            if len(near) > k:
+                near = near[np.lexsort((ids[near], -row[near].astype(np.int32)))[:k]]
+            us.append(np.full(len(near), ids[i]))
+            vs.append(ids[near])
+        a, b = np.concatenate(us), np.concatenate(vs)
+        yield np.maximum(a, b), np.minimum(a, b)
+
+
+def _cells(least: int, k: int):
+    """The pairs of partners() for each (kind, key, one, two) run of a partition sorted by them."""
 
     def run(batches):
         rest = None
         for batch in batches:
             now = np.stack([batch.column(c).to_numpy() for c in ("kind", "key", "one", "two", "doc_id", "label", "chunk")])
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, PLACES)
+            no = batch.column("no").to_pylist()
             if rest is not None:
-                now, low = np.concatenate([rest[0], now], axis=1), np.concatenate([rest[1], low])
+                now, low, no = np.concatenate([rest[0], now], axis=1), np.concatenate([rest[1], low]), rest[2] + no
             cut = [0, *(1 + np.flatnonzero((now[:4, 1:] != now[:4, :-1]).any(0)))]
             for at, end in zip(cut, cut[1:]):
-                yield from cell(now[:, at:end], low[at:end])
-            rest = now[:, cut[-1] :], low[cut[-1] :]
+                yield from cell(now[:, at:end], low[at:end], no[at:end])
+            rest = now[:, cut[-1] :], low[cut[-1] :], no[cut[-1] :]
         if rest is not None and len(rest[1]):
             yield from cell(*rest)
 
-    def cell(now, low):
-        for u, v in apart(now[4], now[5], now[6], low, least, now[2, 0] == now[3, 0]):
+    def cell(now, low, no):
+        for u, v in partners(now[4], now[5], now[6], low, no, least, now[2, 0] == now[3, 0], k):
             yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
 
     return run
 
 
-def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, *, least: int, most: int = 1024) -> DataFrame:
-    """(u, v), u > v: all pairs within a group (kind, key) that no chain of links joins yet and that agree in `least` places.
+def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, rejected: DataFrame, *, least: int, k: int, most: int = 1024) -> DataFrame:
+    """(u, v), u > v: within each group (kind, key) the k best partners of each member that no chain of links joins with it yet.
 
-    Places are compared by their lowest byte, so unequal ones may count as equal but
-    never the reverse. A group of more than `most` members is cut into chunks, and
-    each two chunks meet in a cell of their own.
+    Partners agree in `least` places and are not rejected. Places are compared by their
+    lowest byte, so unequal ones may count as equal but never the reverse. A group of
+    more than `most` members is cut into chunks, and each two chunks meet in a cell of
+    their own.
     """
     rows = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", "key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n")).where("_a <> _b")
     rows = rows.join(mixed.select("kind", "key", F.ceil(F.col("n") / most).alias("parts")), ["kind", "key"])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least("chunk", k).alias("one"), F.greatest("chunk", k).alias("two")))
-    rows = rows.join(own.select("doc_id", "low"), "doc_id").select("kind", "key", "doc_id", "label", "chunk", "low", F.explode(cells).alias("_c"))
-    rows = rows.select("kind", "key", "_c.one", "_c.two", "doc_id", "label", "chunk", "low")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda c: F.struct(F.least("chunk", c).alias("one"), F.greatest("chunk", c).alias("two")))
+    out = rejected.select(F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.col("v").alias("x")), F.struct(F.col("v").alias("doc_id"), F.col("u").alias("x")))).alias("e")).groupBy("e.doc_id").agg(F.collect_set("e.x").alias("no"))
+    rows = rows.join(own.select("doc_id", "low"), "doc_id").join(out, "doc_id", "left").select("kind", "key", "doc_id", "label", "chunk", "low", "no", F.explode(cells).alias("_c"))
+    rows = rows.select("kind", "key", "_c.one", "_c.two", "doc_id", "label", "chunk", "low", "no")
     by = ["kind", "key", "one", "two"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least), "u long, v long").distinct()
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least, k), "u long, v long").distinct()
 
 
 def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -216,18 +230,23 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
     rated = stash(both.select("u", "v", "x", "y").mapInArrow(agreeing(least), "u long, v long"), "rated")
     found = decided(docs, rated, **options, similarity=similarity)
     labels = stash(components(found), "labels")
-    left = stash(left_pairs(grouped, own, labels, least=least).join(rated, ["u", "v"], "left_anti"), "left")
-    unstash(grouped)
-    unstash(own)
-    late = None if left.isEmpty() else decided(docs, left, **options, similarity=similarity)
-    if late is not None and not late.isEmpty():
-        # Links between groups found so far join whole groups.
-        name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
-        late_ = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
-        tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        labels, before = stash(components(tops.unionByName(late_)), "labels"), labels
-        unstash(before)
-    for table in [rated, found, left, *([late] if late is not None else [])]:
+    rejected, spent, k = stash(rated.join(found, ["u", "v"], "left_anti"), "rejected"), [rated, found], 1
+    while True:
+        left = stash(left_pairs(grouped, own, labels, rejected, least=least, k=k), "left")
+        spent.append(left)
+        if left.isEmpty():
+            break
+        late = decided(docs, left, **options, similarity=similarity)
+        rejected = stash(rejected.unionByName(left.join(late, ["u", "v"], "left_anti")), "rejected")
+        spent += [late, rejected]
+        if not late.isEmpty():
+            # Links between groups found so far join whole groups.
+            name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))  # noqa: B023, E731
+            late = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
+            tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            labels = stash(components(tops.unionByName(late)), "labels")
+        k *= 8
+    for table in [grouped, own, *spent]:
         unstash(table)
     copies = equal.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
     return labels.unionByName(copies)

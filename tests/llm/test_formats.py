@@ -152,3 +152,10 @@ def test_reply_trees(spark):
     assert flat == {(1, 4): [1, 3, 4], (1, 5): [1, 2, 5], (2, 1): [1], (None, 2): [1, 2], (4, 19): list(range(20))}
     best = {(r.tree, r.leaf) for r in chat.paths(m, score="score").collect()}
     assert best == {(1, 5), (2, 1), (None, 2), (4, 19)}
+
+
+def test_a_conversation_minus_one_of_the_table_stays_apart(spark):
+    rows = [(-1, 0, "user", "mine"), (-1, 1, "assistant", None), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id is None, r.n_turns, r.loss_chars) for r in chat.chat_query(df).collect())
+    assert got == [(False, 2, 0), (False, 2, 34), (True, 1, 0)]

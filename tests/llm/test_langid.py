@@ -31,6 +31,60 @@ def test_padding_changes_nothing():
         assert np.allclose(net.documents([t])[0], p, atol=1e-6)
 
 
+def scalar_scores(net, text):
+    """Mean label probabilities by one loop per byte and unit."""
+    import math
+
+    h, total = net.hidden, [0.0] * len(net.labels)
+    sigmoid = lambda a: 1 / (1 + math.exp(-a))
+
+    def walk(part, d):
+        state, out = [0.0] * h, []
+        e, u = net.p[f"E{d}"], net.p[f"U{d}"]
+        for b in part:
+            own = [sum(state[i] * float(u[i, k]) for i in range(h)) for k in range(3 * h)]
+            z = [sigmoid(float(e[b, k]) + own[k]) for k in range(h)]
+            r = [sigmoid(float(e[b, h + k]) + own[h + k]) for k in range(h)]
+            new = [math.tanh(float(e[b, 2 * h + k]) + r[k] * own[2 * h + k]) for k in range(h)]
+            state = [z[k] * state[k] + (1 - z[k]) * new[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    for at in range(0, len(text), langid.SEGMENT):
+        part = text[at : at + langid.SEGMENT]
+        for f, b in zip(walk(part, "f"), walk(part[::-1], "b")[::-1]):
+            both = f + b
+            logits = [sum(both[i] * float(net.p["V"][i, k]) for i in range(2 * h)) + float(net.p["c"][k]) for k in range(len(net.labels))]
+            e = [math.exp(x - max(logits)) for x in logits]
+            total = [t + x / sum(e) for t, x in zip(total, e)]
+    return [t / len(text) for t in total]
+
+
+def test_scores_equal_a_scalar_network(spark):
+    rows = [(k, f"{word} " * (5 + k), lang) for k in range(40) for word, lang in (("the cat is here", "en"), ("le chat est là", "fr"))]
+    docs = spark.createDataFrame([(2 * k + i, *r[1:]) for k, r in enumerate(rows) for i in (0, 1)], "doc_id long, text string, lang string")
+    net = langid.learn(docs, steps=20)
+    texts = {1: "the cat", 2: "là " * 90, 3: "x", 4: "é" * 64 + "a", 5: "123 b"}
+    new = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.predict(new, net).collect():
+        want = scalar_scores(net, texts[r.doc_id].encode())
+        assert abs(r.score - max(want)) < 1e-4 and r.lang_pred == net.labels[want.index(max(want))]
+
+
+def test_training_crops_come_from_all_over_the_text(spark):
+    docs = spark.createDataFrame([(k, "a" * 3000 + "b" * 3000 + "c" * 3000, "en") for k in range(20)], "doc_id long, text string, lang string")
+    lang, crops = langid.sample(docs, id_col="doc_id", text_col="text", lang_col="lang", per_label=100, crops=24, crop_chars=64)
+    assert set(b"".join(crops)) == set(b"abc") and len(lang) == len(crops) and max(map(len, crops)) == 64
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    rows = [(1, "the cat", "en", "s", "l", "p"), (2, "le chat", "fr", "s", "l", "p"), (3, "7", "en", "s", "l", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, letter string, lang_pred string")
+    docs = docs.withColumn("_score", docs.score)
+    out = langid.accepted(docs, steps=3, min_score=0.0)
+    assert out.schema == docs.schema and sorted(map(tuple, out.collect())) == sorted(r for r in map(tuple, docs.collect()) if r[0] != 3)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op2_language_id(spark, sf)

@@ -68,10 +68,25 @@ def test_left_pairs_are_all_pairs_whatever_the_chunks(spark):
     grouped = spark.createDataFrame([(k, 9, n) for n in label for k in (0, 1) if n % 2 or k], "kind long, key long, doc_id long")
     own = spark.createDataFrame([(n, bytearray(b)) for n, b in low.items()], "doc_id long, low binary")
     labels = spark.createDataFrame([(n, c) for n, c in label.items() if n % 3 == 0], "node long, component long")
-    want = sorted((u, v) for u in label for v in range(u) if label[u] != label[v] and sum(a == b for a, b in zip(low[u], low[v])) >= LEAST)
-    assert want
+    agree = lambda u, v: sum(a == b for a, b in zip(low[u], low[v]))
+    want = sorted((u, v) for u in label for v in range(u) if label[u] != label[v] and agree(u, v) >= LEAST)
+    assert len(want) > 100
+    none = spark.createDataFrame([], "u long, v long")
+    pairs = lambda rejected, **options: sorted(map(tuple, similar.left_pairs(grouped, own, labels, rejected, least=LEAST, **options).collect()))
     for most in (7, 1024):
-        assert sorted(map(tuple, similar.left_pairs(grouped, own, labels, least=LEAST, most=most).collect())) == want
+        assert pairs(none, k=1000, most=most) == want
+        # The rounds of the best partners come to the same pairs in the end, none twice.
+        seen, k = [], 1
+        while new := pairs(spark.createDataFrame(seen, "u long, v long"), k=k, most=most):
+            assert not set(new) & set(seen)
+            seen, k = seen + new, 8 * k
+        assert sorted(seen) == want
+    one = pairs(none, k=1)
+    assert set(one) <= set(want) and len(one) <= 2 * len(label)
+    for u in label:
+        best = max(agree(u, w) for w in label if label[w] != label[u])
+        if label[u] and best >= LEAST:
+            assert any(u in pair and agree(*pair) == best for pair in one)
 
 
 def test_every_link_is_decided_on_the_shingle_sets(spark):

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from readloom.llm import linededup, mixing, queries, topk
 
@@ -112,6 +113,18 @@ def test_mixed_keeps_columns_and_rows(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mixed_has_the_rows_of_the_mix(spark):
+    rows = [(1, "a b", "x", k) for k in range(10)] + [(1, "a b", "y", 10), (2, "c", "y", 11), (None, None, None, 12), (None, None, None, 12), (None, "q r s t u v w", "z", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int").withColumnsRenamed({}).selectExpr("*", "1 as _n", "2 as copies", "3 as left", "4 as row")
+    for block in (2, 4096):
+        out = mixing.mixed(df, block=block)
+        assert out.columns == df.columns
+        taken = sorted(((r.doc_id, r.source, r.n) for r in mixing.mix(df, block=block).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()), key=repr)
+        assert sorted(((r.doc_id, r.source, r.n) for r in out.groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()), key=repr) == taken
+        each = [r["count"] for r in out.where("source = 'x'").groupBy("_key").count().collect()]
+        assert len(each) == 10 and max(each) - min(each) <= 1
+
+
 def test_top_k_brute_force(spark):
     import math
     import random
