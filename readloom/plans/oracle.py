@@ -271,11 +271,20 @@ UNION ALL SELECT 4, mapq, 'MAPQ' || chr(9) || CAST(mapq AS VARCHAR) || chr(9) ||
 _DUPLICATES = ["read", "written", "excluded", "examined", "paired", "single", "duplicate_pair", "duplicate_single", "duplicate_total", "duplicate_optical"]
 SQL["markdup_report"] = f"""SELECT CAST(k AS INT) AS place, text FROM ({SQL["markdup_stats"]}), LATERAL (VALUES (0, 'COMMAND: markdup'), {", ".join(f"({k + 1}, '{c.replace('_', ' ').upper()} ' || CAST({c} AS VARCHAR))" for k, c in enumerate(_DUPLICATES))}) AS t(k, text)"""
 
+SQL["coverage_subset"] = f"SELECT name, numreads, covbases, meandepth FROM ({SQL['coverage'].replace('(mapq IS NULL OR mapq >= 10)', 'true')}) WHERE name IN ('ASIA', 'EUROPE')"
+SQL["mpileup_capped"] = _pile(0) + """, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tid, p ORDER BY start, flag, qname, ord) AS place FROM pb) WHERE place <= 20),
+r AS (SELECT k.*, c.name, coalesce(nullif(substr(f.sequence, k.p, 1), ''), 'N') AS ref FROM k JOIN contigs c ON c.tid = k.tid LEFT JOIN refseq f ON f.tid = k.tid)
+SELECT name, CAST(p AS BIGINT) AS pos, ref, count(*) AS depth, string_agg(CASE WHEN upper(base) = upper(ref) THEN '.' ELSE upper(base) END, '' ORDER BY place) AS bases,
+  string_agg(chr(CAST(least(q + 33, 126) AS INT)), '' ORDER BY place) AS quals FROM r GROUP BY name, p, ref"""
+SQL["remap_contigs"] = P + " SELECT ord, CAST(4 - tid AS INT) AS tid, CAST(4 - mtid AS INT) AS mtid FROM reads"
+SQL["quickcheck"] = "SELECT DISTINCT 'ok' AS state FROM orders"
+
 # Missing integers show as -1, as in the queries.
 _SHOW = {
     **dict.fromkeys(["view_require", "view_exclude", "view_mapq", "view_region", "view_multi_region", "view_exclude_region", "head"], ("tid", "pos", "mapq")),
     **dict.fromkeys(["sort_coordinate", "sort_name", "merge", "sort_markdup"], ("tid", "pos")),
     "reheader": ("tid",),
+    "remap_contigs": ("tid", "mtid"),
     "fixmate": ("mtid", "mpos", "ms"),
     "calmd_nm": ("nm",),
     "fixmate_runs": ("mtid", "mpos"),

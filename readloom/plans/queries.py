@@ -56,13 +56,18 @@ def _shown(rows):
     return rows.select(*FIELDS, tag("NM").cast("int").alias("nm"), tag("XZ").alias("xz"), tag("XA").alias("xa"))
 
 
-def _bam_file(spark, sf_dir):
-    """The reads, written as BAM files and read back."""
+def _written_bam(spark, sf_dir):
+    """The reads, written as BAM files; and the path."""
     contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "bam")
     bam.register(spark)
     rows = _tagged(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in READS])
     rows.write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
-    return spark.read.format("bam").load(path)
+    return rows, path
+
+
+def _bam_file(spark, sf_dir):
+    """The reads, written as BAM files and read back."""
+    return spark.read.format("bam").load(_written_bam(spark, sf_dir)[1])
 
 
 def _sam_file(spark, sf_dir):
@@ -78,6 +83,14 @@ def bam_file(spark, sf_dir):
     return _shown(_bam_file(spark, sf_dir))
 
 
+@query
+def quickcheck(spark, sf_dir):
+    """What the written BAM files lack: nothing."""
+    _, path = _written_bam(spark, sf_dir)
+    files = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(path).select("path").collect()]
+    return bam.quickcheck_files(spark, files).select(F.coalesce("problem", F.lit("ok")).alias("state")).distinct()
+
+
 @query
 def sam_file(spark, sf_dir):
     return _shown(_sam_file(spark, sf_dir)[0])
@@ -324,6 +337,13 @@ def reheader(spark, sf_dir):
     return filters.reheader(reads, contigs.withColumn("name", F.concat(F.lit("chr"), "name"))).select("ord", "tid", "contig")
 
 
+@query
+def remap_contigs(spark, sf_dir):
+    """The reads under the contig numbers of a header that names the contigs the other way round."""
+    reads, contigs = _get(spark, sf_dir, "reads", "contigs")
+    return filters.remap_contigs(reads, contigs, contigs.withColumn("tid", 4 - F.col("tid"))).select("ord", F.col("tid").cast("int").alias("tid"), F.col("mtid").cast("int").alias("mtid"))
+
+
 @query
 def drop_tags(spark, sf_dir):
     return filters.drop_tags(_tagged(spark, sf_dir)).select("ord", "qname", "flag", "rg", "rx", F.size("tags").alias("n_tags"))
@@ -390,6 +410,12 @@ def coverage(spark, sf_dir):
     return depth.coverage(reads, contigs, min_mapq=10, min_baseq=13)
 
 
+@query
+def coverage_subset(spark, sf_dir):
+    reads, contigs = _get(spark, sf_dir, "reads", "contigs")
+    return depth.coverage(reads, contigs, regions=["ASIA", "EUROPE"], columns=["name", "numreads", "covbases", "meandepth"])
+
+
 @query
 def bedcov(spark, sf_dir):
     reads, bed = _get(spark, sf_dir, "reads", "bed")
@@ -412,6 +438,11 @@ def mpileup(spark, sf_dir):
     return pileup.mpileup(*_get(spark, sf_dir, "reads", "contigs", "refseq"), min_mapq=20)
 
 
+@query
+def mpileup_capped(spark, sf_dir):
+    return pileup.mpileup(*_get(spark, sf_dir, "reads", "contigs", "refseq"), max_depth=20)
+
+
 @query
 def consensus(spark, sf_dir):
     reads, contigs = _get(spark, sf_dir, "reads", "contigs")
