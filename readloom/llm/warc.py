@@ -5,6 +5,7 @@ skippable frame with the record index (identifier, frame, offset and length insi
 the decompressed frame), and a skippable frame with the seek table (compressed and
 decompressed size of each frame), whose footer ends the bundle. A reader finds the
 footer, then the table, then one frame: single records need one frame's bytes.
+record_index() is the same for all bundles at once, and fetch() reads records by it.
 
 Bundles are binary rows of a Parquet table that Spark commits per task, so writers
 need no shared local disk; the data of a row is a complete .warc.zst file.
@@ -22,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import struct
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +43,16 @@ def record_id(key) -> str:
 
 
 def record(key, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no block."""
+    """One WARC/1.1 record: a response has the HTTP head and the payload as its block, a revisit the HTTP head alone."""
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(key)}"]
     if url:
-        lines.append("WARC-Target-URI: " + "".join(c for c in url if c >= " "))
+        lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else quote(c) for c in url))
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    block = b"" if revisit else payload
-    lines.append(f"Content-Length: {len(block)}")
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = head if revisit else head + payload
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -128,13 +132,14 @@ class BundleReader:
 
 
 def parse(data: bytes) -> tuple[dict, bytes]:
+    """The headers of a record, and the payload that follows the HTTP head of its block."""
     head, _, rest = data.partition(b"\r\n\r\n")
     headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0) -> DataFrame:
-    """Bundles (data, n_records) of all rows."""
+    """Bundles (bundle, data, n_records) of all rows; bundle is the number of a bundle."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
@@ -145,7 +150,11 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     plain = plain.withColumn("payload", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")))
 
     def run(batches):
-        out, n = BundleWriter(), 0
+        out, n, bundle = BundleWriter(), 0, TaskContext.get().partitionId() << 32
+
+        def closed():
+            return pa.record_batch({"bundle": pa.array([bundle], pa.int64()), "data": pa.array([out.close()], pa.binary()), "n_records": pa.array([n], pa.int64())})
+
         for batch in batches:
             for part in pieces(batch, "payload"):
                 for r in part.to_pylist():
@@ -153,21 +162,51 @@ def write_bundles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
                     out.add(record_id(r["key"]), record(r["key"], r["url"], r["payload"], r["size"], digest, r["last"], r["revisit"]))
                     n += 1
                     if out.bytes >= BUNDLE:
-                        yield pa.record_batch({"data": pa.array([out.close()], pa.binary()), "n_records": pa.array([n], pa.int64())})
-                        out, n = BundleWriter(), 0
+                        yield closed()
+                        out, n, bundle = BundleWriter(), 0, bundle + 1
         if n:
-            yield pa.record_batch({"data": pa.array([out.close()], pa.binary()), "n_records": pa.array([n], pa.int64())})
+            yield closed()
+
+    return plain.mapInArrow(run, "bundle long, data binary, n_records long")
+
+
+def record_index(bundles: DataFrame) -> DataFrame:
+    """(record_id, bundle, frame, offset, length): where each record of all bundles is, the offset inside its decompressed frame."""
+
+    def run(batches):
+        for batch in batches:
+            for bundle, data in zip(batch.column("bundle").to_pylist(), batch.column("data").to_pylist()):
+                rows = BundleReader(data).index
+                names, kinds = ["record_id", "frame", "offset", "length"], [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.record_batch([*columns, pa.array([bundle] * len(rows), pa.int64())], names=[*names, "bundle"])
+
+    return bundles.select("bundle", "data").mapInArrow(run, "record_id string, frame long, offset long, length long, bundle long")
 
-    return plain.mapInArrow(run, "data binary, n_records long")
+
+def fetch(bundles: DataFrame, index: DataFrame, ids: DataFrame) -> DataFrame:
+    """(page_id, headers, payload) of the records of some page_ids: only their bundles are joined, only their frames decompressed."""
+    wanted = index.join(ids.select(F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")).alias("record_id")).distinct(), "record_id")
+    places = wanted.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "length", "record_id"))).alias("places"))
+
+    def run(batches):
+        for batch in batches:
+            for data, own in zip(batch.column("data").to_pylist(), batch.column("places").to_pylist()):
+                reader = BundleReader(data)
+                found = [(_number(p["record_id"]), *parse(reader.frame(p["frame"])[p["offset"] : p["offset"] + p["length"]])) for p in own]
+                yield pa.record_batch({"page_id": pa.array([f[0] for f in found], pa.int64()), "headers": pa.array([list(f[1].items()) for f in found], pa.map_(pa.string(), pa.string())), "payload": pa.array([f[2] for f in found], pa.binary())})
+
+    return bundles.select("bundle", "data").join(places, "bundle").select("data", "places").mapInArrow(run, "page_id long, headers map<string,string>, payload binary")
+
+
+def _number(urn: str | None) -> int | None:
+    text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(text) if text else None
 
 
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, frame, offset, length, block) of every record."""
 
-    def number(urn: str | None):
-        text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
-
     def run(batches):
         for batch in batches:
             for data in batch.column("data").to_pylist():
@@ -175,7 +214,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 places = iter(reader.index)
                 for key, h, block in reader.records():
                     _, frame, offset, length = next(places)
-                    out.append((number(key), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], number(h.get("WARC-Refers-To")), frame, offset, length, block))
+                    out.append((_number(key), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], _number(h.get("WARC-Refers-To")), frame, offset, length, block))
                     size += len(block)
                     if size > 4 << 20:
                         yield batch_of(out)

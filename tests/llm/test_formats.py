@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from readloom.llm import chat, simple8b, tokens, warc
+from readloom.llm import chat, common, simple8b, tokens, warc
 
 
 @settings(max_examples=60, deadline=None)
@@ -90,6 +90,18 @@ def test_warc(spark, sf_dir):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_records_are_fetched_through_the_index(spark):
+    rows = [(k, f"http://x/{k} a\r\nb", f"page {k % 50} " * 4000) for k in range(200)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bundles = common.stash(warc.write_bundles(pages), "warc")
+    index = warc.record_index(bundles)
+    assert index.count() == 201 and index.select("bundle").distinct().count() == bundles.count()
+    ids = spark.createDataFrame([(3,), (170,), (199,), (None,), (1000,)], "page_id long")
+    got = {r.page_id: (r.headers["WARC-Type"], bytes(r.payload), r.headers.get("WARC-Target-URI")) for r in warc.fetch(bundles, index, ids).collect()}
+    assert set(got) == {3, 170, 199, None}
+    assert got[3] == ("revisit", b"", "http://x/3%20a%0D%0Ab") and got[170][:2] == ("response", b"page 20 " * 4000) and got[None] == ("response", b"", None)
+
+
 def test_bundle_seeks():
     writer = warc.BundleWriter()
     payloads = {f"k{i}": bytes([i]) * (50_000 + i) for i in range(40)}
