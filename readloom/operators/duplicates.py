@@ -1,21 +1,30 @@
-"""Duplicate marking: one ranked window per group of equal template ends."""
+"""Duplicate marking: the best row of each group of equal template ends stays, found by an aggregate with partial sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom import schema as S
 from readloom.functions.cigar import base_quality_sum, has, lacks, unclipped_5_prime
 
 
-def examined(reads: DataFrame, *, barcode: str | None = None, ancient: bool = False) -> DataFrame:
-    """Rows that take part, with `ends` (their key), `is_pair` and `qsum`.
+def examined(reads: DataFrame, **options) -> DataFrame:
+    """Rows that take part, with `ends` (their key), `is_pair` and `qsum`."""
+    return keyed(reads, **options).where(_takes_part())
+
+
+def _takes_part():
+    return lacks(S.SECONDARY | S.SUPPLEMENTARY | S.UNMAPPED)
+
+
+def keyed(reads: DataFrame, *, barcode: str | None = None, ancient: bool = False) -> DataFrame:
+    """All rows, with `ends`, `is_pair` and `qsum`; ends is null where a row does not take part.
 
     An own end is the unclipped 5' position, a mate's end its plain start; the two ends
     of a pair are put in order. Rows without a contig have no key.
     """
-    rows = reads.where(lacks(S.SECONDARY | S.SUPPLEMENTARY | S.UNMAPPED))
+    rows = reads
     tag = F.coalesce(F.col(barcode), F.lit("")) if barcode else F.lit("")
 
     def strand(bit):
@@ -24,27 +33,39 @@ def examined(reads: DataFrame, *, barcode: str | None = None, ancient: bool = Fa
     own = F.struct(F.col("tid"), unclipped_5_prime().alias("p"), strand(S.REVERSE).alias("s"), tag.alias("b"))
     mate = F.struct(F.col("mtid").alias("tid"), F.col("mpos").alias("p"), strand(S.MATE_REVERSE).alias("s"), tag.alias("b"))
     is_pair = has(S.PAIRED) & lacks(S.MATE_UNMAPPED) & F.col("mtid").isNotNull() & F.col("mpos").isNotNull()
-    keyed = rows.withColumns({"_own": own, "_mate": F.when(is_pair, mate), "is_pair": is_pair, "qsum": base_quality_sum()})
-    ends = F.when(F.col("_mate").isNull(), F.struct(F.col("_own").alias("a"), F.lit(None).cast(keyed.schema["_own"].dataType).alias("b")))
+    rows = rows.withColumns({"_own": own, "_mate": F.when(is_pair, mate), "is_pair": is_pair, "qsum": base_quality_sum()})
+    ends = F.when(F.col("_mate").isNull(), F.struct(F.col("_own").alias("a"), F.lit(None).cast(rows.schema["_own"].dataType).alias("b")))
     ends = ends.when(F.col("_own") <= F.col("_mate"), F.struct(F.col("_own").alias("a"), F.col("_mate").alias("b")))
     ends = ends.otherwise(F.struct(F.col("_mate").alias("a"), F.col("_own").alias("b")))
-    return keyed.withColumn("ends", F.when(F.col("tid").isNotNull(), ends)).drop("_own", "_mate")
+    return rows.withColumn("ends", F.when(F.col("tid").isNotNull() & _takes_part(), ends)).drop("_own", "_mate")
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """keyed() rows with `_best`: the ord of the best row of their ends by quality, name, order, null where there is no other."""
+    first = F.min(F.struct((-F.col("qsum")).alias("q"), F.coalesce("qname", F.lit("")).alias("name"), "ord"))
+    best = rows.where("ends IS NOT NULL").select("ends", "qsum", "qname", "ord").groupBy("ends").agg(F.count("*").alias("n"), first.alias("first"))
+    best = best.where("n > 1").select(F.xxhash64("ends").alias("_h"), F.col("ends").alias("_ends"), F.col("first.ord").alias("_best"))
+    # Rows without ends meet nothing, but are dealt out like any others.
+    rows = rows.withColumn("_h", F.when(F.col("ends").isNull(), F.xxhash64("ord")).otherwise(F.xxhash64("ends"))).alias("r")
+    on = (F.col("r._h") == F.col("b._h")) & (F.col("r.ends") == F.col("b._ends"))
+    return rows.join(best.alias("b"), on, "left").select("r.*", "b._best").drop("_h")
+
+
+def _lost():
+    return F.col("_best").isNotNull() & (F.col("_best") != F.col("ord"))
 
 
 def losers(reads: DataFrame, **options) -> DataFrame:
     """(ord, is_pair) of the rows that are duplicates: of equal ends all but the best by quality, name, order."""
-    keyed = examined(reads, **options).where("ends IS NOT NULL").select("ord", "qname", "qsum", "ends", "is_pair")
-    order = Window.partitionBy("ends").orderBy(F.desc("qsum"), F.coalesce("qname", F.lit("")), "ord")
-    return keyed.withColumn("_place", F.row_number().over(order)).where("_place > 1").select("ord", "is_pair")
+    return _compared(keyed(reads, **options).select("ord", "qname", "qsum", "ends", "is_pair")).where(_lost()).select("ord", "is_pair")
 
 
 def mark(reads: DataFrame, *, remove: bool = False, **options) -> DataFrame:
     """reads with the duplicate bit set where a row loses; a bit that was set stays. remove drops the losers."""
-    lost = losers(reads, **options).select("ord", F.lit(True).alias("_lost"))
+    rows = _compared(keyed(reads, **options))
     if remove:
-        return reads.join(lost, "ord", "left_anti")
-    flag = F.when(F.col("_lost"), F.col("flag").bitwiseOR(S.DUPLICATE)).otherwise(F.col("flag"))
-    return reads.join(lost, "ord", "left").withColumn("flag", flag).drop("_lost").select(*reads.columns)
+        return rows.where(~_lost()).select(*reads.columns)
+    return rows.withColumn("flag", F.when(_lost(), F.col("flag").bitwiseOR(S.DUPLICATE)).otherwise(F.col("flag"))).select(*reads.columns)
 
 
 def report(reads: DataFrame, *, remove: bool = False, **options) -> DataFrame:
