@@ -14,8 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+BATCH_ROWS = "2500"
+
+
 def ship(spark: SparkSession) -> None:
-    """Put this package on the path of the Python workers that later functions start."""
+    """Put this package on the path of the Python workers that later functions start, and bound what they are given at once.
+
+    A batch is counted in rows; at Spark's default of 10,000 a batch of documents takes
+    tens of MB on both sides. A setting other than the default stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
