@@ -42,9 +42,9 @@ from readloom.llm.common import fresh, pieces, stash, utf8
 from readloom.llm.graph import components
 from readloom.operators.ordering import numbered
 
-LEAF, FAN_BITS = 1024, 4  # members of a leaf; a node has 2 ** FAN_BITS children
+LEAF, FAN_BITS = 8192, 4  # members of a leaf; a node has 2 ** FAN_BITS children
 TWIG = 64  # neighbours in a leaf that are compared, or left out, together
-PAIRS = 2000  # pairs of leaves that a task compares
+PAIRS = 64  # pairs of leaves that a task compares
 
 
 def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:

@@ -10,7 +10,7 @@ group first names one hub, its smallest id: a member that agrees with it in enou
 PLACES more places is decided on the shingle sets, which joins most of a group at the
 cost of one pair per member. Then, in rounds, each member names its best partners in the
 group that no chain of links joins with it yet and that agree in enough places, first
-one, then eight times as many each round; they are decided on the shingle sets too, and
+one, then 32 times as many each round; they are decided on the shingle sets too, and
 the rounds end when no pair is left that is neither joined nor decided. So a pair stays apart only if its texts say so, whichever ids its group holds; two
 samples hide a pair of similarity 0.8 with a probability of 8e-8 (no band in common)
 and below 1e-9 (too few places).
@@ -179,21 +179,21 @@ def _cells(least: int, k: int):
 
     def cell(now, low, no):
         for u, v in partners(now[4], now[5], now[6], low, no, least, now[2, 0] == now[3, 0], k):
-            yield pa.record_batch({"u": pa.array(u), "v": pa.array(v)})
+            yield pa.record_batch({"kind": pa.array(np.full(len(u), now[0, 0])), "key": pa.array(np.full(len(u), now[1, 0])), "u": pa.array(u), "v": pa.array(v)})
 
     return run
 
 
 def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, rejected: DataFrame, *, least: int, k: int, most: int = 1024) -> DataFrame:
-    """(u, v), u > v: within each group (kind, key) the k best partners of each member that no chain of links joins with it yet.
+    """(kind, key, u, v), u > v: within each group the k best partners of each member that no chain of links joins with it yet.
 
     Partners agree in `least` places and are not rejected. Places are compared by their
     lowest byte, so unequal ones may count as equal but never the reverse. A group of
     more than `most` members is cut into chunks, and each two chunks meet in a cell of
-    their own.
+    their own. In a group of two the other is the hub, so nothing is left.
     """
     rows = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", "key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n")).where("_a <> _b")
+    mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n")).where("_a <> _b AND n > 2")
     rows = rows.join(mixed.select("kind", "key", F.ceil(F.col("n") / most).alias("parts")), ["kind", "key"])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "parts"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda c: F.struct(F.least("chunk", c).alias("one"), F.greatest("chunk", c).alias("two")))
@@ -201,7 +201,7 @@ def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, rejected:
     rows = rows.join(own.select("doc_id", "low"), "doc_id").join(out, "doc_id", "left").select("kind", "key", "doc_id", "label", "chunk", "low", "no", F.explode(cells).alias("_c"))
     rows = rows.select("kind", "key", "_c.one", "_c.two", "doc_id", "label", "chunk", "low", "no")
     by = ["kind", "key", "one", "two"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least, k), "u long, v long").distinct()
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least, k), "kind long, key long, u long, v long")
 
 
 def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -222,7 +222,7 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
             others = others.join(equal.select(F.col("doc_id").alias(c), F.col("first").alias("_first")), c, "left").withColumn(c, F.coalesce("_first", c)).drop("_first")
         more = others.unionByName(others.select(F.col("hub").alias("doc_id"), "hub")).distinct()
         grouped = grouped.unionByName(more.select(F.lit(1).cast("long").alias("kind"), F.col("hub").alias("key"), "doc_id", "hub"))
-    grouped = stash(grouped, "grouped")
+    candidates = grouped = stash(grouped, "grouped")
     own = stash(lone.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "low"), "own")
     unstash(lone)
     edges = grouped.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
@@ -232,10 +232,14 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
     labels = stash(components(found), "labels")
     rejected, spent, k = stash(rated.join(found, ["u", "v"], "left_anti"), "rejected"), [rated, found], 1
     while True:
-        left = stash(left_pairs(grouped, own, labels, rejected, least=least, k=k), "left")
-        spent.append(left)
-        if left.isEmpty():
+        named = stash(left_pairs(grouped, own, labels, rejected, least=least, k=k), "named")
+        spent.append(named)
+        if named.isEmpty():
             break
+        # Groups that named no pair have none left: links only join more of their members.
+        grouped = grouped.join(named.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+        left = stash(named.select("u", "v").distinct(), "left")
+        spent.append(left)
         late = decided(docs, left, **options, similarity=similarity)
         rejected = stash(rejected.unionByName(left.join(late, ["u", "v"], "left_anti")), "rejected")
         spent += [late, rejected]
@@ -245,8 +249,8 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
             late = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
             tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
             labels = stash(components(tops.unionByName(late)), "labels")
-        k *= 8
-    for table in [grouped, own, *spent]:
+        k *= 32
+    for table in [candidates, own, *spent]:
         unstash(table)
     copies = equal.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
     return labels.unionByName(copies)

@@ -46,7 +46,7 @@ def test_simhash_brute_force(spark, sf_dir):
     assert got == {i: (f, groups[i]) for i, f in rows}
 
 
-@pytest.mark.parametrize(("leaf", "fan_bits"), [(64, 4), (8, 2), (3, 1)])
+@pytest.mark.parametrize(("leaf", "fan_bits"), [(8192, 4), (8, 2), (3, 1)])
 def test_links_connect_exactly(spark, leaf, fan_bits):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)

@@ -72,7 +72,7 @@ def test_left_pairs_are_all_pairs_whatever_the_chunks(spark):
     want = sorted((u, v) for u in label for v in range(u) if label[u] != label[v] and agree(u, v) >= LEAST)
     assert len(want) > 100
     none = spark.createDataFrame([], "u long, v long")
-    pairs = lambda rejected, **options: sorted(map(tuple, similar.left_pairs(grouped, own, labels, rejected, least=LEAST, **options).collect()))
+    pairs = lambda rejected, **options: sorted({(r.u, r.v) for r in similar.left_pairs(grouped, own, labels, rejected, least=LEAST, **options).collect()})
     for most in (7, 1024):
         assert pairs(none, k=1000, most=most) == want
         # The rounds of the best partners come to the same pairs in the end, none twice.
