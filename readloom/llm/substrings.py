@@ -275,36 +275,40 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 64, most:
     return out
 
 
-PASSAGE, RUN = 50, 32
+PASSAGE, RUN = 50, 26
 
 
 def run_samples(words: Words, passage: int, run: int):
-    """(text, hash, check) of the runs of words that any window of `passage` words has as its lowest-hashed one."""
+    """(text, hash) of the runs of words that any window of `passage` words has as its lowest-hashed one."""
     span, found = passage - run + 1, []
     for at in range(0, len(words.hash) - passage + 1, CHUNK):
         h, text = words.hash[at : at + CHUNK + passage - 1], words.text[at : at + CHUNK + passage - 1]
         up, down = powers(len(h))
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up, dtype=np.uint64)]) for x in (h, mixed(h ^ np.uint64(run)))]
-        g, check = (mixed((x[run:] - x[:-run]) * down[: len(h) - run + 1]) for x in sums)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+        g = mixed((sums[run:] - sums[:-run]) * down[: len(h) - run + 1])
         place = window_minima(g, span)
         place = np.unique(place[text[passage - 1 :] == text[: len(text) - passage + 1]])
-        found.append((text[place], g[place], check[place] >> np.uint64(32)))
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2]
+        found.append((text[place], g[place]))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
 
 def shared_runs(docs: DataFrame, *, passage: int = PASSAGE, run: int = RUN) -> DataFrame:
-    """(doc_id, version, n_shared) of texts with sampled runs of words that occur again, and how many. docs: doc_id, version, text as bytes."""
+    """(doc_id, version, n_shared) of texts with sampled runs of words that occur again, and how many. docs: doc_id, version, text as bytes.
+
+    Runs are known by 64 bits: nothing is removed by them.
+    """
 
     def sample(batches):
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                text, g, check = run_samples(Words(part.column("text").to_pylist()), passage, run)
+                text, g = run_samples(Words(part.column("text").to_pylist()), passage, run)
                 index = pa.array(text)
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(index), "version": part.column("version").take(index), "g": pa.array(g.view(np.int64)), "check": pa.array(check.astype(np.uint32).view(np.int32))})
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(index), "version": part.column("version").take(index), "g": pa.array(g.view(np.int64))})
 
-    rows = stash(docs.mapInArrow(sample, "doc_id long, version long, g long, check int"), "runs")
-    again = rows.groupBy("g", "check").agg(F.count("*").alias("n")).where("n > 1").select("g", "check")
-    return rows.join(again, ["g", "check"], "left_semi").groupBy("doc_id", "version").agg(F.count("*").alias("n_shared"))
+    rows = stash(docs.mapInArrow(sample, "doc_id long, version long, g long"), "runs")
+    # Written, so that the join meets it as a shuffle of its own and can split a frequent run.
+    again = stash(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "again")
+    return rows.join(again, "g", "left_semi").groupBy("doc_id", "version").agg(F.count("*").alias("n_shared"))
 
 
 def kept(text: bytes | None, ranges: list) -> tuple[bytes, list]:
