@@ -36,6 +36,7 @@ from readloom.llm.graph import components
 from readloom.llm.simhash import keep_one, near_duplicates
 
 PLACES, BANDS = 256, 16
+SENT = 1 << 20  # ids that are broadcast at most, about 30 MB
 
 
 def _orders() -> tuple[np.ndarray, ...]:
@@ -109,8 +110,10 @@ def agreeing(least: int):
 
 def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are at least so similar, written."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    ids = stash(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+    # So few ids go to the texts; more of them meet in a shuffle.
+    listed = F.broadcast(ids) if ids.count() <= SENT else ids
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(listed, "doc_id", "left_semi")
     texts = stash(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
 
@@ -129,6 +132,7 @@ def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, sh
 
     out = stash(both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"), "links")
     unstash(texts)
+    unstash(ids)
     return out
 
 
