@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import chat, decontaminate, langid, linededup, mixing, simhash, substrings, tokens, topk, warc
+from readloom.llm import chat, decontaminate, infill, langid, linededup, mixing, runs, simhash, substrings, tokens, topk, toxicity, warc
 from readloom.llm.common import table
 
 
@@ -46,7 +46,19 @@ def op4_chat_format(spark, sf_dir):
     return chat.chat_query(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op4_chat_format, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k)}
+def op11_periodic_runs(spark, sf_dir):
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_token_output, op4_chat_format, op5_simhash, op6_warc, op7_substring_dedup, op8_decontaminate, op9_source_mixing, op10_top_k, op11_periodic_runs, op12_fill_in_middle, op13_toxicity)}
 SQL = {
     "op1_line_dedup": linededup.SQL,
     "op4_chat_format": chat.SQL,
@@ -54,4 +66,6 @@ SQL = {
     "op8_decontaminate": decontaminate.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_top_k": topk.SQL,
+    "op11_periodic_runs": runs.SQL,
+    "op12_fill_in_middle": infill.SQL,
 }
