@@ -165,30 +165,6 @@ def test_substrings_edges(spark):
     assert substrings.digest(docs.limit(0)).count() == 0
 
 
-def test_shared_runs_of_words(spark):
-    random.seed(9)
-    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(1, 4)))
-    text = lambda n: [word() for _ in range(n)]
-    passage, short = text(50), text(25)
-    docs = {k: text(random.randint(10, 300)) for k in range(60)}
-    for k in range(10):
-        docs[k][5:5] = passage
-        docs[20 + k][3:3] = short
-    docs[50] = docs[51][:60] = text(60)
-    docs[52] = text(20) + text(60) * 2
-    df = spark.createDataFrame([(k, " ".join(t), "x") for k, t in docs.items()] + [(100, None, "x"), (101, "", "x")], "doc_id long, text string, version string")
-    got = {r.doc_id: r.n_shared for r in substrings.digest(df).collect()}
-    assert {k for k, n in got.items() if n} == {*range(10), 50, 51, 52} and got[100] == got[101] == 0
-    words = words_.Words([" ".join(t).encode() for t in docs.values()])
-    whole = substrings.run_samples(words, 50, 26)
-    kept, substrings.CHUNK = substrings.CHUNK, 100
-    try:
-        parts = substrings.run_samples(words, 50, 26)
-    finally:
-        substrings.CHUNK = kept
-    assert set(zip(*(x.tolist() for x in whole))) == set(zip(*(x.tolist() for x in parts)))
-
-
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
