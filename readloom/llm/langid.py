@@ -6,9 +6,8 @@ a zero state in both directions, so that all bytes of a text of any length are
 labelled in even batches. Training is backpropagation through time in numpy.
 
 Training sample (the only bound): about `per_label` rows of each label, chosen by a
-hash of the id; of each row `crops` crops of `crop_chars` characters, at hashed places
-all over its text. The labels and their counts cover all rows; prediction covers every
-byte.
+hash of the id, with their whole texts; training draws its pieces from anywhere in
+them. The labels and their counts cover all rows; prediction covers every byte.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or if
 there is nothing to learn from; rows with a null id are not learned from; repeated
@@ -165,8 +164,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_label: int, crops: int, crop_chars: int):
-    """The bounded training sample: labels, and the crop that each belongs to."""
+def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_label: int):
+    """The training sample, bounded in rows: labels, and the whole text that each belongs to."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out("id"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -174,15 +173,12 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, per_la
         return [], []
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_label / n))])[F.col("lang")]
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    room = F.greatest(F.lit(1), F.length("text") - crop_chars + 1)
-    places = F.transform(F.sequence(F.lit(1), F.lit(crops)), lambda k: (F.pmod(F.xxhash64("id", k), room) + 1).cast("int"))
-    own = F.transform(F.array_distinct(places), lambda at: F.substring(F.col("text"), at, F.lit(crop_chars)))
-    got = drawn.select("id", "lang", own.alias("own")).orderBy("id", "lang", "own").limit(2 * per_label * len(counts)).collect()
-    return [r.lang for r in got for _ in r.own], [x.encode() for r in got for x in r.own]
+    got = drawn.select("id", "lang", "text").orderBy("id", "lang", "text").limit(2 * per_label * len(counts)).collect()
+    return [r.lang for r in got], [r.text.encode() for r in got]
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, crops: int = 24, crop_chars: int = 64, **training) -> Network | None:
-    lang, texts = sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_label=per_label, crops=crops, crop_chars=crop_chars)
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 400, **training) -> Network | None:
+    lang, texts = sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, per_label=per_label)
     labels = sorted(set(lang))
     if not labels:
         return None

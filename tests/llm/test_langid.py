@@ -71,10 +71,11 @@ def test_scores_equal_a_scalar_network(spark):
         assert abs(r.score - max(want)) < 1e-4 and r.lang_pred == net.labels[want.index(max(want))]
 
 
-def test_training_crops_come_from_all_over_the_text(spark):
-    docs = spark.createDataFrame([(k, "a" * 3000 + "b" * 3000 + "c" * 3000, "en") for k in range(20)], "doc_id long, text string, lang string")
-    lang, crops = langid.sample(docs, id_col="doc_id", text_col="text", lang_col="lang", per_label=100, crops=24, crop_chars=64)
-    assert set(b"".join(crops)) == set(b"abc") and len(lang) == len(crops) and max(map(len, crops)) == 64
+def test_training_sample_holds_whole_texts(spark):
+    text = "a" * 3000 + "b" * 300000 + "é" * 3000
+    docs = spark.createDataFrame([(k, text, "en") for k in range(20)], "doc_id long, text string, lang string")
+    lang, texts = langid.sample(docs, id_col="doc_id", text_col="text", lang_col="lang", per_label=100)
+    assert len(lang) == len(texts) > 5 and set(texts) == {text.encode()}
 
 
 def test_accepted_keeps_columns_of_any_name(spark):
