@@ -78,7 +78,10 @@ BED = """SELECT n_nationkey AS iv, n_nationkey % 5 AS tid, n_name AS name, (n_na
 TRANSCRIPTS = f"""SELECT p_partkey AS tid, concat('p', CAST(p_partkey AS VARCHAR(20))) AS name,
   substr(repeat('{PATTERN}', 20), CAST(1 + p_partkey % 54 AS INT), CAST(20 + p_size * 7 AS INT)) AS sequence, p_size AS size FROM {{part}}"""
 
-SOURCES = {"reads": (READS, "orders"), "contigs": (CONTIGS, "region"), "refseq": (REFSEQ, "region"), "bed": (BED, "nation"), "transcripts": (TRANSCRIPTS, "part")}
+LONG_READS = """SELECT s_suppkey AS k, concat('L', CAST(s_suppkey AS VARCHAR(20))) AS qname, CAST(s_suppkey % 5 AS INT) AS tid,
+  CAST(1 + (s_suppkey * 7919) % 900 AS INT) AS pos, CAST(1 + ((s_suppkey * 15485863) % 64) * ((s_suppkey * 15485863) % 64) AS INT) AS pieces FROM {supplier}"""
+
+SOURCES = {"reads": (READS, "orders"), "contigs": (CONTIGS, "region"), "refseq": (REFSEQ, "region"), "bed": (BED, "nation"), "transcripts": (TRANSCRIPTS, "part"), "long_reads": (LONG_READS, "supplier")}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -279,9 +279,18 @@ SELECT name, CAST(p AS BIGINT) AS pos, ref, count(*) AS depth, string_agg(CASE W
 SQL["remap_contigs"] = P + " SELECT ord, CAST(4 - tid AS INT) AS tid, CAST(4 - mtid AS INT) AS mtid FROM reads"
 SQL["quickcheck"] = "SELECT DISTINCT 'ok' AS state FROM orders"
 
+SQL["bam_long_reads"] = P + """, r AS (SELECT k, qname, tid, pos, string_agg(translate(md5(k || '/' || i), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY i) AS seq
+  FROM (SELECT *, unnest(range(pieces)) AS i FROM long_reads) GROUP BY k, qname, tid, pos)
+SELECT qname, CAST(0 AS INT) AS flag, tid, pos, CAST(60 AS INT) AS mapq, length(seq) || 'M' AS cigar, CAST(length(seq) AS INT) AS bases, md5(seq) AS digest FROM r"""
+SQL["view_bam_regions"] = P + f""" SELECT CAST(0 AS INT) AS region, {FIELDS} FROM a WHERE tid = 2 AND pos <= 700 AND endp >= 200
+UNION ALL SELECT 1, {FIELDS} FROM a WHERE tid = 3 AND endp >= 1000
+UNION ALL SELECT 2, {FIELDS} FROM a WHERE tid = 4 AND pos IS NOT NULL"""
+SQL["view_bam_filter"] = P + f" SELECT {FIELDS} FROM reads WHERE tid = 2 AND pos BETWEEN 200 AND 700"
+SQL["view_layout"] = SQL["view_multi_region"]
+
 # Missing integers show as -1, as in the queries.
 _SHOW = {
-    **dict.fromkeys(["view_require", "view_exclude", "view_mapq", "view_region", "view_multi_region", "view_exclude_region", "head"], ("tid", "pos", "mapq")),
+    **dict.fromkeys(["view_require", "view_exclude", "view_mapq", "view_region", "view_multi_region", "view_exclude_region", "head", "view_layout"], ("tid", "pos", "mapq")),
     **dict.fromkeys(["sort_coordinate", "sort_name", "merge", "sort_markdup"], ("tid", "pos")),
     "reheader": ("tid",),
     "remap_contigs": ("tid", "mtid"),
@@ -289,7 +298,7 @@ _SHOW = {
     "calmd_nm": ("nm",),
     "fixmate_runs": ("mtid", "mpos"),
     **dict.fromkeys(["bam_file", "sam_file"], ("tid", "pos", "mapq", "mtid", "mpos", "nm")),
-    "view_file": ("tid", "pos", "mapq", "mtid", "mpos"),
+    **dict.fromkeys(["view_file", "view_bam_regions", "view_bam_filter"], ("tid", "pos", "mapq", "mtid", "mpos")),
     "calmd_md_nm": ("nm",),
     "ampliconclip": ("pos",),
     "ampliconclip_hard": ("pos",),

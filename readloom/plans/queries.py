@@ -111,6 +111,53 @@ def view_file(spark, sf_dir):
     return filters.view(_bam_file(spark, sf_dir), require=0x1, exclude=0xF04, min_mapq=20).select(*FIELDS)
 
 
+@query
+def bam_long_reads(spark, sf_dir):
+    """Reads of many blocks each, one per supplier, written as BAM and read in ranges that are shorter than a read."""
+    contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "bam")
+    bam.register(spark)
+    piece = F.translate(F.md5(F.concat(F.col("k").cast("string"), F.lit("/"), F.col("i").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    rows = _get(spark, sf_dir, "long_reads").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("text")))), lambda x: x["text"]), "")
+    rows = rows.groupBy("k", "qname", "tid", "pos").agg(seq.alias("seq")).withColumns({"flag": F.lit(0), "mapq": F.lit(60), "tlen": F.lit(0), "cigar": F.concat(F.length("seq").cast("string"), F.lit("M"))})
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in READS]
+    rows.repartition(4, "k").sortWithinPartitions("k").select(*columns).write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
+    back = spark.read.format("bam").option("split", 30_000).load(path)
+    return back.select("qname", "flag", "tid", "pos", "mapq", "cigar", F.length("seq").alias("bases"), F.md5("seq").alias("digest"))
+
+
+def _sorted_bam(spark, sf_dir):
+    """The reads in order of place, written as indexed BAM files; the contigs and the path."""
+    contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "bam")
+    bam.register(spark)
+    rows = _tagged(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in READS])
+    rows.orderBy(*ordering.coordinate_keys()).write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
+    bam.write_index(spark, path)
+    return contigs, path
+
+
+@query
+def view_bam_regions(spark, sf_dir):
+    """Regions of indexed BAM files: only the ranges that may hold some of their reads are read."""
+    contigs, path = _sorted_bam(spark, sf_dir)
+    return bam.read_regions(spark, path, contigs, ["ASIA:200-700", "EUROPE:1000", "MIDDLE_EAST", "NOWHERE"]).select("region", *FIELDS)
+
+
+@query
+def view_bam_filter(spark, sf_dir):
+    """A plain filter on contig and place reaches the scan of indexed BAM files."""
+    return spark.read.format("bam").load(_sorted_bam(spark, sf_dir)[1]).where("tid = 2 AND pos BETWEEN 200 AND 700").select(*FIELDS)
+
+
+@query
+def view_layout(spark, sf_dir):
+    """Regions of the Parquet layout, by partition, place and the longest span of the contig."""
+    reads, contigs = _get(spark, sf_dir, "reads", "contigs")
+    path = new_path(spark, "layout")
+    lines.write_layout(reads, path)
+    return lines.read_layout(spark, path, contigs, ["ASIA:200-700", "ASIA:500-900", "EUROPE:1000", "MIDDLE_EAST", "*"]).select("region", *SHOWN)
+
+
 @query
 def split_files(spark, sf_dir):
     path = new_path(spark, "split")

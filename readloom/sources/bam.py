@@ -1,13 +1,19 @@
 """BAM files as a Python data source: spark.read.format("bam").load(path), df.write.format("bam").
 
-A file is cut into ranges of compressed blocks. A task starts at the first record
-that begins in its range and reads past the end until a record would begin outside
-it. The writer gives each task a complete file with header, and moves the files
-into place when the job commits. Paths are plain ones or URIs of any file system that
-pyarrow opens (file, hdfs, s3, gs); all workers must reach them.
-
-Options: read `split` (bytes of a range); write `contigs` (JSON list of [name, length]
-in order of tid) and `header` (header lines before the contigs).
+A file is cut into ranges of compressed blocks. A task looks for the first record that
+begins in its range, reads on until a chain of records proves it, however many blocks
+that takes, and ends before the first record that begins behind the range. The writer
+gives each task a complete file with header, and moves the files into place when the
+job commits. Paths are plain ones or URIs of any file system that pyarrow opens (file,
+hdfs, s3, gs); all workers must reach them.
+
+write_index() adds a table with the reach of the records that begin in each 16 kb
+of a contig, and where in the files they lie. Where it is there, a filter on tid and pos, or the
+options of read_regions(), pick from it the ranges that are read at all.
+
+Options: read `split` (bytes of a range), `tid`, `begin`, `end` (only records that may
+overlap these places, 1-based, with an index); write `contigs` (JSON list of [name,
+length] in order of tid) and `header` (header lines before the contigs).
 """
 
 from __future__ import annotations
@@ -18,12 +24,19 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
+from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from readloom.functions.cigar import end_position, placed
+from readloom.functions.text import parse_region
 from readloom.schema import READS
 
 # Fixed values of the format.
@@ -45,11 +58,6 @@ def opened(path: str):
     return where.open_input_file(inner)
 
 
-def size_of(path: str) -> int:
-    where, inner = located(path)
-    return where.get_file_info(inner).size
-
-
 def compress(data: bytes, level: int = 6) -> bytes:
     """The data as blocks, without the end marker."""
     out = []
@@ -128,23 +136,120 @@ def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
     raise ValueError(f"{path}: the header is cut off")
 
 
-def plausible(data: bytes, at: int, contigs: int, chain: int = 4) -> bool:
-    """Whether records may start at this byte, and so on for a few more."""
+FIXED = 36  # bytes of a record before its name
+LARGEST = 1 << 28
+
+
+def verdict(data: bytes | bytearray, at: int, contigs: int, ended: bool, chain: int = 3) -> bool | None:
+    """Whether records start at this byte: `chain` of them, or as many as there are before the end of the file; None if more bytes must tell."""
     for _ in range(chain):
-        if at + 36 > len(data):
+        if at == len(data) and ended:
             return True
+        if at + FIXED > len(data):
+            return False if ended else None
         size, tid, pos, name, _, _, ops, _, bases, mtid, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        if not (-1 <= tid < contigs and -1 <= mtid < contigs and pos >= -1 and mpos >= -1 and name >= 1 and bases >= 0):
+        if not (-1 <= tid < contigs and -1 <= mtid < contigs and pos >= -1 and mpos >= -1):
             return False
-        if size < 32 + name + 4 * ops + (bases + 1) // 2 + bases or size > 1 << 26:
+        if name < 1 or bases < 0 or not 32 + name + 4 * ops + (bases + 1) // 2 + bases <= size <= LARGEST:
             return False
-        end = at + 36 + name - 1
-        if end < len(data) and (data[end] != 0 or any(not 33 <= c <= 126 for c in data[at + 36 : end])):
+        text, cigar = at + FIXED, at + FIXED + name
+        if any(not 33 <= c <= 126 for c in data[text : cigar - 1]) or data[cigar - 1 : cigar] not in (b"\0", b""):
             return False
+        if cigar + 4 * ops <= len(data):
+            if any(x & 15 >= len(OPS) for x in struct.unpack_from(f"<{ops}I", data, cigar)):
+                return False
         at += 4 + size
+        if at > len(data):
+            return False if ended else None
     return True
 
 
+def candidates(data: bytearray, start: int, contigs: int) -> list[int]:
+    """Places from start on whose fixed part may be that of a record."""
+    n = len(data) - FIXED + 1 - start
+    if n <= 0:
+        return []
+    whole = bytes(data[start:])
+    field = lambda offset, kind: np.ndarray((n,), kind, whole, offset, (1,))
+    size, tid, pos, name, bases, mtid, mpos = (field(o, k) for o, k in ((0, "<i4"), (4, "<i4"), (8, "<i4"), (12, "u1"), (20, "<i4"), (24, "<i4"), (28, "<i4")))
+    ok = (size >= 33) & (size <= LARGEST) & (tid >= -1) & (tid < contigs) & (pos >= -1) & (mtid >= -1) & (mtid < contigs) & (mpos >= -1) & (name > 0) & (bases >= 0)
+    return (np.flatnonzero(ok) + start).tolist()
+
+
+class Plain:
+    """The decompressed bytes from some block on, and the block of each."""
+
+    def __init__(self, path: str, start: int):
+        self.source = blocks(path, start)
+        self.data, self.starts, self.offsets, self.ended = bytearray(), [], [], False
+
+    def more(self) -> bool:
+        """Append one block; False at the end of the file."""
+        offset, part = next(self.source, (None, None))
+        self.ended = offset is None
+        if not self.ended:
+            self.starts.append(len(self.data))
+            self.offsets.append(offset)
+            self.data += part
+        return not self.ended
+
+    def place(self, at: int) -> tuple[int, int] | None:
+        """(offset of the block, place in it) of a byte; None if its block is not read yet."""
+        if at >= len(self.data):
+            return None
+        k = bisect_right(self.starts, at) - 1
+        return self.offsets[k], at - self.starts[k]
+
+    def drop(self, at: int) -> int:
+        """Forget the blocks before that of a byte; the byte's new place."""
+        k = bisect_right(self.starts, at) - 1
+        if k > 0:
+            cut = self.starts[k]
+            del self.data[:cut]
+            self.starts, self.offsets = [b - cut for b in self.starts[k:]], self.offsets[k:]
+            at -= cut
+        return at
+
+    def first_record(self, end: int, contigs: int) -> int | None:
+        """Where the first record begins that does so in a block before `end`; None if none does."""
+        waiting, searched = deque(), 0
+        while True:
+            inside = not self.offsets or self.offsets[-1] < end
+            if not (waiting or inside) or self.ended:
+                return None
+            self.more()
+            if inside and not self.ended and self.offsets[-1] < end:
+                waiting += candidates(self.data, searched, contigs)
+                searched = max(searched, len(self.data) - FIXED + 1)
+            elif inside:  # records may begin in the last bytes of the last block of the range
+                last = self.starts[-1] if not self.ended else len(self.data)
+                waiting += [k for k in candidates(self.data, searched, contigs) if k < last]
+            while waiting:
+                found = verdict(self.data, waiting[0], contigs, self.ended)
+                if found is None:
+                    break
+                if found:
+                    return waiting[0]
+                waiting.popleft()
+
+    def records(self, at: int, end: int, path: str):
+        """(block offset, place in the block, record without its size) from a byte on, of records that begin in a block before `end`."""
+        while True:
+            while (place := self.place(at)) is None:
+                if not self.more():
+                    return
+            if place[0] >= end:
+                return
+            while at + 4 > len(self.data) or at + 4 + struct.unpack_from("<i", self.data, at)[0] > len(self.data):
+                if not self.more():
+                    raise ValueError(f"{path}: the record at {place} is cut off")
+            size = struct.unpack_from("<i", self.data, at)[0]
+            yield *place, bytes(self.data[at + 4 : at + 4 + size])
+            at += 4 + size
+            if at > 1 << 20:
+                at = self.drop(at)
+
+
 # Fixed values of the format: the number kinds of tags.
 NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
@@ -183,19 +288,23 @@ def tag_bytes(name: str, kind: str, value: str) -> bytes:
     return head + (b"I" if int(value) > 0x7FFFFFFF else b"i") + struct.pack("<I" if int(value) > 0x7FFFFFFF else "<i", int(value))
 
 
-def decode(data: bytes, at: int) -> tuple:
-    """The columns of READS but ord, of the record whose fixed part starts at this byte."""
-    size = struct.unpack_from("<i", data, at - 4)[0]
+PAIRS = [BASES[k >> 4] + BASES[k & 15] for k in range(256)]
+SHOWN_QUALITY = bytes(min(q, 93) + 33 for q in range(256))
+
+
+def decode(data: bytes) -> tuple:
+    """The columns of READS but ord, of a record without its size."""
+    at, size = 0, len(data)
     tid, pos, name, mapq, _, ops, flag, bases, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at)
     end, at = at + size, at + 32
     qname = data[at : at + name - 1].decode()
     at += name
     cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at))
     at += 4 * ops
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in data[at : at + (bases + 1) // 2])[:bases]
+    seq = "".join(map(PAIRS.__getitem__, data[at : at + (bases + 1) // 2]))[:bases]
     at += (bases + 1) // 2
     qual = data[at : at + bases]
-    qual = "" if not qual or qual[0] == 255 else bytes(min(q, 93) + 33 for q in qual).decode()
+    qual = "" if not qual or qual[0] == 255 else qual.translate(SHOWN_QUALITY).decode()
     tags, at = {}, at + bases
     while at < end:
         key, kind = data[at : at + 2].decode(), chr(data[at + 2])
@@ -203,7 +312,7 @@ def decode(data: bytes, at: int) -> tuple:
         tags.setdefault(key, ("i" if kind in "cCsSI" else kind, value))
     known = lambda x: None if x < 0 else x
     place = lambda x: None if x < 0 else x + 1
-    return (None if qname == "*" else qname, flag, known(tid), place(pos), None if mapq == 255 else mapq, cigar, known(mtid), place(mpos), tlen, seq, qual, *(tags[k][1] if k in tags else None for k in ("RG", "RX")), tags)
+    return (None if qname == "*" else qname, flag, known(tid), place(pos), None if mapq == 255 else mapq, cigar, known(mtid), place(mpos), tlen, seq, qual, *(tags[k][1] if k in tags else None for k in ("RG", "RX")), list(tags.items()))
 
 
 def region_bin(begin: int, end: int) -> int:
@@ -214,6 +323,9 @@ def region_bin(begin: int, end: int) -> int:
     return 0
 
 
+CODES = bytes(BASES.find(chr(c)) if chr(c) in BASES else 15 for c in range(256))
+
+
 def encode(row) -> bytes:
     """The bytes of one row of READS."""
     ops, n = [], ""
@@ -226,7 +338,7 @@ def encode(row) -> bytes:
     span = sum(k for k, c in ops if c in "MDN=X") or 1
     name = (row["qname"] or "*").encode() + b"\0"
     seq = row["seq"] or ""
-    codes = [max(BASES.find(c), 0) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
+    codes = np.frombuffer(seq.upper().encode("ascii", "replace").translate(CODES) + b"\0" * (len(seq) % 2), np.uint8)
     qual = row["qual"] or ""
     less = lambda x: -1 if x is None else x - 1
     known = lambda x: -1 if x is None else x
@@ -246,8 +358,8 @@ def encode(row) -> bytes:
         row["tlen"] or 0,
     )
     body += name + struct.pack(f"<{len(ops)}I", *[k << 4 | OPS.index(c) for k, c in ops])
-    body += bytes(codes[k] << 4 | codes[k + 1] for k in range(0, len(codes), 2))
-    body += bytes(ord(c) - 33 for c in qual) if qual else b"\xff" * len(seq)
+    body += (codes[::2] << 4 | codes[1::2]).tobytes()
+    body += (np.frombuffer(qual.encode(), np.uint8) - 33).tobytes() if qual else b"\xff" * len(seq)
     names = row.__fields__
     own = {c.upper(): ("Z", row[c]) for c in ("rg", "rx") if c in names}
     held = {k: (v["type"], v["value"]) for k, v in ((row["tags"] or {}) if "tags" in names else {}).items() if k not in own}
@@ -259,63 +371,135 @@ def encode(row) -> bytes:
 class Range(InputPartition):
     path: str
     base: int  # bytes of the files before
-    begin: int
-    end: int
+    begin: int  # offset of a block, or where to look for one
+    end: int  # records that begin in blocks from here on belong to others
+    within: int | None = None  # place in the first block of a record that is known to begin there
+    last: int | None = None  # the last record, as block offset << 16 | place, if it is known
+
+
+def _listed(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the BAM files of a folder in order of name."""
+    where, inner = located(path)
+    info = where.get_file_info(inner)
+    if info.type != fs.FileType.Directory:
+        return [(path, info.size)]
+    found = [f for f in where.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".bam") and not f.base_name.startswith(".")]
+    return sorted((f"{path.rstrip('/')}/{f.base_name}", f.size) for f in found)
+
+
+INDEX = "_index"
+WINDOW = 14  # bits of a place in one window of the index
+NEAR = 1 << 16  # compressed bytes that are read rather than skipped
+
+
+@dataclass
+class Places:
+    """What filters and options say about the records that are asked for."""
+
+    tid: int | None = None
+    least: int = 1  # of pos
+    most: int = 2**31 - 1
+    reach: int = 1  # least last place
+
+    @property
+    def narrow(self) -> bool:
+        return self.tid is not None
+
+
+def picked(index: pa.Table, asked: Places) -> list[tuple[int, int, int]]:
+    """(file number, first, last record) of the stretches of the files that may hold records that are asked for."""
+    c = pa.compute
+    at = lambda x: (max(x, 1) - 1) >> WINDOW
+    keep = c.and_(c.equal(index["tid"], asked.tid), c.and_(c.greater_equal(index["bin"], at(asked.least)), c.less_equal(index["bin"], at(asked.most))))
+    keep = c.and_(keep, c.greater_equal(index["reach"], asked.reach))
+    rows = index.filter(keep)
+    out: list[tuple[int, int, int]] = []
+    for file, first, last in sorted(zip(*(rows[n].to_pylist() for n in ("file", "first", "last")))):
+        if out and out[-1][0] == file and (first >> 16) <= (out[-1][2] >> 16) + NEAR:
+            out[-1] = (file, out[-1][1], max(last, out[-1][2]))
+        else:
+            out.append((file, first, last))
+    return out
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(p for x in options["path"].split(",") for p in self._files(x))
+        self.files = sorted(f for x in options["path"].split(",") for f in _listed(x))
         self.split = int(options.get("split", 64 << 20))
-
-    @staticmethod
-    def _files(path: str) -> list[str]:
-        where, inner = located(path)
-        if where.get_file_info(inner).type != fs.FileType.Directory:
-            return [path]
-        names = [f.base_name for f in where.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".bam") and not f.base_name.startswith(".")]
-        return [f"{path.rstrip('/')}/{n}" for n in names]
+        tid, begin, end = (options.get(k) for k in ("tid", "begin", "end"))
+        self.asked = Places(None if tid is None else int(tid), 1, int(end or 2**31 - 1), int(begin or 1))
+        # An index is that of one folder as it was written.
+        self.index = f"{options['path'].rstrip('/')}/{INDEX}" if "," not in options["path"] else None
+
+    def pushFilters(self, filters):
+        """Bounds on tid and pos choose ranges; Spark filters the rows, so all filters stay."""
+        bound = {GreaterThan: ("least", 1), GreaterThanOrEqual: ("least", 0), LessThan: ("most", -1), LessThanOrEqual: ("most", 0)}
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("tid",) and self.asked.tid is None:
+                self.asked.tid = f.value
+            if getattr(f, "attribute", None) == ("pos",):
+                for side, step in [bound[type(f)]] if type(f) in bound else [("least", 0), ("most", 0)] if isinstance(f, EqualTo) else []:
+                    held, value = getattr(self.asked, side), f.value + step
+                    setattr(self.asked, side, max(held, value) if side == "least" else min(held, value))
+            yield f
 
     def partitions(self):
-        out, base = [], 0
-        for path in self.paths:
-            size = size_of(path)
+        bases = np.cumsum([0] + [size for _, size in self.files]).tolist()
+        if self.asked.narrow and self.index and located(self.index)[0].get_file_info(located(self.index)[1]).type == fs.FileType.Directory:
+            return self._indexed(bases) or [Range("", 0, 0, 0)]
+        out = []
+        for (path, size), base in zip(self.files, bases):
             out += [Range(path, base, at, min(at + self.split, size)) for at in range(0, size, self.split)]
-            base += size
         return out or [Range("", 0, 0, 0)]
 
+    def _indexed(self, bases: list[int]) -> list[Range]:
+        import pyarrow.parquet as pq
+
+        where, inner = located(self.index)
+        names = [f.path for f in where.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".parquet")]
+        # Row groups are sorted by contig and window: the rest of the index is not read.
+        tables = [pq.read_table(n, filesystem=where, filters=[("tid", "=", self.asked.tid)]) for n in names]
+        index, out = pa.concat_tables(tables) if tables else None, []
+        if index and any(x != bases[-1] for x in pa.compute.unique(index["bytes"]).to_pylist()):
+            raise ValueError(f"{self.index}: the index is of other files than there are; write_index() again")
+        for file, first, last in picked(index, self.asked) if index else []:
+            path, size = self.files[file]
+            begin, stop, within = first >> 16, last >> 16, first & 0xFFFF
+            for at in range(begin, stop + 1, self.split):
+                end = min(at + self.split, stop + 1)
+                out.append(Range(path, bases[file], at, end, within if at == begin else None, last))
+        return out
+
     def read(self, part: Range):
         if not part.path:
             return
         _, contigs, skip = read_header(part.path)
-        data, owner, at, n = b"", [], None, 0
-        behind = skip if part.begin == 0 else 0
-        for offset, plain in blocks(part.path, part.begin):
-            if behind >= len(plain) and at is None and part.begin == 0:
-                behind -= len(plain)
-                continue
-            owner.append((len(data), offset))
-            data += plain
-            if at is None:
-                if part.begin == 0:
-                    at = behind
-                else:
-                    at = next((k for k in range(len(data)) if plausible(data, k, len(contigs))), None)
-                    if at is None:
-                        continue
-            while at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
-                first, start = next((b, o) for b, o in reversed(owner) if b <= at)
-                if start >= part.end:
-                    return
-                # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
-                yield ((part.base + start) << 16 | at - first, *decode(data, at + 4))
-                n += 1
-                at += 4 + struct.unpack_from("<i", data, at)[0]
-            cut = max((b for b, _ in owner if b <= at), default=0)
-            data, at = data[cut:], at - cut
-            owner = [(b - cut, o) for b, o in owner if b >= cut]
-            if offset >= part.end and at == 0:
-                return
+        plain = Plain(part.path, part.begin)
+        if part.within is not None:
+            at = part.within
+        elif part.begin == 0:
+            at = skip
+        else:
+            at = plain.first_record(part.end, len(contigs))
+        schema = arrow_schema()
+        held, size = [], 0
+        for block, place, record in plain.records(at, part.end, part.path) if at is not None else ():
+            if part.last is not None and (block << 16 | place) > part.last:
+                break
+            # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
+            held.append(((part.base + block) << 16 | place, *decode(record)))
+            size += len(record)
+            if size >= 1 << 20 or len(held) >= 4096:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def arrow_schema() -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(READS)
 
 
 @dataclass
@@ -384,10 +568,42 @@ class BamDataSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make format("bam") known to the session."""
+    """Make format("bam") known to the session, and let filters reach it (Spark's own switch for that is off by default)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamDataSource)
 
 
+def write_index(spark: SparkSession, path: str) -> None:
+    """Index the BAM files of a folder, in a folder in it: per file, contig and window of 2 ** WINDOW places the first and last
+    record that begin there, as block offset << 16 | place, and how far any of them reaches. Files sorted by place make it sharp;
+    of others it is right, but its stretches overlap.
+    """
+    files = _listed(path)
+    edges = np.cumsum([0] + [size for _, size in files])[:-1].tolist()
+    file = F.array_size(F.filter(F.lit(edges), lambda b: b <= F.shiftright("ord", 16))) - 1
+    rows = spark.read.format("bam").load(path).where(placed()).select("tid", "pos", "ord", end_position().alias("endp"), file.cast("int").alias("file"))
+    own = F.col("ord") - F.shiftleft(F.get(F.lit(edges), F.col("file")).cast("long"), 16)
+    table = rows.withColumn("own", own).groupBy("file", "tid", F.shiftright(F.col("pos") - 1, WINDOW).alias("bin"))
+    table = table.agg(F.min("own").alias("first"), F.max("own").alias("last"), F.max("endp").alias("reach"), F.count("*").alias("n"))
+    table = table.withColumn("bytes", F.lit(sum(size for _, size in files)).cast("long"))
+    table.orderBy("tid", "bin", "file").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{INDEX}")
+
+
+def read_regions(spark: SparkSession, path: str, contigs: DataFrame, regions: list[str], **options) -> DataFrame:
+    """Rows of indexed BAM files that overlap each region, once per region, with the region's number in `region`; only ranges that may hold some are read."""
+    named = [parse_region(r) for r in regions]
+    tids = {r.name: r.tid for r in contigs.where(F.col("name").isin(*{n for n, _, _ in named})).select("name", "tid").collect()}  # one row per region asked
+    out = spark.createDataFrame([], READS).withColumn("region", F.lit(0))
+    for k, (name, begin, end) in enumerate(named):
+        if name not in tids:
+            continue
+        begin, end = begin or 1, 2**31 - 1 if end is None else end
+        rows = spark.read.format("bam").options(**options, tid=tids[name], begin=begin, end=end).load(path)
+        part = rows.where((F.col("tid") == tids[name]) & (F.col("pos") <= end) & (end_position() >= begin))
+        out = out.unionByName(part.withColumn("region", F.lit(k)))
+    return out
+
+
 def contig_option(contigs: DataFrame) -> str:
     """The writer's option `contigs`: a header names its contigs in the driver's memory anyway."""
     return json.dumps([(r.name, int(r.length)) for r in contigs.orderBy("tid").select("name", "length").collect()])
@@ -395,7 +611,8 @@ def contig_option(contigs: DataFrame) -> str:
 
 def quickcheck(path: str, unrecognized_ok: bool = False) -> str | None:
     """What is wrong with a file: None if its magic, header and end marker are in place."""
-    size = size_of(path) or 0
+    where, inner = located(path)
+    size = where.get_file_info(inner).size or 0
     if size < 2:
         return "too short"
     with opened(path) as f:

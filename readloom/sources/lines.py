@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.cigar import end_position, placed
 from readloom.functions.tags import complete, from_fields, tag, to_fields
+from readloom.functions.text import parse_region
 from readloom.operators import counts, mates
 from readloom.operators.ordering import numbered
 from readloom.schema import READS
@@ -221,7 +223,37 @@ def write_split(reads: DataFrame, path: str, tag: str = "RG") -> None:
     reads.withColumn("value", counts.tag_value(reads, tag)).write.partitionBy("value").parquet(path)
 
 
+SPANS = "_spans"
+
+
 def write_layout(reads: DataFrame, path: str, shift: int = 14) -> None:
-    """Parquet by contig, sorted by place, with the bin as a column: region filters read few row groups."""
+    """Parquet by contig, sorted by place, with the bin as a column; and the longest span on the reference of each contig's rows, in a folder in it."""
     rows = reads.withColumn("bin", F.shiftright(F.col("pos") - 1, shift)).withColumn("contig", F.col("tid"))
     rows.repartitionByRange(F.asc_nulls_last("tid"), F.asc_nulls_last("pos")).sortWithinPartitions(F.asc_nulls_last("tid"), F.asc_nulls_last("pos"), "flag", "qname").write.partitionBy("contig").parquet(path)
+    spans = reads.where(placed()).groupBy("tid").agg(F.max(end_position() - F.col("pos") + 1).alias("span"))
+    spans.write.parquet(f"{path.rstrip('/')}/{SPANS}")
+
+
+def read_layout(spark: SparkSession, path: str, contigs: DataFrame, regions: list[str]) -> DataFrame:
+    """Rows of a layout that overlap each region, once per region, with the region's number in `region`; "*" asks for rows without a contig.
+
+    The contig is a literal, so other partitions are not listed; a row that overlaps
+    starts at most the contig's longest span before the region, so both bounds on `pos`
+    reach the row groups.
+    """
+    named = [(k, *parse_region(r)) for k, r in enumerate(regions) if r != "*"]
+    asked = contigs.where(F.col("name").isin(*{n for _, n, _, _ in named})).select("tid", "name")
+    known = {r.name: (r.tid, r.span) for r in asked.join(spark.read.parquet(f"{path.rstrip('/')}/{SPANS}"), "tid", "left").collect()}  # one row per contig asked for
+    rows = spark.read.parquet(path)
+    parts = [rows.where("contig IS NULL").withColumn("region", F.lit(k)) for k, r in enumerate(regions) if r == "*"]
+    for k, name, begin, end in named:
+        tid, span = known.get(name, (None, None))
+        if span is None:
+            continue
+        begin, end = begin or 1, 2**31 - 1 if end is None else end
+        part = rows.where((F.col("contig") == tid) & (F.col("pos") <= end) & (F.col("pos") >= begin - span + 1) & (end_position() >= begin))
+        parts.append(part.withColumn("region", F.lit(k)))
+    out = rows.where("false").withColumn("region", F.lit(0))
+    for part in parts:
+        out = out.unionByName(part)
+    return out.drop("contig", "bin")
