@@ -7,20 +7,23 @@ in over half of the hashes. A text that is null or has no word has fingerprint 0
 
 Links. Two fingerprints link at `radius` or fewer differing bits. One index over all
 distinct fingerprints finds the links. They are sorted by Gray rank, where neighbours
-share long bit patterns, and packed into leaves of LEAF neighbours. A leaf holds the
-bits on which its members agree; a node above covers FAN neighbouring nodes and holds
-the bits on which those agree. The search goes down from the root with pairs of nodes:
-both sides are replaced by their children, one after the other, in an equi join on the
-parent; only the agreed bits that no pair of ancestors has compared are compared, the
-differences add up, and a pair of nodes goes, with all that lies below it, once they
-exceed the radius. Pairs of leaves that remain go to a task each, which takes their
-members in twigs of TWIG neighbours, leaves out pairs of twigs by their agreed bits in
-the same way, and compares the members of the others.
+share long bit patterns. A lowest node covers TWIG neighbours and holds the bits on
+which they agree; a node above covers 2 ** FAN_BITS neighbouring nodes and holds the bits on which those
+agree. The search goes down from the root with pairs of nodes: both are replaced by
+their children, only the agreed bits that no pair of ancestors has compared are
+compared, the differences add up, and a pair of nodes goes, with all that lies below
+it, once they exceed the radius. The members of pairs of lowest nodes that remain are
+compared in full.
+
+The upper levels are tables, searched in equi joins on the parent. From the level of
+leaf_size() on, which follows the number of fingerprints, the nodes travel as leaves
+with all their members: a pair of leaves that remains goes to a task with what its
+ancestors have compared, and the task goes down the levels that are left.
 
 Skew. All rows with one fingerprint are one entry, so a leaf has a bounded number of
 members whatever the copies. Levels, pairs of nodes and leaves are tables that Spark
 deals out by node. A pair of leaves hands on the edges of a spanning forest of its
-links, at most 2 * LEAF, not all pairs.
+links, at most two leaves of them, not all pairs.
 
 Defined results: null and wordless texts share fingerprint 0 and link like any
 other; rows with a null id have a null component and do not link; rows that repeat
@@ -42,11 +45,20 @@ from readloom.llm.common import fresh, pieces, stash, utf8
 from readloom.llm.graph import components
 from readloom.operators.ordering import numbered
 
-LEAF, FAN_BITS = 8192, 4  # members of a leaf; a node has 2 ** FAN_BITS children
-TWIG = 64  # neighbours in a leaf that are compared, or left out, together
+TWIG, FAN_BITS = 64, 4  # members of a lowest node; other nodes have 2 ** FAN_BITS children
+LEAVES = 64  # leaves beyond which the next level is taken for them
+LEAF = TWIG << 2 * FAN_BITS  # members of a leaf at most
 PAIRS = 64  # pairs of leaves that a task compares
 
 
+def leaf_size(n: int) -> int:
+    """The members of a leaf among n fingerprints: those of a node of some level."""
+    size = TWIG
+    while size < LEAF and n > LEAVES * size:
+        size <<= FAN_BITS
+    return size
+
+
 def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
     """The fingerprint of one UTF-8 text, as a signed 64-bit integer."""
     words = (text or b"").lower().split()
@@ -126,42 +138,68 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return off, top[off]
 
 
-def _twigs(x: np.ndarray):
-    """The members of a leaf in rows of TWIG, which of them are there, and the bits of each row with those it agrees on."""
-    rows = -(-len(x) // TWIG)
-    out, there = np.zeros((rows, TWIG), np.uint64), np.arange(rows * TWIG).reshape(rows, TWIG) < len(x)
-    out[there] = x
-    starts = np.arange(0, len(x), TWIG)
+def _agreed(x: np.ndarray, size: int):
+    """(bits, which of them all members agree on) of each run of `size` members."""
+    starts = np.arange(0, len(x), size)
     low, high = np.bitwise_and.reduceat(x, starts), np.bitwise_or.reduceat(x, starts)
-    return out, there, low, ~(low ^ high)
+    return low, ~(low ^ high)
+
 
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool, seen: int = 0, far: int = 0, twig: int = TWIG, watch: list | None = None):
+    """Places (i, j) of the members of two leaves within the radius; of one leaf with itself i < j.
 
-def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool):
-    """Places (i, j) of the members of two leaves within the radius; of one leaf with itself i < j."""
-    (a, here, low_a, mask_a), (b, there, low_b, mask_b) = _twigs(x), _twigs(y)
-    near = np.bitwise_count((low_a[:, None] ^ low_b) & mask_a[:, None] & mask_b) <= radius
-    p, q = np.nonzero(np.triu(near) if own else near)
+    seen are the bits that ancestors have compared, far how many of them differ. watch
+    gets (members of a node, pairs of nodes, pairs that stay) of each level.
+    """
+    sizes = [twig]
+    while sizes[0] << FAN_BITS < max(len(x), len(y)):
+        sizes.insert(0, sizes[0] << FAN_BITS)
+    p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    seen, far = np.full(1, seen, np.uint64), np.full(1, far, np.int64)
+    for k, size in enumerate(sizes):
+        (low_x, mask_x), (low_y, mask_y) = _agreed(x, size), _agreed(y, size)
+        fan = 1 << FAN_BITS if k else max(len(low_x), len(low_y))
+        child = np.arange(fan)
+        pp, qq = np.broadcast_arrays((p * fan)[:, None, None] + child[:, None], (q * fan)[:, None, None] + child)
+        there = (pp < len(low_x)) & (qq < len(low_y)) & ((pp <= qq) | (not own))
+        seen, far = (np.broadcast_to(z[:, None, None], pp.shape)[there] for z in (seen, far))
+        p, q = pp[there], qq[there]
+        new = mask_x[p] & mask_y[q] & ~seen
+        far = far + np.bitwise_count((low_x[p] ^ low_y[q]) & new)
+        stay = far <= radius
+        if watch is not None:
+            watch.append((size, len(stay), int(stay.sum())))
+        p, q, seen, far = p[stay], q[stay], (seen | new)[stay], far[stay]
+    (a, here), (b, there) = _rows(x, twig), _rows(y, twig)
     found = []
     for at in range(0, len(p), 128):
         pp, qq = p[at : at + 128], q[at : at + 128]
         close = np.bitwise_count(a[pp][:, :, None] ^ b[qq][:, None, :]) <= radius
         close &= here[pp][:, :, None] & there[qq][:, None, :]
         if own:
-            close[pp == qq] &= np.triu(np.ones((TWIG, TWIG), bool), 1)
+            close[pp == qq] &= np.triu(np.ones((twig, twig), bool), 1)
         k, i, j = np.nonzero(close)
-        found.append((pp[k] * TWIG + i, qq[k] * TWIG + j))
+        found.append((pp[k] * twig + i, qq[k] * twig + j))
     return [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
 
 
+def _rows(x: np.ndarray, twig: int):
+    """The members in rows of a lowest node each, and which of them are there."""
+    rows = -(-len(x) // twig)
+    out, there = np.zeros((rows, twig), np.uint64), np.arange(rows * twig).reshape(rows, twig) < len(x)
+    out[there] = x
+    return out, there
+
+
 def _compare(radius: int):
     """The links between the members of two leaves, for each pair of leaves."""
 
     def run(batches):
         for batch in batches:
             us, vs = [], []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+            for a, b, x, y, seen, far in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y", "seen", "far"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                i, j = near_pairs(x, y, radius, a == b)
+                i, j = near_pairs(x, y, radius, a == b, seen & (1 << 64) - 1, far)
                 if len(i) > len(x) + len(y):
                     both = np.concatenate([x, y])
                     u, v = spanning(i, j + (0 if a == b else len(x)), len(both))
@@ -176,9 +214,9 @@ def _compare(radius: int):
     return run
 
 
-def links(distinct: DataFrame, *, radius: int = 2, leaf: int = LEAF, fan_bits: int = FAN_BITS) -> DataFrame:
+def links(distinct: DataFrame, *, radius: int = 2, leaf: int | None = None, fan_bits: int = FAN_BITS) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct fingerprints (fp) linked within the radius."""
-    bottom = leaves(distinct, leaf)
+    bottom = leaves(distinct, leaf or leaf_size(distinct.count()))
     levels = [stash(bottom.select("node", "low", "high"), "level")]
     n = levels[0].count()
     while n > 1:
@@ -200,16 +238,16 @@ def links(distinct: DataFrame, *, radius: int = 2, leaf: int = LEAF, fan_bits: i
             pairs = pairs.select(F.col(s).alias("up"), *old).join(level.select(*side(s)), "up").drop("up")
             pairs = pairs.withColumns({"far": F.col("far") + added, "seen": F.col("seen").bitwiseOR(new)}).where(F.col("far") <= radius)
         pairs = stash(pairs.where("a <= b"), "pairs")
-    pairs = pairs.select("a", "b").repartition(-(-pairs.count() // PAIRS) or 1)
+    pairs = pairs.select("a", "b", "seen", "far").repartition(-(-pairs.count() // PAIRS) or 1)
     for s, name in (("a", "x"), ("b", "y")):
         pairs = pairs.join(bottom.select(F.col("node").alias(s), F.col("members").alias(name)), s)
-    return pairs.select("a", "b", "x", "y").mapInArrow(_compare(radius), "u long, v long")
+    return pairs.select("a", "b", "x", "y", "seen", "far").mapInArrow(_compare(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id, the smallest id that links reach."""
     fps = stash(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fps")
-    distinct = fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low"))
+    distinct = stash(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprints")
     joined = components(links(distinct, radius=radius)).withColumnRenamed("node", "fp")
     entry = distinct.join(joined, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     smallest = entry.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -84,6 +84,51 @@ def test_gray_index_finds_every_link_and_prunes(spark, monkeypatch):
     assert [t.count() for label, t in tables if label == "pairs"][-1] < leaves**2 / 8
 
 
+@pytest.mark.parametrize("twig", [2, 4, 64])
+def test_leaves_are_searched_by_their_own_levels(twig):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    x = np.unique(np.concatenate([base ^ np.uint64(1) << np.uint64(k) for k in rng.integers(0, 60, 30).tolist()]))
+    gray = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(k)
+    x = x[np.argsort(gray)]
+    for a, b in ((x, x), (x[:700], x[700:]), (x[:130], x[130:]), (x[:1], x[1:])):
+        i, j = simhash.near_pairs(a, b, 2, a is b, twig=twig)
+        near = np.bitwise_count(a[:, None] ^ b[None, :]) <= 2
+        want = np.nonzero(np.triu(near, 1) if a is b else near)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(z.tolist() for z in want)))
+    # What ancestors have compared is not counted twice, and what they found counts.
+    assert len(simhash.near_pairs(x, x, 2, True, seen=(1 << 64) - 1, far=0, twig=twig)[0]) == len(simhash.near_pairs(x, x, 2, True, twig=twig)[0])
+    assert not len(simhash.near_pairs(x, x, 2, True, seen=0, far=3, twig=twig)[0])
+
+
+def test_the_index_prunes_at_shipped_parameters(spark):
+    """On sf0.1 differences added up on the way down leave out pairs of nodes at the lower levels; the pairs that are left connect what all links connect."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    fps = np.unique([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()]).view(np.uint64)
+    assert simhash.leaf_size(len(fps)) == 1024 and simhash.leaf_size(900) == 64 and simhash.leaf_size(10**9) == simhash.LEAF == 16384
+    gray = fps.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(k)
+    x, watch = fps[np.argsort(gray)], []
+    i, j = simhash.near_pairs(x, x, 2, True, watch=watch)
+    assert [size for size, _, _ in watch] == [1024, 64]
+    # Pairs of lowest nodes: fewer are compared in full than one level of bounds would leave.
+    low, mask = simhash._agreed(x, 64)
+    one_level = np.triu(np.bitwise_count((low[:, None] ^ low) & mask[:, None] & mask) <= 2).sum()
+    assert watch[-1][2] <= one_level < len(low) * (len(low) + 1) / 2 / 2
+    tables, kept = [], simhash.stash
+    simhash.stash = lambda df, label: tables.append((label, kept(df, label))) or tables[-1][1]
+    try:
+        got = [(int(np.int64(r.u).view(np.uint64)), int(np.int64(r.v).view(np.uint64))) for r in simhash.links(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")).collect()]
+    finally:
+        simhash.stash = kept
+    levels = [t.count() for label, t in tables if label == "level"]
+    assert levels[0] == -(-len(x) // 1024) or levels[0] <= len(x) // 1024 + 12  # the last leaf of each task is shorter
+    assert slow_partition(x.tolist(), got) == slow_partition(x.tolist(), [(int(x[a]), int(x[b])) for a, b in zip(i.tolist(), j.tolist())])
+
+
 def slow_partition(nodes, pairs):
     up = {v: v for v in nodes}
 
