@@ -3,7 +3,8 @@
 Examples are distinct labelled texts that are not held out, drawn by a hash of the text,
 about `per_label` of each label (the bound of the fit); what a label was thinned by is
 its weight in votes. Terms are lower-cased words whose chi-square with the label, over
-the examples, is at least `chi_square`; the `most_terms` highest are kept. Document
+the examples, is at least `chi_square` and that one label has in at least `lift` times
+the share of its examples; the `most_terms` of highest chi-square are kept. Document
 frequencies of the terms, and the number of documents, are counted over all documents.
 
 Index. Examples are numbered so that those with the same heaviest term lie together, in
@@ -43,7 +44,7 @@ from readloom.llm.langid import held_out
 
 WORD = re.compile(r"\w+")
 BLOCK = 32  # examples
-STEP = 4  # blocks that are scored at once
+STEP = 8  # blocks that are scored at first, then twice as many each time
 
 
 def counted(text: str | None) -> Counter:
@@ -106,7 +107,7 @@ class Index:
         reach = bound[order] * (1 + 1e-9) + 1e-12  # sums are rounded in another order
         slot = np.full(self.blocks, -1)
         while read < len(order) and (len(best) < k or reach[read] >= cosine[-1]):
-            now = order[read : read + STEP]
+            now = order[read : read + max(STEP, read)]
             read += len(now)
             slot[now] = np.arange(len(now))
             own = slot[self.cut_block[at]] >= 0
@@ -183,7 +184,7 @@ def _terms(rows: DataFrame, to: str, of_part) -> DataFrame:
     return rows.mapInArrow(run, to)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_label: int = 4096, most_terms: int = 20000, most_postings: int = 1_000_000, least_examples: int = 5, chi_square: float = 20.0, k: int = 30, prior: float = 1.0) -> Votes | None:
+def learn(docs: DataFrame, labels: DataFrame, *, per_label: int = 4096, most_terms: int = 20000, most_postings: int = 1_000_000, least_examples: int = 5, chi_square: float = 20.0, lift: float = 2.0, k: int = 30, prior: float = 1.0) -> Votes | None:
     """The votes of the labelled examples; docs: id, text; labels: id, label."""
     spark = docs.sparkSession
     own = stash(examples(docs, labels, per_label), "examples")
@@ -205,7 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_label: int = 4096, most_ter
     expected = (a + b) * (toxic + clean - a - b) * float(max(1, toxic)) * float(max(1, clean))
     chi = observed / F.greatest(F.lit(1.0), expected)
     table = words.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).withColumn("chi", chi)
-    terms = [r.term for r in table.where((a + b >= least_examples) & (F.col("chi") >= chi_square)).orderBy(F.desc("chi"), "term").limit(most_terms).select("term").collect()]
+    share = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
+    terms = [r.term for r in table.where((a + b >= least_examples) & (F.col("chi") >= chi_square) & ((share >= lift) | (share <= 1 / lift))).orderBy(F.desc("chi"), "term").limit(most_terms).select("term").collect()]
     terms.sort()
     shared = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
