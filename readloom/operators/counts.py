@@ -57,36 +57,72 @@ def stats_input(reads: DataFrame, *, min_mapq: int = 0, targets: DataFrame | Non
     return rows.where(mapq_or_missing(min_mapq))
 
 
+LONGEST_READ, LARGEST_INSERT = 1024, 8000  # beyond them the histograms of a report do not go
+HISTOGRAMS = ("RL", "IS", "GCF", "MAPQ")
+
+
+def profile(reads: DataFrame, *, min_mapq: int = 0, targets: DataFrame | None = None, histograms: bool = True) -> DataFrame:
+    """All parts of the statistics from one scan: (section, key, n) and the sums of section 0, the summary.
+
+    Each row gives a small item to each section it counts in, which the aggregate sums
+    up before anything is shuffled. Sections 1 to 4 are the HISTOGRAMS. With targets the
+    reads are scanned once more, to find those that overlap one.
+    """
+    kept = primary() & mapq_or_missing(min_mapq)
+    if targets is not None:
+        hit = overlaps_any(reads.where(primary()), targets).select("ord", F.lit(True).alias("_hit"))
+        reads, kept = reads.join(hit, "ord", "left"), kept & F.coalesce("_hit", F.lit(False))
+    n, gc = F.length("seq"), F.length(F.regexp_replace("seq", "[^GCgc]", ""))
+    sums = {
+        "raw_total": F.lit(1),
+        "_primary": primary(),
+        "sequences": kept,
+        "reads_mapped": kept & mapped(),
+        "reads_unmapped": kept & ~mapped(),
+        "reads_paired": kept & F.expr("(flag & 1) <> 0"),
+        "reads_properly_paired": kept & F.expr("(flag & 2) <> 0"),
+        "reads_duplicated": kept & F.expr("(flag & 1024) <> 0"),
+        "reads_qc_failed": kept & F.expr("(flag & 512) <> 0"),
+        "total_length": F.when(kept, n),
+        "bases_mapped": F.when(kept & mapped(), span("cigar", "M=X")),
+        "bases_n": F.when(kept, n - F.length(F.regexp_replace("seq", "[Nn]", ""))),
+        "_mapq": F.when(kept, F.col("mapq")),
+        "reads_mq0": kept & (F.col("mapq") == 0),
+    }
+    keys = [
+        F.lit(0),
+        F.when(kept & (n <= LONGEST_READ), n),
+        F.when(kept & F.expr("(flag & 1) <> 0") & (F.abs("tlen") <= LARGEST_INSERT), F.abs("tlen")),
+        F.when(kept & (n > 0), F.floor(F.lit(100) * gc / n)),
+        F.when(kept, F.col("mapq")),
+    ][: 5 if histograms else 1]
+    items = F.filter(F.array(*[F.struct(F.lit(k).alias("section"), x.cast("long").alias("key")) for k, x in enumerate(keys)]), lambda x: x["key"].isNotNull())
+    rows = reads.select(F.struct(*[F.coalesce(x.cast("long"), F.lit(0)).alias(c) for c, x in sums.items()]).alias("s"), items.alias("items"))
+    # Only the summary's item carries sums.
+    rows = rows.select("s", F.explode("items").alias("i")).select("i.section", "i.key", F.when(F.col("i.section") == 0, F.col("s")).alias("s"))
+    return rows.groupBy("section", "key").agg(F.count("*").alias("n"), *[F.sum(f"s.{c}").alias(c) for c in sums])
+
+
 def stats_summary(reads: DataFrame, *, min_mapq: int = 0, targets: DataFrame | None = None) -> DataFrame:
     """One row of summary numbers; average_mapq is over mapped rows of all mapqs seen."""
-    raw = reads.agg(F.count("*").alias("raw_total"), F.count_if(primary()).alias("_primary"))
-    n = F.length("seq").cast("long")
-    kept = stats_input(reads, min_mapq=min_mapq, targets=targets).agg(
-        F.count("*").alias("sequences"),
-        F.count_if(mapped()).alias("reads_mapped"),
-        F.count_if(~mapped()).alias("reads_unmapped"),
-        F.expr("count_if((flag & 1) <> 0)").alias("reads_paired"),
-        F.expr("count_if((flag & 2) <> 0)").alias("reads_properly_paired"),
-        F.expr("count_if((flag & 1024) <> 0)").alias("reads_duplicated"),
-        F.expr("count_if((flag & 512) <> 0)").alias("reads_qc_failed"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_length"),
-        F.coalesce(F.sum(F.when(mapped(), span("cigar", "M=X"))), F.lit(0)).alias("bases_mapped"),
-        F.coalesce(F.sum(n - F.length(F.regexp_replace("seq", "[Nn]", ""))), F.lit(0)).alias("bases_n"),
-        F.coalesce(F.sum("mapq"), F.lit(0)).alias("_mapq"),
-    )
-    ratio = F.when(F.col("reads_mapped") > 0, F.col("_mapq") / F.col("reads_mapped")).otherwise(0.0)
-    return raw.crossJoin(kept).withColumn("filtered", F.col("_primary") - F.col("sequences")).withColumn("average_mapq", ratio).drop("_primary", "_mapq")
+    rows = profile(reads, min_mapq=min_mapq, targets=targets, histograms=False)
+    rows = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c not in ("section", "key", "n")])  # of one row, or none
+    return rows.withColumns({"filtered": F.col("_primary") - F.col("sequences"), "average_mapq": average_mapq()}).drop("_primary", "_mapq", "reads_mq0")
+
+
+def average_mapq():
+    return F.when(F.col("reads_mapped") > 0, F.col("_mapq") / F.col("reads_mapped")).otherwise(0.0)
 
 
 def histogram(rows: DataFrame, value, name: str) -> DataFrame:
     return rows.select(value.cast("long").alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
-def read_lengths(reads: DataFrame, most: int = 1024, **options) -> DataFrame:
+def read_lengths(reads: DataFrame, most: int = LONGEST_READ, **options) -> DataFrame:
     return histogram(stats_input(reads, **options).where(F.length("seq") <= most), F.length("seq"), "read_length")
 
 
-def insert_sizes(reads: DataFrame, most: int = 8000, **options) -> DataFrame:
+def insert_sizes(reads: DataFrame, most: int = LARGEST_INSERT, **options) -> DataFrame:
     rows = stats_input(reads, **options).where("(flag & 1) <> 0").where(F.abs("tlen") <= most)
     return histogram(rows, F.abs("tlen"), "insert_size")
 

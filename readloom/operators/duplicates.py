@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom import schema as S
 from readloom.functions.cigar import base_quality_sum, has, lacks, unclipped_5_prime
-
-
-def examined(reads: DataFrame, **options) -> DataFrame:
-    """Rows that take part, with `ends` (their key), `is_pair` and `qsum`."""
-    return keyed(reads, **options).where(_takes_part())
+from readloom.session import stash
 
 
 def _takes_part():
@@ -40,39 +36,47 @@ def keyed(reads: DataFrame, *, barcode: str | None = None, ancient: bool = False
     return rows.withColumn("ends", F.when(F.col("tid").isNotNull() & _takes_part(), ends)).drop("_own", "_mate")
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """keyed() rows with `_best`: the ord of the best row of their ends by quality, name, order, null where there is no other."""
-    first = F.min(F.struct((-F.col("qsum")).alias("q"), F.coalesce("qname", F.lit("")).alias("name"), "ord"))
-    best = rows.where("ends IS NOT NULL").select("ends", "qsum", "qname", "ord").groupBy("ends").agg(F.count("*").alias("n"), first.alias("first"))
-    best = best.where("n > 1").select(F.xxhash64("ends").alias("_h"), F.col("ends").alias("_ends"), F.col("first.ord").alias("_best"))
-    # Rows without ends meet nothing, but are dealt out like any others.
-    rows = rows.withColumn("_h", F.when(F.col("ends").isNull(), F.xxhash64("ord")).otherwise(F.xxhash64("ends"))).alias("r")
-    on = (F.col("r._h") == F.col("b._h")) & (F.col("r.ends") == F.col("b._ends"))
-    return rows.join(best.alias("b"), on, "left").select("r.*", "b._best").drop("_h")
+def _keys(reads: DataFrame, **options) -> DataFrame:
+    """(ord, qname, qsum, taken, is_pair, h1, h2) of all rows, written: 128 bits that know the ends, null where there are none.
+
+    The folds over CIGAR and qualities are done here only; what follows looks at these narrow rows.
+    """
+    h = lambda *x: F.when(F.col("ends").isNotNull(), F.xxhash64(*x, "ends"))
+    rows = keyed(reads, **options)
+    return stash(rows.select("ord", "qname", "qsum", _takes_part().alias("taken"), "is_pair", h().alias("h1"), h(F.lit(1)).alias("h2")), "ends")
 
 
-def _lost():
-    return F.col("_best").isNotNull() & (F.col("_best") != F.col("ord"))
+def _losers(keys: DataFrame) -> DataFrame:
+    """(ord, is_pair) of the rows that are duplicates, from _keys()."""
+    rows = keys.where("h1 IS NOT NULL")
+    first = F.min(F.struct((-F.col("qsum")).alias("q"), F.coalesce("qname", F.lit("")).alias("name"), "ord"))
+    best = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("h1", "h2", F.col("first.ord").alias("best"))
+    return rows.join(best, ["h1", "h2"]).where("ord <> best").select("ord", "is_pair")
 
 
 def losers(reads: DataFrame, **options) -> DataFrame:
     """(ord, is_pair) of the rows that are duplicates: of equal ends all but the best by quality, name, order."""
-    return _compared(keyed(reads, **options).select("ord", "qname", "qsum", "ends", "is_pair")).where(_lost()).select("ord", "is_pair")
+    return _losers(_keys(reads, **options))
 
 
 def mark(reads: DataFrame, *, remove: bool = False, **options) -> DataFrame:
-    """reads with the duplicate bit set where a row loses; a bit that was set stays. remove drops the losers."""
-    rows = _compared(keyed(reads, **options))
+    """reads with the duplicate bit set where a row loses; a bit that was set stays. remove drops the losers.
+
+    Only the losers' numbers come back to the whole rows.
+    """
+    lost = losers(reads, **options).select("ord")
     if remove:
-        return rows.where(~_lost()).select(*reads.columns)
-    return rows.withColumn("flag", F.when(_lost(), F.col("flag").bitwiseOR(S.DUPLICATE)).otherwise(F.col("flag"))).select(*reads.columns)
+        return reads.join(lost, "ord", "left_anti").select(*reads.columns)
+    rows = reads.join(lost.withColumn("_lost", F.lit(True)), "ord", "left")
+    return rows.withColumn("flag", F.when(F.col("_lost"), F.col("flag").bitwiseOR(S.DUPLICATE)).otherwise(F.col("flag"))).select(*reads.columns)
 
 
 def report(reads: DataFrame, *, remove: bool = False, **options) -> DataFrame:
-    """One row of counts; optical duplicates are not told apart and count 0."""
-    taken = examined(reads, **options)
-    lost = losers(reads, **options).agg(F.count_if("is_pair").alias("duplicate_pair"), F.count_if(~F.col("is_pair")).alias("duplicate_single"))
-    seen = taken.agg(F.count("*").alias("examined"), F.count_if(F.col("ends").isNotNull() & F.col("is_pair")).alias("paired"), F.count_if(F.col("ends").isNotNull() & ~F.col("is_pair")).alias("single"))
+    """One row of counts, from one scan of reads; optical duplicates are not told apart and count 0."""
+    keys = _keys(reads, **options)
+    lost = _losers(keys).agg(F.count_if("is_pair").alias("duplicate_pair"), F.count_if(~F.col("is_pair")).alias("duplicate_single"))
+    known = F.col("h1").isNotNull()
+    seen = keys.agg(F.count("*").alias("read"), F.count_if("taken").alias("examined"), F.count_if(known & F.col("is_pair")).alias("paired"), F.count_if(known & ~F.col("is_pair")).alias("single"))
     total = F.col("duplicate_pair") + F.col("duplicate_single")
-    out = reads.agg(F.count("*").alias("read")).crossJoin(seen).crossJoin(lost)
+    out = seen.crossJoin(lost)  # one row each
     return out.select("read", (F.col("read") - (total if remove else 0)).alias("written"), (F.col("read") - F.col("examined")).alias("excluded"), "examined", "paired", "single", "duplicate_pair", "duplicate_single", total.alias("duplicate_total"), F.lit(0).cast("long").alias("duplicate_optical"))

@@ -7,30 +7,32 @@ from pyspark.sql import functions as F
 
 from readloom import schema as S
 from readloom.functions.cigar import base_quality_sum, end_position, has, mapped, oriented, primary
+from readloom.session import stash
 
-BLOCK = 1 << 20
 
-
-def islands(rows: DataFrame, key: str = "qname", order: str = "ord", block: int = BLOCK) -> DataFrame:
+def islands(rows: DataFrame, key: str = "qname", order: str = "ord") -> DataFrame:
     """rows with `island`: the order of the first row of each run of one key.
 
-    Runs are found inside blocks of the order; what a block needs from those before it
-    (their last key, their last run) is one row per block.
+    Rows are range-partitioned by the order, so parts hold about as many rows each
+    however dense the numbers are, and written. Runs are found inside the parts; what a part
+    needs from those before it (their last key, their last run) is one row per part.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
-    within = Window.partitionBy("_block").orderBy(order)
+    rows = stash(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ordered")
+    within = Window.partitionBy("_part").orderBy(order)
     rows = rows.withColumns({"_first": F.row_number().over(within) == 1, "_before": F.lag(F.struct(key)).over(within)})
-    lasts = rows.groupBy("_block").agg(F.max_by(F.struct(key), order).alias("_last"))
-    over = Window.orderBy("_block")
-    lasts = lasts.select("_block", F.lag("_last").over(over).alias("_carry"))
-    rows = rows.join(F.broadcast(lasts), "_block")
-    before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
-    rows = rows.withColumn("_start", F.when(before.isNull() | ~F.struct(key).eqNullSafe(before), F.col(order)))
-    starts = rows.groupBy("_block").agg(F.max("_start").alias("_s"))
-    starts = starts.select("_block", F.max("_s").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
-    rows = rows.join(F.broadcast(starts), "_block")
+    rows = rows.withColumn("_start", F.when(F.col("_first") | ~F.struct(key).eqNullSafe(F.col("_before")), F.col(order)))
+    # Each part's first and last key and the start of its last run: a part that goes on with the run before it takes that start over.
+    parts = rows.groupBy("_part").agg(F.min_by(F.struct(key), order).alias("_head"), F.max_by(F.struct(key), order).alias("_tail"), F.min("_start").alias("_low"), F.max("_start").alias("_last"))
+    over = Window.orderBy("_part")
+    goes_on = F.lag("_tail").over(over).eqNullSafe(F.col("_head"))
+    parts = parts.withColumn("_goes_on", F.coalesce(goes_on, F.lit(False)))
+    # The run that is open at the end of a part: its own last one, unless the part is one run that goes on.
+    own = F.when(~F.col("_goes_on") | (F.col("_last") > F.col("_low")), F.col("_last"))
+    parts = parts.withColumn("_open", F.last(own, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = parts.where("_goes_on").select("_part", F.col("_low").alias("_from"), F.col("_open").alias("_to"))
     running = F.max("_start").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("island", F.coalesce(running, "_open")).drop("_block", "_first", "_before", "_carry", "_start", "_open")
+    rows = rows.withColumn("island", running).join(F.broadcast(carried), "_part", "left")
+    return rows.withColumn("island", F.when(F.col("island") == F.col("_from"), F.col("_to")).otherwise(F.col("island"))).drop("_part", "_first", "_before", "_start", "_from", "_to")
 
 
 def fixmate(reads: DataFrame, *, add_tags: bool = False, group: str = "qname") -> DataFrame:

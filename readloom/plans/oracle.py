@@ -286,6 +286,9 @@ SQL["view_bam_regions"] = P + f""" SELECT CAST(0 AS INT) AS region, {FIELDS} FRO
 UNION ALL SELECT 1, {FIELDS} FROM a WHERE tid = 3 AND endp >= 1000
 UNION ALL SELECT 2, {FIELDS} FROM a WHERE tid = 4 AND pos IS NOT NULL"""
 SQL["view_bam_filter"] = P + f" SELECT {FIELDS} FROM reads WHERE tid = 2 AND pos BETWEEN 200 AND 700"
+_WAY = "CASE WHEN (ord // 4) % 7 = 0 THEN ['fields', 'flag', 'pos', 'mapq', 'cigar', 'qual length', 'reference'][CAST((ord // 28) % 7 AS INT) + 1] ELSE 'ok' END"
+SQL["sam_bad_lines"] = P + f" SELECT {_WAY} AS reason, count(*) AS n, count(*) FILTER (WHERE {_WAY} <> 'ok') AS lines FROM reads GROUP BY 1"
+SQL["sam_without_bad_lines"] = P + f" SELECT {FIELDS} FROM reads WHERE (ord // 4) % 7 <> 0"
 SQL["view_layout"] = SQL["view_multi_region"]
 
 # Missing integers show as -1, as in the queries.
@@ -298,7 +301,7 @@ _SHOW = {
     "calmd_nm": ("nm",),
     "fixmate_runs": ("mtid", "mpos"),
     **dict.fromkeys(["bam_file", "sam_file"], ("tid", "pos", "mapq", "mtid", "mpos", "nm")),
-    **dict.fromkeys(["view_file", "view_bam_regions", "view_bam_filter"], ("tid", "pos", "mapq", "mtid", "mpos")),
+    **dict.fromkeys(["view_file", "view_bam_regions", "view_bam_filter", "sam_without_bad_lines"], ("tid", "pos", "mapq", "mtid", "mpos")),
     "calmd_md_nm": ("nm",),
     "ampliconclip": ("pos",),
     "ampliconclip_hard": ("pos",),

@@ -96,6 +96,36 @@ def sam_file(spark, sf_dir):
     return _shown(_sam_file(spark, sf_dir)[0])
 
 
+def _spoilt_sam(spark, sf_dir):
+    """SAM text of all reads in which that of every seventh template is spoilt in one of seven ways; the path."""
+    reads, contigs = _get(spark, sf_dir, "reads", "contigs")
+    path = new_path(spark, "sam")
+    f, way = F.split("value", "\t", -1), F.when(F.floor(F.col("ord") / 4) % 7 == 0, F.floor(F.col("ord") / 28) % 7)
+
+    def put(k, text):
+        return F.array_join(F.transform(f, lambda x, i: F.when(i == k, F.lit(text)).otherwise(x)), "\t")
+
+    ways = [F.array_join(F.slice(f, 1, 9), "\t"), put(1, "0x1"), put(3, "1e3"), put(4, "300"), put(5, "4Q"), put(10, "I"), put(2, "chrZ")]
+    value = F.col("value")
+    for k, x in enumerate(ways):
+        value = F.when(way == k, x).otherwise(value)
+    rows = lines.sam_lines(reads, contigs).select(F.lit(9).alias("section"), F.col("ord").alias("n"), value.alias("value"))
+    lines.header_lines(contigs).unionByName(rows).orderBy("section", "n").select("value").write.text(path)
+    return path
+
+
+@query
+def sam_bad_lines(spark, sf_dir):
+    """What is wrong with the bad lines of a file, counted by reason; good lines under "ok"."""
+    rows = lines.read_sam(spark, _spoilt_sam(spark, sf_dir), bad="keep")
+    return rows.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"), F.count("corrupt").alias("lines"))
+
+
+@query
+def sam_without_bad_lines(spark, sf_dir):
+    return lines.read_sam(spark, _spoilt_sam(spark, sf_dir), bad="drop").select(*FIELDS)
+
+
 @query
 def sam_header(spark, sf_dir):
     return lines.sam_header(spark, _sam_file(spark, sf_dir)[1])["contigs"]

@@ -72,17 +72,17 @@ SUMMARY = {
 
 
 def stats_lines(reads: DataFrame, **options) -> DataFrame:
-    """(section, place, text): the summary lines, then the histograms of lengths, insert sizes, GC and mapping qualities."""
-    kept = counts.stats_input(reads, **options)
-    row = counts.stats_summary(reads, **options).crossJoin(kept.agg(F.count_if(F.col("mapq") == 0).alias("reads_mq0")))  # one row each
+    """(section, place, text): the summary lines, then the histograms of lengths, insert sizes, GC and mapping qualities; one scan of reads."""
+    rows = counts.profile(reads, **options).withColumns({"filtered": F.col("_primary") - F.col("sequences"), "average_mapq": counts.average_mapq()})
+    # A table without rows has a summary as well.
+    rows = rows.unionByName(reads.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("key")), allowMissingColumns=True)
+    rows = rows.groupBy("section", "key").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in rows.columns if c not in ("section", "key")])
     lines = [_fields(F.lit("SN"), F.lit(f"{label}:"), F.col(c)) for label, c in SUMMARY.items()]
     lines.append(_fields(F.lit("SN"), F.lit("average MAPQ:"), F.format_string("%.2f", "average_mapq")))
-    out = row.select(F.posexplode(F.array(*lines)).alias("place", "text")).select(F.lit(0).alias("section"), F.col("place").cast("long").alias("place"), "text")
-    parts = [("RL", counts.read_lengths, "read_length"), ("IS", counts.insert_sizes, "insert_size"), ("GCF", counts.gc_content, "gc_percent"), ("MAPQ", counts.mapping_qualities, "mapq")]
-    for k, (name, f, key) in enumerate(parts):
-        rows = f(reads, **options)
-        out = out.unionByName(rows.select(F.lit(k + 1).alias("section"), F.col(key).cast("long").alias("place"), _fields(F.lit(name), F.col(key), F.col("n")).alias("text")))
-    return out
+    line = lambda place, text: F.struct(place.cast("long").alias("place"), text.alias("text"))
+    name = F.element_at(F.array(*map(F.lit, counts.HISTOGRAMS)), F.greatest(F.col("section"), F.lit(1)))
+    own = F.when(F.col("section") == 0, F.array(*[line(F.lit(k), x) for k, x in enumerate(lines)])).otherwise(F.array(line(F.col("key"), _fields(name, F.col("key"), F.col("n")))))
+    return rows.select("section", F.inline(own))
 
 
 def markdup_lines(reads: DataFrame, **options) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import end_position, placed
+from readloom.functions.cigar import end_position, placed, span
 from readloom.functions.tags import complete, from_fields, tag, to_fields
 from readloom.functions.text import parse_region
 from readloom.operators import counts, mates
@@ -50,32 +50,72 @@ def sam_header(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_sam(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
-    """The alignments relation of SAM text."""
+CORRUPT, REASON = "corrupt", "reason"
+
+
+def read_sam(spark: SparkSession, path: str, contigs: DataFrame | None = None, *, bad: str = "fail", observation: Observation | None = None) -> DataFrame:
+    """The alignments relation of SAM text.
+
+    A line is bad if it has fewer than 11 fields, a number that is none or out of its
+    range, a CIGAR that does not parse or does not fit the bases, qualities that do not fit the bases, or a
+    reference that the header does not name. bad="fail" ends the job at the first of
+    them and names it, "drop" leaves them out, "keep" returns them with nothing but
+    `ord` set, the line in `corrupt` and what is wrong with it in `reason`. observation
+    counts good and bad lines (`good`, `bad`) in the pass that reads them.
+    """
+    if bad not in ("fail", "drop", "keep"):
+        raise ValueError(f"bad is fail, drop or keep, not {bad}")
     contigs = contigs if contigs is not None else sam_header(spark, path)["contigs"]
-    f = F.split("value", "\t")
+    f = F.split("value", "\t", -1)
+
+    def field(k):
+        return F.get(f, F.lit(k))
+
     def none(c, missing):
         return F.when(c != missing, c)
 
-    rows = numbered_lines(spark, path).where(~F.col("value").startswith("@") & (F.size(f) >= 11)).select(
+    def number(k, low, high):
+        x = field(k).try_cast("int")
+        return F.when(x.between(low, high), x)
+
+    ranges = {"flag": (1, 0, 65535), "pos": (3, 0, 2**31 - 1), "mapq": (4, 0, 255), "mpos": (7, 0, 2**31 - 1), "tlen": (8, -(2**31) + 1, 2**31 - 1)}
+    text = lambda k: F.coalesce(none(field(k), "*"), F.lit(""))
+    rows = numbered_lines(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != "")).select(
         F.col("n").alias("ord"),
-        none(f[0], "*").alias("qname"),
-        f[1].cast("int").alias("flag"),
-        f[2].alias("_ref"),
-        none(f[3].cast("int"), 0).alias("pos"),
-        none(f[4].cast("int"), 255).alias("mapq"),
-        F.coalesce(none(f[5], "*"), F.lit("")).alias("cigar"),
-        F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("_mref"),
-        none(f[7].cast("int"), 0).alias("mpos"),
-        f[8].cast("int").alias("tlen"),
-        F.coalesce(none(f[9], "*"), F.lit("")).alias("seq"),
-        F.coalesce(none(f[10], "*"), F.lit("")).alias("qual"),
+        "value",
+        (F.size(f) >= 11).alias("_whole"),
+        none(field(0), "*").alias("qname"),
+        *[number(*r).alias(c) for c, r in ranges.items()],
+        field(2).alias("_ref"),
+        text(5).alias("cigar"),
+        F.when(field(6) == "=", field(2)).otherwise(field(6)).alias("_mref"),
+        text(9).alias("seq"),
+        text(10).alias("qual"),
         from_fields(F.slice(f, 12, 1 << 20)).alias("tags"),
-    ).withColumns({"rg": tag("RG"), "rx": tag("RX")})
+    )
     for column, ref in (("tid", "_ref"), ("mtid", "_mref")):
         names = contigs.select(F.col("tid").alias(column), F.col("name").alias(ref))
         rows = rows.join(names, ref, "left")
-    return rows.select(*[f.name for f in READS])
+    reason = F.when(~F.col("_whole"), "fields")
+    for column in ranges:
+        reason = reason.when(F.col(column).isNull(), column)
+    reason = reason.when(~F.col("cigar").rlike(r"^(\d+[MIDNSHP=X])*$"), "cigar")
+    reason = reason.when((F.col("cigar") != "") & (F.col("seq") != "") & (span("cigar", "MIS=X") != F.length("seq")), "cigar length")
+    reason = reason.when((F.col("qual") != "") & (F.length("qual") != F.length("seq")), "qual length")
+    for column, ref in (("tid", "_ref"), ("mtid", "_mref")):
+        reason = reason.when(F.col(column).isNull() & (F.col(ref) != "*"), "reference")
+    rows = rows.withColumn(REASON, reason)
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(F.col(REASON).isNull()).alias("good"), F.count_if(F.col(REASON).isNotNull()).alias("bad"))
+    known = {"pos": none(F.col("pos"), 0), "mapq": none(F.col("mapq"), 255), "mpos": none(F.col("mpos"), 0), "rg": tag("RG"), "rx": tag("RX")}
+    rows, names = rows.withColumns(known), [c.name for c in READS]
+    if bad == "keep":
+        ok = F.col(REASON).isNull()
+        return rows.select("ord", *[F.when(ok, F.col(c)).alias(c) for c in names if c != "ord"], F.when(~ok, F.col("value")).alias(CORRUPT), REASON)
+    if bad == "drop":
+        return rows.where(F.col(REASON).isNull()).select(*names)
+    stop = F.raise_error(F.concat(F.lit("bad SAM line "), F.col("ord").cast("string"), F.lit(" ("), F.col(REASON), F.lit("): "), F.substring("value", 1, 200)))
+    return rows.withColumn("flag", F.when(F.col(REASON).isNull(), F.col("flag")).otherwise(stop.cast("int"))).select(*names)
 
 
 def sam_lines(reads: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from readloom.fixtures import relation
@@ -140,3 +141,21 @@ def test_streams(spark, tables, tmp_path):
         q.stop()
     assert sorted(map(tuple, spark.table("fs").collect())) == sorted(map(tuple, counts.flagstat(reads).collect()))
     assert spark.table("cc").count() == 5
+
+
+def test_bad_lines(spark, tmp_path):
+    good = "q\t0\tc\t5\t9\t4M\t*\t0\t0\tACGT\tIIII"
+    spoilt = [("fields", "q\t0\tc"), ("flag", good.replace("\t0\tc", "\tx\tc")), ("flag", good.replace("\t0\tc", "\t70000\tc")), ("pos", good.replace("\t5\t", "\t-1\t")), ("mapq", good.replace("\t9\t", "\t\t"))]
+    spoilt += [("cigar", good.replace("4M", "M4")), ("cigar length", good.replace("4M", "5M")), ("qual length", good[:-1]), ("reference", good.replace("\tc\t", "\td\t")), ("tlen", good.replace("\t0\tACGT", "\t9999999999\tACGT"))]
+    (tmp_path / "x.sam").write_text("\n".join(["@SQ\tSN:c\tLN:99", good, *[x for _, x in spoilt], "", good]) + "\n")
+    path = str(tmp_path / "x.sam")
+    kept = lines.read_sam(spark, path, bad="keep").orderBy("ord").collect()
+    assert [(r.reason, r.corrupt) for r in kept] == [(None, None), *spoilt, (None, None)]
+    assert all(r.qname is None and r.tags is None for r in kept[1:-1]) and kept[0].seq == "ACGT" and kept[0].ord == 1
+    seen = Observation("sam")
+    assert lines.read_sam(spark, path, bad="drop", observation=seen).count() == 2
+    assert seen.get == {"good": 2, "bad": len(spoilt)}
+    with pytest.raises(Exception, match=r"bad SAM line 2 \(fields\)"):
+        lines.read_sam(spark, path).collect()
+    with pytest.raises(ValueError):
+        lines.read_sam(spark, path, bad="ignore")
