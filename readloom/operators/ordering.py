@@ -33,12 +33,17 @@ def collate(reads: DataFrame, primaries_only: bool = False) -> DataFrame:
 
 
 def numbered(rows: DataFrame, keys: list, name: str = "rank") -> DataFrame:
-    """rows with their number from 1 in the order of keys.
+    """rows with their number from 1 in the order of keys; they are range-partitioned, sorted and written once."""
+    return numbered_parts(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), name)
 
-    Rows are range-partitioned, sorted and written once; the number is the place in
-    the partition plus the sizes of the partitions before, one row each.
+
+def numbered_parts(rows: DataFrame, name: str = "rank") -> DataFrame:
+    """rows with their number from 1 in the order of their partitions and inside them.
+
+    They are written once; the number is the place in the partition plus the sizes of
+    the partitions before, one row each.
     """
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ordered = rows.withColumn("_at", F.monotonically_increasing_id())
     ordered = stash(ordered.withColumn("_part", F.shiftright("_at", 33)), "numbered")
     parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

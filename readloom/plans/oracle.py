@@ -75,6 +75,7 @@ SQL["sort_coordinate"] = P + f" SELECT ord, qname, flag, tid, pos, row_number()
 SQL["sort_name"] = P + f" SELECT ord, qname, flag, tid, pos, row_number() OVER (ORDER BY {NAME}, ord) AS rank FROM reads"
 _SRC = "SELECT *, CAST((ord // 4) % 2 AS INT) AS src FROM reads"
 SQL["merge"] = P + f" SELECT ord, qname, flag, tid, pos, src, row_number() OVER (ORDER BY {COORDINATE}, src, ord) AS rank FROM ({_SRC})"
+SQL["merge_sorted"] = SQL["merge"]
 SQL["merge_read_groups"] = P + f""" SELECT CASE WHEN k > 1 THEN rg || '-' || CAST(k - 1 AS VARCHAR) ELSE rg END AS id, upper(rg) AS sm
 FROM (SELECT rg, src, row_number() OVER (PARTITION BY rg ORDER BY src) AS k FROM (SELECT DISTINCT rg, src FROM ({_SRC}) WHERE rg IS NOT NULL))"""
 SQL["cat"] = P + f" SELECT ord, qname, flag, src, row_number() OVER (ORDER BY src, ord) AS rank FROM ({_SRC})"
@@ -294,7 +295,7 @@ SQL["view_layout"] = SQL["view_multi_region"]
 # Missing integers show as -1, as in the queries.
 _SHOW = {
     **dict.fromkeys(["view_require", "view_exclude", "view_mapq", "view_region", "view_multi_region", "view_exclude_region", "head", "view_layout"], ("tid", "pos", "mapq")),
-    **dict.fromkeys(["sort_coordinate", "sort_name", "merge", "sort_markdup"], ("tid", "pos")),
+    **dict.fromkeys(["sort_coordinate", "sort_name", "merge", "merge_sorted", "sort_markdup"], ("tid", "pos")),
     "reheader": ("tid",),
     "remap_contigs": ("tid", "mtid"),
     "fixmate": ("mtid", "mpos", "ms"),

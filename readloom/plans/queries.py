@@ -15,7 +15,7 @@ from readloom.operators import counts, depth, duplicates, filters, headers, inte
 from readloom.plans import render
 from readloom.schema import READS
 from readloom.session import new_path
-from readloom.sources import bam, lines
+from readloom.sources import bam, lines, merging
 
 QUERIES = {}
 #: Integer columns that may be missing; results show -1 there, so that all engines keep them integers.
@@ -377,6 +377,16 @@ def merge(spark, sf_dir):
     return ordering.numbered(rows, [*ordering.coordinate_keys(), F.col("src"), F.col("ord")])
 
 
+@query
+def merge_sorted(spark, sf_dir):
+    """The same from two inputs that are sorted already: streams of ranges are merged, nothing is sorted again."""
+    paths = []
+    for half in _halves(_get(spark, sf_dir, "reads").select("ord", "qname", "flag", "tid", "pos")):
+        paths.append(new_path(spark, "sorted"))
+        merging.write_sorted(half, paths[-1])
+    return merging.merge_sorted(spark, paths, rank="rank")
+
+
 @query
 def merge_read_groups(spark, sf_dir):
     halves = _halves(_get(spark, sf_dir, "reads").where("rg IS NOT NULL"))
