@@ -8,14 +8,43 @@ from pyspark.sql import functions as F
 from readloom.operators.filters import concatenate
 
 
+def _renamed(tables: list[DataFrame]) -> DataFrame:
+    """All rows of the inputs with `src` and `new`: the id, or where it was used before, the id with the next of -1, -2, ... that is no id of any input."""
+    rows = concatenate(tables)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("src")) - 1
+    rows = rows.withColumn("_k", place)
+    ids = rows.select("id").distinct()
+    more = rows.groupBy("id").agg((F.count("*") - 1).alias("more")).where("more > 0")
+    taken = ids.where(F.col("id").rlike(r"-\d+$")).select(F.regexp_replace("id", r"-\d+$", "").alias("id")).groupBy("id").agg(F.count("*").alias("taken"))
+    free = more.join(taken, "id", "left").select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("more") + F.coalesce("taken", F.lit(0)))).alias("n"))
+    free = free.withColumn("new", F.concat_ws("-", "id", F.col("n").cast("string"))).join(ids.select(F.col("id").alias("new")), "new", "left_anti")
+    free = free.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("n"))).select("id", "_k", "new")
+    return rows.join(free, ["id", "_k"], "left").withColumn("new", F.coalesce("new", "id")).drop("_k")
+
+
 def merge_ids(tables: list[DataFrame]) -> DataFrame:
-    """All rows of the inputs' read-group or program tables; an id that was used before gets -1, -2, ...
+    """All rows of the inputs' read-group tables; an id that was used before gets -1, -2, ...
 
     Records keep the group they name, so a renamed group is one that no record names.
     """
-    rows = concatenate(tables)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("src")) - 1
-    return rows.withColumn("_k", place).withColumn("id", F.when(F.col("_k") > 0, F.concat_ws("-", "id", F.col("_k").cast("string"))).otherwise(F.col("id"))).drop("_k", "src")
+    columns = tables[0].columns
+    return _renamed(tables).withColumn("id", F.col("new")).select(*columns)
+
+
+def merge_programs(tables: list[DataFrame]) -> DataFrame:
+    """All rows of the inputs' program tables; an id that was used before is renamed, and so are the links to it in its own input.
+
+    A link to a program that its input lacks stays as it is.
+    """
+    columns, rows = tables[0].columns, _renamed(tables)
+    names = rows.select("src", F.col("id").alias("pp"), F.col("new").alias("_pp"))
+    rows = rows.join(names, ["src", "pp"], "left").withColumns({"id": F.col("new"), "pp": F.coalesce("_pp", "pp")})
+    return rows.select(*columns)
+
+
+def merge_comments(tables: list[DataFrame]) -> DataFrame:
+    """(src, n, comment): all comments, those of the first input first."""
+    return concatenate([t.select(F.monotonically_increasing_id().alias("n"), "comment") for t in tables]).select("src", "n", "comment")
 
 
 def append_program(programs: DataFrame, name: str, version: str, command: str) -> DataFrame:

@@ -62,6 +62,49 @@ def sequence_dictionary(reference: DataFrame, *, assembly: str | None = None, sp
     return rows.withColumn("line", F.concat_ws("\t", *parts))
 
 
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """(tid, name, length, md5) of sequences that come in chunks (tid, name, chunk, text).
+
+    The digest of a sequence is carried over its chunks in order, by one task that holds
+    one batch of them at a time; no row holds a whole sequence.
+    """
+
+    def run(batches):
+        import hashlib
+
+        last, digest, length, out = None, None, 0, []
+        for batch in batches:
+            for tid, name, text in zip(*(batch.column(c).to_pylist() for c in ("tid", "name", "text"))):
+                if (tid, name) != last:
+                    if last:
+                        out.append((*last, length, digest.hexdigest()))
+                    last, digest, length = (tid, name), hashlib.md5(), 0
+                if text:
+                    digest.update(text.upper().encode())
+                    length += len(text)
+            yield _digests(out)
+            out = []
+        yield _digests([(*last, length, digest.hexdigest())] if last else [])
+
+    rows = chunks.select("tid", "name", "chunk", "text").repartition("tid").sortWithinPartitions("tid", "chunk")
+    return rows.mapInArrow(run, "tid int, name string, length long, md5 string")
+
+
+def _digests(rows: list):
+    import pyarrow as pa
+
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.string())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["tid", "name", "length", "md5"])
+
+
+def dictionary_lines(digests: DataFrame, *, assembly: str | None = None, species: str | None = None, uri: str | None = None) -> DataFrame:
+    """(place, line): the dictionary as header lines, the first line and then the sequences in order; from chunk_digests()."""
+    parts = [F.lit("@SQ"), F.concat(F.lit("SN:"), "name"), F.concat(F.lit("LN:"), F.col("length").cast("string")), F.concat(F.lit("M5:"), "md5")]
+    parts += [F.lit(f"{k}:{v}") for k, v in (("AS", assembly), ("SP", species), ("UR", uri)) if v]
+    head = digests.sparkSession.createDataFrame([(0, "@HD\tVN:1.6\tSO:unsorted")], "place long, line string")
+    return head.unionByName(digests.select((F.col("tid") + 1).cast("long").alias("place"), F.concat_ws("\t", *parts).alias("line")))
+
+
 def faidx(reference: DataFrame, regions: list[str]) -> DataFrame:
     """(region, sequence) slices, 1-based and clamped to the sequence."""
     out = None

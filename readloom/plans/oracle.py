@@ -287,6 +287,15 @@ SQL["view_bam_regions"] = P + f""" SELECT CAST(0 AS INT) AS region, {FIELDS} FRO
 UNION ALL SELECT 1, {FIELDS} FROM a WHERE tid = 3 AND endp >= 1000
 UNION ALL SELECT 2, {FIELDS} FROM a WHERE tid = 4 AND pos IS NOT NULL"""
 SQL["view_bam_filter"] = P + f" SELECT {FIELDS} FROM reads WHERE tid = 2 AND pos BETWEEN 200 AND 700"
+SQL["split_bam_files"] = P + """ SELECT 'all.' || coalesce(rg, 'unknown') || '.bam' AS name, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags, min(qname) AS low, max(qname) AS high,
+  coalesce(rg, 'unknown') AS rg, CAST(1 AS BIGINT) AS groups FROM reads GROUP BY rg"""
+SQL["dict_chunks"] = P + """ SELECT CAST(0 AS BIGINT) AS place, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unsorted' AS line
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY tid) AS BIGINT), '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || length(sequence) || chr(9) || 'M5:' || md5(upper(sequence)) || chr(9) || 'AS:asm' FROM transcripts"""
+SQL["faidx_file"] = SQL["faidx_regions"]
+SQL["fqidx_file"] = _fastq(False, True) + """, x AS (SELECT name, seq, qual, row_number() OVER (ORDER BY ord) - 1 AS n FROM fq WHERE sink = 'r1')
+SELECT name, arg_max(seq, n) AS seq, arg_max(qual, n) AS qual FROM x WHERE name IN (SELECT name FROM x WHERE n % 5 = 0) GROUP BY name"""
+SQL["merge_programs"] = """SELECT 'p' || n_nationkey || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS id, n_name || '-' || k AS pn,
+  CASE WHEN n_nationkey > 0 THEN 'p' || (n_nationkey - 1) || CASE WHEN k > 0 THEN '-' || k ELSE '' END END AS pp FROM nation CROSS JOIN range(3) AS t(k)"""
 _WAY = "CASE WHEN (ord // 4) % 7 = 0 THEN ['fields', 'flag', 'pos', 'mapq', 'cigar', 'qual length', 'reference'][CAST((ord // 28) % 7 AS INT) + 1] ELSE 'ok' END"
 SQL["sam_bad_lines"] = P + f" SELECT {_WAY} AS reason, count(*) AS n, count(*) FILTER (WHERE {_WAY} <> 'ok') AS lines FROM reads GROUP BY 1"
 SQL["sam_without_bad_lines"] = P + f" SELECT {FIELDS} FROM reads WHERE (ord // 4) % 7 <> 0"

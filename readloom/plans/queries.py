@@ -14,8 +14,8 @@ from readloom.functions.tags import tag, to_fields, with_tags
 from readloom.operators import counts, depth, duplicates, filters, headers, intervals, mates, ordering, pileup, sequences
 from readloom.plans import render
 from readloom.schema import READS
-from readloom.session import new_path
-from readloom.sources import bam, lines, merging
+from readloom.session import new_path, stash
+from readloom.sources import access, bam, lines, merging
 
 QUERIES = {}
 #: Integer columns that may be missing; results show -1 there, so that all engines keep them integers.
@@ -201,6 +201,51 @@ def _fasta_path(spark, sf_dir):
     return path
 
 
+@query
+def split_bam_files(spark, sf_dir):
+    """What is in the BAM files of each read group, read back from the folders that a pattern names."""
+    reads, contigs = _get(spark, sf_dir, "reads", "contigs")
+    path, out = new_path(spark, "split"), None
+    bam.write_split(_tagged(spark, sf_dir), path, contigs, tag="RG", pattern="%*.%!.bam", stem="all")
+    for folder in bam.split_folders(path):
+        part = spark.read.format("bam").load(folder).select(F.lit(folder.rpartition("/")[2]).alias("name"), "qname", "flag", F.xxhash64("seq").alias("h"), F.coalesce("rg", F.lit("unknown")).alias("rg"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("name").agg(F.count("*").alias("n"), F.sum("flag").alias("flags"), F.min("qname").alias("low"), F.max("qname").alias("high"), F.min("rg").alias("rg"), F.count_distinct("rg").alias("groups"))
+
+
+@query
+def dict_chunks(spark, sf_dir):
+    """The dictionary of a FASTA file whose sequences are read in chunks of three lines."""
+    chunks = lines.fasta_chunks(spark, _fasta_path(spark, sf_dir), lines=3)
+    return sequences.dictionary_lines(sequences.chunk_digests(chunks), assembly="asm")
+
+
+@query
+def faidx_file(spark, sf_dir):
+    """Slices of a FASTA file by its index: only their bytes are read."""
+    path = _fasta_path(spark, sf_dir)
+    rows, start = _get(spark, sf_dir, "transcripts"), F.col("tid") % 60
+    regions = rows.select("name", start.alias("start"), (start + 3 * F.col("size")).alias("end"))
+    return access.fasta_slices(path, lines.fasta_index(spark, path), regions).drop("bytes_read")
+
+
+@query
+def fqidx_file(spark, sf_dir):
+    """Records of a FASTQ file by its index: only their bytes are read."""
+    path = f"{_fastq_path(spark, sf_dir)}/sink=r1"
+    index = stash(lines.fastq_index(spark, path), "fqi")
+    return access.fastq_records(path, index, index.where("n % 5 = 0").select("name")).drop("bytes_read")
+
+
+@query
+def merge_programs(spark, sf_dir):
+    """The programs of three inputs, each a chain of one per nation under the same ids."""
+    nation, p = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.concat(F.lit("p"), F.col("n_nationkey").cast("string"))
+    before = F.when(F.col("n_nationkey") > 0, F.concat(F.lit("p"), (F.col("n_nationkey") - 1).cast("string")))
+    tables = [nation.select(p.alias("id"), F.concat_ws("-", "n_name", F.lit(str(k))).alias("pn"), before.alias("pp")) for k in range(3)]
+    return headers.merge_programs(tables)
+
+
 @query
 def fasta_file(spark, sf_dir):
     return lines.read_fasta(spark, _fasta_path(spark, sf_dir))

@@ -27,6 +27,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from readloom.functions.cigar import end_position, placed
-from readloom.functions.text import parse_region
+from readloom.functions.text import expand_pattern, parse_region
 from readloom.schema import READS
 
 # Fixed values of the format.
@@ -504,24 +505,36 @@ def arrow_schema() -> pa.Schema:
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str
-    name: str
+    files: list[tuple[str, str]]  # temporary name, name in its place
 
 
 class BamWriter(DataSourceWriter):
+    """A file per task; with the option `pattern` one per task and value of the column `split`, in a folder of that value's own name."""
+
     def __init__(self, options):
         self.path = options["path"].rstrip("/")
         self.header = options.get("header", "@HD\tVN:1.6\tSO:unsorted\n")
         self.contigs = [(name, int(length)) for name, length in json.loads(options.get("contigs", "[]"))]
+        self.pattern, self.stem = options.get("pattern"), options.get("stem", "")
         self.job = uuid.uuid4().hex[:12]
         where, inner = located(self.path)
         where.create_dir(inner, recursive=True)
 
+    def folder(self, row) -> str:
+        """Where a row goes; a value cannot lead out of the folder."""
+        return expand_pattern(self.pattern, self.stem, row["split"]).replace("/", "_").lstrip(".") or "_"
+
     def write(self, rows):
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().partitionId():05d}-{self.job}.bam"
-        temporary = f".{name}-{uuid.uuid4().hex}"
+        if not self.pattern:
+            return Written([self._file(rows, name)])
+        # Rows come sorted by value: one file is open at a time.
+        return Written([self._file(own, f"{folder}/{name}") for folder, own in groupby(rows, self.folder)])
+
+    def _file(self, rows, name: str) -> tuple[str, str]:
+        temporary = f".{posixpath.basename(name)}-{uuid.uuid4().hex}"
         lines = "" if "@SQ\t" in self.header else "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)
         text = (self.header + lines).encode()
         head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.contigs))
@@ -537,19 +550,21 @@ class BamWriter(DataSourceWriter):
                     f.write(compress(b"".join(held)))
                     held, size = [], 0
             f.write(compress(b"".join(held)) + EOF_BLOCK)
-        return Written(temporary, name)
+        return temporary, name
 
     def commit(self, messages):
         where, inner = located(self.path)
-        for m in messages:
-            if m:
-                where.move(posixpath.join(inner, m.temporary), posixpath.join(inner, m.name))
+        files = [x for m in messages if m for x in m.files]
+        for folder in {posixpath.dirname(name) for _, name in files} - {""}:
+            where.create_dir(posixpath.join(inner, folder), recursive=True)
+        for temporary, name in files:
+            where.move(posixpath.join(inner, temporary), posixpath.join(inner, name))
 
     def abort(self, messages):
         where, inner = located(self.path)
-        for m in messages:
-            if m and where.get_file_info(posixpath.join(inner, m.temporary)).type == fs.FileType.File:
-                where.delete_file(posixpath.join(inner, m.temporary))
+        for temporary, _ in [x for m in messages if m for x in m.files]:
+            if where.get_file_info(posixpath.join(inner, temporary)).type == fs.FileType.File:
+                where.delete_file(posixpath.join(inner, temporary))
 
 
 class BamDataSource(DataSource):
@@ -641,6 +656,27 @@ def quickcheck_files(spark: SparkSession, paths: list[str], unrecognized_ok: boo
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, "path string, problem string")
 
 
+def write_split(reads: DataFrame, path: str, contigs: DataFrame, *, tag: str = "RG", pattern: str = "%*_%!.bam", stem: str = "reads", header: str | None = None) -> None:
+    """One folder of BAM files per value of a text tag, "unknown" where it is missing, named by pattern: %* is the stem, %! the value.
+
+    Rows of a value keep their order; a frequent value is dealt to several tasks, whose
+    files follow each other. Every file has the header.
+    """
+    from readloom.operators.counts import tag_value
+
+    register(reads.sparkSession)
+    columns = [F.col(f.name).cast(f.dataType) for f in READS if f.name in reads.columns]
+    rows = reads.select(*columns, tag_value(reads, tag).alias("split")).repartitionByRange("split", "ord").sortWithinPartitions("split", "ord")
+    options = {"contigs": contig_option(contigs), "pattern": pattern, "stem": stem} | ({"header": header} if header else {})
+    rows.write.format("bam").options(**options).mode("append").save(path)
+
+
+def split_folders(path: str) -> list[str]:
+    """The folders of write_split(), in order of name."""
+    where, inner = located(path)
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in where.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.Directory)
+
+
 def detect_format(path: str) -> str:
     """bam, cram or sam, by the first bytes."""
     with opened(path) as f:
