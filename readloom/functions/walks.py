@@ -19,8 +19,9 @@ def mismatches(cigar: str = "cigar", seq: str = "seq", ref: str = "ref") -> Colu
     """(md, nm) of a read against the reference bases under it; null without bases or where read or reference runs out.
 
     A fold over the operations carries the places in reference and read, the matches
-    since the last mismatch, the edits and the text so far; inside an aligned run a
-    second fold carries the same over its pairs of bases.
+    since the last mismatch, the edits and the text so far. An aligned run whose bases
+    equal the reference's adds its length; of others the places that differ are filtered
+    out once, and the matches between them are differences of neighbouring places.
     """
     bases, under = F.upper(seq), F.upper(ref)
     names = ("r", "q", "run", "nm", "md", "ok")
@@ -28,21 +29,33 @@ def mismatches(cigar: str = "cigar", seq: str = "seq", ref: str = "ref") -> Colu
     def changed(a, **new):
         return _state(**{k: new.get(k, a[k]) for k in names})
 
-    def pair(a, p):
-        here = {"r": a["r"] + 1, "q": a["q"] + 1}
-        return F.when(p["x"] == p["y"], changed(a, run=a["run"] + 1, **here)).otherwise(changed(a, run=0, nm=a["nm"] + 1, md=F.concat(a["md"], a["run"].cast("string"), p["x"]), **here))
+    def bound(value, f):
+        """f of a value that is computed once."""
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def aligned(a, n):
+        x, y = F.substring(under, a["r"] + 1, n), F.substring(bases, a["q"] + 1, n)
+        here = {"r": a["r"] + n, "q": a["q"] + n}
+
+        def places(z):
+            return F.struct(z["x"].alias("x"), F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(z["x"], i) != F.get(z["y"], i)).alias("at"))
+
+        def told(z):
+            matches = lambda p, k: p - 1 - F.when(k == 0, -1 - a["run"]).otherwise(F.get(z["at"], k - 1))
+            text = F.array_join(F.transform(z["at"], lambda p, k: F.concat(matches(p, k).cast("string"), F.get(z["x"], p))), "")
+            return changed(a, run=n - 1 - F.element_at(z["at"], -1), nm=a["nm"] + F.size(z["at"]), md=F.concat(a["md"], text), **here)
+
+        letters = F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"))
+        return F.when(x == y, changed(a, run=a["run"] + n, **here)).otherwise(bound(letters, lambda z: bound(places(z), told)))
 
     def step(a, o):
         n, op = o["len"], o["op"]
-        letters = lambda text, at: F.split(F.substring(text, at + 1, n), "")
-        pairs = F.zip_with(letters(under, a["r"]), letters(bases, a["q"]), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         inside = a["r"] + n <= F.length(under)
-        run = F.aggregate(F.slice(pairs, F.lit(1), n), a, pair)
         gap = changed(a, r=a["r"] + n, run=0, nm=a["nm"] + n, md=F.concat(a["md"], a["run"].cast("string"), F.lit("^"), F.substring(under, a["r"] + 1, n)))
         lost = changed(a, ok=False)
         return (
             F.when(~a["ok"], a)
-            .when(op.isin(*ALIGNED), F.when(inside & (a["q"] + n <= F.length(bases)), run).otherwise(lost))
+            .when(op.isin(*ALIGNED), F.when(inside & (a["q"] + n <= F.length(bases)), aligned(a, n)).otherwise(lost))
             .when(op == "I", changed(a, q=a["q"] + n, nm=a["nm"] + n))
             .when(op == "D", F.when(inside, gap).otherwise(lost))
             .when(op == "N", changed(a, r=a["r"] + n))

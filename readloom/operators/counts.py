@@ -96,11 +96,13 @@ def profile(reads: DataFrame, *, min_mapq: int = 0, targets: DataFrame | None =
         F.when(kept & (n > 0), F.floor(F.lit(100) * gc / n)),
         F.when(kept, F.col("mapq")),
     ][: 5 if histograms else 1]
-    items = F.filter(F.array(*[F.struct(F.lit(k).alias("section"), x.cast("long").alias("key")) for k, x in enumerate(keys)]), lambda x: x["key"].isNotNull())
-    rows = reads.select(F.struct(*[F.coalesce(x.cast("long"), F.lit(0)).alias(c) for c, x in sums.items()]).alias("s"), items.alias("items"))
+    # Plain numbers first, so that nothing is computed again behind the explode.
+    rows = reads.select(*[F.coalesce(x.cast("long"), F.lit(0)).alias(c) for c, x in sums.items()], *[x.cast("long").alias(f"_k{k}") for k, x in enumerate(keys)])
+    items = F.array(*[F.struct(F.lit(k).alias("section"), F.col(f"_k{k}").alias("key")) for k in range(len(keys))])
+    rows = rows.select(*sums, F.explode(items).alias("i")).where("i.key IS NOT NULL")
     # Only the summary's item carries sums.
-    rows = rows.select("s", F.explode("items").alias("i")).select("i.section", "i.key", F.when(F.col("i.section") == 0, F.col("s")).alias("s"))
-    return rows.groupBy("section", "key").agg(F.count("*").alias("n"), *[F.sum(f"s.{c}").alias(c) for c in sums])
+    rows = rows.select("i.section", "i.key", *[F.when(F.col("i.section") == 0, F.col(c)).alias(c) for c in sums])
+    return rows.groupBy("section", "key").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
 
 
 def stats_summary(reads: DataFrame, *, min_mapq: int = 0, targets: DataFrame | None = None) -> DataFrame:
