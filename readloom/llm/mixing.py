@@ -17,13 +17,14 @@ the documents that start below what is left of the quota.
 Defined results: a null source is a source of its own, written null; a null or
 wordless text counts as one token, so that every row can be dealt; null ids and
 repeated rows are dealt row by row, ties in hash broken by id and text; an empty
-table gives an empty mix. `mixed` keeps all columns, under any names but map types.
+table gives an empty mix. `mixed` keeps all columns, under any names and of any type.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.llm.common import same, stash
 
@@ -118,6 +119,24 @@ def mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text",
     return whole.select(*columns).unionByName(taken.select(*columns))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    inner = {T.ArrayType: lambda: [kind.elementType], T.StructType: lambda: [f.dataType for f in kind.fields]}.get(type(kind), list)()
+    return isinstance(kind, T.MapType) or any(map(_has_map, inner))
+
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """A value that hashes and sorts: maps, wherever they are in it, become sorted arrays of their entries."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+    fields = F.struct(*[comparable(value.getField(f.name), f.dataType).alias(f"f{k}") for k, f in enumerate(kind.fields)])
+    return F.when(value.isNotNull(), fields)
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = 4096, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay as they are, whatever their names.
 
@@ -135,11 +154,13 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source"
     rest = often.where("n % copies > 0").withColumns({"left": F.col("n") % F.col("copies"), "blocks": F.ceil(F.col("copies") / block)})
     if not rest.isEmpty():
         # Equal rows are one entry with a count; running counts go over blocks of a hash, then inside each.
-        some = rows.alias("a").join(rest.alias("b"), same("a", "b", *key)).groupBy("row", *[F.col(f"a.{k}").alias(k) for k in key], "left", "blocks").agg(F.count("*").alias("m"))
-        some = some.withColumn("order", F.xxhash64("row")).withColumn("block", F.pmod("order", "blocks"))
+        some = rows.alias("a").join(rest.alias("b"), same("a", "b", *key)).select("row", *[F.col(f"a.{k}").alias(k) for k in key], "left", "blocks")
+        some = some.withColumn("as", comparable(F.col("row"), some.schema["row"].dataType))
+        some = some.groupBy("as", *key, "left", "blocks").agg(F.count("*").alias("m"), F.first("row").alias("row"))
+        some = some.withColumn("order", F.xxhash64("as")).withColumn("block", F.pmod("order", "blocks"))
         sums = some.groupBy(*key, "block").agg(F.sum("m").alias("sum"))
         sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*key).orderBy("block")) - F.col("sum")).drop("sum")
-        inside = Window.partitionBy(*[f"a.{k}" for k in key], "a.block").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy(*[f"a.{k}" for k in key], "a.block").orderBy("order", "as").rowsBetween(Window.unboundedPreceding, 0)
         placed = some.alias("a").join(sums.alias("b"), same("a", "b", *key, "block")).select("row", "left", "m", (F.col("before") + F.sum("m").over(inside) - F.col("m")).alias("start"))
         more = F.least("m", F.col("left") - F.col("start"))
         whole = whole.unionByName(placed.where("start < left").select("row", F.explode(F.sequence(F.lit(1).cast("long"), more)).alias("time")).select("row"))

@@ -125,6 +125,18 @@ def test_mixed_has_the_rows_of_the_mix(spark):
         assert len(each) == 10 and max(each) - min(each) <= 1
 
 
+def test_mixed_keeps_map_columns(spark):
+    rows = [(1, "a b", "x", {"k": "1", "j": None}, [{"m": k}]) for k in range(5)] + [(1, "a b", "x", None, None)] * 2 + [(2, "c d e f g h", "y", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>, `deep.er` array<map<string,int>>")
+    for block in (2, 4096):
+        out = mixing.mixed(docs, block=block)
+        assert out.schema == docs.schema
+        got = out.collect()
+        counts = sorted(sum(r["deep.er"] == [{"m": k}] for r in got) for k in range(5))
+        assert counts[-1] - counts[0] <= 1 and any(r.tags == {} for r in got) and sum(r.tags is None for r in got) >= 2
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_top_k_brute_force(spark):
     import math
     import random
