@@ -8,10 +8,16 @@ pairs are candidates, as are those of one SimHash group. Documents with the same
 of shingles, by a 128-bit digest of it, are one: only the smallest id goes on. Each
 group first names one hub, its smallest id: a member that agrees with it in enough of
 PLACES more places is decided on the shingle sets, which joins most of a group at the
-cost of one pair per member. Then, in rounds, each member names its best partners in the
-group that no chain of links joins with it yet and that agree in enough places, first
-one, then 32 times as many each round; they are decided on the shingle sets too, and
-the rounds end when no pair is left that is neither joined nor decided. So a pair stays apart only if its texts say so, whichever ids its group holds; two
+cost of one pair per member. Groups whose members are not all joined then are dealt to
+cells: a group of many members, or of much text, is cut into chunks, and each two chunks
+meet in a cell of their own. A cell first looks at places only and names the members
+that have a partner left: one that no chain of links joins with it yet and that agrees
+in enough places. Only these meet in the cell again with their texts, one copy of each,
+and there the pairs are decided on the hashes of their shingles, the likeliest first; a
+link saves all pairs between what it joins. A pair belongs to the group of the first band in which
+both agree, so no two groups decide it. No pair travels: a family of near-copies that
+just miss the bound costs comparisons in its cells, in the square of its size, but no
+rows. So a pair stays apart only if its texts say so, whichever ids its group holds; two
 samples hide a pair of similarity 0.8 with a probability of 8e-8 (no band in common)
 and below 1e-9 (too few places).
 
@@ -77,23 +83,24 @@ def shingles(text: bytes, n: int) -> frozenset:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """(doc_id, bands, low, all) of each text with words: low has the lowest byte of each place, all is a digest of the set of shingles."""
+    """(doc_id, bands, low, all, size) of each text with words: low has the lowest byte of each place, all is a digest of the set of shingles, size counts bytes."""
 
     def run(batches):
         orders = _orders()
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                found = [lowest(t, shingle, seed, orders) for t in utf8(part.column("text"))]
+                texts = utf8(part.column("text"))
+                found = [lowest(t, shingle, seed, orders) for t in texts]
                 index = [k for k, f in enumerate(found) if f is not None]
                 wide = np.array([found[k][0] for k in index], np.uint64).reshape(-1, 2 * BANDS)
                 pair = wide[:, ::2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[:, 1::2]
                 pair = pair * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(pair.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
                 low = [(found[k][1] & np.uint32(255)).astype(np.uint8).tobytes() for k in index]
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "bands": bands, "low": pa.array(low, pa.binary()), "all": pa.array([found[k][2] for k in index], pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(index, pa.int64())), "bands": bands, "low": pa.array(low, pa.binary()), "all": pa.array([found[k][2] for k in index], pa.binary()), "size": pa.array([len(texts[k]) for k in index], pa.int64())})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return picked.mapInArrow(run, "doc_id long, bands array<long>, low binary, all binary")
+    return picked.mapInArrow(run, "doc_id long, bands array<long>, low binary, all binary, size long")
 
 
 def agreeing(least: int):
@@ -108,13 +115,20 @@ def agreeing(least: int):
     return run
 
 
-def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are at least so similar, written."""
-    ids = stash(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+def _texts(docs: DataFrame, asked: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the asked ids, once each, written."""
+    ids = stash(asked.select("doc_id").distinct(), "asked")
     # So few ids go to the texts; more of them meet in a shuffle.
     listed = F.broadcast(ids) if ids.count() <= SENT else ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(listed, "doc_id", "left_semi")
     texts = stash(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    unstash(ids)
+    return texts
+
+
+def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are at least so similar, written."""
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), id_col=id_col, text_col=text_col)
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
 
     def decide(batches):
@@ -132,80 +146,140 @@ def decided(docs: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, sh
 
     out = stash(both.select("u", "v", "a", "b").mapInArrow(decide, "u long, v long"), "links")
     unstash(texts)
-    unstash(ids)
     return out
 
 
-def partners(ids: np.ndarray, labels: np.ndarray, chunks: np.ndarray, low: np.ndarray, no: list, least: int, one_chunk: bool, k: int):
-    """Slices of pairs (u, v), u > v: each member with its k best partners of another label that agree in at least `least` places.
-
-    Members of the largest label are partners only; so is a partner of another chunk,
-    unless there is one chunk. no lists the partners that are out, per member.
-    """
-    _, label, size = np.unique(labels, return_inverse=True, return_counts=True)
-    asking = np.flatnonzero(label != np.argmax(size))
-    for at in range(0, len(asking), 32):
-        mine = asking[at : at + 32]
-        agree = (low[mine, None] == low[None, :]).sum(2, dtype=np.uint16)
-        agree[(label[mine, None] == label[None, :]) | (agree < least)] = 0
-        if not one_chunk:
-            agree[chunks[mine, None] == chunks[None, :]] = 0
-        us, vs = [], []
-        for i, row in zip(mine.tolist(), agree):
-            near = np.flatnonzero(row)
-            if no[i] is not None and len(near):
-                near = near[~np.isin(ids[near], no[i])]
-            if len(near) > k:
-                near = near[np.lexsort((ids[near], -row[near].astype(np.int32)))[:k]]
-            us.append(np.full(len(near), ids[i]))
-            vs.append(ids[near])
-        a, b = np.concatenate(us), np.concatenate(vs)
-        yield np.maximum(a, b), np.minimum(a, b)
-
-
-def _cells(least: int, k: int):
-    """The pairs of partners() for each (kind, key, one, two) run of a partition sorted by them."""
+CELL = ("kind", "key", "one", "two")
+MEMBER = ("doc_id", "label", "chunk", "hub")
+SCHEMA = ", ".join(f"{c} long" for c in (*CELL, *MEMBER))
+
+
+class Cell:
+    """The members of a group, or of two chunks of it, that meet in a task."""
+
+    def __init__(self, numbers: np.ndarray, low: np.ndarray, bands: np.ndarray):
+        """numbers: the columns of CELL and MEMBER; low: the places of each member; bands: its band keys."""
+        self.kind, self.key, one, two = numbers[:4, 0].tolist()
+        self.ids, self.labels, self.chunks, hubs = numbers[4:]
+        self.hub, self.one_chunk = int(hubs[0]), one == two
+        self.low, self.bands = low, bands
+
+    def left(self, least: int):
+        """Slices (i, j, places) of the pairs that are this cell's to decide, each once: members without a link between
+        them that agree in `least` places and in no band before this group's. The hub has been decided."""
+        _, label, size = np.unique(self.labels, return_inverse=True, return_counts=True)
+        asks = label != np.argmax(size)  # members of the largest label are partners only
+        place = np.arange(len(label))
+        for at in range(0, int(asks.sum()), 32):
+            mine = np.flatnonzero(asks)[at : at + 32]
+            agree = (self.low[mine, None] == self.low[None, :]).sum(2, dtype=np.uint16)
+            ok = (agree >= least) & (label[mine, None] != label) & (~asks | (place > mine[:, None])) & (self.ids != self.hub) & (self.ids[mine, None] != self.hub)
+            if not self.one_chunk:
+                ok &= self.chunks[mine, None] != self.chunks
+            i, j = np.nonzero(ok)
+            common = self.bands[mine[i]] == self.bands[j]
+            own = common.argmax(1) == (self.bands[mine[i]] == self.key).argmax(1) if self.kind == 0 else ~common.any(1)
+            yield mine[i][own], j[own], agree[i, j][own]
+
+    def open(self, least: int) -> np.ndarray:
+        """Which members have a partner left."""
+        out = np.zeros(len(self.ids), bool)
+        for i, j, _ in self.left(least):
+            out[i] = out[j] = True
+        return out
+
+    def links(self, sets: list[np.ndarray], least: int, similarity: float) -> tuple[list[tuple[int, int]], int]:
+        """(links between members that join what was apart, number of pairs decided); sets are the members' shingle hashes."""
+        found = list(self.left(least))
+        i, j, agree = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, int)] * 3
+        names, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        of = np.split(flat, np.cumsum([len(x) for x in sets])[:-1]) if sets else []
+        up, out, n, mark = {}, [], 0, np.zeros(len(names), bool)
+
+        def root(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        order = np.argsort(-agree.astype(np.int32), kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            ra, rb = root(int(self.labels[a])), root(int(self.labels[b]))
+            if ra == rb:
+                continue
+            n += 1
+            mark[of[a]] = True
+            common = int(mark[of[b]].sum())
+            mark[of[a]] = False
+            if common >= similarity * (len(of[a]) + len(of[b]) - common):
+                up[max(ra, rb)] = min(ra, rb)
+                out.append((int(max(self.ids[a], self.ids[b])), int(min(self.ids[a], self.ids[b]))))
+        return out, n
+
+
+def _by_cell(done):
+    """done(numbers, low, bands, texts) of each cell of a partition that is sorted by CELL."""
 
     def run(batches):
         rest = None
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy() for c in ("kind", "key", "one", "two", "doc_id", "label", "chunk")])
+            now = np.stack([batch.column(c).to_numpy() for c in (*CELL, *MEMBER)])
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, PLACES)
-            no = batch.column("no").to_pylist()
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            texts = utf8(batch.column("text")) if "text" in batch.schema.names else [None] * len(low)
             if rest is not None:
-                now, low, no = np.concatenate([rest[0], now], axis=1), np.concatenate([rest[1], low]), rest[2] + no
+                now, low, bands, texts = np.concatenate([rest[0], now], axis=1), np.concatenate([rest[1], low]), np.concatenate([rest[2], bands]), rest[3] + texts
             cut = [0, *(1 + np.flatnonzero((now[:4, 1:] != now[:4, :-1]).any(0)))]
             for at, end in zip(cut, cut[1:]):
-                yield from cell(now[:, at:end], low[at:end], no[at:end])
-            rest = now[:, cut[-1] :], low[cut[-1] :], no[cut[-1] :]
+                yield from done(now[:, at:end], low[at:end], bands[at:end], texts[at:end])
+            rest = now[:, cut[-1] :], low[cut[-1] :], bands[cut[-1] :], texts[cut[-1] :]
         if rest is not None and len(rest[1]):
-            yield from cell(*rest)
-
-    def cell(now, low, no):
-        for u, v in partners(now[4], now[5], now[6], low, no, least, now[2, 0] == now[3, 0], k):
-            yield pa.record_batch({"kind": pa.array(np.full(len(u), now[0, 0])), "key": pa.array(np.full(len(u), now[1, 0])), "u": pa.array(u), "v": pa.array(v)})
+            yield from done(*rest)
 
     return run
 
 
-def left_pairs(grouped: DataFrame, own: DataFrame, labels: DataFrame, rejected: DataFrame, *, least: int, k: int, most: int = 1024) -> DataFrame:
-    """(kind, key, u, v), u > v: within each group the k best partners of each member that no chain of links joins with it yet.
+def cells(grouped: DataFrame, own: DataFrame, labels: DataFrame, *, most: int = 1024, most_bytes: int = 16 << 20) -> DataFrame:
+    """The columns of CELL and MEMBER for each member and cell, of the groups that links do not join yet.
 
-    Partners agree in `least` places and are not rejected. Places are compared by their
-    lowest byte, so unequal ones may count as equal but never the reverse. A group of
-    more than `most` members is cut into chunks, and each two chunks meet in a cell of
-    their own. In a group of two the other is the hub, so nothing is left.
+    A chunk has about `most` members and `most_bytes` of text, and a cell two chunks. In a group of
+    two the other is the hub, so nothing is left.
     """
-    rows = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", "key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("n")).where("_a <> _b AND n > 2")
-    rows = rows.join(mixed.select("kind", "key", F.ceil(F.col("n") / most).alias("parts")), ["kind", "key"])
+    rows = grouped.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", "key", "doc_id", "hub", F.coalesce("component", "doc_id").alias("label"))
+    rows = rows.join(own.select("doc_id", "size"), "doc_id")
+    mixed = rows.groupBy("kind", "key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("a <> b AND n > 2")
+    parts = F.ceil(F.greatest(F.col("n") / most, F.col("bytes") / most_bytes))
+    rows = rows.join(mixed.select("kind", "key", parts.alias("parts")), ["kind", "key"])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda c: F.struct(F.least("chunk", c).alias("one"), F.greatest("chunk", c).alias("two")))
-    out = rejected.select(F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.col("v").alias("x")), F.struct(F.col("v").alias("doc_id"), F.col("u").alias("x")))).alias("e")).groupBy("e.doc_id").agg(F.collect_set("e.x").alias("no"))
-    rows = rows.join(own.select("doc_id", "low"), "doc_id").join(out, "doc_id", "left").select("kind", "key", "doc_id", "label", "chunk", "low", "no", F.explode(cells).alias("_c"))
-    rows = rows.select("kind", "key", "_c.one", "_c.two", "doc_id", "label", "chunk", "low", "no")
-    by = ["kind", "key", "one", "two"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_cells(least, k), "kind long, key long, u long, v long")
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda c: F.struct(F.least("chunk", c).alias("one"), F.greatest("chunk", c).alias("two")))
+    return rows.withColumn("c", F.explode(meet)).select("kind", "key", "c.one", "c.two", *MEMBER)
+
+
+def links_in_cells(docs: DataFrame, met: DataFrame, own: DataFrame, *, id_col: str, text_col: str, shingle: int, seed: int, least: int, similarity: float) -> DataFrame:
+    """(u, v), u > v, of similar documents that labels did not join, enough to join them; met is of cells()."""
+
+    def open_members(numbers, low, bands, _):
+        at = np.flatnonzero(Cell(numbers, low, bands).open(least))
+        if len(at):
+            yield pa.record_batch([pa.array(x[at]) for x in numbers], names=[*CELL, *MEMBER])
+
+    def decide(numbers, low, bands, texts):
+        sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(t, shingle), repeat(seed)), np.uint64)) for t in texts]
+        found, _ = Cell(numbers, low, bands).links(sets, least, similarity)
+        if found:
+            u, v = zip(*found)
+            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def dealt(rows):
+        return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+    places = own.select("doc_id", "low", "bands")
+    left = stash(dealt(met.join(places, "doc_id").select(*CELL, *MEMBER, "low", "bands")).mapInArrow(_by_cell(open_members), SCHEMA), "open")
+    texts = _texts(docs, left, id_col=id_col, text_col=text_col)
+    rows = left.join(places, "doc_id").join(texts, "doc_id").select(*CELL, *MEMBER, "low", "bands", "text")
+    out = stash(dealt(rows).mapInArrow(_by_cell(decide), "u long, v long"), "cell_links")
+    unstash(texts)
+    unstash(left)
+    return out
 
 
 def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -214,8 +288,8 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
     least = fewest(similarity)
     signed = stash(signatures(docs, **options, seed=seed), "signatures")
     # One document stands for all with its set of shingles.
-    lone = signed.groupBy("all").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "low"), "doc_id").alias("of"))
-    lone = stash(lone.select("doc_id", "of.bands", "of.low", "all"), "lone")
+    lone = signed.groupBy("all").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "low", "size"), "doc_id").alias("of"))
+    lone = stash(lone.select("doc_id", "of.bands", "of.low", "of.size", "all"), "lone")
     equal = stash(signed.join(lone.select("all", F.col("doc_id").alias("first")), "all").where("doc_id <> first").select("doc_id", "first").distinct(), "equal")
     unstash(signed)
     member = lone.select("doc_id", F.explode("bands").alias("key")).distinct()
@@ -226,35 +300,22 @@ def similar_groups(docs: DataFrame, others: DataFrame | None = None, *, id_col:
             others = others.join(equal.select(F.col("doc_id").alias(c), F.col("first").alias("_first")), c, "left").withColumn(c, F.coalesce("_first", c)).drop("_first")
         more = others.unionByName(others.select(F.col("hub").alias("doc_id"), "hub")).distinct()
         grouped = grouped.unionByName(more.select(F.lit(1).cast("long").alias("kind"), F.col("hub").alias("key"), "doc_id", "hub"))
-    candidates = grouped = stash(grouped, "grouped")
-    own = stash(lone.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "low"), "own")
+    grouped = stash(grouped, "grouped")
+    own = stash(lone.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "low", "bands", "size"), "own")
     unstash(lone)
     edges = grouped.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
     both = edges.join(own.select(F.col("doc_id").alias("u"), F.col("low").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("low").alias("y")), "v")
     rated = stash(both.select("u", "v", "x", "y").mapInArrow(agreeing(least), "u long, v long"), "rated")
     found = decided(docs, rated, **options, similarity=similarity)
     labels = stash(components(found), "labels")
-    rejected, spent, k = stash(rated.join(found, ["u", "v"], "left_anti"), "rejected"), [rated, found], 1
-    while True:
-        named = stash(left_pairs(grouped, own, labels, rejected, least=least, k=k), "named")
-        spent.append(named)
-        if named.isEmpty():
-            break
-        # Groups that named no pair have none left: links only join more of their members.
-        grouped = grouped.join(named.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-        left = stash(named.select("u", "v").distinct(), "left")
-        spent.append(left)
-        late = decided(docs, left, **options, similarity=similarity)
-        rejected = stash(rejected.unionByName(left.join(late, ["u", "v"], "left_anti")), "rejected")
-        spent += [late, rejected]
-        if not late.isEmpty():
-            # Links between groups found so far join whole groups.
-            name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))  # noqa: B023, E731
-            late = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
-            tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            labels = stash(components(tops.unionByName(late)), "labels")
-        k *= 32
-    for table in [candidates, own, *spent]:
+    late = links_in_cells(docs, cells(grouped, own, labels), own, **options, seed=seed, least=least, similarity=similarity)
+    if not late.isEmpty():
+        # Links between groups found so far join whole groups.
+        name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+        late = late.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_", "u").alias("u"), F.coalesce("v_", "v").alias("v"))
+        tops = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = stash(components(tops.unionByName(late)), "labels")
+    for table in (grouped, own, rated, found):
         unstash(table)
     copies = equal.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component"))
     return labels.unionByName(copies)

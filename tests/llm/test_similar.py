@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from readloom.llm import similar
 
 
@@ -61,32 +63,111 @@ def test_one_of_each_finds_a_base_that_is_never_the_hub(spark):
 LEAST = similar.PLACES * 5 // 8
 
 
-def test_left_pairs_are_all_pairs_whatever_the_chunks(spark):
-    random.seed(4)
-    label = {n: n if n % 3 else 0 for n in range(60)}
-    low = {n: bytes(random.choice((0, 0, 0, 1)) for _ in range(similar.PLACES)) for n in label}
-    grouped = spark.createDataFrame([(k, 9, n) for n in label for k in (0, 1) if n % 2 or k], "kind long, key long, doc_id long")
-    own = spark.createDataFrame([(n, bytearray(b)) for n, b in low.items()], "doc_id long, low binary")
-    labels = spark.createDataFrame([(n, c) for n, c in label.items() if n % 3 == 0], "node long, component long")
-    agree = lambda u, v: sum(a == b for a, b in zip(low[u], low[v]))
-    want = sorted((u, v) for u in label for v in range(u) if label[u] != label[v] and agree(u, v) >= LEAST)
-    assert len(want) > 100
-    none = spark.createDataFrame([], "u long, v long")
-    pairs = lambda rejected, **options: sorted({(r.u, r.v) for r in similar.left_pairs(grouped, own, labels, rejected, least=LEAST, **options).collect()})
-    for most in (7, 1024):
-        assert pairs(none, k=1000, most=most) == want
-        # The rounds of the best partners come to the same pairs in the end, none twice.
-        seen, k = [], 1
-        while new := pairs(spark.createDataFrame(seen, "u long, v long"), k=k, most=most):
-            assert not set(new) & set(seen)
-            seen, k = seen + new, 8 * k
-        assert sorted(seen) == want
-    one = pairs(none, k=1)
-    assert set(one) <= set(want) and len(one) <= 2 * len(label)
-    for u in label:
-        best = max(agree(u, w) for w in label if label[w] != label[u])
-        if label[u] and best >= LEAST:
-            assert any(u in pair and agree(*pair) == best for pair in one)
+def family(n, seed, chance, words=300):
+    """Texts that share about `chance` of their words' places with one base."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(words)]
+    return [" ".join(w if rng.random() < chance else word() for w in base) for _ in range(n)]
+
+
+def cell_of(texts, labels, key_band=None, chunks=None):
+    """A cell of texts whose hub is in none of them."""
+    orders = similar._orders()
+    signed = [similar.lowest(t.encode(), 5, 42, orders) for t in texts]
+    n = len(texts)
+    low = np.stack([(x[1] & np.uint32(255)).astype(np.uint8) for x in signed])
+    bands = np.stack([x[0][::2] for x in signed]).view(np.int64)
+    numbers = np.zeros((8, n), np.int64)
+    numbers[0] = 1 if key_band is None else 0
+    numbers[1] = 0 if key_band is None else bands[0, key_band]
+    numbers[4], numbers[5], numbers[7] = np.arange(n), labels, -1
+    if chunks is not None:
+        numbers[3], numbers[6] = 1, chunks
+    return similar.Cell(numbers, low, bands)
+
+
+def exact(texts, similarity=0.8):
+    sets = [similar.shingles(t.encode(), 5) for t in texts]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+
+
+def test_cells_decide_each_pair_once_and_whatever_the_chunks():
+    texts = family(40, 2, 0.97)
+    labels = np.array([k if k % 4 else 0 for k in range(40)])
+    whole = cell_of(texts, labels)
+    whole.bands = np.arange(40 * similar.BANDS).reshape(40, similar.BANDS)  # no band in common
+    pairs = [(int(max(a, b)), int(min(a, b))) for i, j, _ in whole.left(LEAST) for a, b in zip(i, j)]
+    assert len(pairs) == len(set(pairs))
+    agree = (whole.low[:, None] == whole.low[None, :]).sum(2)
+    assert set(pairs) == {(i, j) for i in range(40) for j in range(i) if labels[i] != labels[j] and agree[i, j] >= LEAST}
+    halves = []
+    for k, (one, two) in enumerate([(0, 0), (1, 1), (0, 1)]):
+        of = [x for x in range(40) if x % 2 in (one, two)]
+        part = cell_of([texts[x] for x in of], labels[of], chunks=np.array(of) % 2)
+        part.ids, part.bands, part.one_chunk = np.array(of), whole.bands[of], one == two
+        halves += [(int(max(part.ids[a], part.ids[b])), int(min(part.ids[a], part.ids[b]))) for i, j, _ in part.left(LEAST) for a, b in zip(i, j)]
+    assert sorted(halves) == sorted(pairs)
+    # Members that share the first band decide there, and nowhere else.
+    whole.bands[:, 0] = 7
+    assert not [1 for i, _, _ in whole.left(LEAST) if len(i)]
+    whole.kind, whole.key = 0, 7
+    assert sum(len(i) for i, _, _ in whole.left(LEAST)) == len(pairs)
+    whole.bands[:, 3] = whole.key = 9
+    assert not [1 for i, _, _ in whole.left(LEAST) if len(i)]
+
+
+def test_links_join_what_is_similar_and_save_pairs():
+    texts = [t for seed in range(6) for t in family(12, seed, 0.99)]
+    n = len(texts)
+    cell = cell_of(texts, np.arange(n))
+    cell.bands = np.arange(n * similar.BANDS).reshape(n, similar.BANDS)
+    sets = [np.unique(np.fromiter((similar.xxhash.xxh64_intdigest(x, 42) for x in similar.shingles(t.encode(), 5)), np.uint64)) for t in texts]
+    found, decided = cell.links(sets, similar.fewest(0.8), 0.8)
+    want = exact(texts)
+    assert set(found) <= want and slow_components(n, found) == slow_components(n, want)
+    assert decided < len(want) / 2  # what is joined already is not decided again
+
+
+def slow_components(n, pairs):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_a_family_below_the_bound_costs_no_rows(spark, monkeypatch):
+    """Near-copies that all just miss the bound: each text goes to its cells once, no pair is a row, and all stay."""
+    texts = family(120, 5, 0.974, words=400)
+    assert len(exact(texts)) < 40
+    tables, kept = [], similar.stash
+    monkeypatch.setattr(similar, "stash", lambda df, label: tables.append((label, kept(df, label))) or tables[-1][1])
+    monkeypatch.setattr(similar, "unstash", lambda df: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = similar.similar_groups(df).collect()
+    found = {r.node: r.component for r in groups}
+    want = slow_components(len(texts), exact(texts))
+    assert [found.get(k, k) for k in range(len(texts))] == want
+    size = lambda label: sum(t.count() for name, t in tables if name == label)
+    assert 0 < size("open") <= similar.BANDS * len(texts) and size("rated") <= similar.BANDS * len(texts)
+
+
+def test_small_chunks_give_the_same_groups(spark, monkeypatch):
+    texts = [t for seed in range(3) for t in family(25, seed, 0.985)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = slow_components(len(texts), exact(texts))
+    whole = similar.cells
+    for options in ({}, {"most": 4}, {"most_bytes": 6000}):
+        monkeypatch.setattr(similar, "cells", lambda *a, o=options: whole(*a, **o))
+        found = {r.node: r.component for r in similar.similar_groups(df).collect()}
+        assert [found.get(k, k) for k in range(len(texts))] == want
 
 
 def test_every_link_is_decided_on_the_shingle_sets(spark):
