@@ -49,6 +49,7 @@ TWIG, FAN_BITS = 64, 4  # members of a lowest node; other nodes have 2 ** FAN_BI
 LEAVES = 64  # leaves beyond which the next level is taken for them
 LEAF = TWIG << 2 * FAN_BITS  # members of a leaf at most
 PAIRS = 64  # pairs of leaves that a task compares
+SLICE = 128  # pairs of lowest nodes that are compared at once
 
 
 def leaf_size(n: int) -> int:
@@ -145,8 +146,14 @@ def _agreed(x: np.ndarray, size: int):
     return low, ~(low ^ high)
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool, seen: int = 0, far: int = 0, twig: int = TWIG, watch: list | None = None):
-    """Places (i, j) of the members of two leaves within the radius; of one leaf with itself i < j.
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool, **options):
+    """Places (i, j) of the members of two leaves within the radius; of one leaf with itself i < j."""
+    found = list(near_slices(x, y, radius, own, **options))
+    return [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+
+
+def near_slices(x: np.ndarray, y: np.ndarray, radius: int, own: bool, seen: int = 0, far: int = 0, twig: int = TWIG, watch: list | None = None):
+    """near_pairs() in slices of at most SLICE pairs of lowest nodes.
 
     seen are the bits that ancestors have compared, far how many of them differ. watch
     gets (members of a node, pairs of nodes, pairs that stay) of each level.
@@ -171,16 +178,14 @@ def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, own: bool, seen: int =
             watch.append((size, len(stay), int(stay.sum())))
         p, q, seen, far = p[stay], q[stay], (seen | new)[stay], far[stay]
     (a, here), (b, there) = _rows(x, twig), _rows(y, twig)
-    found = []
-    for at in range(0, len(p), 128):
-        pp, qq = p[at : at + 128], q[at : at + 128]
+    for at in range(0, len(p), SLICE):
+        pp, qq = p[at : at + SLICE], q[at : at + SLICE]
         close = np.bitwise_count(a[pp][:, :, None] ^ b[qq][:, None, :]) <= radius
         close &= here[pp][:, :, None] & there[qq][:, None, :]
         if own:
             close[pp == qq] &= np.triu(np.ones((twig, twig), bool), 1)
         k, i, j = np.nonzero(close)
-        found.append((pp[k] * twig + i, qq[k] * twig + j))
-    return [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+        yield pp[k] * twig + i, qq[k] * twig + j
 
 
 def _rows(x: np.ndarray, twig: int):
@@ -199,15 +204,16 @@ def _compare(radius: int):
             us, vs = [], []
             for a, b, x, y, seen, far in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y", "seen", "far"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                i, j = near_pairs(x, y, radius, a == b, seen & (1 << 64) - 1, far)
-                if len(i) > len(x) + len(y):
-                    both = np.concatenate([x, y])
-                    u, v = spanning(i, j + (0 if a == b else len(x)), len(both))
-                    us.append(both[u])
-                    vs.append(both[v])
-                else:
-                    us.append(x[i])
-                    vs.append(y[j])
+                both = x if a == b else np.concatenate([x, y])
+                u = v = np.zeros(0, np.int64)
+                for i, j in near_slices(x, y, radius, a == b, seen=seen & (1 << 64) - 1, far=far):
+                    u, v = np.concatenate([u, i]), np.concatenate([v, j + (0 if a == b else len(x))])
+                    if len(u) > 2 * len(both):  # links of large groups are cut to a forest as they come
+                        u, v = spanning(u, v, len(both))
+                if len(u) > len(both):
+                    u, v = spanning(u, v, len(both))
+                us.append(both[u])
+                vs.append(both[v])
             if us:
                 yield pa.record_batch({"u": pa.array(np.concatenate(us).view(np.int64)), "v": pa.array(np.concatenate(vs).view(np.int64))})
 
