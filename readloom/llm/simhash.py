@@ -208,9 +208,9 @@ def _compare(radius: int):
                 u = v = np.zeros(0, np.int64)
                 for i, j in near_slices(x, y, radius, a == b, seen=seen & (1 << 64) - 1, far=far):
                     u, v = np.concatenate([u, i]), np.concatenate([v, j + (0 if a == b else len(x))])
-                    if len(u) > 2 * len(both):  # links of large groups are cut to a forest as they come
+                    if len(u) > 2 * (len(x) + len(y)):  # links of large groups are cut to a forest as they come
                         u, v = spanning(u, v, len(both))
-                if len(u) > len(both):
+                if len(u) > len(x) + len(y):
                     u, v = spanning(u, v, len(both))
                 us.append(both[u])
                 vs.append(both[v])
