@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -91,3 +92,21 @@ def unstash(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def clear(spark: SparkSession, label: str | None = None, older_than: float = 24 * 3600) -> int:
+    """Delete the tables in the shared folder that were written more than `older_than` seconds ago, those of one label or all; how many went.
+
+    Results are read lazily, so no operator can tell when its tables are done with: call
+    this when the results of that time have been written.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/readloom")
+    system, n = folder.getFileSystem(conf), 0
+    if not system.exists(folder):
+        return 0
+    for status in system.listStatus(folder):
+        path = status.getPath()
+        if (label is None or path.getName().rpartition("-")[0] == label) and status.getModificationTime() <= 1000 * (time.time() - older_than):
+            n += bool(system.delete(path, True))
+    return n

@@ -159,3 +159,15 @@ def test_bad_lines(spark, tmp_path):
         lines.read_sam(spark, path).collect()
     with pytest.raises(ValueError):
         lines.read_sam(spark, path, bad="ignore")
+
+
+def test_clear_by_label_and_age(spark, tmp_path, monkeypatch):
+    from readloom import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert session.clear(spark) == 0
+    a, b = (session.stash(spark.range(3), x) for x in ("some-table", "other"))
+    assert session.clear(spark) == 0 and a.count() == 3
+    assert session.clear(spark, label="table", older_than=-1) == 0
+    assert session.clear(spark, label="some-table", older_than=-1) == 1 and b.count() == 3
+    assert session.clear(spark, older_than=-1) == 1 and not os.listdir(tmp_path / "readloom")
