@@ -197,3 +197,33 @@ def test_top_k_plan_has_no_cross_join(spark):
     out = topk.top_k(df, df.where("vec_id % 50 = 0"), block=16, query_block=3)
     plan = out._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and out.count() == 40
+
+
+def test_top_k_broadcasts_no_block_once_for_each_other(spark):
+    df = spark.range(400).selectExpr("id as vec_id", "transform(sequence(1, 4), k -> cast((id * 7919 * k) % 101 as float) - 50) as embedding")
+    out = topk.top_k(df, df.where("vec_id % 50 = 0"), block=16, query_block=3)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    below = [y for i, x in enumerate(lines) if "BroadcastExchange" in x for j, y in enumerate(lines) if j > i and min(depth[i + 1 : j + 1]) > depth[i]]
+    assert below and not [x for x in below if "Generate" in x]
+
+
+def test_top_k_groups_of_wide_odd_and_negative_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    scale = rng.choice([1, 300, 70000, 1e10], 600)[:, None]
+    vectors = np.floor(scale * rng.normal(size=(600, 40)))
+    vectors[::3] = -np.abs(vectors[::3])
+    vectors[100:160] = vectors[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = [[int(x) for x in v] for v in vectors]
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for q in range(0, 600, 50):
+        ranked = sorted((-clip(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in enumerate(whole) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked)]
+    for group_bytes in (1, 20000, topk.GROUP_BYTES):
+        monkeypatch.setattr(topk, "GROUP_BYTES", group_bytes)
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), scale=1, block=16, query_block=3)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
