@@ -11,8 +11,11 @@ write_index() adds a table with the reach of the records that begin in each 16 k
 of a contig, and where in the files they lie. Where it is there, a filter on tid and pos, or the
 options of read_regions(), pick from it the ranges that are read at all.
 
-Options: read `split` (bytes of a range), `tid`, `begin`, `end` (only records that may
-overlap these places, 1-based, with an index); write `contigs` (JSON list of [name,
+A task takes one range, or of many ranges several; each range looks for its own records.
+
+Options: read `split` (bytes of a range), `columns` (those of READS that are made, all by
+default), `tid`, `begin`, `end` (only records that may overlap these places, 1-based, with
+an index); write `contigs` (JSON list of [name,
 length] in order of tid) and `header` (header lines before the contigs).
 """
 
@@ -24,7 +27,7 @@ import re
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from dataclasses import dataclass
 from itertools import groupby
@@ -34,17 +37,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from readloom.functions.cigar import end_position, placed
 from readloom.functions.text import expand_pattern, parse_region
 from readloom.schema import READS
+from readloom.sources.records import FIXED, OPS, decode_batch, encode, encode_batch  # noqa: F401
 
 # Fixed values of the format.
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BASES = "=ACMGRSVTWYHKDBN"
-OPS = "MIDNSHP=X"
+MAGIC = b"\x1f\x8b\x08\x04"
 BLOCK = 65280
+WINDOW_READ = 1 << 17  # bytes of a file that are read at once
 
 
 def located(path: str):
@@ -72,7 +77,7 @@ def compress(data: bytes, level: int = 6) -> bytes:
 
 def block_size(head: bytes) -> int | None:
     """The size of the block that starts with these bytes, None if none does."""
-    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+    if len(head) < 18 or head[:4] != MAGIC:
         return None
     extra = struct.unpack_from("<H", head, 10)[0]
     at = 12
@@ -88,29 +93,29 @@ def blocks(path: str, start: int = 0):
     """(offset, data) of the blocks from the first that starts at or after start."""
     with opened(path) as f:
         f.seek(start)
+        window, at = f.read(WINDOW_READ), 0
         if start:
-            window = f.read(1 << 17)
-            for at in range(len(window)):
+            while (at := window.find(MAGIC, at)) >= 0:
                 size = block_size(window[at : at + 64])
                 # A true start is followed by another block or the end of the file.
                 if size and (at + size == len(window) or block_size(window[at + size : at + size + 64])):
                     start += at
                     break
+                at += 1
             else:
                 return
         while True:
-            f.seek(start)
-            head = f.read(64)
-            size = block_size(head)
+            if len(window) - at < 1 << 16:  # a block has no more bytes
+                window, at = window[at:] + f.read(WINDOW_READ), 0
+            size = block_size(window[at : at + 64])
             if size is None:
-                if head:
+                if at < len(window):
                     raise ValueError(f"{path}: no block at {start}")
                 return
-            f.seek(start)
-            raw = f.read(size)
+            raw = window[at : at + size]
             extra = struct.unpack_from("<H", raw, 10)[0]
             yield start, zlib.decompress(raw[12 + extra : -8], -15)
-            start += size
+            start, at = start + size, at + size
 
 
 def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
@@ -137,7 +142,6 @@ def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
     raise ValueError(f"{path}: the header is cut off")
 
 
-FIXED = 36  # bytes of a record before its name
 LARGEST = 1 << 28
 
 
@@ -173,8 +177,10 @@ def candidates(data: bytearray, start: int, contigs: int) -> list[int]:
     whole = bytes(data[start:])
     field = lambda offset, kind: np.ndarray((n,), kind, whole, offset, (1,))
     size, tid, pos, name, bases, mtid, mpos = (field(o, k) for o, k in ((0, "<i4"), (4, "<i4"), (8, "<i4"), (12, "u1"), (20, "<i4"), (24, "<i4"), (28, "<i4")))
-    ok = (size >= 33) & (size <= LARGEST) & (tid >= -1) & (tid < contigs) & (pos >= -1) & (mtid >= -1) & (mtid < contigs) & (mpos >= -1) & (name > 0) & (bases >= 0)
-    return (np.flatnonzero(ok) + start).tolist()
+    at = np.flatnonzero((size >= 33) & (size <= LARGEST))  # few pass: the rest is looked at there only
+    tid, pos, name, bases, mtid, mpos = (x[at] for x in (tid, pos, name, bases, mtid, mpos))
+    ok = (tid >= -1) & (tid < contigs) & (pos >= -1) & (mtid >= -1) & (mtid < contigs) & (mpos >= -1) & (name > 0) & (bases >= 0)
+    return (at[ok] + start).tolist()
 
 
 class Plain:
@@ -233,139 +239,34 @@ class Plain:
                     return waiting[0]
                 waiting.popleft()
 
-    def records(self, at: int, end: int, path: str):
-        """(block offset, place in the block, record without its size) from a byte on, of records that begin in a block before `end`."""
+    def stretches(self, at: int, end: int, path: str, most: int = 4 << 20):
+        """(bytes, starts in them, block offset << 16 | place) of records from a byte on that begin in a block before `end`, in stretches of about `most` bytes."""
+        size_at = struct.Struct("<i").unpack_from
         while True:
-            while (place := self.place(at)) is None:
-                if not self.more():
-                    return
-            if place[0] >= end:
+            while not self.ended and len(self.data) - at < most and not (self.offsets and self.offsets[-1] >= end):
+                self.more()
+            limit = self.starts[bisect_left(self.offsets, end)] if self.offsets and self.offsets[-1] >= end else len(self.data)
+            data, starts, need = bytes(self.data), [], at
+            while at < limit:
+                size = size_at(data, at)[0] if at + 4 <= len(data) else 0
+                if size < FIXED - 4 and at + 4 <= len(data):
+                    raise ValueError(f"{path}: no record at {self.place(at)}")
+                need = at + 4 + size
+                if not size or need > len(data):
+                    break
+                starts.append(at)
+                at = need
+            if starts:
+                own = np.array(starts, np.int64)
+                block = np.searchsorted(self.starts, own, "right") - 1
+                yield data, own, (np.array(self.offsets, np.int64)[block] << 16) + own - np.array(self.starts, np.int64)[block]
+            if at >= limit and (self.ended or self.offsets[-1] >= end):
                 return
-            while at + 4 > len(self.data) or at + 4 + struct.unpack_from("<i", self.data, at)[0] > len(self.data):
+            need -= at
+            at = self.drop(at)
+            while len(self.data) < at + need:  # of a record that begins in what is read
                 if not self.more():
-                    raise ValueError(f"{path}: the record at {place} is cut off")
-            size = struct.unpack_from("<i", self.data, at)[0]
-            yield *place, bytes(self.data[at + 4 : at + 4 + size])
-            at += 4 + size
-            if at > 1 << 20:
-                at = self.drop(at)
-
-
-# Fixed values of the format: the number kinds of tags.
-NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
-
-
-def shown(x) -> str:
-    return str(x) if isinstance(x, int) else f"{x:.9g}"
-
-
-def tag_value(data: bytes, at: int, kind: str) -> tuple[str, int]:
-    """The value of a tag as text, and where it ends."""
-    if kind in "ZH":
-        stop = data.index(b"\0", at)
-        return data[at:stop].decode(), stop + 1
-    if kind == "A":
-        return chr(data[at]), at + 1
-    if kind == "B":
-        inner, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-        form = f"<{n}{NUMBERS[inner][1]}"
-        return ",".join([inner, *map(shown, struct.unpack_from(form, data, at + 5))]), at + 5 + struct.calcsize(form)
-    return shown(struct.unpack_from(NUMBERS[kind], data, at)[0]), at + struct.calcsize(NUMBERS[kind])
-
-
-def tag_bytes(name: str, kind: str, value: str) -> bytes:
-    """A tag as bytes; whole numbers take 32 bits."""
-    head = name.encode()
-    if kind in "ZH":
-        return head + kind.encode() + value.encode() + b"\0"
-    if kind == "A":
-        return head + b"A" + value[:1].encode()
-    if kind == "B":
-        inner, *numbers = value.split(",")
-        number = float if inner == "f" else int
-        return head + b"B" + inner.encode() + struct.pack(f"<i{len(numbers)}{NUMBERS[inner][1]}", len(numbers), *map(number, numbers))
-    if kind == "f":
-        return head + b"f" + struct.pack("<f", float(value))
-    return head + (b"I" if int(value) > 0x7FFFFFFF else b"i") + struct.pack("<I" if int(value) > 0x7FFFFFFF else "<i", int(value))
-
-
-PAIRS = [BASES[k >> 4] + BASES[k & 15] for k in range(256)]
-SHOWN_QUALITY = bytes(min(q, 93) + 33 for q in range(256))
-
-
-def decode(data: bytes) -> tuple:
-    """The columns of READS but ord, of a record without its size."""
-    at, size = 0, len(data)
-    tid, pos, name, mapq, _, ops, flag, bases, mtid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at)
-    end, at = at + size, at + 32
-    qname = data[at : at + name - 1].decode()
-    at += name
-    cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at))
-    at += 4 * ops
-    seq = "".join(map(PAIRS.__getitem__, data[at : at + (bases + 1) // 2]))[:bases]
-    at += (bases + 1) // 2
-    qual = data[at : at + bases]
-    qual = "" if not qual or qual[0] == 255 else qual.translate(SHOWN_QUALITY).decode()
-    tags, at = {}, at + bases
-    while at < end:
-        key, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        value, at = tag_value(data, at + 3, kind)
-        tags.setdefault(key, ("i" if kind in "cCsSI" else kind, value))
-    known = lambda x: None if x < 0 else x
-    place = lambda x: None if x < 0 else x + 1
-    return (None if qname == "*" else qname, flag, known(tid), place(pos), None if mapq == 255 else mapq, cigar, known(mtid), place(mpos), tlen, seq, qual, *(tags[k][1] if k in tags else None for k in ("RG", "RX")), list(tags.items()))
-
-
-def region_bin(begin: int, end: int) -> int:
-    """The smallest bin of the standard scheme that holds [begin, end)."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == (end - 1) >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
-CODES = bytes(BASES.find(chr(c)) if chr(c) in BASES else 15 for c in range(256))
-
-
-def encode(row) -> bytes:
-    """The bytes of one row of READS."""
-    ops, n = [], ""
-    for c in row["cigar"] or "":
-        if c.isdigit():
-            n += c
-        else:
-            ops.append((int(n), c))
-            n = ""
-    span = sum(k for k, c in ops if c in "MDN=X") or 1
-    name = (row["qname"] or "*").encode() + b"\0"
-    seq = row["seq"] or ""
-    codes = np.frombuffer(seq.upper().encode("ascii", "replace").translate(CODES) + b"\0" * (len(seq) % 2), np.uint8)
-    qual = row["qual"] or ""
-    less = lambda x: -1 if x is None else x - 1
-    known = lambda x: -1 if x is None else x
-    begin = less(row["pos"])
-    body = struct.pack(
-        "<iiBBHHHiiii",
-        known(row["tid"]),
-        begin,
-        len(name),
-        255 if row["mapq"] is None else row["mapq"],
-        region_bin(max(begin, 0), max(begin, 0) + span) if begin >= 0 else 4680,
-        len(ops),
-        row["flag"],
-        len(seq),
-        known(row["mtid"]),
-        less(row["mpos"]),
-        row["tlen"] or 0,
-    )
-    body += name + struct.pack(f"<{len(ops)}I", *[k << 4 | OPS.index(c) for k, c in ops])
-    body += (codes[::2] << 4 | codes[1::2]).tobytes()
-    body += (np.frombuffer(qual.encode(), np.uint8) - 33).tobytes() if qual else b"\xff" * len(seq)
-    names = row.__fields__
-    own = {c.upper(): ("Z", row[c]) for c in ("rg", "rx") if c in names}
-    held = {k: (v["type"], v["value"]) for k, v in ((row["tags"] or {}) if "tags" in names else {}).items() if k not in own}
-    body += b"".join(tag_bytes(k, *v) for k, v in (held | own).items() if v[1] is not None)
-    return struct.pack("<i", len(body)) + body
+                    raise ValueError(f"{path}: the record at {self.place(at)} is cut off")
 
 
 @dataclass
@@ -378,6 +279,46 @@ class Range(InputPartition):
     last: int | None = None  # the last record, as block offset << 16 | place, if it is known
 
 
+@dataclass
+class Task(InputPartition):
+    ranges: list[Range]
+
+
+SPLIT = 64 << 20  # bytes of a range, and of the ranges of a task
+TASKS = 512  # up to so many ranges are tasks of their own
+
+
+def dealt(ranges: list[Range], split: int) -> list[Task]:
+    """The ranges in order, one a task; of more than TASKS of them several short ones share a task."""
+    own = max(1, min(-(-len(ranges) // TASKS), SPLIT // split))
+    return [Task(ranges[k : k + own]) for k in range(0, len(ranges), own)] or [Task([])]
+
+
+def whole_files(files: list[tuple[str, int]], split: int) -> list[Range]:
+    """The files (path, size) in ranges."""
+    bases = np.cumsum([0] + [size for _, size in files]).tolist()
+    return [Range(path, base, at, min(at + split, size)) for (path, size), base in zip(files, bases) for at in range(0, size, split)]
+
+
+def stretches(part: Range, header: tuple[list, int] | None = None):
+    """Plain.stretches() of the records of a range; header: contigs and bytes of the header, if they are known."""
+    contigs, skip = header or read_header(part.path)[1:]
+    plain = Plain(part.path, part.begin)
+    if part.within is not None:
+        at = part.within
+    elif part.begin == 0:
+        at = skip
+    else:
+        at = plain.first_record(part.end, len(contigs))
+    for data, starts, own in plain.stretches(at, part.end, part.path) if at is not None else ():
+        if part.last is not None and own[-1] > part.last:
+            n = int(np.searchsorted(own, part.last, "right"))
+            if n:
+                yield data, starts[:n], own[:n]
+            return
+        yield data, starts, own
+
+
 def _listed(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of the BAM files of a folder in order of name."""
     where, inner = located(path)
@@ -426,7 +367,8 @@ def picked(index: pa.Table, asked: Places) -> list[tuple[int, int, int]]:
 class BamReader(DataSourceReader):
     def __init__(self, options):
         self.files = sorted(f for x in options["path"].split(",") for f in _listed(x))
-        self.split = int(options.get("split", 64 << 20))
+        self.split = int(options.get("split", SPLIT))
+        self.columns = listed_columns(options)
         tid, begin, end = (options.get(k) for k in ("tid", "begin", "end"))
         self.asked = Places(None if tid is None else int(tid), 1, int(end or 2**31 - 1), int(begin or 1))
         # An index is that of one folder as it was written.
@@ -447,11 +389,8 @@ class BamReader(DataSourceReader):
     def partitions(self):
         bases = np.cumsum([0] + [size for _, size in self.files]).tolist()
         if self.asked.narrow and self.index and located(self.index)[0].get_file_info(located(self.index)[1]).type == fs.FileType.Directory:
-            return self._indexed(bases) or [Range("", 0, 0, 0)]
-        out = []
-        for (path, size), base in zip(self.files, bases):
-            out += [Range(path, base, at, min(at + self.split, size)) for at in range(0, size, self.split)]
-        return out or [Range("", 0, 0, 0)]
+            return dealt(self._indexed(bases), self.split)
+        return dealt(whole_files(self.files, self.split), self.split)
 
     def _indexed(self, bases: list[int]) -> list[Range]:
         import pyarrow.parquet as pq
@@ -471,36 +410,23 @@ class BamReader(DataSourceReader):
                 out.append(Range(path, bases[file], at, end, within if at == begin else None, last))
         return out
 
-    def read(self, part: Range):
-        if not part.path:
-            return
-        _, contigs, skip = read_header(part.path)
-        plain = Plain(part.path, part.begin)
-        if part.within is not None:
-            at = part.within
-        elif part.begin == 0:
-            at = skip
-        else:
-            at = plain.first_record(part.end, len(contigs))
-        schema = arrow_schema()
-        held, size = [], 0
-        for block, place, record in plain.records(at, part.end, part.path) if at is not None else ():
-            if part.last is not None and (block << 16 | place) > part.last:
-                break
-            # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
-            held.append(((part.base + block) << 16 | place, *decode(record)))
-            size += len(record)
-            if size >= 1 << 20 or len(held) >= 4096:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-                held, size = [], 0
-        if held:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
+    def read(self, task: Task):
+        headers: dict[str, tuple[list, int]] = {}
+        for part in task.ranges:
+            if part.path not in headers:
+                headers[part.path] = read_header(part.path)[1:]
+            for data, starts, own in stretches(part, headers[part.path]):
+                for at in range(0, len(starts), 4096):
+                    # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
+                    yield decode_batch(data, starts[at : at + 4096], own[at : at + 4096] + (part.base << 16), self.columns)
 
-def arrow_schema() -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(READS)
+def listed_columns(options) -> list[str]:
+    """The columns that the option `columns` lists, in the order of READS."""
+    names = options.get("columns", "").replace(",", " ").split()
+    if unknown := set(names) - set(READS.names):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+    return [c for c in READS.names if not names or c in names]
 
 
 @dataclass
@@ -508,7 +434,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # temporary name, name in its place
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """A file per task; with the option `pattern` one per task and value of the column `split`, in a folder of that value's own name."""
 
     def __init__(self, options):
@@ -520,20 +446,21 @@ class BamWriter(DataSourceWriter):
         where, inner = located(self.path)
         where.create_dir(inner, recursive=True)
 
-    def folder(self, row) -> str:
-        """Where a row goes; a value cannot lead out of the folder."""
-        return expand_pattern(self.pattern, self.stem, row["split"]).replace("/", "_").lstrip(".") or "_"
+    def folder(self, value: str | None) -> str:
+        """Where rows of a value go; a value cannot lead out of the folder."""
+        return expand_pattern(self.pattern, self.stem, value).replace("/", "_").lstrip(".") or "_"
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().partitionId():05d}-{self.job}.bam"
         if not self.pattern:
-            return Written([self._file(rows, name)])
+            return Written([self._file(batches, name)])
         # Rows come sorted by value: one file is open at a time.
-        return Written([self._file(own, f"{folder}/{name}") for folder, own in groupby(rows, self.folder)])
+        runs = ((self.folder(value), own) for batch in batches for value, own in _runs(batch, "split"))
+        return Written([self._file((own for _, own in part), f"{folder}/{name}") for folder, part in groupby(runs, lambda x: x[0])])
 
-    def _file(self, rows, name: str) -> tuple[str, str]:
+    def _file(self, batches, name: str) -> tuple[str, str]:
         temporary = f".{posixpath.basename(name)}-{uuid.uuid4().hex}"
         lines = "" if "@SQ\t" in self.header else "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in self.contigs)
         text = (self.header + lines).encode()
@@ -542,14 +469,14 @@ class BamWriter(DataSourceWriter):
         where, inner = located(self.path)
         with where.open_output_stream(posixpath.join(inner, temporary)) as f:
             f.write(compress(head))
-            held, size = [], 0
-            for row in rows:
-                held.append(encode(row))
-                size += len(held[-1])
-                if size >= 16 * BLOCK:
-                    f.write(compress(b"".join(held)))
-                    held, size = [], 0
-            f.write(compress(b"".join(held)) + EOF_BLOCK)
+            rest = b""
+            for part in (x for batch in batches for x in encode_batch(batch)):
+                part = rest + part
+                whole = len(part) - len(part) % BLOCK
+                for at in range(0, whole, 16 * BLOCK):
+                    f.write(compress(part[at : min(at + 16 * BLOCK, whole)]))
+                rest = part[whole:]
+            f.write(compress(rest) + EOF_BLOCK)
         return temporary, name
 
     def commit(self, messages):
@@ -567,13 +494,21 @@ class BamWriter(DataSourceWriter):
                 where.delete_file(posixpath.join(inner, temporary))
 
 
+def _runs(batch: pa.RecordBatch, column: str):
+    """(value, rows) of each stretch of rows with one value."""
+    runs, at = pa.compute.run_end_encode(batch.column(column)), 0
+    for end, value in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+        yield value, batch.slice(at, end - at)
+        at = end
+
+
 class BamDataSource(DataSource):
     @classmethod
     def name(cls):
         return "bam"
 
     def schema(self):
-        return READS
+        return StructType([READS[c] for c in listed_columns(self.options)])
 
     def reader(self, schema):
         return BamReader(self.options)
@@ -608,7 +543,7 @@ def read_regions(spark: SparkSession, path: str, contigs: DataFrame, regions: li
     """Rows of indexed BAM files that overlap each region, once per region, with the region's number in `region`; only ranges that may hold some are read."""
     named = [parse_region(r) for r in regions]
     tids = {r.name: r.tid for r in contigs.where(F.col("name").isin(*{n for n, _, _ in named})).select("name", "tid").collect()}  # one row per region asked
-    out = spark.createDataFrame([], READS).withColumn("region", F.lit(0))
+    out = spark.createDataFrame([], StructType([READS[c] for c in listed_columns(options)])).withColumn("region", F.lit(0))
     for k, (name, begin, end) in enumerate(named):
         if name not in tids:
             continue
