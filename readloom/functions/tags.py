@@ -46,7 +46,7 @@ def complete(rows: DataFrame) -> Column:
 
 def with_tags(rows: DataFrame, changed: dict[str, tuple[str, Column]]) -> DataFrame:
     """rows with tags set from name -> (type, value); a null value removes the tag."""
-    held = F.coalesce("tags", empty()) if "tags" in rows.columns else empty()
-    rest = F.map_filter(held, lambda k, _: ~k.isin(*changed))
-    made = F.filter(F.array(*[entry(n, t, v) for n, (t, v) in changed.items()]), lambda x: x["value"]["value"].isNotNull())
-    return rows.withColumn("tags", F.map_concat(rest, F.map_from_entries(made)))
+    made = F.map_from_entries(F.filter(F.array(*[entry(n, t, v) for n, (t, v) in changed.items()]), lambda x: x["value"]["value"].isNotNull()))
+    if "tags" not in rows.columns:
+        return rows.withColumn("tags", made.cast(TAGS))
+    return rows.withColumn("tags", F.map_concat(F.map_filter(F.coalesce("tags", empty()), lambda k, _: ~k.isin(*changed)), made))

@@ -48,10 +48,14 @@ SHOWN = ["ord", "qname", "flag", "tid", "pos", "mapq", "cigar"]
 FIELDS = [f.name for f in READS if f.name not in ("ord", "tags")]
 
 
-def _tagged(spark, sf_dir):
-    """The reads with tags made from their columns."""
+def _tagged(spark, sf_dir, *order):
+    """The reads, in an order if one is given, with tags made from their columns."""
+    reads = _get(spark, sf_dir, "reads")
     tags = {"NM": ("i", F.col("mapq")), "XZ": ("Z", F.when(F.col("cigar") != "", F.col("cigar"))), "XA": ("A", F.substring("rx", 1, 1))}
-    return with_tags(_get(spark, sf_dir, "reads"), tags)
+    if order:
+        # A sort looks at its input twice, and the bases are costly to derive.
+        reads = stash(reads, "reads").orderBy(*order)
+    return with_tags(reads, tags)
 
 
 def _shown(rows):
@@ -176,8 +180,9 @@ def _sorted_bam(spark, sf_dir):
     """The reads in order of place, written as indexed BAM files; the contigs and the path."""
     contigs, path = _get(spark, sf_dir, "contigs"), new_path(spark, "bam")
     bam.register(spark)
-    rows = _tagged(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in READS])
-    rows.orderBy(*ordering.coordinate_keys()).write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
+    # Tags follow from the other columns: they are made behind the sort.
+    rows = _tagged(spark, sf_dir, *ordering.coordinate_keys()).select(*[F.col(f.name).cast(f.dataType) for f in READS])
+    rows.write.format("bam").option("contigs", bam.contig_option(contigs)).mode("append").save(path)
     bam.write_index(spark, path)
     return contigs, path
 
@@ -186,7 +191,7 @@ def _sorted_bam(spark, sf_dir):
 def view_bam_regions(spark, sf_dir):
     """Regions of indexed BAM files: only the ranges that may hold some of their reads are read."""
     contigs, path = _sorted_bam(spark, sf_dir)
-    return bam.read_regions(spark, path, contigs, ["ASIA:200-700", "EUROPE:1000", "MIDDLE_EAST", "NOWHERE"]).select("region", *FIELDS)
+    return bam.read_regions(spark, path, contigs, ["ASIA:200-700", "EUROPE:1000", "MIDDLE_EAST", "NOWHERE"], columns=",".join(FIELDS)).select("region", *FIELDS)
 
 
 @query

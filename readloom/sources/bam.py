@@ -14,8 +14,8 @@ options of read_regions(), pick from it the ranges that are read at all.
 A task takes one range, or of many ranges several; each range looks for its own records.
 
 Options: read `split` (bytes of a range), `columns` (those of READS that are made, all by
-default), `tid`, `begin`, `end` (only records that may overlap these places, 1-based, with
-an index); write `contigs` (JSON list of [name,
+default), `tid`, `begin`, `end` (only records that may overlap these places, 1-based; with
+an index only their ranges are read); write `contigs` (JSON list of [name,
 length] in order of tid) and `header` (header lines before the contigs).
 """
 
@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from readloom.functions.cigar import end_position, placed
+from readloom.functions.cigar import end_position
 from readloom.functions.text import expand_pattern, parse_region
 from readloom.schema import READS
-from readloom.sources.records import FIXED, OPS, decode_batch, encode, encode_batch  # noqa: F401
+from readloom.sources.records import FIXED, OPS, decode_batch, encode, encode_batch, heads, last_places  # noqa: F401
 
 # Fixed values of the format.
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -417,8 +417,24 @@ class BamReader(DataSourceReader):
                 headers[part.path] = read_header(part.path)[1:]
             for data, starts, own in stretches(part, headers[part.path]):
                 for at in range(0, len(starts), 4096):
-                    # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
-                    yield decode_batch(data, starts[at : at + 4096], own[at : at + 4096] + (part.base << 16), self.columns)
+                    keep = self.wanted(data, starts[at : at + 4096])
+                    if keep.any():
+                        # Unique and in file order: the block's place in all files (up to 2 ** 47 bytes), the place in the block.
+                        ords = own[at : at + 4096][keep] + (part.base << 16)
+                        yield decode_batch(data, starts[at : at + 4096][keep], ords, self.columns)
+
+    def wanted(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """Whether the filters may let each record through; where no contig is asked for, all of them are let through."""
+        asked = self.asked
+        if not asked.narrow:
+            return np.ones(len(starts), bool)
+        head = heads(data, starts)
+        keep = (head["tid"] == asked.tid) & (head["pos"] < asked.most)
+        if asked.least > 1:
+            keep &= head["pos"] >= asked.least - 1
+        if asked.reach > 1 and keep.any():
+            keep[keep] = last_places(data, head[keep], starts[keep]) >= asked.reach
+        return keep
 
 
 def listed_columns(options) -> list[str]:
@@ -529,16 +545,34 @@ def write_index(spark: SparkSession, path: str) -> None:
     of others it is right, but its stretches overlap.
     """
     files = _listed(path)
-    edges = np.cumsum([0] + [size for _, size in files])[:-1].tolist()
-    file = F.array_size(F.filter(F.lit(edges), lambda b: b <= F.shiftright("ord", 16))) - 1
-    rows = spark.read.format("bam").load(path).where(placed()).select("tid", "pos", "ord", end_position().alias("endp"), file.cast("int").alias("file"))
-    own = F.col("ord") - F.shiftleft(F.get(F.lit(edges), F.col("file")).cast("long"), 16)
-    table = rows.withColumn("own", own).groupBy("file", "tid", F.shiftright(F.col("pos") - 1, WINDOW).alias("bin"))
-    table = table.agg(F.min("own").alias("first"), F.max("own").alias("last"), F.max("endp").alias("reach"), F.count("*").alias("n"))
+    parts = [(k, part.begin, part.end) for k, f in enumerate(files) for part in whole_files([f], SPLIT)]
+    paths, kind = [f for f, _ in files], "file int, tid int, bin int, first bigint, last bigint, reach bigint, n bigint"
+
+    def run(batches):
+        for batch in batches:
+            for file, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
+                for data, starts, own in stretches(Range(paths[file], 0, begin, end)):
+                    yield _windows(file, data, starts, own)
+
+    # One range a task: a row of a few bytes stands for 64 MB.
+    ranges = spark.createDataFrame(parts, "file int, at bigint, until bigint").repartition(max(1, len(parts)))
+    table = ranges.mapInArrow(run, kind).groupBy("file", "tid", "bin")
+    table = table.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("reach").cast("int").alias("reach"), F.sum("n").alias("n"))
     table = table.withColumn("bytes", F.lit(sum(size for _, size in files)).cast("long"))
     table.orderBy("tid", "bin", "file").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{INDEX}")
 
 
+def _windows(file: int, data: bytes, starts: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """The index rows of the placed records of a stretch."""
+    head = heads(data, starts)
+    placed = (head["tid"] >= 0) & (head["pos"] >= 0)
+    head, starts, own = head[placed], starts[placed], own[placed]
+    table = pa.table({"tid": head["tid"], "bin": head["pos"] >> WINDOW, "own": own, "reach": last_places(data, head, starts)})
+    out = table.group_by(["tid", "bin"]).aggregate([("own", "min"), ("own", "max"), ("reach", "max"), ("own", "count")])
+    made = [pa.array(np.full(len(out), file, np.int32)), *(out[c].combine_chunks() for c in ("tid", "bin", "own_min", "own_max", "reach_max", "own_count"))]
+    return pa.record_batch(made, ["file", "tid", "bin", "first", "last", "reach", "n"])
+
+
 def read_regions(spark: SparkSession, path: str, contigs: DataFrame, regions: list[str], **options) -> DataFrame:
     """Rows of indexed BAM files that overlap each region, once per region, with the region's number in `region`; only ranges that may hold some are read."""
     named = [parse_region(r) for r in regions]
